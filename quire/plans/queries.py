@@ -495,9 +495,9 @@ def element_preview(spark, sf):
 
 def _messy(spark, sf):
     """Lines with doubled blanks, no-break spaces and broken paragraphs put in."""
-    noisy = F.regexp_replace("text", " (the|de|der|la) ", "  $1  ")
+    noisy = F.regexp_replace("text", " (the|de|der|la) ", "\u00a0 $1  ")
     noisy = F.regexp_replace(noisy, ", ", ",\n")
-    return d.rich_elements(spark, sf).withColumn("text", F.concat(F.regexp_replace(noisy, r"\. ", ".\n \n"), F.lit("  ")))
+    return d.rich_elements(spark, sf).withColumn("text", F.concat(F.regexp_replace(noisy, r"\. ", ".\n \n"), F.lit("\u00a0 ")))
 
 
 @query
