@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quire.functions.text import truthy_text
 
@@ -12,6 +12,8 @@ DEFAULT_PNG = "image/png"
 # How much of a payload the prefix hash reads, and the digits a full hash keeps.
 HASH_PREFIX_CHARS = 1000
 FULL_HASH_DIGITS = 16
+# Names under which a written table may hold the hashes.
+HASH_COLUMNS = {"prefix": "payload_hash_prefix", "full": "payload_hash_full"}
 
 
 def encode_base64(col: Column) -> Column:
@@ -33,6 +35,21 @@ def image_hash(payload: Column, scope: str = "prefix") -> Column:
     raise ValueError(f"hash scope is 'prefix' or 'full', not {scope!r}")
 
 
+def payload_hash(df: DataFrame, scope: str = "prefix") -> Column:
+    """The hash of a row's payload, NULL without one.
+
+    A table that was written with the hash as a column of its own (see
+    :func:`with_image_hashes`) is read without its payloads.
+    """
+    name = HASH_COLUMNS[scope]
+    return F.col(name) if name in df.columns else image_hash(truthy_text(F.col("image_base64")), scope)
+
+
+def with_image_hashes(df: DataFrame) -> DataFrame:
+    """Both hashes as columns, to be written next to the payload once."""
+    return df.select("*", *[payload_hash(df, scope).alias(name) for scope, name in HASH_COLUMNS.items() if name not in df.columns])
+
+
 def mime_or(col: Column, default: str) -> Column:
     return F.coalesce(truthy_text(col), F.lit(default))
 

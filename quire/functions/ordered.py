@@ -23,7 +23,7 @@ _BLOCK = "__block"
 
 
 def block_of(order: str, size: int) -> Column:
-    return F.floor(F.col(order) / F.lit(size)).cast("int")
+    return F.expr(f"`{order}` div {int(size)}").cast("int")
 
 
 def running_sum(

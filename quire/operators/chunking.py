@@ -151,7 +151,8 @@ def chunk_elements(
     _check(max_characters, new_after_n_chars, overlap)
     by_title = strategy == "by_title"
     step = max_characters - overlap
-    rows = elements.filter(present(F.col("text"))).select(
+    keyed = elements.filter(F.col("doc_id").isNotNull() & F.col("element_index").isNotNull())
+    rows = keyed.filter(present(F.col("text"))).select(
         "doc_id",
         block_of("element_index", block).alias("block"),
         F.struct(
@@ -161,7 +162,7 @@ def chunk_elements(
             (F.col("element_type") == "Title").alias("title") if by_title else F.lit(False).alias("title"),
             "text",
         ).alias("item"),
-    )
+    ).filter(F.col("block").isNotNull())
     blocks = rows.groupBy("doc_id", "block").agg(F.sort_array(F.collect_list("item")).alias("items"))
 
     def advance(state: Column, item: Column) -> Column:
@@ -192,8 +193,11 @@ def chunk_elements(
         )
         return df.withColumn("state", F.aggregate("items", start, advance))
 
-    # Only documents that reach a second block need the carry; most inputs have none.
-    later = blocks.filter(F.col("block") > 0)
+    # Only documents that reach a second block need the carry; most inputs have none.  The
+    # tests look into the collected items, which keeps them above the shuffle, so that all
+    # branches read one and the same exchange.
+    first_index = F.get("items", F.lit(0))["element_index"]
+    later = blocks.filter(first_index >= block)
     tails = later.select(
         "doc_id",
         "block",
@@ -201,7 +205,7 @@ def chunk_elements(
         F.transform("items", lambda x: x["title"]).alias("forced"),
     ).mapInPandas(_block_runs(max_characters, new_after_n_chars, overlap), _RUNS)
     heads = packed(
-        blocks.filter(F.col("block") == 0).join(later.select("doc_id").distinct(), "doc_id", "left_semi"), F.lit(0)
+        blocks.filter(first_index < block).join(later.select("doc_id").distinct(), "doc_id"), F.lit(0)
     ).select(
         "doc_id",
         "block",

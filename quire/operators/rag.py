@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quire.functions.images import image_hash
+from quire.functions.images import payload_hash
 from quire.functions.ordered import SEGMENT_ROWS, block_of, ordered_join
 from quire.functions.text import strip, truthy_array, truthy_number, truthy_text
-from quire.operators.elements import exportable, first_rows, has_payload, is_image
+from quire.operators.elements import exportable, first_rows, is_image
 
 # Notes added to the content of image documents.
 NOTE_NOT_DESCRIBED = "[Hinweis: Bild nicht beschrieben - aktiviere 'Vision-Beschreibung' für durchsuchbaren Content]"
@@ -75,7 +75,8 @@ def _note(text: Column, note: Column | str) -> Column:
 def rag_rows(elements: DataFrame) -> DataFrame:
     """One row per exportable element: the metadata keys and ``content``, undescribed.  Narrow."""
     text = strip(F.col("text"))
-    pictured = is_image() & F.coalesce(has_payload(), F.lit(False))
+    digest = F.when(is_image(), payload_hash(elements))
+    pictured = digest.isNotNull()
     links = F.size(truthy_array(F.col("links")))
     link_count = F.when(links > 0, links)
     columns = {
@@ -93,7 +94,7 @@ def rag_rows(elements: DataFrame) -> DataFrame:
         "sheet_name": truthy_text(F.col("page_name")),
         "email_subject": truthy_text(F.col("subject")),
         "email_from": truthy_text(F.col("sent_from")),
-        "image_hash": F.when(pictured, image_hash(F.col("image_base64"))),
+        "image_hash": digest,
         "image_available": F.when(pictured, True),
         "image_url": F.when(pictured, truthy_text(F.col("url"))),
         "image_described": F.when(is_image(), False),
@@ -113,11 +114,11 @@ def with_hints(rows: DataFrame) -> DataFrame:
 
 
 def describe(rows: DataFrame, descriptions: DataFrame) -> DataFrame:
-    """Add descriptions ``(image_hash, description, model, cost_estimate)`` to image rows.
+    """Add descriptions ``(image_hash, description, model, cost_estimate)`` to hashed rows.
 
-    Only rows with a hash take part in the join; a picture that recurs everywhere makes
-    one hot key, which adaptive execution splits on the row side of this outer join.
-    Descriptions are made unique per hash first, so the join cannot multiply rows.
+    A picture that recurs everywhere makes one hot key, which adaptive execution splits
+    on the row side of this outer join.  Descriptions are made unique per hash first, so
+    the join cannot multiply rows.
     """
     unique = descriptions.groupBy("image_hash").agg(
         F.min(F.struct("description", "model", "cost_estimate")).alias("d")
@@ -125,17 +126,16 @@ def describe(rows: DataFrame, descriptions: DataFrame) -> DataFrame:
     joined = rows.join(unique, "image_hash", "left")
     text = F.col("content")
     description = truthy_text(F.col("d.description"))
-    asked = F.col("image_hash").isNotNull()
-    described = asked & description.isNotNull() & (description != text)
+    described = F.coalesce(description != text, F.lit(False))
     content = (
         F.when(described, F.concat(text, F.lit("\n\n" + DESCRIPTION_LABEL), description))
-        .when(asked & description.isNull(), _note(text, NOTE_UNAVAILABLE))
+        .when(description.isNull(), _note(text, NOTE_UNAVAILABLE))
         .otherwise(text)
     )
     return joined.select(
         "doc_id",
         *[c for c in METADATA_KEYS if not c.startswith(("image_described", "vision_"))],
-        F.when(is_image(), F.coalesce(described, F.lit(False))).alias("image_described"),
+        described.alias("image_described"),
         F.when(described, F.coalesce("d.model", F.lit(DEFAULT_MODEL))).alias("vision_model"),
         F.when(described, F.coalesce("d.cost_estimate", F.lit(DEFAULT_COST))).alias("vision_cost_estimate"),
         content.alias("content"),
@@ -143,8 +143,16 @@ def describe(rows: DataFrame, descriptions: DataFrame) -> DataFrame:
 
 
 def rag_documents(elements: DataFrame, descriptions: DataFrame | None = None) -> DataFrame:
-    rows = rag_rows(elements)
-    return with_hints(rows) if descriptions is None else describe(rows, descriptions)
+    """Documents of all exportable elements, with picture descriptions where given.
+
+    Only pictures meet the descriptions; all other rows, which have no hash to join on,
+    pass by the join and are not shuffled.
+    """
+    if descriptions is None:
+        return with_hints(rag_rows(elements))
+    pictured = is_image() & payload_hash(elements).isNotNull()
+    described = describe(rag_rows(elements.filter(pictured)), descriptions)
+    return described.unionByName(rag_rows(elements.filter(~F.coalesce(pictured, F.lit(False)))))
 
 
 def rag_json() -> Column:
@@ -167,7 +175,8 @@ def rag_json_array(documents: DataFrame, rows: int = SEGMENT_ROWS) -> DataFrame:
 
 
 def rag_preview(documents: DataFrame, n: int = PREVIEW_DOCS) -> DataFrame:
-    return first_rows(rag_jsonl(documents), n)
+    """The first ``n`` documents as JSON; only those are serialised."""
+    return first_rows(documents, n).select("doc_id", "element_index", rag_json().alias("line"), "is_preview")
 
 
 def rag_pages(elements: DataFrame, rows: int = SEGMENT_ROWS) -> DataFrame:
@@ -262,9 +271,9 @@ def orphan_references(documents: DataFrame, manifest: DataFrame) -> DataFrame:
 def inline_rag(elements: DataFrame, describe_images: bool = False) -> DataFrame:
     """The inline export: every element, blank ones and page breaks too.  Narrow."""
     text = strip(F.coalesce("text", F.lit("")))
-    available = F.coalesce(has_payload(), F.lit(False))
-    digest = F.when(is_image() & available, image_hash(F.col("image_base64"), "full"))
-    described = is_image() & available & F.lit(describe_images)
+    digest = F.when(is_image(), payload_hash(elements, "full"))
+    available = digest.isNotNull()
+    described = available & F.lit(describe_images)
     content = (
         F.when(~is_image(), text)
         .when(

@@ -209,7 +209,7 @@ def slide_fragments(
         block_of("element_index", rows).alias("segment"),
         F.col("element_index").cast("long").alias("place"),
         slide_part().alias("html"),
-    ).filter(F.col("html").isNotNull())
+    )
     extent = placed.groupBy("doc_id", "slide").agg(F.max("element_index").alias("last"))
     extent = extent.unionByName(
         # The style sheet opens the document, before its first slide.
@@ -231,9 +231,10 @@ def slide_fragments(
     )
     framed = frame.select("doc_id", "slide", F.inline(edges))
     body = parts.groupBy("doc_id", "slide", "segment").agg(
-        ordered_join(F.col("place"), F.col("html"), "\n").alias("html")
+        F.count("html").alias("shown"), ordered_join(F.col("place"), F.col("html"), "\n").alias("html")
     )
-    return body.unionByName(framed.select("doc_id", "slide", "segment", "html"))
+    body = body.filter(F.col("shown") > 0)
+    return body.select("doc_id", "slide", "segment", "html").unionByName(framed.select("doc_id", "slide", "segment", "html"))
 
 
 def render_slides(

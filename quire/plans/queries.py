@@ -14,6 +14,7 @@ from quire.functions.images import (
     decode_base64,
     encode_base64,
     image_extension,
+    image_file_name,
     image_hash,
     mime_subtype,
 )
@@ -568,10 +569,8 @@ def image_ext(spark, sf):
 
 @query
 def image_file_names(spark, sf):
-    e = d.rich_elements(spark, sf)
-    plain = images.image_rows(e).select(*_doc("filename"))
-    packed = images.image_rows(e, packaged=True).select(*_doc(F.col("filename").alias("packaged")))
-    return plain.join(packed, ["doc_id", "element_index"])
+    packed = image_file_name(F.col("page"), F.col("image_hash"), F.col("extension"), packaged=True)
+    return images.image_rows(d.rich_elements(spark, sf)).select(*_doc("filename", packed.alias("packaged")))
 
 
 @query

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -33,16 +32,19 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = tempfile.mkdtemp(prefix="quire-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return os.path.join(base, f"{purpose}-{uuid.uuid4().hex}") if "://" not in base else f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+# A scan of so few splits moves at most 2 GiB at the default split size.
+SPREAD_SPLITS = 16
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give a scan with fewer splits than cores one partition per core.
+    """Give a scan of a few splits one partition per core.
 
-    Many small inputs come as one file with one row group, which a single task would
-    read and explode alone.  A scan that already has enough splits, as any large table
-    has, is returned unchanged.
+    A small table often is one file with one row group, which a single task would read
+    and explode alone.  Larger scans, and scans that fill the cores, are left unchanged.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    splits = df.rdd.getNumPartitions()
+    return df.repartition(cores) if splits < cores and splits <= SPREAD_SPLITS else df

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quire.functions.ordered import last_before, running_sum
+from quire.functions.ordered import block_of, last_before, running_sum
 from quire.functions.text import STOP_WORDS, language_of, truthy_text
 from quire.schema import IMAGE_TYPES, PAGE_BREAK, element_schema
 
@@ -38,7 +38,7 @@ def partition_text(raw: DataFrame, page_lines: int = PAGE_LINES, first_page: int
         F.concat_ws("-", "doc_id", index).alias("element_uid"),
         line_type(F.col("text"), index).alias("element_type"),
         "text",
-        (F.floor(index / page_lines) + first_page).cast("int").alias("page_number"),
+        (block_of("element_index", page_lines) + first_page).alias("page_number"),
     )
 
 
