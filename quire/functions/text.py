@@ -51,12 +51,25 @@ def truthy_array(col: Column) -> Column:
     return F.when(F.size(col) > 0, col)
 
 
+# White space other than single blanks between words.
+_UNEVEN = r"  |[\t-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
 def word_count(col: Column) -> Column:
-    return F.regexp_count(col, F.lit(WORD))
+    """Words of a stripped text.
+
+    Where single blanks part the words, counting blanks gives the number without cutting
+    the text; only other texts are matched word by word.
+    """
+    blanks = F.length(col) - F.length(F.replace(col, F.lit(" "), F.lit("")))
+    return F.when(col.rlike(_UNEVEN), F.regexp_count(col, F.lit(WORD))).otherwise(F.when(col == "", 0).otherwise(blanks + 1))
 
 
 def sentence_marks(col: Column) -> Column:
-    return F.length(col) - F.length(F.translate(col, ".!?", ""))
+    rest = col
+    for mark in ".!?":
+        rest = F.replace(rest, F.lit(mark), F.lit(""))
+    return F.length(col) - F.length(rest)
 
 
 def clean_whitespace(col: Column) -> Column:
@@ -74,21 +87,26 @@ def join_broken_paragraphs(col: Column) -> Column:
 def language_of(text: Column, stop_words: dict[str, tuple[str, ...]] | None = None) -> Column:
     """The code whose stop words occur most often; ties by code, ``und`` without a hit.
 
-    The word lists are a handful of literals, so counting them in place keeps the step
-    narrow: no token rows, no join and no shuffle.
+    The word lists are a handful of literals, so they are searched for in place: one pass
+    over the text, no token rows, no join and no shuffle.
     """
     lists = STOP_WORDS if stop_words is None else stop_words
-    tokens = F.regexp_extract_all(F.lower(text), F.lit("[a-zà-ÿ]+"), F.lit(0))
-
-    def score(words: Column, code: str) -> Column:
-        hits = F.size(F.filter(words, lambda w: w.isin(*lists[code])))
-        return F.struct(hits.alias("hits"), F.lit(code).alias("code"))
-
-    # A lambda over a one-element array binds the tokens, so that they are cut once.
-    scores = F.transform(F.array(tokens), lambda words: F.array(*[score(words, c) for c in sorted(lists)]))[0]
-    best = F.array_max(F.transform(scores, lambda s: s["hits"]))
-    code = F.filter(scores, lambda s: s["hits"] == best)[0]["code"]
-    return F.when(best > 0, code).otherwise("und")
+    words = sorted({w for ws in lists.values() for w in ws})
+    whole_word = f"(?<![a-zà-ÿ])(?:{'|'.join(words)})(?![a-zà-ÿ])"
+    found = F.regexp_extract_all(F.lower(text), F.lit(whole_word), F.lit(0))
+
+    def score(hits: Column, code: str) -> Column:
+        number = F.size(F.filter(hits, lambda w: w.isin(*lists[code])))
+        return F.struct(number.alias("hits"), F.lit(code).alias("code"))
+
+    # A lambda over a one-element array binds the hits, so that the text is read once.
+    scores = F.transform(F.array(found), lambda hits: F.array(*[score(hits, c) for c in sorted(lists)]))
+    # Scores stand in the order of their codes, so the first of the best wins a tie.
+    best = F.transform(
+        scores,
+        lambda s: F.reduce(s, s[0], lambda a, b: F.when(b["hits"] > a["hits"], b).otherwise(a)),
+    )[0]
+    return F.when(best["hits"] > 0, best["code"]).otherwise("und")
 
 
 def table_csv(col: Column) -> Column:

@@ -9,8 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quire.functions.images import encode_base64, image_hash
-from quire.functions.markup import escape_html
-from quire.schema import IMAGE_TYPES, conform
+from quire.schema import conform
 from quire.session import spread
 from quire.sources.documents import partition_html, partition_text
 
@@ -48,70 +47,56 @@ def page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def rich_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = text_elements(spark, sf_dir)
-    d, i = F.col("doc_id"), F.col("element_index")
+# Decoration rules in SQL: ``d`` is the document number, ``i`` the position, ``kind`` the
+# element type and ``line`` the text of the line.
+RICH_TYPE = """
+    CASE WHEN i = 0 THEN 'Title' WHEN i % 10 = 5 THEN 'PageBreak' WHEN i % 10 = 7 THEN 'Table'
+         WHEN i % 10 = 9 THEN 'Image' WHEN i % 20 = 8 THEN 'FigureCaption' WHEN i % 20 = 18 THEN 'Picture'
+         WHEN i % 10 = 1 AND d % 5 = 0 THEN 'Header' WHEN i % 10 = 2 AND d % 5 = 1 THEN 'Footer' ELSE element_type END"""
+_SITE = "concat('https://example.org/', d, '/', i)"
+_PICTURE = "kind IN ('Image', 'Picture', 'FigureCaption')"
+_MAIL = "source = 'src3' AND i = 0"
+RICH_COLUMNS = {
+    "doc_id": "d",
+    "source": "source",
+    "element_index": "i",
+    "element_uid": "element_uid",
+    "element_type": "kind",
+    "text": "IF(kind = 'PageBreak', '', line)",
+    "page_number": "IF(d % 11 <> 0, page_number, NULL)",
+    "page_name": "IF(kind = 'Table' AND d % 7 = 0, concat('Sheet', i div 10 + 1), NULL)",
+    "category_depth": "IF(kind = 'ListItem' OR (kind = 'Title' AND d % 13 <> 0), int(d % 3), NULL)",
+    "parent_id": "IF(i > 0, concat(d, '-0'), NULL)",
+    "languages": "IF(i % 8 <> 6, array(lang, 'eng'), NULL)",
+    "emphasized_text_contents": "IF(i % 4 = 0, array(substring(line, 1, 5)), NULL)",
+    "emphasized_text_tags": "IF(i % 4 = 0, array('b'), NULL)",
+    "links": f"IF(i % 6 = 0, array(struct({_SITE} AS url, 'site' AS text)), NULL)",
+    "link_urls": f"IF(i % 9 = 4, array(concat({_SITE}, '?a=1&b=2'), concat({_SITE}, '#top')), NULL)",
+    "link_texts": "IF(i % 9 = 4, array('first <link>'), NULL)",
+    "image_base64": rf"IF({_PICTURE} AND d % 6 <> 5, translate(base64(encode(substring(line, 1, 1500), 'UTF-8')), '\r\n', ''), NULL)",
+    "image_mime_type": f"IF({_PICTURE}, CASE d % 5 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/jpeg' WHEN 2 THEN 'image/gif' WHEN 3 THEN 'image/webp' END, NULL)",
+    "image_url": f"IF(i % 30 = 9, concat({_SITE}, '.png'), NULL)",
+    "image_path": "IF(i % 30 = 19, concat('img/', d, '-', i), NULL)",
+    "url": f"IF(d % 8 = 1, {_SITE}, NULL)",
+    "text_as_html": "IF(kind = 'Table' AND d % 4 <> 3, concat('<table><tr><td>', replace(replace(replace(substring(line, 1, 40), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '</td></tr></table>'), NULL)",
+    "sent_from": f"IF({_MAIL}, concat('a', d, '@example.org'), NULL)",
+    "sent_to": f"IF({_MAIL}, 'b@example.org', NULL)",
+    "subject": f"IF({_MAIL}, substring(line, 1, 20), NULL)",
+    "header_footer_type": "IF(kind IN ('Header', 'Footer'), 'primary', NULL)",
+    "section": "IF(d % 9 = 0, concat('s', i div 10), NULL)",
+    "detection_class_prob": "double(i % 10) / 10",
+    "coordinates": "IF(i % 15 = 3, concat('(', i, ',', d, ')'), NULL)",
+    "filename": "IF(d % 4 = 1, concat('file_', d, '.txt'), NULL)",
+    "filetype": "IF(d % 2 = 0, 'text/plain', NULL)",
+}
 
-    def pick(condition: Column, value: Column | str) -> Column:
-        return F.when(condition, value)
-
-    kind = (
-        F.when(i == 0, "Title")
-        .when(i % 10 == 5, "PageBreak")
-        .when(i % 10 == 7, "Table")
-        .when(i % 10 == 9, "Image")
-        .when(i % 20 == 8, "FigureCaption")
-        .when(i % 20 == 18, "Picture")
-        .when((i % 10 == 1) & (d % 5 == 0), "Header")
-        .when((i % 10 == 2) & (d % 5 == 1), "Footer")
-        .otherwise(F.col("element_type"))
-    )
-    e = e.withColumn("line", F.col("text")).withColumn("element_type", kind)
-    line, kind = F.col("line"), F.col("element_type")
-    pictured = kind.isin(*IMAGE_TYPES)
-    mail = (F.col("source") == "src3") & (i == 0)
-    site = F.concat(F.lit("https://example.org/"), d.cast("string"), F.lit("/"), i.cast("string"))
-    columns = {
-        "text": F.when(kind == "PageBreak", "").otherwise(line),
-        "page_number": pick(d % 11 != 0, F.col("page_number")),
-        "page_name": pick((kind == "Table") & (d % 7 == 0), F.concat(F.lit("Sheet"), (F.floor(i / 10) + 1).cast("string"))),
-        "category_depth": pick(kind.isin("Title", "ListItem") & ~((kind == "Title") & (d % 13 == 0)), (d % 3).cast("int")),
-        "parent_id": pick(i > 0, F.concat(d.cast("string"), F.lit("-0"))),
-        "languages": pick(i % 8 != 6, F.array("lang", F.lit("eng"))),
-        "emphasized_text_contents": pick(i % 4 == 0, F.array(F.substring(line, 1, 5))),
-        "emphasized_text_tags": pick(i % 4 == 0, F.array(F.lit("b"))),
-        "links": pick(i % 6 == 0, F.array(F.struct(site.alias("url"), F.lit("site").alias("text")))),
-        "link_urls": pick(i % 9 == 4, F.array(F.concat(site, F.lit("?a=1&b=2")), F.concat(site, F.lit("#top")))),
-        "link_texts": pick(i % 9 == 4, F.array(F.lit("first <link>"))),
-        "image_base64": pick(
-            kind.isin("Image", "Picture", "FigureCaption") & (d % 6 != 5),
-            encode_base64(F.substring(line, 1, 1500).cast("binary")),
-        ),
-        "image_mime_type": pick(
-            pictured,
-            F.when(d % 5 == 0, "image/png").when(d % 5 == 1, "image/jpeg").when(d % 5 == 2, "image/gif").when(d % 5 == 3, "image/webp"),
-        ),
-        "image_url": pick(i % 30 == 9, F.concat(site, F.lit(".png"))),
-        "image_path": pick(i % 30 == 19, F.concat(F.lit("img/"), d.cast("string"), F.lit("-"), i.cast("string"))),
-        "url": pick(d % 8 == 1, site),
-        "text_as_html": pick(
-            (kind == "Table") & (d % 4 != 3),
-            F.concat(F.lit("<table><tr><td>"), escape_html(F.substring(line, 1, 40)), F.lit("</td></tr></table>")),
-        ),
-        "sent_from": pick(mail, F.concat(F.lit("a"), d.cast("string"), F.lit("@example.org"))),
-        "sent_to": pick(mail, F.lit("b@example.org")),
-        "subject": pick(mail, F.substring(line, 1, 20)),
-        "header_footer_type": pick(kind.isin("Header", "Footer"), F.lit("primary")),
-        "section": pick(d % 9 == 0, F.concat(F.lit("s"), F.floor(i / 10).cast("string"))),
-        "detection_class_prob": (i % 10) / 10.0,
-        "coordinates": pick(i % 15 == 3, F.concat(F.lit("("), i.cast("string"), F.lit(","), d.cast("string"), F.lit(")"))),
-        "filename": pick(d % 4 == 1, F.concat(F.lit("file_"), d.cast("string"), F.lit(".txt"))),
-        "filetype": pick(d % 2 == 0, F.lit("text/plain")),
-    }
-    named = {k: v.alias(k) for k, v in columns.items()}
-    return conform(
-        e.select("doc_id", "source", "element_index", "element_uid", "element_type", *named.values())
+
+def rich_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = text_elements(spark, sf_dir).selectExpr(
+        "doc_id AS d", "element_index AS i", "source", "lang", "element_uid", "element_type", "page_number", "text AS line"
     )
+    typed = lines.selectExpr("*", f"{RICH_TYPE} AS kind")
+    return conform(typed.selectExpr(*[f"{rule} AS {name}" for name, rule in RICH_COLUMNS.items()]))
 
 
 def slides(spark: SparkSession, sf_dir: str) -> DataFrame:

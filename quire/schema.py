@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, types as T
 
 LINK = "struct<url:string,text:string>"
 
@@ -76,7 +76,7 @@ def conform(df: DataFrame) -> DataFrame:
     """
     have = set(df.columns)
     cols = [
-        (F.col(name).cast(kind) if name in have else F.lit(None).cast(kind)).alias(name)
+        f"CAST({f'`{name}`' if name in have else 'NULL'} AS {kind}) AS `{name}`"
         for name, kind in ELEMENT_COLUMNS.items()
     ]
-    return df.select(*cols, *[c for c in df.columns if c not in ELEMENT_COLUMNS])
+    return df.selectExpr(*cols, *[f"`{c}`" for c in df.columns if c not in ELEMENT_COLUMNS])
