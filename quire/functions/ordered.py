@@ -5,7 +5,8 @@ of it into one task, so running values are computed in two steps: inside blocks
 ``block`` positions, and over one summary row per block.  A document has at most
 2**31 / block summary rows, which bounds the second step whatever the data size.
 String building follows the same idea: a body is made of segments of at most ``rows``
-elements, and a document below that size is exactly one segment.
+elements; a document below that size is exactly one segment, the segments of a longer
+one are merged as long as the result stays of a size that a task can hold.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ BLOCK = 4096
 SEGMENT_ROWS = 10_000
 IMAGE_SEGMENT_ROWS = 1_000
 MERGE_CHARS = 64_000_000
+SALTS = 64
 
 _BLOCK = "__block"
 
@@ -98,24 +100,62 @@ def merge_segments(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    body: str,
-    sep: str,
+    columns: dict[str, str],
+    extra: dict[str, Column] | None = None,
     max_chars: int = MERGE_CHARS,
 ) -> DataFrame:
     """One row per key where its segments hold at most ``max_chars`` characters together.
 
-    Larger keys keep their segments, so no group outgrows a task.  The list of larger
-    keys has at most (all characters / max_chars) rows: about 1.6 million for 100 TB,
-    which is what makes it safe to broadcast.  ``piece`` numbers nothing; it holds the
-    order columns of an unmerged segment and is NULL for a merged body.
+    A merged row takes the place of its first segment and is marked ``merged``; larger
+    keys keep their segments, so no group outgrows a task.  The list of larger keys has at most (all characters /
+    max_chars) rows, about 1.6 million for 100 TB, which is what makes it safe to
+    broadcast.  ``extra`` holds aggregates for further columns.
     """
-    keys = list(keys)
-    sizes = df.groupBy(*keys).agg(F.sum(F.length(body)).alias("__chars"))
+    keys, order = list(keys), list(order)
+    size = sum((F.coalesce(F.length(c), F.lit(0)) for c in columns), F.lit(0))
+    sizes = df.groupBy(*keys).agg(F.sum(size).alias("__chars"))
     large = sizes.filter(F.col("__chars") > max_chars).select(*keys, F.lit(True).alias("__large"))
     place = F.struct(*order)
     return (
         df.join(F.broadcast(large), keys, "left")
-        .withColumn("piece", F.when(F.col("__large"), place))
-        .groupBy(*keys, "piece")
-        .agg(ordered_join(place, F.col(body), sep).alias(body))
+        .withColumn("__place", place)
+        .groupBy(*keys, F.when(F.col("__large"), F.col("__place")).alias("__piece"))
+        .agg(
+            F.min("__place").alias("__first"),
+            *[ordered_join(F.col("__place"), F.col(c), sep).alias(c) for c, sep in columns.items()],
+            *[c.alias(name) for name, c in (extra or {}).items()],
+        )
+        .select(*keys, "__first.*", F.col("__piece").isNull().alias("merged"), *columns, *(extra or {}))
+    )
+
+
+def whole(
+    segments: DataFrame,
+    elements: DataFrame,
+    rows: int,
+    columns: dict[str, str],
+    keys: Sequence[str] = ("doc_id",),
+    extra: dict[str, Column] | None = None,
+    max_chars: int = MERGE_CHARS,
+) -> DataFrame:
+    """Merge the segments of documents that reach past position ``rows``.
+
+    All other documents have one segment and pass through.  The list of long documents
+    comes from a filter on the position that reaches the scan; while it is empty,
+    adaptive execution drops the join and the merge altogether.  The join is salted by
+    segment, so that the segments of one document are not all sent to one task, and a
+    long document is listed no more often than it has segments.
+    """
+    salt = F.pmod("segment", F.lit(SALTS))
+    last = F.max(block_of("element_index", rows))
+    long = (
+        elements.filter(F.col("element_index") >= rows)
+        .groupBy("doc_id")
+        .agg(F.least(last, F.lit(SALTS - 1)).alias("last"))
+        .select("doc_id", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("__salt"), F.lit(True).alias("__long"))
     )
+    marked = segments.withColumn("__salt", salt).join(long, ["doc_id", "__salt"], "left").drop("__salt")
+    short = marked.filter(F.col("__long").isNull()).drop("__long")
+    merged = merge_segments(marked.filter(F.col("__long")), keys, ["segment"], columns, extra, max_chars)
+    number = F.when(F.col("merged"), 0).otherwise(F.col("segment"))
+    return short.unionByName(merged.withColumn("segment", number).drop("merged"))

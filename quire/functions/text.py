@@ -51,18 +51,26 @@ def truthy_array(col: Column) -> Column:
     return F.when(F.size(col) > 0, col)
 
 
-# White space other than single blanks between words.
-_UNEVEN = r"  |[\t-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+# Words where all white space beyond ASCII has become blanks; single characters make a
+# class that is one table lookup per character.
+_ASCII_WORD = r"[^\t\n\x0b\f\r\x1c\x1d\x1e\x1f ]+"
+_WIDE_SPACES = [c for c in WHITESPACE if ord(c) > 127]
 
 
-def word_count(col: Column) -> Column:
-    """Words of a stripped text.
+def _ascii_spaces(col: Column) -> Column:
+    out = col
+    for char in _WIDE_SPACES:
+        out = F.replace(out, F.lit(char), F.lit(" "))
+    # Pure ASCII text has as many bytes as characters and needs no replacement.
+    return F.when(F.octet_length(col) > F.length(col), out).otherwise(col)
 
-    Where single blanks part the words, counting blanks gives the number without cutting
-    the text; only other texts are matched word by word.
-    """
-    blanks = F.length(col) - F.length(F.replace(col, F.lit(" "), F.lit("")))
-    return F.when(col.rlike(_UNEVEN), F.regexp_count(col, F.lit(WORD))).otherwise(F.when(col == "", 0).otherwise(blanks + 1))
+
+def words_of(col: Column) -> Column:
+    return F.regexp_extract_all(_ascii_spaces(col), F.lit(_ASCII_WORD), F.lit(0))
+
+
+def word_count(col: Column) -> Column:
+    return F.regexp_count(_ascii_spaces(col), F.lit(_ASCII_WORD))
 
 
 def sentence_marks(col: Column) -> Column:
@@ -111,8 +119,5 @@ def language_of(text: Column, stop_words: dict[str, tuple[str, ...]] | None = No
 
 def table_csv(col: Column) -> Column:
     """Cells split at white space and joined by commas, line by line, unquoted."""
-    lines = F.transform(
-        F.split(strip(col), "\n"),
-        lambda line: F.array_join(F.regexp_extract_all(line, F.lit(WORD), F.lit(0)), ","),
-    )
+    lines = F.transform(F.split(strip(col), "\n"), lambda line: F.array_join(words_of(line), ","))
     return F.when(present(col), F.array_join(F.filter(lines, lambda x: x != ""), "\n"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quire.functions.images import payload_hash
-from quire.functions.ordered import SEGMENT_ROWS, block_of, ordered_join
+from quire.functions.joins import one_per_key
+from quire.functions.ordered import SEGMENT_ROWS, block_of, ordered_join, whole
 from quire.functions.text import strip, truthy_array, truthy_number, truthy_text
 from quire.operators.elements import exportable, first_rows, is_image
 
@@ -120,9 +121,8 @@ def describe(rows: DataFrame, descriptions: DataFrame) -> DataFrame:
     on the row side of this outer join.  Descriptions are made unique per hash first, so
     the join cannot multiply rows.
     """
-    unique = descriptions.groupBy("image_hash").agg(
-        F.min(F.struct("description", "model", "cost_estimate")).alias("d")
-    )
+    described_by = F.min(F.struct("description", "model", "cost_estimate")).alias("d")
+    unique = one_per_key(descriptions, ["image_hash"], described_by)
     joined = rows.join(unique, "image_hash", "left")
     text = F.col("content")
     description = truthy_text(F.col("d.description"))
@@ -164,14 +164,17 @@ def rag_jsonl(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", "element_index", rag_json().alias("line"))
 
 
-def rag_json_array(documents: DataFrame, rows: int = SEGMENT_ROWS) -> DataFrame:
-    """JSON arrays per document; one array, or one per ``rows`` positions of a long document."""
-    return (
-        rag_jsonl(documents)
-        .groupBy("doc_id", block_of("element_index", rows).alias("segment"))
-        .agg(ordered_join(F.col("element_index"), F.col("line"), ",").alias("__body"), F.count("*").alias("documents"))
-        .select("doc_id", "segment", "documents", F.concat(F.lit("["), "__body", F.lit("]")).alias("json"))
+def json_arrays(lines: DataFrame, line: str, rows: int = SEGMENT_ROWS) -> DataFrame:
+    """``(doc_id, segment, documents, json)``: the JSON objects of each document as an array."""
+    segments = lines.groupBy("doc_id", block_of("element_index", rows).alias("segment")).agg(
+        ordered_join(F.col("element_index"), F.col(line), ",").alias("json"), F.count("*").alias("documents")
     )
+    bodies = whole(segments, lines, rows, {"json": ","}, extra={"documents": F.sum("documents")})
+    return bodies.withColumn("json", F.concat(F.lit("["), "json", F.lit("]")))
+
+
+def rag_json_array(documents: DataFrame, rows: int = SEGMENT_ROWS) -> DataFrame:
+    return json_arrays(rag_jsonl(documents), "line", rows)
 
 
 def rag_preview(documents: DataFrame, n: int = PREVIEW_DOCS) -> DataFrame:
@@ -180,10 +183,11 @@ def rag_preview(documents: DataFrame, n: int = PREVIEW_DOCS) -> DataFrame:
 
 
 def rag_pages(elements: DataFrame, rows: int = SEGMENT_ROWS) -> DataFrame:
-    """One document per page, in segments of ``rows`` positions.
+    """One document per page; ``page_order`` is its first position.
 
     Rows without a page number all count as page 1, so a page can be as large as its
-    document; the segments bound the group.  ``page_order`` is the first position.
+    document.  Pages are built in segments of ``rows`` positions and merged afterwards,
+    where a page reaches over several.
     """
     kept = exportable(elements).select(
         "doc_id",
@@ -198,27 +202,31 @@ def rag_pages(elements: DataFrame, rows: int = SEGMENT_ROWS) -> DataFrame:
             F.get("languages", F.lit(0)).alias("language"),
         ).alias("m"),
     )
-    return (
-        kept.groupBy("doc_id", "page", "segment")
-        .agg(
-            F.min("element_index").alias("page_order"),
-            F.min_by("m", "element_index").alias("m"),
-            F.count("*").alias("element_count"),
-            F.sort_array(F.collect_set("element_type")).alias("element_types"),
-            ordered_join(F.col("element_index"), F.col("t"), "\n\n").alias("content"),
-        )
-        .select(
-            "doc_id",
-            "page",
-            "segment",
-            "page_order",
-            "m.source",
-            "m.document_type",
-            "element_count",
-            "element_types",
-            "m.language",
-            "content",
-        )
+    segments = kept.groupBy("doc_id", "page", "segment").agg(
+        ordered_join(F.col("element_index"), F.col("t"), "\n\n").alias("content"),
+        F.min("element_index").alias("page_order"),
+        F.min_by("m", "element_index").alias("m"),
+        F.count("*").alias("element_count"),
+        F.collect_set("element_type").alias("element_types"),
+    )
+    extra = {
+        "page_order": F.min("page_order"),
+        "m": F.min_by("m", "page_order"),
+        "element_count": F.sum("element_count"),
+        "element_types": F.array_distinct(F.flatten(F.collect_list("element_types"))),
+    }
+    pages = whole(segments, elements, rows, {"content": "\n\n"}, ["doc_id", "page"], extra)
+    return pages.select(
+        "doc_id",
+        "page",
+        "segment",
+        "page_order",
+        "m.source",
+        "m.document_type",
+        "element_count",
+        F.sort_array("element_types").alias("element_types"),
+        "m.language",
+        "content",
     )
 
 
@@ -252,9 +260,8 @@ def image_references(documents: DataFrame, manifest: DataFrame) -> DataFrame:
     The manifest side is one row per key after partial aggregation; copies of a picture
     only crowd the other side, which adaptive execution splits.
     """
-    first = manifest.groupBy("doc_id", F.col("hash").alias("image_hash")).agg(
-        F.min_by("filename", "element_index").alias("filename")
-    )
+    files = manifest.select("doc_id", F.col("hash").alias("image_hash"), "filename", "element_index")
+    first = one_per_key(files, ["doc_id", "image_hash"], F.min_by("filename", "element_index").alias("filename"))
     wanted = documents.filter(F.col("image_hash").isNotNull())
     return wanted.join(first, ["doc_id", "image_hash"], "left").select(
         "doc_id", "element_index", "image_hash", "filename"
@@ -263,7 +270,7 @@ def image_references(documents: DataFrame, manifest: DataFrame) -> DataFrame:
 
 def orphan_references(documents: DataFrame, manifest: DataFrame) -> DataFrame:
     """Image documents whose hash is not in the manifest."""
-    known = manifest.select("doc_id", F.col("hash").alias("image_hash")).distinct()
+    known = one_per_key(manifest.select("doc_id", F.col("hash").alias("image_hash")), ["doc_id", "image_hash"])
     wanted = documents.filter(F.col("image_hash").isNotNull())
     return wanted.join(known, ["doc_id", "image_hash"], "left_anti").select("doc_id", "element_index", "image_hash")
 

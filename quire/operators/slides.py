@@ -244,6 +244,6 @@ def render_slides(
     rows: int = IMAGE_SEGMENT_ROWS,
     style: str = SLIDE_STYLE,
 ) -> DataFrame:
-    """``(doc_id, piece, html)``: one row per document, or its pieces if it is very large."""
+    """``(doc_id, slide, segment, html)``: one row per document, or its fragments if it is very large."""
     fragments = slide_fragments(elements, layouts, footers, rows, style)
-    return merge_segments(fragments, ["doc_id"], ["slide", "segment"], "html", "\n")
+    return merge_segments(fragments, ["doc_id"], ["slide", "segment"], {"html": "\n"}).drop("merged")

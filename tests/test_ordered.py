@@ -5,7 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quire.functions import ordered
 from quire.functions.ordered import assemble, last_before, merge_segments, running_sum
+from quire.operators import rag
 from quire.operators.elements import reindex
 from quire.operators.render import render_html, render_markdown, render_text
 from quire.operators.slides import slide_fragments, render_slides
@@ -54,7 +56,7 @@ def test_reindex(spark, rows):
     assert got == [(d, i) for d, n in [(1, 300), (2, 7), (3, 1)] for i in range(n)]
 
 
-def test_segments_join_to_the_whole(spark):
+def test_segments_join_to_the_whole(spark, monkeypatch):
     kinds = ["Title", "ListItem", "NarrativeText", "PageBreak", "Table", "Image"]
     data = [(1, i, kinds[i % 6], f"text {i}", i // 7 + 1) for i in range(100)] + [(2, 0, "Title", "one", None)]
     e = conform(spark.createDataFrame(data, "doc_id long, element_index int, element_type string, text string, page_number int"))
@@ -63,20 +65,32 @@ def test_segments_join_to_the_whole(spark):
         (render_html, "html", "\n"),
         (render_markdown, "markdown", "\n\n"),
     ):
-        whole = {r.doc_id: r[column] for r in render(e, rows=1000).collect()}
+        one = {r.doc_id: r[column] for r in render(e, rows=1000).collect()}
+        merged = {r.doc_id: r[column] for r in render(e, rows=9).collect()}
+        assert merged == one
+        monkeypatch.setattr(ordered.whole, "__defaults__", (("doc_id",), None, 300))
         parts = render(e, rows=9).orderBy("doc_id", "segment").collect()
+        monkeypatch.undo()
         assert len(parts) > 2
         for doc in (1, 2):
-            assert sep.join(p[column] for p in parts if p.doc_id == doc) == whole[doc]
-    assert whole[2].startswith("## one")
+            assert sep.join(p[column] for p in parts if p.doc_id == doc) == one[doc]
+    assert one[2].startswith("## one")
+
+
+def test_pages_and_arrays_reach_over_segments(spark):
+    data = [(1, i, "Text", f"t{i}", None if i % 4 else i // 10 + 1, f"f{i}") for i in range(50)] + [(2, 0, "Title", "one", 1, None)]
+    e = conform(spark.createDataFrame(data, "doc_id long, element_index int, element_type string, text string, page_number int, filename string"))
+    for rows in (3, 7):
+        for make in (rag.rag_pages, lambda x, n: rag.rag_json_array(rag.rag_documents(x), n)):
+            assert sorted(map(str, make(e, rows).collect())) == sorted(map(str, make(e, 1000).collect()))
 
 
 def test_merge_segments_keeps_large_keys_apart(spark):
     data = [(1, i, "x" * 10) for i in range(20)] + [(2, 0, "a"), (2, 1, "b")]
     df = spark.createDataFrame(data, "doc_id long, segment int, body string")
-    got = merge_segments(df, ["doc_id"], ["segment"], "body", "-", max_chars=50).collect()
-    assert [r.body for r in got if r.doc_id == 2] == ["a-b"]
-    large = sorted((r.piece.segment, r.body) for r in got if r.doc_id == 1)
+    got = merge_segments(df, ["doc_id"], ["segment"], {"body": "-"}, max_chars=50).collect()
+    assert [(r.segment, r.body) for r in got if r.doc_id == 2] == [(0, "a-b")]
+    large = sorted((r.segment, r.body) for r in got if r.doc_id == 1)
     assert large == [(i, "x" * 10) for i in range(20)]
 
 
@@ -84,9 +98,9 @@ def test_slides_join_to_the_whole(spark):
     data = [(1, i, "Title", f"t{i}", None if i % 3 == 0 else i // 10 + 1) for i in range(60)]
     e = conform(spark.createDataFrame(data, "doc_id long, element_index int, element_type string, text string, page_number int"))
     small = slide_fragments(e, rows=4).orderBy("doc_id", F.col("slide").asc_nulls_first(), "segment").collect()
-    whole = render_slides(e).collect()
-    assert len(whole) == 1
-    assert "\n".join(r.html for r in small) == whole[0].html
+    one = render_slides(e).collect()
+    assert len(one) == 1
+    assert "\n".join(r.html for r in small) == one[0].html
 
 
 def test_assemble_orders_and_skips_nulls(spark):

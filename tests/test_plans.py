@@ -72,3 +72,32 @@ def test_shared_dir_follows_the_session(spark):
     assert one != two
     assert base is None or one.startswith(base.rstrip("/") + "/")
     assert build_session().conf.get("spark.sql.adaptive.enabled") == "true"
+
+
+def test_hot_picture_key_is_split(spark):
+    """A hash that a third of the rows share is split by adaptive execution."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20000",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10000",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    old = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        n = 40000
+        kind = "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('h', id % 5000) END"
+        rows = spark.range(n, numPartitions=8).selectExpr(
+            "id AS doc_id", "int(id) AS element_index", "'Image' AS element_type", f"md5({kind}) AS image_hash", "concat('text ', id) AS content",
+            *[f"CAST(NULL AS string) AS {k}" for k in rag.METADATA_KEYS if k not in ("element_index", "element_type", "image_hash")],
+        )
+        given = spark.range(5000).selectExpr("md5(concat('h', id)) AS image_hash", "'d' AS description", "'m' AS model", "double(0.1) AS cost_estimate")
+        out = rag.describe(rows, given)
+        assert len(out.collect()) == n
+        assert "skew=true" in plan(out)
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
