@@ -184,14 +184,13 @@ def chunk_elements(
             F.concat(state["marks"], F.array(mark)).alias("marks"),
         )
 
-    def packed(df: DataFrame, start_open: Column) -> DataFrame:
-        start = F.struct(
-            start_open.cast("int").alias("open"),
-            F.lit(-1).alias("chunk"),
-            F.lit(0).alias("section"),
-            F.array().cast(_MARKS).alias("marks"),
-        )
-        return df.withColumn("state", F.aggregate("items", start, advance))
+    start = F.struct(
+        F.coalesce("start_open", F.lit(0)).alias("open"),
+        F.lit(-1).alias("chunk"),
+        F.lit(0).alias("section"),
+        F.array().cast(_MARKS).alias("marks"),
+    )
+    packed = F.aggregate("items", start, advance).alias("state")
 
     # Only documents that reach a second block need the carry; most inputs have none.  The
     # tests look into the collected items, which keeps them above the shuffle, so that all
@@ -204,15 +203,19 @@ def chunk_elements(
         F.transform("items", lambda x: x["n"]).alias("lengths"),
         F.transform("items", lambda x: x["title"]).alias("forced"),
     ).mapInPandas(_block_runs(max_characters, new_after_n_chars, overlap), _RUNS)
-    heads = packed(
-        blocks.filter(first_index < block).join(later.select("doc_id").distinct(), "doc_id"), F.lit(0)
-    ).select(
-        "doc_id",
-        "block",
-        F.col("state.section").cast("long").alias("titles"),
-        F.array(F.lit(0)).alias("starts"),
-        F.array("state.open").alias("ends"),
-        F.array((F.col("state.chunk") + 1).cast("long")).alias("counts"),
+    heads = (
+        blocks.filter(first_index < block)
+        .join(later.select("doc_id").distinct(), "doc_id")
+        .withColumn("start_open", F.lit(0))
+        .select("doc_id", "block", packed)
+        .select(
+            "doc_id",
+            "block",
+            F.col("state.section").cast("long").alias("titles"),
+            F.array(F.lit(0)).alias("starts"),
+            F.array("state.open").alias("ends"),
+            F.array((F.col("state.chunk") + 1).cast("long")).alias("counts"),
+        )
     )
     carry = (
         heads.unionByName(tails)
@@ -225,7 +228,7 @@ def chunk_elements(
         """Rows ``(doc_id, block, chunk_index, ...)``: what a block gives to each chunk."""
         base = F.coalesce("chunk_base", F.lit(0))
         last = base + F.col("state.chunk")
-        marked = packed(df, F.coalesce("start_open", F.lit(0))).select(
+        marked = df.select("*", packed).select(
             "doc_id",
             "block",
             base.alias("base"),

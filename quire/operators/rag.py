@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quire.functions.images import payload_hash
+from quire.functions.images import DEFAULT_PNG, mime_or, payload_hash
 from quire.functions.joins import one_per_key
 from quire.functions.ordered import SEGMENT_ROWS, block_of, ordered_join, whole
 from quire.functions.text import strip, truthy_array, truthy_number, truthy_text
@@ -19,6 +19,9 @@ INLINE_AVAILABLE = ("[Bild verfügbar - siehe separate Bild-Dateien, Hash: ", "]
 INLINE_MISSING = "[Hinweis: Kein Bild extrahiert]"
 INLINE_MODEL = "Claude 3.5 Sonnet (Mock)"
 DEFAULT_COST = 0.003
+FALLBACK_DESCRIPTION = ("Bild-Element (Typ: ", ")")
+FALLBACK_MODEL = "Fallback"
+FALLBACK_COST = 0.0
 DEFAULT_MODEL = "Unknown"
 UNKNOWN_TYPE = "unknown"
 # Recommended chunking per format.
@@ -73,7 +76,7 @@ def _note(text: Column, note: Column | str) -> Column:
     return F.concat(text, F.lit("\n\n"), F.lit(note) if isinstance(note, str) else note)
 
 
-def rag_rows(elements: DataFrame) -> DataFrame:
+def rag_rows(elements: DataFrame, *more: Column) -> DataFrame:
     """One row per exportable element: the metadata keys and ``content``, undescribed.  Narrow."""
     text = strip(F.col("text"))
     digest = F.when(is_image(), payload_hash(elements))
@@ -103,7 +106,7 @@ def rag_rows(elements: DataFrame) -> DataFrame:
         "vision_cost_estimate": F.lit(None).cast("double"),
     }
     return exportable(elements).select(
-        "doc_id", *[c.alias(k) for k, c in columns.items()], text.alias("content")
+        "doc_id", *[c.alias(k) for k, c in columns.items()], text.alias("content"), *more
     )
 
 
@@ -114,35 +117,44 @@ def with_hints(rows: DataFrame) -> DataFrame:
     )
 
 
-def describe(rows: DataFrame, descriptions: DataFrame) -> DataFrame:
+def describe(rows: DataFrame, descriptions: DataFrame, fallback: bool = False) -> DataFrame:
     """Add descriptions ``(image_hash, description, model, cost_estimate)`` to hashed rows.
 
     A picture that recurs everywhere makes one hot key, which adaptive execution splits
     on the row side of this outer join.  Descriptions are made unique per hash first, so
-    the join cannot multiply rows.
+    the join cannot multiply rows.  With ``fallback`` a picture without a description is
+    described by its ``mime_type``; otherwise its content notes that there is none.
     """
     described_by = F.min(F.struct("description", "model", "cost_estimate")).alias("d")
     unique = one_per_key(descriptions, ["image_hash"], described_by)
     joined = rows.join(unique, "image_hash", "left")
     text = F.col("content")
-    description = truthy_text(F.col("d.description"))
+    given = truthy_text(F.col("d.description"))
+    description = given
+    if fallback:
+        before, after = FALLBACK_DESCRIPTION
+        description = F.coalesce(given, F.concat(F.lit(before), "mime_type", F.lit(after)))
     described = F.coalesce(description != text, F.lit(False))
     content = (
         F.when(described, F.concat(text, F.lit("\n\n" + DESCRIPTION_LABEL), description))
         .when(description.isNull(), _note(text, NOTE_UNAVAILABLE))
         .otherwise(text)
     )
+    model = F.when(given.isNull(), FALLBACK_MODEL).otherwise(F.coalesce("d.model", F.lit(DEFAULT_MODEL)))
+    cost = F.when(given.isNull(), FALLBACK_COST).otherwise(F.coalesce("d.cost_estimate", F.lit(DEFAULT_COST)))
     return joined.select(
         "doc_id",
         *[c for c in METADATA_KEYS if not c.startswith(("image_described", "vision_"))],
         described.alias("image_described"),
-        F.when(described, F.coalesce("d.model", F.lit(DEFAULT_MODEL))).alias("vision_model"),
-        F.when(described, F.coalesce("d.cost_estimate", F.lit(DEFAULT_COST))).alias("vision_cost_estimate"),
+        F.when(described, model).alias("vision_model"),
+        F.when(described, cost).alias("vision_cost_estimate"),
         content.alias("content"),
     )
 
 
-def rag_documents(elements: DataFrame, descriptions: DataFrame | None = None) -> DataFrame:
+def rag_documents(
+    elements: DataFrame, descriptions: DataFrame | None = None, fallback: bool = False
+) -> DataFrame:
     """Documents of all exportable elements, with picture descriptions where given.
 
     Only pictures meet the descriptions; all other rows, which have no hash to join on,
@@ -151,7 +163,8 @@ def rag_documents(elements: DataFrame, descriptions: DataFrame | None = None) ->
     if descriptions is None:
         return with_hints(rag_rows(elements))
     pictured = is_image() & payload_hash(elements).isNotNull()
-    described = describe(rag_rows(elements.filter(pictured)), descriptions)
+    mime = mime_or(F.col("image_mime_type"), DEFAULT_PNG).alias("mime_type")
+    described = describe(rag_rows(elements.filter(pictured), mime), descriptions, fallback)
     return described.unionByName(rag_rows(elements.filter(~F.coalesce(pictured, F.lit(False)))))
 
 

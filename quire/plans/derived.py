@@ -14,8 +14,15 @@ from quire.session import spread
 from quire.sources.documents import partition_html, partition_text
 
 
+# Schemas of the given tables; naming them saves a job that only reads footers.
+SCHEMAS = {
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "pages": "page_id bigint, url string, html string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    return spread(spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -646,6 +646,14 @@ SELECT doc_id, element_index, image_hash FROM iq WHERE NOT "describe" AND image_
     q["vision_enrich"] = f"""WITH {DESCRIBED} SELECT doc_id, element_index, element_type, image_hash, image_described, vision_model,
   vision_cost_estimate, content FROM gd"""
 
+    q["vision_fallback"] = f"""WITH {DESCRIBED},
+x AS (SELECT g0.doc_id, g0.element_index, g0.content, {MIME_PNG} AS mime, ds.image_hash IS NULL AS missing, description, model, cost_estimate
+  FROM g0 JOIN r USING (doc_id, element_index) LEFT JOIN ds ON g0.image_hash = ds.image_hash WHERE g0.image_hash IS NOT NULL)
+SELECT doc_id, element_index, CASE WHEN missing THEN 'Fallback' ELSE model END AS vision_model,
+  CASE WHEN missing THEN CAST(0 AS DOUBLE) ELSE cost_estimate END AS vision_cost_estimate,
+  content || {BL} || '[Vision-Beschreibung]: ' || coalesce(description, 'Bild-Element (Typ: ' || mime || ')') AS content
+FROM x WHERE missing OR description <> content"""
+
     # Aggregations.
     q["type_counts"] = rich("doc_id, element_type, count(*) AS count", "", "GROUP BY 1, 2")
     q["partition_summary"] = rich(

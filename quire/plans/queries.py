@@ -348,6 +348,12 @@ def vision_enrich(spark, sf):
     )
 
 
+@query
+def vision_fallback(spark, sf):
+    out = rag.rag_documents(d.rich_elements(spark, sf), d.image_descriptions(spark, sf), fallback=True)
+    return out.filter(F.col("image_described")).select(*_doc("vision_model", "vision_cost_estimate", "content"))
+
+
 # --- aggregations ----------------------------------------------------------------------
 
 

@@ -205,6 +205,14 @@ def test_vision_descriptions(spark, make):
     assert (stats.total_images, stats.images_described, stats.images_failed) == (4, 1, 3)
 
 
+def test_vision_fallback(spark, make):
+    e = make({"text": "a", "element_type": "Image", "image_base64": B64}, {"text": "b", "element_type": "Text"})
+    none = spark.createDataFrame([], "image_hash string, description string, model string, cost_estimate double")
+    row = rag.rag_documents(e, none, fallback=True).orderBy("element_index").first()
+    assert row.content == "a\n\n[Vision-Beschreibung]: Bild-Element (Typ: image/png)"
+    assert (row.image_described, row.vision_model, row.vision_cost_estimate) == (True, "Fallback", 0.0)
+
+
 def test_rag_pages_without_numbers(make):
     e = make(
         {"text": "a", "element_type": "Title", "languages": ["deu"]},
