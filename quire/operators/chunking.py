@@ -26,6 +26,8 @@ OVERLAP = 50
 SEPARATOR = "\n\n"
 BLOCK = 1024
 
+# Task functions are made inside others, so that Spark ships them by value and executors
+# need numpy and pandas but not this package.
 _MARKS = "array<struct<chunk:int,section:int>>"
 _RUNS = "doc_id bigint, block int, titles bigint, starts array<int>, ends array<int>, counts array<bigint>"
 _CARRY = "doc_id bigint, block int, start_open int, chunk_base bigint, section_base bigint, is_last boolean"
@@ -114,24 +116,28 @@ def _block_runs(max_characters: int, new_after: int, overlap: int):
     return run
 
 
-def _carry(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _carry():
     """Task function over blocks sorted by document: the state in which each one starts."""
     columns = ["doc_id", "block", "start_open", "chunk_base", "section_base", "is_last"]
-    doc, state, held = None, (0, 0, 0), None
-    for batch in batches:
-        rows = []
-        for doc_id, block, titles, starts, ends, counts in batch.itertuples(index=False):
-            if held is not None:
-                rows.append((*held, doc_id != doc))
-            if doc_id != doc:
-                doc, state = doc_id, (0, 0, 0)
-            opened, chunks, sections = state
-            held = (doc_id, block, opened, chunks, sections)
-            at = int(np.searchsorted(starts, opened, side="right")) - 1
-            state = (int(ends[at]), chunks + int(counts[at]), sections + int(titles))
-        yield pd.DataFrame(rows, columns=columns)
-    if held is not None:
-        yield pd.DataFrame([(*held, True)], columns=columns)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        doc, state, held = None, (0, 0, 0), None
+        for batch in batches:
+            rows = []
+            for doc_id, block, titles, starts, ends, counts in batch.itertuples(index=False):
+                if held is not None:
+                    rows.append((*held, doc_id != doc))
+                if doc_id != doc:
+                    doc, state = doc_id, (0, 0, 0)
+                opened, chunks, sections = state
+                held = (doc_id, block, opened, chunks, sections)
+                at = int(np.searchsorted(starts, opened, side="right")) - 1
+                state = (int(ends[at]), chunks + int(counts[at]), sections + int(titles))
+            yield pd.DataFrame(rows, columns=columns)
+        if held is not None:
+            yield pd.DataFrame([(*held, True)], columns=columns)
+
+    return run
 
 
 def chunk_elements(
@@ -221,7 +227,7 @@ def chunk_elements(
         heads.unionByName(tails)
         .repartition("doc_id")
         .sortWithinPartitions("doc_id", "block")
-        .mapInPandas(_carry, _CARRY)
+        .mapInPandas(_carry(), _CARRY)
     )
 
     def chunk_parts(df: DataFrame) -> DataFrame:

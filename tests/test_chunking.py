@@ -93,3 +93,22 @@ def test_bad_limits(spark):
     with pytest.raises(ValueError):
         chunk_elements(df, new_after_n_chars=0)
     assert df.select(F.count("*")).first()[0] == 1
+
+
+def test_task_functions_need_no_package(tmp_path):
+    """Executors unpickle the task functions without this package on their path."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from quire.operators.chunking import _block_runs, _carry
+
+    (tmp_path / "f").write_bytes(cloudpickle.dumps((_block_runs(40, 25, 7), _carry())))
+    code = (
+        "import pickle, pandas as pd; runs, carry = pickle.load(open('f', 'rb'));"
+        "b = pd.DataFrame({'doc_id': [1], 'block': [1], 'lengths': [[5, 50]], 'forced': [[False, False]]});"
+        "out = pd.concat(runs([b])); print(len(pd.concat(carry([out]))))"
+    )
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert done.stdout.strip() == "1", done.stderr
