@@ -129,6 +129,25 @@ def merge_segments(
     )
 
 
+def mark_long(df: DataFrame, part: str, elements: DataFrame, rows: int) -> DataFrame:
+    """Add ``__long``, true for rows of documents that reach position ``rows``, else NULL.
+
+    ``part`` is the number of the row's block of ``rows`` positions.  The list of long
+    documents comes from a filter on the position that reaches the scan; while it is
+    empty, adaptive execution drops the join.  The join is salted by part, so that one
+    document is not sent to one task, and a long document is listed no more often than
+    it has parts.
+    """
+    last = F.least(F.max(block_of("element_index", rows)), F.lit(SALTS - 1))
+    long = (
+        elements.filter(F.col("element_index") >= rows)
+        .groupBy("doc_id")
+        .agg(last.alias("last"))
+        .select("doc_id", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("__salt"), F.lit(True).alias("__long"))
+    )
+    return df.withColumn("__salt", F.pmod(part, F.lit(SALTS))).join(long, ["doc_id", "__salt"], "left").drop("__salt")
+
+
 def whole(
     segments: DataFrame,
     elements: DataFrame,
@@ -140,21 +159,10 @@ def whole(
 ) -> DataFrame:
     """Merge the segments of documents that reach past position ``rows``.
 
-    All other documents have one segment and pass through.  The list of long documents
-    comes from a filter on the position that reaches the scan; while it is empty,
-    adaptive execution drops the join and the merge altogether.  The join is salted by
-    segment, so that the segments of one document are not all sent to one task, and a
-    long document is listed no more often than it has segments.
+    All other documents have one segment and pass through; where no document is long,
+    the merge is dropped altogether.
     """
-    salt = F.pmod("segment", F.lit(SALTS))
-    last = F.max(block_of("element_index", rows))
-    long = (
-        elements.filter(F.col("element_index") >= rows)
-        .groupBy("doc_id")
-        .agg(F.least(last, F.lit(SALTS - 1)).alias("last"))
-        .select("doc_id", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("__salt"), F.lit(True).alias("__long"))
-    )
-    marked = segments.withColumn("__salt", salt).join(long, ["doc_id", "__salt"], "left").drop("__salt")
+    marked = mark_long(segments, "segment", elements, rows)
     short = marked.filter(F.col("__long").isNull()).drop("__long")
     merged = merge_segments(marked.filter(F.col("__long")), keys, ["segment"], columns, extra, max_chars)
     number = F.when(F.col("merged"), 0).otherwise(F.col("segment"))

@@ -17,14 +17,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quire.functions.ordered import block_of, ordered_join
+from quire.functions.ordered import block_of, mark_long, ordered_join
 from quire.functions.text import present
 
 MAX_CHARACTERS = 1000
 NEW_AFTER_N_CHARS = 800
 OVERLAP = 50
 SEPARATOR = "\n\n"
-BLOCK = 1024
+BLOCK = 512
 
 # Task functions are made inside others, so that Spark ships them by value and executors
 # need numpy and pandas but not this package.
@@ -81,25 +81,39 @@ def split_oversized(
 
 def _block_runs(max_characters: int, new_after: int, overlap: int):
     """Task function: what a block does to each possible open length, run-length coded."""
-    step = max_characters - overlap
-
-    def outcome(lengths: np.ndarray, forced: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        opened = np.arange(max_characters + 1)
-        counts = np.zeros(max_characters + 1, dtype=np.int64)
-        which = np.arange(max_characters + 1)
-        for at, (n, force) in enumerate(zip(lengths.tolist(), forced.tolist())):
-            pieces = 1 if n <= max_characters else -(-(n - overlap) // step)
-            rest = n - (pieces - 1) * step
+    step, maximum = max_characters - overlap, max_characters
+
+    def outcome(lengths: np.ndarray, forced: np.ndarray, first: bool) -> tuple[np.ndarray, np.ndarray]:
+        # Nothing is open before the first block.
+        starts = 1 if first else max_characters + 1
+        opened, which = np.arange(starts), np.arange(starts)
+        counts, more = np.zeros(starts, dtype=np.int64), np.zeros(starts, dtype=np.int64)
+        items = list(zip(lengths.tolist(), forced.tolist()))
+        at = 0
+        while at < len(items) and len(opened) > 1:
+            n, force = items[at]
+            pieces = 1 if n <= maximum else -(-(n - overlap) // step)
             joined = opened + 2 + n
-            new = (opened == 0) | (opened >= new_after) | (joined > max_characters) | force
-            opened = np.where(new, rest, joined)
-            counts = counts + np.where(new, pieces, 0)
-            if at % 16 == 15 and len(opened) > 1:
-                # Different starts soon agree; go on with one of each.
-                both, back = np.unique(np.stack([opened, counts]), axis=1, return_inverse=True)
-                opened, counts = both
-                which = back.reshape(-1)[which]
-        return opened[which], counts[which]
+            new = (opened == 0) | (opened >= new_after) | (joined > maximum) | force
+            opened = np.where(new, n - (pieces - 1) * step, joined)
+            more = more + np.where(new, pieces, 0)
+            at += 1
+            if at % 4 == 0 or at == len(items):
+                # Starts that have met stay together; go on with one of each.
+                counts = counts + more[which]
+                opened, back = np.unique(opened, return_inverse=True)
+                which, more = back.reshape(-1)[which], np.zeros(len(opened), dtype=np.int64)
+        counts = counts + more[which]
+        if at == len(items):
+            return opened[which], counts
+        one, added = int(opened[0]), 0
+        for n, force in items[at:]:
+            if force or one == 0 or one >= new_after or one + 2 + n > maximum:
+                pieces = 1 if n <= maximum else -(-(n - overlap) // step)
+                one, added = n - (pieces - 1) * step, added + pieces
+            else:
+                one += 2 + n
+        return np.full(starts, one), counts + added
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -107,7 +121,7 @@ def _block_runs(max_characters: int, new_after: int, overlap: int):
             for doc_id, block, lengths, forced in zip(
                 batch["doc_id"], batch["block"], batch["lengths"], batch["forced"]
             ):
-                ends, counts = outcome(np.asarray(lengths), np.asarray(forced))
+                ends, counts = outcome(np.asarray(lengths), np.asarray(forced), block == 0)
                 change = np.flatnonzero(np.diff(ends) | np.diff(counts)) + 1
                 starts = np.concatenate([[0], change])
                 rows.append((doc_id, block, int(np.sum(forced)), starts.tolist(), ends[starts].tolist(), counts[starts].tolist()))
@@ -158,18 +172,22 @@ def chunk_elements(
     by_title = strategy == "by_title"
     step = max_characters - overlap
     keyed = elements.filter(F.col("doc_id").isNotNull() & F.col("element_index").isNotNull())
-    rows = keyed.filter(present(F.col("text"))).select(
-        "doc_id",
-        block_of("element_index", block).alias("block"),
-        F.struct(
+    title = (F.col("element_type") == "Title") if by_title else F.lit(False)
+    rows = (
+        keyed.filter(present(F.col("text")))
+        .select(
+            "doc_id",
+            block_of("element_index", block).alias("block"),
             "element_index",
-            "element_type",
             F.length("text").alias("n"),
-            (F.col("element_type") == "Title").alias("title") if by_title else F.lit(False).alias("title"),
+            title.alias("title"),
+            "element_type",
             "text",
-        ).alias("item"),
-    ).filter(F.col("block").isNotNull())
-    blocks = rows.groupBy("doc_id", "block").agg(F.sort_array(F.collect_list("item")).alias("items"))
+        )
+        .filter(F.col("block").isNotNull())
+    )
+    item = F.struct("element_index", "n", "title", "element_type", "text")
+    blocks = rows.groupBy("doc_id", "block").agg(F.sort_array(F.collect_list(item)).alias("items"))
 
     def advance(state: Column, item: Column) -> Column:
         n = item["n"]
@@ -198,33 +216,15 @@ def chunk_elements(
     )
     packed = F.aggregate("items", start, advance).alias("state")
 
-    # Only documents that reach a second block need the carry; most inputs have none.  The
-    # tests look into the collected items, which keeps them above the shuffle, so that all
-    # branches read one and the same exchange.
-    first_index = F.get("items", F.lit(0))["element_index"]
-    later = blocks.filter(first_index >= block)
-    tails = later.select(
-        "doc_id",
-        "block",
-        F.transform("items", lambda x: x["n"]).alias("lengths"),
-        F.transform("items", lambda x: x["title"]).alias("forced"),
-    ).mapInPandas(_block_runs(max_characters, new_after_n_chars, overlap), _RUNS)
-    heads = (
-        blocks.filter(first_index < block)
-        .join(later.select("doc_id").distinct(), "doc_id")
-        .withColumn("start_open", F.lit(0))
-        .select("doc_id", "block", packed)
-        .select(
-            "doc_id",
-            "block",
-            F.col("state.section").cast("long").alias("titles"),
-            F.array(F.lit(0)).alias("starts"),
-            F.array("state.open").alias("ends"),
-            F.array((F.col("state.chunk") + 1).cast("long")).alias("counts"),
-        )
-    )
+    # Only documents that reach a second block need the carry, and only their lengths are
+    # sent for it.  Most inputs have no such document; this branch is then dropped.
+    sizes = mark_long(rows.select("doc_id", "block", "element_index", "n", "title"), "block", keyed, block)
     carry = (
-        heads.unionByName(tails)
+        sizes.filter("__long")
+        .groupBy("doc_id", "block")
+        .agg(F.sort_array(F.collect_list(F.struct("element_index", "n", "title"))).alias("sizes"))
+        .select("doc_id", "block", F.col("sizes.n").alias("lengths"), F.col("sizes.title").alias("forced"))
+        .mapInPandas(_block_runs(max_characters, new_after_n_chars, overlap), _RUNS)
         .repartition("doc_id")
         .sortWithinPartitions("doc_id", "block")
         .mapInPandas(_carry(), _CARRY)
