@@ -28,7 +28,6 @@ BLOCK = 512
 
 # Task functions are made inside others, so that Spark ships them by value and executors
 # need numpy and pandas but not this package.
-_MARKS = "array<struct<chunk:int,section:int>>"
 _RUNS = "doc_id bigint, block int, titles bigint, starts array<int>, ends array<int>, counts array<bigint>"
 _CARRY = "doc_id bigint, block int, start_open int, chunk_base bigint, section_base bigint, is_last boolean"
 
@@ -200,19 +199,20 @@ def chunk_elements(
         )
         section = state["section"] + item["title"].cast("int")
         first = F.when(new, state["chunk"] + 1).otherwise(state["chunk"])
-        mark = F.struct(first.alias("chunk"), section.alias("section"))
         return F.struct(
             F.when(new, n - (pieces - 1) * step).otherwise(state["open"] + 2 + n).alias("open"),
             F.when(new, state["chunk"] + pieces).otherwise(state["chunk"]).alias("chunk"),
             section.alias("section"),
-            F.concat(state["marks"], F.array(mark)).alias("marks"),
+            F.array_append(state["chunks"], first).alias("chunks"),
+            (F.array_append(state["sections"], section) if by_title else state["sections"]).alias("sections"),
         )
 
     start = F.struct(
         F.coalesce("start_open", F.lit(0)).alias("open"),
         F.lit(-1).alias("chunk"),
         F.lit(0).alias("section"),
-        F.array().cast(_MARKS).alias("marks"),
+        F.array().cast("array<int>").alias("chunks"),
+        F.array().cast("array<int>").alias("sections"),
     )
     packed = F.aggregate("items", start, advance).alias("state")
 
@@ -241,7 +241,13 @@ def chunk_elements(
             last.alias("last"),
             F.coalesce("section_base", F.lit(0)).alias("section_base"),
             F.coalesce("is_last", F.lit(True)).alias("is_last"),
-            F.explode(F.arrays_zip(F.col("items").alias("item"), F.col("state.marks").alias("mark"))).alias("x"),
+            F.explode(
+                F.arrays_zip(
+                    F.col("items").alias("item"),
+                    F.col("state.chunks").alias("chunk"),
+                    F.col("state.sections").alias("section"),
+                )
+            ).alias("x"),
         )
         rows = marked.select(
             "doc_id",
@@ -249,8 +255,8 @@ def chunk_elements(
             "base",
             "last",
             "is_last",
-            (F.col("section_base") + F.col("x.mark.section")).alias("section"),
-            (F.col("base") + F.col("x.mark.chunk")).alias("first"),
+            (F.col("section_base") + F.coalesce("x.section", F.lit(0))).alias("section"),
+            (F.col("base") + F.col("x.chunk")).alias("first"),
             F.col("x.item.element_index").alias("element_index"),
             F.col("x.item.element_type").alias("element_type"),
             F.col("x.item.text").alias("text"),
