@@ -51,7 +51,6 @@ TEMPLATES = (
     ),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
-    ("cc-by", "Licensed under CC BY 4.0."),
 )
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

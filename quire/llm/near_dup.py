@@ -10,10 +10,14 @@ estimated similarity, corrected for chance equality of registers, lies six stand
 deviations below it; the others are compared on their full sets.
 
 Groups of copies do not become pairs.  Documents with equal sets are one class from the
-start.  In a band's bucket all members are first compared with one leader; a bucket
-whose members are then still in different components gets a new leader, and buckets
-that remain mixed after some rounds have every pair of members from different components
-compared.  So no link between different texts that a band has found is left out.
+start.  In a band's bucket every member is compared with one leader, the member that
+meets most others in its buckets, which joins most copies to one component.  Members of
+buckets that still hold several components are compared across components, by an exact
+prefix filter on their sets: shingles are ordered by how many of these members hold
+them, rare ones first, and two sets that meet the threshold share one of the first
+``n - ceil(t n) + 1``.  Edits make rare shingles, so a copy that is linked with nobody has
+a prefix that is its own and meets nobody.  No link between different components that a
+band has found is left out.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quire.functions.joins import one_per_key
 from quire.llm.components import connected
@@ -34,12 +38,10 @@ BUCKET_BITS = 7
 BUCKETS = 1 << BUCKET_BITS
 MANTISSA = 10
 BAND = 4
-#: Rounds of one leader for each mixed bucket before all remaining pairs are compared.
-ROUNDS = 3
 _TRIES = 64
-_EMPTY = "0000"
+_EMPTY = 0
 
-SKETCHES = "doc_id long, n_shingles long, set_a long, set_b long, registers binary"
+SKETCHES = "doc_id long, n_shingles long, set_a long, set_b long, registers array<smallint>"
 SETS = "doc_id long, shingles array<bigint>"
 
 
@@ -102,14 +104,17 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             n.append(len(s))
             a.append(np.sum(mix(s ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64))
             b.append(np.sum(mix(s + np.uint64(0x14057B7EF767814F)), dtype=np.uint64))
-            kept.append(registers(s).tobytes())
+            kept.append(registers(s).view(np.int16))
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
                 pa.array(n, pa.int64()),
                 pa.array(signed(np.array(a, np.uint64))),
                 pa.array(signed(np.array(b, np.uint64))),
-                pa.array(kept, pa.binary()),
+                pa.ListArray.from_arrays(
+                    pa.array(np.arange(len(kept) + 1, dtype=np.int32) * BUCKETS),
+                    pa.array(np.concatenate(kept) if kept else np.zeros(0, np.int16)),
+                ),
             ],
             names=["doc_id", "n_shingles", "set_a", "set_b", "registers"],
         )
@@ -118,7 +123,7 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def _band_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     order = _borrow_order()
     for batch in batches:
-        sketches = [np.frombuffer(x.as_py(), np.uint16) for x in batch.column("registers")]
+        sketches = [x.values.to_numpy().view(np.uint16) for x in batch.column("registers")]
         keys = [band_keys(x, order) for x in sketches]
         size = BUCKETS // BAND
         yield pa.RecordBatch.from_arrays(
@@ -156,14 +161,6 @@ def estimated_similarity(a: Column, b: Column, n_a: Column, n_b: Column) -> tupl
     return (agree - chance) / occupied, occupied
 
 
-def _register_array(column: str) -> Column:
-    """The 16-bit registers of a binary sketch as an array of their hexadecimal digits.
-
-    Only equality and emptiness are asked of them, and both show in the digits.
-    """
-    return F.expr(f"transform(sequence(0, {BUCKETS - 1}), i -> substr(hex({column}), 4 * i + 1, 4))")
-
-
 def sketches(docs: DataFrame) -> DataFrame:
     """Per row of (doc_id, text): set size, 128-bit digest of the set and sketch."""
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_sketch_batches, SKETCHES)
@@ -183,31 +180,55 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     )
 
 
-def _mixed(members: DataFrame, component: DataFrame | None) -> DataFrame:
-    """Members (band, node, root) of the buckets whose members differ in component."""
-    if component is None:
-        return members.withColumn("root", F.col("node"))
-    known = members.join(component.select("node", F.col("component").alias("root")), "node", "left")
-    known = known.select("band", "node", F.coalesce("root", "node").alias("root"))
-    several = one_per_key(known, ["band"], F.min("root").alias("low"), F.max("root").alias("high"))
-    return known.join(several.filter("low < high").select("band"), "band")
-
-
 def _pair(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _leader_pairs(mixed: DataFrame, turn: int) -> DataFrame:
-    """Each member with its bucket's leader of this turn, unless they are connected."""
-    order = F.xxhash64("node", F.lit(turn)) if turn else F.col("node")
-    leaders = one_per_key(mixed, ["band"], F.min_by("node", order).alias("leader"), F.min_by("root", order).alias("leads"))
-    return mixed.join(leaders, "band").filter("root <> leads").select(*_pair("node", "leader")).distinct()
+def _leader_pairs(active: DataFrame) -> DataFrame:
+    """Each member (band, node, n) of the buckets with its bucket's leader.
 
+    The leader is the node whose buckets are largest together, the smallest one of equals.
+    """
+    weight = active.groupBy("node").agg(F.sum("n").alias("weight"))
+    weighted = active.join(weight, "node")
+    leaders = one_per_key(weighted, ["band"], F.max_by("node", F.struct("weight", -F.col("node"))).alias("leader"))
+    return weighted.join(leaders, "band").filter("node <> leader").select(*_pair("node", "leader")).distinct()
 
-def _remaining_pairs(mixed: DataFrame) -> DataFrame:
-    """All pairs of members of one bucket from different components."""
-    other = mixed.select("band", F.col("node").alias("node_b"), F.col("root").alias("root_b"))
-    return mixed.join(other, "band").filter("root < root_b").select(*_pair("node", "node_b")).distinct()
+
+def _rooted(nodes: DataFrame, component: DataFrame, node: str, root: str) -> DataFrame:
+    known = component.select(F.col("node").alias(node), F.col("component").alias("__c"))
+    return nodes.join(known, node, "left").withColumn(root, F.coalesce("__c", node)).drop("__c")
+
+
+def _mixed_nodes(active: DataFrame, component: DataFrame) -> DataFrame:
+    """(node, root) of the members of buckets that hold several components."""
+    known = _rooted(active.select("band", "node"), component, "node", "root")
+    several = one_per_key(known, ["band"], F.min("root").alias("low"), F.max("root").alias("high"))
+    return known.join(several.filter("low < high").select("band"), "band").select("node", "root").distinct()
+
+
+def _prefix_pairs(mixed: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """Pairs of nodes from different components that share a shingle of both prefixes."""
+    shingles = sets.withColumnRenamed("doc_id", "node").join(mixed, "node")
+    length = F.size("shingles") - F.ceil(F.size("shingles") * similarity / 100) + 1
+    each = shingles.select("node", "root", F.size("shingles").alias("size"), length.alias("prefix"), F.explode("shingles").alias("shingle"))
+    held = one_per_key(each, ["shingle"], F.count(F.lit(1)).alias("held")).filter("held > 1")
+    common = each.join(held, "shingle")
+    own = Window.partitionBy("node")
+    # Shingles of one node alone come first and meet nobody: they only use up the prefix.
+    alone = F.col("size") - F.count(F.lit(1)).over(own)
+    place = F.row_number().over(own.orderBy("held", "shingle"))
+    first = common.withColumn("place", place + alone).filter("place <= prefix").select("shingle", "node", "root", "size", "place")
+    several = one_per_key(first, ["shingle"], F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
+    met = stage(first.join(several.select("shingle"), "shingle"), "prefixes")
+    other = met.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("node", "root", "size", "place")])
+    # Sizes must fit, and what both hold from this shingle on must still suffice.
+    left = 1 + F.least(F.col("size") - F.col("place"), F.col("size_b") - F.col("place_b"))
+    fits = (
+        F.expr(f"100 * least(size, size_b) >= {similarity} * greatest(size, size_b)")
+        & ((100 + similarity) * left >= similarity * (F.col("size") + F.col("size_b")))
+    )
+    return met.join(other, "shingle").filter(F.expr("root < root_b") & fits).select(*_pair("node", "node_b")).distinct()
 
 
 def _likely(pairs: DataFrame, sketch: DataFrame, similarity: int) -> DataFrame:
@@ -215,64 +236,51 @@ def _likely(pairs: DataFrame, sketch: DataFrame, similarity: int) -> DataFrame:
     side = lambda x: sketch.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}"))
     sized = pairs.join(side("a"), "a").join(side("b"), "b")
     sized = sized.filter(100 * F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b"))
-    estimate, occupied = estimated_similarity(_register_array("r_a"), _register_array("r_b"), F.col("n_a"), F.col("n_b"))
+    estimate, occupied = estimated_similarity(F.col("r_a"), F.col("r_b"), F.col("n_a"), F.col("n_b"))
     t = similarity / 100
     return sized.filter(estimate >= t - 6 * F.sqrt(t * (1 - t) / occupied)).select("a", "b", "n_a", "n_b")
 
 
-def near_duplicate_links(docs: DataFrame, similarity: int = 75, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """Sketch rows of all documents, and confirmed links (a, b) between class members.
+def near_duplicates(docs: DataFrame, similarity: int = 75) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
-    The links connect exactly the documents that are connected by links with
-    ``100 * intersection >= similarity * union`` among candidates; links inside a
-    component already found are not all listed.
+    Documents are linked if ``100 * intersection >= similarity * union`` of their shingle
+    sets.  component_id is the smallest doc_id reachable over links, kept tells whether
+    it is the row's own.  Null and wordless texts have no shingles and are linked with
+    nothing.  Rows without doc_id cannot be named by a link; they are kept and have no
+    component_id.  Rows that share a doc_id are compared with others by one of their
+    texts.  An empty table gives an empty result; other columns are not read.
     """
     rows = stage(sketches(docs), "sketches")
-    classes = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("doc_id"))
-    members = rows.join(classes, ["doc_id", "set_a", "set_b"]).dropDuplicates(["doc_id", "set_a", "set_b"])
-    bands = stage(members.select("doc_id", "registers").mapInArrow(_band_batches, "band long, node long"), "bands")
-    shared = one_per_key(bands, ["band"], F.count(F.lit(1)).alias("n")).filter("n > 1").select("band")
+    named = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+    classes = one_per_key(named, ["set_a", "set_b"], F.min("doc_id").alias("first"))
+    heads = named.join(classes, ["set_a", "set_b"]).filter("doc_id = first").dropDuplicates(["doc_id"])
+    bands = stage(heads.select("doc_id", "registers").mapInArrow(_band_batches, "band long, node long"), "bands")
+    shared = one_per_key(bands, ["band"], F.count(F.lit(1)).alias("n")).filter("n > 1")
     active = stage(bands.join(shared, "band"), "buckets")
     nodes = active.select(F.col("node").alias("doc_id")).distinct()
-    # Rows that share an id are one node; the first of their sets stands for it.
-    sketch = stage(members.join(nodes, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "registers", "set_a"), "candidates")
+    sketch = stage(heads.join(nodes, "doc_id").select("doc_id", "n_shingles", "set_a", "registers"), "candidates")
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(nodes, "doc_id")
-    sets = stage(texts.mapInArrow(_set_batches, SETS).join(sketch.select("doc_id", "n_shingles"), "doc_id").filter(F.size("shingles") == F.col("n_shingles")).dropDuplicates(["doc_id"]).drop("n_shingles"), "sets")
-
-    links, tested, component = None, None, None
-    for turn in range(rounds + 1):
-        mixed = _mixed(active, component)
-        pairs = _leader_pairs(mixed, turn) if turn < rounds else _remaining_pairs(mixed)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stage(pairs, "pairs")
-        found = stage(_confirmed(_likely(pairs, sketch, similarity), sets, similarity), "links")
-        links = found if links is None else links.unionByName(found)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if turn < rounds:
-            component = connected(links)
-    return rows, links
-
-
-def near_duplicates(docs: DataFrame, similarity: int = 75, rounds: int = ROUNDS) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
-
-    component_id is the smallest doc_id reachable over links, kept tells whether it is
-    the row's own.  Null and wordless texts have no shingles and are linked with
-    nothing.  Rows without doc_id cannot be named by a link; they are kept and have no
-    component_id.  Rows that share a doc_id are one node.  An empty table gives an
-    empty result; other columns are not read.
-    """
-    rows, links = near_duplicate_links(docs, similarity, rounds)
-    heads = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "set_a", "set_b")
-    firsts = one_per_key(heads, ["set_a", "set_b"], F.min("doc_id").alias("first"))
-    same = heads.join(firsts, ["set_a", "set_b"]).filter("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    component = connected(links.unionByName(same)).withColumnRenamed("node", "doc_id")
-    return rows.select("doc_id", "n_shingles").join(component, "doc_id", "left").select(
+    sets = stage(texts.mapInArrow(_set_batches, SETS).dropDuplicates(["doc_id"]), "sets")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        likely = stage(_likely(pairs, sketch, similarity), "pairs")
+        return stage(_confirmed(likely, sets, similarity), "links")
+
+    component = connected(confirmed(_leader_pairs(active)))
+    mixed = stage(_mixed_nodes(active, component), "mixed")
+    more = confirmed(_prefix_pairs(mixed, sets, similarity))
+    between = _rooted(_rooted(more, component, "a", "x"), component, "b", "y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    merged = connected(between)
+
+    firsts = named.select("doc_id", "set_a", "set_b").distinct().join(classes, ["set_a", "set_b"])
+    reached = _rooted(_rooted(firsts, component, "first", "root"), merged, "root", "component_id")
+    component_of = reached.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    return rows.select("doc_id", "n_shingles").join(component_of, "doc_id", "left").select(
         "doc_id",
         "n_shingles",
-        F.coalesce("component", "doc_id").alias("component_id"),
-        F.coalesce(F.col("component") == F.col("doc_id"), F.lit(True)).alias("kept"),
+        F.coalesce("component_id", "doc_id").alias("component_id"),
+        F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"),
     )
 
 

@@ -1,7 +1,115 @@
-"""SQL twins of the training-data queries that SQL can express."""
+"""SQL twins of the training-data queries that SQL can express.
+
+The others rest on trained models, hashes or binary output; the tests hold those against
+brute force, an exact round trip or held-out accuracy.
+"""
 
 from __future__ import annotations
 
+from quire.llm.licenses import PHRASES, TEMPLATES, THRESHOLD, template_words
+
+_FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_UNSPACED = r"[^\x20\x09-\x0D]+"
+
+NEAR = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_FOLD}, '{_UNSPACED}') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + least(len(w), 5) - 1], ' ') AS sh
+  FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - least(len(w), 5) + 1)) AS i FROM d WHERE len(w) > 0)
+),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (sh) GROUP BY ALL),
+links AS (
+  SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)
+),
+reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+first AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id,
+  coalesce(component_id, doc_id) = doc_id AS kept
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN first USING (doc_id)
+"""
+
+EXACT = r"""
+WITH d AS (
+  SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm
+  FROM documents
+),
+r AS (
+  SELECT doc_id, first_value(doc_id) OVER (PARTITION BY norm ORDER BY points DESC, doc_id) AS keep_id,
+    count(*) OVER (PARTITION BY norm) AS group_size, norm
+  FROM d
+)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM r
+"""
+
+DECONTAMINATION = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_FOLD}, '{_ALNUM}') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({_FOLD}, '{_ALNUM}') AS w FROM benchmark),
+bw AS (
+  SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS s
+  FROM (
+    SELECT item_id, w, least(len(w), 10) AS k, unnest(generate_series(1, len(w) - least(len(w), 10) + 1)) AS i
+    FROM b WHERE len(w) > 0
+  )
+),
+dw AS (
+  SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS s
+  FROM (
+    SELECT doc_id, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i
+    FROM d, (SELECT DISTINCT k FROM bw) WHERE len(w) >= k
+  )
+),
+h AS (SELECT doc_id, i, k, item_id FROM dw JOIN bw USING (k, s)),
+p AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(generate_series(i, i + k - 1)) AS p FROM h) GROUP BY 1),
+m AS (
+  SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY 1
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(p.n, 0)::BIGINT AS n_hit, coalesce(m.n, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(p.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN p USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+
+
+def _licenses() -> str:
+    phrases = ", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in PHRASES.items())
+    sets = [(label, template_words(text)) for label, text in TEMPLATES]
+    templates = ", ".join(f"({k}, '{label}', {words})" for k, (label, words) in enumerate(sets))
+    return f"""
+WITH d AS (SELECT doc_id, {_FOLD} AS t, regexp_extract_all({_FOLD}, '{_ALNUM}') AS w FROM documents),
+phrases(p, label, k) AS (VALUES {phrases}),
+templates(id, label, words) AS (VALUES {templates}),
+places AS (
+  SELECT doc_id, label, i - 1 AS place
+  FROM (SELECT doc_id, w, p, label, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM d, phrases WHERE len(w) >= k)
+  WHERE array_to_string(w[i:i + k - 1], ' ') = p
+),
+base AS (
+  SELECT doc_id, count(*) AS n, min(place) AS lo, max(place) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+  FROM places GROUP BY 1
+),
+blocks AS (SELECT DISTINCT doc_id, regexp_extract_all(unnest(string_split(t, chr(10))), '{_ALNUM}') AS bw FROM d),
+hits AS (
+  SELECT doc_id, label, max(len(list_intersect(words, bw)) / len(words)) AS c
+  FROM blocks, templates WHERE len(list_intersect(words, bw)) >= {THRESHOLD} * len(words) GROUP BY ALL
+),
+own AS (SELECT doc_id, max(c) AS c FROM hits GROUP BY 1),
+named AS (
+  SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+  FROM (SELECT doc_id, label FROM hits UNION SELECT doc_id, label FROM places) GROUP BY 1
+)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(base.n, 0)::BIGINT AS n_base, lo::BIGINT AS first_word, hi::BIGINT AS last_word,
+  coalesce(base.labels, '') AS base_labels, coalesce(named.labels, '') AS labels,
+  CASE WHEN base.n > 0 THEN 1.0::DOUBLE ELSE coalesce(own.c, 0)::DOUBLE END AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN own USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_near_duplicates": NEAR,
+        "op4_exact_duplicates": EXACT,
+        "op5_decontamination": DECONTAMINATION,
+        "op8_licenses": _licenses(),
+    }

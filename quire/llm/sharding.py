@@ -35,27 +35,29 @@ def _draw(key: Column, shard: int, weight: float) -> Column:
     return -F.log(uniform) / float(weight)
 
 
-def _least(draws: Sequence[Column]) -> Column:
-    return F.least(*draws) if len(draws) > 1 else draws[0]
+def _smallest_of_runs(values: str, n: int, run: int) -> Column:
+    """The smallest value of each run of ``run`` entries of an array of ``n``."""
+    return F.array(*[F.array_min(F.slice(F.col(values), k + 1, run)) for k in range(0, n, run)])
 
 
-def _first_least(draws: Sequence[Column]) -> Column:
-    """Index of the smallest draw, from 0."""
-    return (F.array_position(F.array(*draws), _least(draws)) - 1).cast("int")
+def _first_smallest(values: Column) -> Column:
+    """Index of the smallest value of an array, from 0."""
+    return (F.array_position(values, F.array_min(values)) - 1).cast("int")
 
 
-def descend(key: Column, weights: Sequence[float], rack: int = RACK, region: int = REGION) -> Column:
-    """The shard of a row: shards are numbered through racks of ``rack``, racks through regions."""
-    draws = [_draw(key, k, w) for k, w in enumerate(weights)]
-    racks = [draws[k : k + rack] for k in range(0, len(draws), rack)]
-    regions = [racks[k : k + region] for k in range(0, len(racks), region)]
-    in_region = []
-    for r, members in enumerate(regions):
-        in_rack = [_first_least(d) + (r * region + i) * rack for i, d in enumerate(members)]
-        chosen = _first_least([_least(d) for d in members])
-        in_region.append(F.element_at(F.array(*in_rack), chosen + 1))
-    top = _first_least([_least([x for d in members for x in d]) for members in regions])
-    return F.element_at(F.array(*in_region), top + 1)
+def descend(rows: DataFrame, key: str, weights: Sequence[float], rack: int = RACK, region: int = REGION) -> DataFrame:
+    """Add ``shard`` and ``draw``, its draw, to rows with a ``key``.
+
+    Shards are numbered through racks of ``rack``, and racks through regions of ``region``.
+    """
+    n = len(weights)
+    racks = -(-n // rack)
+    drawn = rows.withColumn("__s", F.array(*[_draw(F.col(key), k, w) for k, w in enumerate(weights)]))
+    drawn = drawn.withColumn("__r", _smallest_of_runs("__s", n, rack))
+    drawn = drawn.withColumn("__g", _first_smallest(_smallest_of_runs("__r", racks, region)))
+    drawn = drawn.withColumn("__k", F.col("__g") * region + _first_smallest(F.slice("__r", F.col("__g") * region + 1, region)))
+    drawn = drawn.withColumn("shard", F.col("__k") * rack + _first_smallest(F.slice("__s", F.col("__k") * rack + 1, rack)))
+    return drawn.withColumn("draw", F.array_min("__s")).drop("__s", "__r", "__g", "__k")
 
 
 def shard_rows(docs: DataFrame, weights: Sequence[float] | int = SHARDS, group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -73,11 +75,8 @@ def shard_rows(docs: DataFrame, weights: Sequence[float] | int = SHARDS, group_r
     rows = docs.select("doc_id", (F.octet_length(text) + _OVERHEAD).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     rows = rows.withColumn("key", row_key(F.col("doc_id"), F.col("text_crc32"), F.col("size")))
     groups = max(1, -(-docs.count() // (len(each) * group_rows)))
-    new = _draw(F.col("key"), len(each), 1.0)
-    old = _least([_draw(F.col("key"), k, w) for k, w in enumerate(each)])
-    placed = rows.withColumn("shard", descend(F.col("key"), each)).withColumn(
-        "grown_shard", F.when(new < old, F.lit(len(each))).otherwise(F.col("shard"))
-    )
+    grown = F.when(_draw(F.col("key"), len(each), 1.0) < F.col("draw"), F.lit(len(each))).otherwise(F.col("shard"))
+    placed = descend(rows, "key", each).withColumn("grown_shard", grown).drop("draw")
     placed = placed.withColumn("part", F.pmod(F.xxhash64("key", "text_crc32", "size", F.lit(2)), F.lit(groups)))
     counts = placed.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("rows"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
