@@ -87,8 +87,8 @@ class _Block:
 
     def report(self, text: str, hits: list[tuple[int, int, int]], marked: list[dict], items: list[str]) -> tuple:
         """Hit words, spans and items of one text, added to those of earlier blocks."""
-        places = [m.span() for m in _WORD.finditer(text)]
-        spelled = _WORD.findall(text.translate(_UPPER))
+        words = list(_WORD.finditer(text.translate(_UPPER)))  # of the same length
+        places, spelled = [m.span() for m in words], [m.group() for m in words]
         hit = np.zeros(len(places) + 2, np.int64)
         for span in marked:
             hit[span["first_word"] : span["last_word"] + 1] = 1
