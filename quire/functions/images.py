@@ -26,8 +26,11 @@ def decode_base64(col: Column) -> Column:
     return F.try_to_binary(col, F.lit("base64"))
 
 
-def image_hash(payload: Column, scope: str = "prefix") -> Column:
-    """``prefix``: md5 of the first 1000 characters; ``full``: 16 digits over all of it."""
+def image_hash(payload: Column, scope: str = "full") -> Column:
+    """``full``: 16 digits of the md5 of all of it; ``prefix``: md5 of the first 1000 characters.
+
+    Only the full hash tells pictures apart: a common header fills the prefix.
+    """
     if scope == "prefix":
         return F.md5(F.substring(payload, 1, HASH_PREFIX_CHARS).cast("binary"))
     if scope == "full":
@@ -35,7 +38,7 @@ def image_hash(payload: Column, scope: str = "prefix") -> Column:
     raise ValueError(f"hash scope is 'prefix' or 'full', not {scope!r}")
 
 
-def payload_hash(df: DataFrame, scope: str = "prefix") -> Column:
+def payload_hash(df: DataFrame, scope: str = "full") -> Column:
     """The hash of a row's payload, NULL without one.
 
     A table that was written with the hash as a column of its own (see
@@ -71,7 +74,7 @@ def mime_subtype(mime: Column) -> Column:
 
 def image_file_name(page: Column, digest: Column, extension: Column, packaged: bool = False) -> Column:
     pattern = "images/page_%03d_%s.%s" if packaged else "page_%03d_hash_%s.%s"
-    return F.format_string(pattern, page, F.substring(digest, 1, 8), extension)
+    return F.format_string(pattern, page, digest, extension)
 
 
 def data_url(mime: Column, payload: Column) -> Column:

@@ -4,30 +4,40 @@ Element positions are 32-bit integers.  A window over a whole document would put
 of it into one task, so running values are computed in two steps: inside blocks of
 ``block`` positions, and over one summary row per block.  A document has at most
 2**31 / block summary rows, which bounds the second step whatever the data size.
-String building follows the same idea: a body is made of segments of at most ``rows``
-elements; a document below that size is exactly one segment, the segments of a longer
-one are merged as long as the result stays of a size that a task can hold.
+String building follows the same idea: a body is a row for each segment of ``rows``
+positions, and the segments of a document in order, joined by the body's separator, are
+the whole body.  The form is the same for short and long documents.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 BLOCK = 4096
-SEGMENT_ROWS = 10_000
-IMAGE_SEGMENT_ROWS = 1_000
-MERGE_CHARS = 64_000_000
+SEGMENT_ROWS = 1_000
+#: Fewer where pictures are embedded, so that a segment of large ones fits a row.
+IMAGE_SEGMENT_ROWS = 64
 SALTS = 64
 
-_BLOCK = "__block"
+_KEY = "__key"
+
+
+def _block_key(keys: Sequence[str], order: str, block: int) -> Column:
+    """Key and block as one struct, which is never NULL, so rows without a key are kept."""
+    return F.struct(*keys, block_of(order, block).alias("__block")).alias(_KEY)
 
 
 def block_of(order: str, size: int) -> Column:
     return F.expr(f"`{order}` div {int(size)}").cast("int")
 
 
+def _earlier_blocks(keys: Sequence[str]) -> WindowSpec:
+    by = Window.partitionBy(*[F.col(f"{_KEY}.`{k}`") for k in keys])
+    return by.orderBy(F.col(f"{_KEY}.__block")).rowsBetween(Window.unboundedPreceding, -1)
+
+
 def running_sum(
     df: DataFrame,
     keys: Sequence[str],
@@ -39,16 +49,16 @@ def running_sum(
 ) -> DataFrame:
     """Add ``name``: the sum of ``value`` over the earlier rows of the same key."""
     keys = list(keys)
-    blocked = df.withColumn(_BLOCK, block_of(order, block)).withColumn("__value", value.cast("long"))
-    before = Window.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    sums = blocked.groupBy(*keys, _BLOCK).agg(F.sum("__value").alias("__sum"))
-    bases = sums.select(*keys, _BLOCK, F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__base"))
+    blocked = df.withColumn(_KEY, _block_key(keys, order, block)).withColumn("__value", value.cast("long"))
+    before = _earlier_blocks(keys)
+    sums = blocked.groupBy(_KEY).agg(F.sum("__value").alias("__sum"))
+    bases = sums.select(_KEY, F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__base"))
     last = 0 if inclusive else -1
-    local = Window.partitionBy(*keys, _BLOCK).orderBy(order).rowsBetween(Window.unboundedPreceding, last)
+    local = Window.partitionBy(_KEY).orderBy(order).rowsBetween(Window.unboundedPreceding, last)
     return (
-        blocked.join(bases, [*keys, _BLOCK])
+        blocked.join(bases, _KEY)
         .withColumn(name, F.col("__base") + F.coalesce(F.sum("__value").over(local), F.lit(0)))
-        .drop(_BLOCK, "__value", "__base")
+        .drop(_KEY, "__value", "__base")
     )
 
 
@@ -57,18 +67,18 @@ def last_before(
 ) -> DataFrame:
     """Add ``name``: the latest non-NULL ``value`` in an earlier row of the same key."""
     keys = list(keys)
-    blocked = df.withColumn(_BLOCK, block_of(order, block)).withColumn("__value", value)
+    blocked = df.withColumn(_KEY, _block_key(keys, order, block)).withColumn("__value", value)
     # One row per block, also for blocks without a value, so that each has its carry.
-    tails = blocked.groupBy(*keys, _BLOCK).agg(
+    tails = blocked.groupBy(_KEY).agg(
         F.max_by("__value", F.when(F.col("__value").isNotNull(), F.col(order))).alias("__tail")
     )
-    before = Window.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    carry = tails.select(*keys, _BLOCK, F.last("__tail", ignorenulls=True).over(before).alias("__carry"))
-    local = Window.partitionBy(*keys, _BLOCK).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    before = _earlier_blocks(keys)
+    carry = tails.select(_KEY, F.last("__tail", ignorenulls=True).over(before).alias("__carry"))
+    local = Window.partitionBy(_KEY).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        blocked.join(carry, [*keys, _BLOCK])
+        blocked.join(carry, _KEY)
         .withColumn(name, F.coalesce(F.last("__value", ignorenulls=True).over(local), F.col("__carry")))
-        .drop(_BLOCK, "__value", "__carry")
+        .drop(_KEY, "__value", "__carry")
     )
 
 
@@ -96,39 +106,6 @@ def assemble(
     )
 
 
-def merge_segments(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    columns: dict[str, str],
-    extra: dict[str, Column] | None = None,
-    max_chars: int = MERGE_CHARS,
-) -> DataFrame:
-    """One row per key where its segments hold at most ``max_chars`` characters together.
-
-    A merged row takes the place of its first segment and is marked ``merged``; larger
-    keys keep their segments, so no group outgrows a task.  The list of larger keys has at most (all characters /
-    max_chars) rows, about 1.6 million for 100 TB, which is what makes it safe to
-    broadcast.  ``extra`` holds aggregates for further columns.
-    """
-    keys, order = list(keys), list(order)
-    size = sum((F.coalesce(F.length(c), F.lit(0)) for c in columns), F.lit(0))
-    sizes = df.groupBy(*keys).agg(F.sum(size).alias("__chars"))
-    large = sizes.filter(F.col("__chars") > max_chars).select(*keys, F.lit(True).alias("__large"))
-    place = F.struct(*order)
-    return (
-        df.join(F.broadcast(large), keys, "left")
-        .withColumn("__place", place)
-        .groupBy(*keys, F.when(F.col("__large"), F.col("__place")).alias("__piece"))
-        .agg(
-            F.min("__place").alias("__first"),
-            *[ordered_join(F.col("__place"), F.col(c), sep).alias(c) for c, sep in columns.items()],
-            *[c.alias(name) for name, c in (extra or {}).items()],
-        )
-        .select(*keys, "__first.*", F.col("__piece").isNull().alias("merged"), *columns, *(extra or {}))
-    )
-
-
 def mark_long(df: DataFrame, part: str, elements: DataFrame, rows: int) -> DataFrame:
     """Add ``__long``, true for rows of documents that reach position ``rows``, else NULL.
 
@@ -146,24 +123,3 @@ def mark_long(df: DataFrame, part: str, elements: DataFrame, rows: int) -> DataF
         .select("doc_id", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("__salt"), F.lit(True).alias("__long"))
     )
     return df.withColumn("__salt", F.pmod(part, F.lit(SALTS))).join(long, ["doc_id", "__salt"], "left").drop("__salt")
-
-
-def whole(
-    segments: DataFrame,
-    elements: DataFrame,
-    rows: int,
-    columns: dict[str, str],
-    keys: Sequence[str] = ("doc_id",),
-    extra: dict[str, Column] | None = None,
-    max_chars: int = MERGE_CHARS,
-) -> DataFrame:
-    """Merge the segments of documents that reach past position ``rows``.
-
-    All other documents have one segment and pass through; where no document is long,
-    the merge is dropped altogether.
-    """
-    marked = mark_long(segments, "segment", elements, rows)
-    short = marked.filter(F.col("__long").isNull()).drop("__long")
-    merged = merge_segments(marked.filter(F.col("__long")), keys, ["segment"], columns, extra, max_chars)
-    number = F.when(F.col("merged"), 0).otherwise(F.col("segment"))
-    return short.unionByName(merged.withColumn("segment", number).drop("merged"))

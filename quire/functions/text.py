@@ -14,7 +14,7 @@ WORD = r"[^\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x
 
 # Contact patterns, valid both as Java and as RE2 expressions.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-US_PHONE = r"(?:\+?1[-. ]?)?\([2-9][0-9]{2}\) ?[0-9]{3}[-. ][0-9]{4}"
+US_PHONE = r"(?:\+?1[-. ]?)?(?:\([2-9][0-9]{2}\) ?|\b[2-9][0-9]{2}[-. ])[0-9]{3}[-. ][0-9]{4}\b"
 IPV4 = r"\b(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\b"
 URL = r"https?://[^\s<>\"{}|\\^`\[\]]+"
 

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quire.functions.images import DEFAULT_PNG, mime_or, payload_hash
 from quire.functions.joins import one_per_key
-from quire.functions.ordered import SEGMENT_ROWS, block_of, ordered_join, whole
+from quire.functions.ordered import SEGMENT_ROWS, block_of, ordered_join
 from quire.functions.text import strip, truthy_array, truthy_number, truthy_text
 from quire.operators.elements import exportable, first_rows, is_image
+from quire.operators.render import bracketed
 
 # Notes added to the content of image documents.
 NOTE_NOT_DESCRIBED = "[Hinweis: Bild nicht beschrieben - aktiviere 'Vision-Beschreibung' für durchsuchbaren Content]"
@@ -17,8 +18,6 @@ DESCRIPTION_LABEL = "[Vision-Beschreibung]: "
 INLINE_DESCRIPTION = ("[Vision-Beschreibung für ", "]: ")
 INLINE_AVAILABLE = ("[Bild verfügbar - siehe separate Bild-Dateien, Hash: ", "]")
 INLINE_MISSING = "[Hinweis: Kein Bild extrahiert]"
-INLINE_MODEL = "Claude 3.5 Sonnet (Mock)"
-DEFAULT_COST = 0.003
 FALLBACK_DESCRIPTION = ("Bild-Element (Typ: ", ")")
 FALLBACK_MODEL = "Fallback"
 FALLBACK_COST = 0.0
@@ -140,8 +139,9 @@ def describe(rows: DataFrame, descriptions: DataFrame, fallback: bool = False) -
         .when(description.isNull(), _note(text, NOTE_UNAVAILABLE))
         .otherwise(text)
     )
-    model = F.when(given.isNull(), FALLBACK_MODEL).otherwise(F.coalesce("d.model", F.lit(DEFAULT_MODEL)))
-    cost = F.when(given.isNull(), FALLBACK_COST).otherwise(F.coalesce("d.cost_estimate", F.lit(DEFAULT_COST)))
+    # What the table does not say stays NULL.
+    model = F.when(given.isNull(), FALLBACK_MODEL).otherwise(F.col("d.model"))
+    cost = F.when(given.isNull(), FALLBACK_COST).otherwise(F.col("d.cost_estimate"))
     return joined.select(
         "doc_id",
         *[c for c in METADATA_KEYS if not c.startswith(("image_described", "vision_"))],
@@ -178,12 +178,30 @@ def rag_jsonl(documents: DataFrame) -> DataFrame:
 
 
 def json_arrays(lines: DataFrame, line: str, rows: int = SEGMENT_ROWS) -> DataFrame:
-    """``(doc_id, segment, documents, json)``: the JSON objects of each document as an array."""
-    segments = lines.groupBy("doc_id", block_of("element_index", rows).alias("segment")).agg(
-        ordered_join(F.col("element_index"), F.col(line), ",").alias("json"), F.count("*").alias("documents")
+    """``(doc_id, segment, documents, json)``: the JSON objects of each document as an array.
+
+    The first segment of a document opens the array and the last one closes it, so the
+    segments in order, joined by commas, are one array.  Where it begins and ends comes
+    from a second pass over the positions alone.
+    """
+    segment = block_of("element_index", rows)
+    ends = lines.groupBy("doc_id").agg(F.min(segment).alias("first"), F.max(segment).alias("last"))
+    edges = F.array(
+        F.struct(F.col("first").alias("segment"), F.lit(True).alias("opens"), F.lit(False).alias("closes")),
+        F.struct(F.col("last").alias("segment"), F.lit(False).alias("opens"), F.lit(True).alias("closes")),
+    )
+    parts = lines.select("doc_id", segment.alias("segment"), "element_index", F.col(line).alias("json"))
+    return (
+        parts.unionByName(ends.select("doc_id", F.inline(edges)), allowMissingColumns=True)
+        .groupBy("doc_id", "segment")
+        .agg(
+            ordered_join(F.col("element_index"), F.col("json"), ",").alias("json"),
+            F.count("json").alias("documents"),
+            F.bool_or("opens").alias("opens"),
+            F.bool_or("closes").alias("closes"),
+        )
+        .select("doc_id", "segment", "documents", bracketed(F.col("json"), F.col("opens"), F.col("closes")).alias("json"))
     )
-    bodies = whole(segments, lines, rows, {"json": ","}, extra={"documents": F.sum("documents")})
-    return bodies.withColumn("json", F.concat(F.lit("["), "json", F.lit("]")))
 
 
 def rag_json_array(documents: DataFrame, rows: int = SEGMENT_ROWS) -> DataFrame:
@@ -196,11 +214,11 @@ def rag_preview(documents: DataFrame, n: int = PREVIEW_DOCS) -> DataFrame:
 
 
 def rag_pages(elements: DataFrame, rows: int = SEGMENT_ROWS) -> DataFrame:
-    """One document per page; ``page_order`` is its first position.
+    """One row per page and segment; ``page_order`` is its first position.
 
     Rows without a page number all count as page 1, so a page can be as large as its
-    document.  Pages are built in segments of ``rows`` positions and merged afterwards,
-    where a page reaches over several.
+    document.  The contents of its segments in order, joined by blank lines, are the
+    page's; the counts of its segments add up.
     """
     kept = exportable(elements).select(
         "doc_id",
@@ -222,14 +240,7 @@ def rag_pages(elements: DataFrame, rows: int = SEGMENT_ROWS) -> DataFrame:
         F.count("*").alias("element_count"),
         F.collect_set("element_type").alias("element_types"),
     )
-    extra = {
-        "page_order": F.min("page_order"),
-        "m": F.min_by("m", "page_order"),
-        "element_count": F.sum("element_count"),
-        "element_types": F.array_distinct(F.flatten(F.collect_list("element_types"))),
-    }
-    pages = whole(segments, elements, rows, {"content": "\n\n"}, ["doc_id", "page"], extra)
-    return pages.select(
+    return segments.select(
         "doc_id",
         "page",
         "segment",
@@ -288,22 +299,38 @@ def orphan_references(documents: DataFrame, manifest: DataFrame) -> DataFrame:
     return wanted.join(known, ["doc_id", "image_hash"], "left_anti").select("doc_id", "element_index", "image_hash")
 
 
-def inline_rag(elements: DataFrame, describe_images: bool = False) -> DataFrame:
-    """The inline export: every element, blank ones and page breaks too.  Narrow."""
+def inline_rag(elements: DataFrame, descriptions: DataFrame | None = None) -> DataFrame:
+    """The inline export: every element, blank ones and page breaks too.
+
+    Narrow without ``descriptions`` (image_hash, description, model, cost_estimate).  With
+    them pictures are looked up by their full hash; what is not found is available only.
+    """
+    rows = elements.withColumn("__hash", F.when(is_image(), payload_hash(elements)))
+    if descriptions is None:
+        given = "CAST(NULL AS struct<description:string,model:string,cost_estimate:double>)"
+        return _inline_rows(rows.withColumn("__d", F.expr(given)))
+    described_by = F.min(F.struct("description", "model", "cost_estimate")).alias("__d")
+    unique = one_per_key(descriptions.withColumnRenamed("image_hash", "__hash"), ["__hash"], described_by)
+    pictured = _inline_rows(rows.filter("__hash IS NOT NULL").join(unique, "__hash", "left"))
+    return pictured.unionByName(inline_rag(elements.filter(F.when(is_image(), payload_hash(elements)).isNull())))
+
+
+def _inline_rows(rows: DataFrame) -> DataFrame:
     text = strip(F.coalesce("text", F.lit("")))
-    digest = F.when(is_image(), payload_hash(elements, "full"))
+    digest = F.col("__hash")
     available = digest.isNotNull()
-    described = available & F.lit(describe_images)
+    description = truthy_text(F.col("__d.description"))
+    described = description.isNotNull()
     content = (
         F.when(~is_image(), text)
         .when(
             described,
-            _note(text, F.concat(F.lit(INLINE_DESCRIPTION[0]), "element_type", F.lit(INLINE_DESCRIPTION[1]), text)),
+            _note(text, F.concat(F.lit(INLINE_DESCRIPTION[0]), "element_type", F.lit(INLINE_DESCRIPTION[1]), description)),
         )
         .when(available, _note(text, F.concat(F.lit(INLINE_AVAILABLE[0]), digest, F.lit(INLINE_AVAILABLE[1]))))
         .otherwise(_note(text, INLINE_MISSING))
     )
-    return elements.select(
+    return rows.select(
         "doc_id",
         "element_index",
         (F.col("element_index") + 1).alias("element_id"),
@@ -313,8 +340,8 @@ def inline_rag(elements: DataFrame, describe_images: bool = False) -> DataFrame:
         F.when(is_image(), available).alias("image_available"),
         digest.alias("image_hash"),
         F.when(is_image(), described).alias("image_described"),
-        F.when(described, INLINE_MODEL).alias("vision_model"),
-        F.when(described, DEFAULT_COST).alias("vision_cost_estimate"),
+        F.when(described, F.col("__d.model")).alias("vision_model"),
+        F.when(described, F.col("__d.cost_estimate")).alias("vision_cost_estimate"),
         content.alias("content"),
     )
 

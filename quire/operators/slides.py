@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quire.functions.images import DEFAULT_PNG, data_url, mime_or
 from quire.functions.markup import escape_attribute, escape_html, fill
-from quire.functions.ordered import IMAGE_SEGMENT_ROWS, block_of, merge_segments, ordered_join
-from quire.functions.slide_style import SLIDE_STYLE
+from quire.functions.ordered import IMAGE_SEGMENT_ROWS, block_of, ordered_join
 from quire.functions.text import strip, truthy_text
 from quire.schema import IMAGE_TYPES
 
@@ -121,13 +120,19 @@ def with_layout(slides: DataFrame, layouts: DataFrame) -> DataFrame:
     )
 
 
+FOOTER_FIELDS = ("footer_text", "slide_number", "date_text", "notes")
+
+
+def first_footers(footers: DataFrame) -> DataFrame:
+    """One footer row per slide: the first by ``ord``, or else the smallest by its fields."""
+    fields = F.struct(*FOOTER_FIELDS)
+    order = F.struct("ord", fields) if "ord" in footers.columns else fields
+    return footers.groupBy("doc_id", "slide").agg(F.min_by(fields, order).alias("f")).select("doc_id", "slide", "f.*")
+
+
 def with_footer(slides: DataFrame, footers: DataFrame) -> DataFrame:
-    """Footer fields by slide; ``footers`` holds one row per slide."""
-    return slides.join(
-        footers.select("doc_id", "slide", "footer_text", "slide_number", "date_text", "notes"),
-        ["doc_id", "slide"],
-        "left",
-    )
+    """Footer fields by slide; where ``footers`` has several rows for a slide, the first."""
+    return slides.join(first_footers(footers), ["doc_id", "slide"], "left")
 
 
 def slide_part() -> Column:
@@ -190,16 +195,19 @@ def _slide_frame(slides: DataFrame, layouts: DataFrame | None, footers: DataFram
     return framed.select("doc_id", "slide", "last", head.alias("head"), tail.alias("tail"))
 
 
-def slide_fragments(
+def render_slides(
     elements: DataFrame,
     layouts: DataFrame | None = None,
     footers: DataFrame | None = None,
     rows: int = IMAGE_SEGMENT_ROWS,
-    style: str = SLIDE_STYLE,
+    style: str | None = None,
 ) -> DataFrame:
     """``(doc_id, slide, segment, html)``: each slide in segments of ``rows`` positions.
 
-    Elements without a page all land on slide 1, so a slide is bounded by segments, not
+    All rows of a document, ordered by slide (NULL first) and segment and joined by line
+    breaks, are its page.  A slide opens with segment -1 and closes with one past its
+    last.  ``style`` is put before the first slide of each document, as a row without
+    slide; there is none by default.  Elements without a page all land on slide 1, so a slide is bounded by segments, not
     by itself.  Frames come from one narrow row per slide and are added as parts.
     """
     placed = elements.withColumn("slide", F.coalesce("page_number", F.lit(1)))
@@ -211,39 +219,16 @@ def slide_fragments(
         slide_part().alias("html"),
     )
     extent = placed.groupBy("doc_id", "slide").agg(F.max("element_index").alias("last"))
-    extent = extent.unionByName(
-        # The style sheet opens the document, before its first slide.
-        elements.groupBy("doc_id").agg(F.lit(None).cast("int").alias("slide"), F.lit(0).alias("last"))
-    )
-    frame = _slide_frame(extent, layouts, footers)
-    edges = F.when(
-        F.col("slide").isNull(),
-        F.array(F.struct(F.lit(-1).alias("segment"), F.lit(-1).cast("long").alias("place"), F.lit(style).alias("html"))),
-    ).otherwise(
-        F.array(
-            F.struct(F.lit(-1).alias("segment"), F.lit(-1).cast("long").alias("place"), F.col("head").alias("html")),
-            F.struct(
-                (block_of("last", rows) + 1).alias("segment"),
-                (F.col("last").cast("long") + 1).alias("place"),
-                F.col("tail").alias("html"),
-            ),
-        )
+    edges = F.array(
+        F.struct(F.lit(-1).alias("segment"), F.col("head").alias("html")),
+        F.struct((block_of("last", rows) + 1).alias("segment"), F.col("tail").alias("html")),
     )
-    framed = frame.select("doc_id", "slide", F.inline(edges))
+    framed = _slide_frame(extent, layouts, footers).select("doc_id", "slide", F.inline(edges))
+    if style:
+        sheet = (F.lit(None).cast("int").alias("slide"), F.lit(-1).alias("segment"), F.lit(style).alias("html"))
+        framed = framed.unionByName(elements.select("doc_id").distinct().select("doc_id", *sheet))
     body = parts.groupBy("doc_id", "slide", "segment").agg(
         F.count("html").alias("shown"), ordered_join(F.col("place"), F.col("html"), "\n").alias("html")
     )
     body = body.filter(F.col("shown") > 0)
-    return body.select("doc_id", "slide", "segment", "html").unionByName(framed.select("doc_id", "slide", "segment", "html"))
-
-
-def render_slides(
-    elements: DataFrame,
-    layouts: DataFrame | None = None,
-    footers: DataFrame | None = None,
-    rows: int = IMAGE_SEGMENT_ROWS,
-    style: str = SLIDE_STYLE,
-) -> DataFrame:
-    """``(doc_id, slide, segment, html)``: one row per document, or its fragments if it is very large."""
-    fragments = slide_fragments(elements, layouts, footers, rows, style)
-    return merge_segments(fragments, ["doc_id"], ["slide", "segment"], {"html": "\n"}).drop("merged")
+    return body.select("doc_id", "slide", "segment", "html").unionByName(framed)

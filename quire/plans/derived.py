@@ -1,7 +1,7 @@
 """Element tables that Spark derives from the given tables, for queries and tests.
 
 ``documents`` have lines but few kinds of metadata, so ``rich_elements`` decorates each
-line by rules on the document number and the position.  Nothing here is sampled or cut.
+line by rules on the document number and the position.  All lines are used, and whole.
 """
 
 from __future__ import annotations
@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quire.functions.images import encode_base64, image_hash
 from quire.schema import conform
-from quire.session import spread
 from quire.sources.documents import partition_html, partition_text
 
 
@@ -22,7 +21,7 @@ SCHEMAS = {
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet"))
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +56,7 @@ def page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Decoration rules in SQL: ``d`` is the document number, ``i`` the position, ``kind`` the
 # element type and ``line`` the text of the line.
 RICH_TYPE = """
-    CASE WHEN i = 0 THEN 'Title' WHEN i % 10 = 5 THEN 'PageBreak' WHEN i % 10 = 7 THEN 'Table'
+    CASE WHEN broken THEN 'PageBreak' WHEN i = 0 THEN 'Title' WHEN i % 10 = 7 THEN 'Table'
          WHEN i % 10 = 9 THEN 'Image' WHEN i % 20 = 8 THEN 'FigureCaption' WHEN i % 20 = 18 THEN 'Picture'
          WHEN i % 10 = 1 AND d % 5 = 0 THEN 'Header' WHEN i % 10 = 2 AND d % 5 = 1 THEN 'Footer' ELSE element_type END"""
 _SITE = "concat('https://example.org/', d, '/', i)"
@@ -69,7 +68,7 @@ RICH_COLUMNS = {
     "element_index": "i",
     "element_uid": "element_uid",
     "element_type": "kind",
-    "text": "IF(kind = 'PageBreak', '', line)",
+    "text": "line",
     "page_number": "IF(d % 11 <> 0, page_number, NULL)",
     "page_name": "IF(kind = 'Table' AND d % 7 = 0, concat('Sheet', i div 10 + 1), NULL)",
     "category_depth": "IF(kind = 'ListItem' OR (kind = 'Title' AND d % 13 <> 0), int(d % 3), NULL)",
@@ -80,12 +79,12 @@ RICH_COLUMNS = {
     "links": f"IF(i % 6 = 0, array(struct({_SITE} AS url, 'site' AS text)), NULL)",
     "link_urls": f"IF(i % 9 = 4, array(concat({_SITE}, '?a=1&b=2'), concat({_SITE}, '#top')), NULL)",
     "link_texts": "IF(i % 9 = 4, array('first <link>'), NULL)",
-    "image_base64": rf"IF({_PICTURE} AND d % 6 <> 5, translate(base64(encode(substring(line, 1, 1500), 'UTF-8')), '\r\n', ''), NULL)",
+    "image_base64": rf"IF({_PICTURE} AND d % 6 <> 5, translate(base64(encode(concat(repeat('~', IF(d % 3 = 0, 900, 0)), line), 'UTF-8')), '\r\n', ''), NULL)",
     "image_mime_type": f"IF({_PICTURE}, CASE d % 5 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/jpeg' WHEN 2 THEN 'image/gif' WHEN 3 THEN 'image/webp' END, NULL)",
     "image_url": f"IF(i % 30 = 9, concat({_SITE}, '.png'), NULL)",
     "image_path": "IF(i % 30 = 19, concat('img/', d, '-', i), NULL)",
     "url": f"IF(d % 8 = 1, {_SITE}, NULL)",
-    "text_as_html": "IF(kind = 'Table' AND d % 4 <> 3, concat('<table><tr><td>', replace(replace(replace(substring(line, 1, 40), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '</td></tr></table>'), NULL)",
+    "text_as_html": "IF(kind = 'Table' AND d % 4 <> 3, concat('<table><tr><td>', replace(replace(replace(line, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '</td></tr></table>'), NULL)",
     "sent_from": f"IF({_MAIL}, concat('a', d, '@example.org'), NULL)",
     "sent_to": f"IF({_MAIL}, 'b@example.org', NULL)",
     "subject": f"IF({_MAIL}, substring(line, 1, 20), NULL)",
@@ -99,9 +98,17 @@ RICH_COLUMNS = {
 
 
 def rich_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = text_elements(spark, sf_dir).selectExpr(
-        "doc_id AS d", "element_index AS i", "source", "lang", "element_uid", "element_type", "page_number", "text AS line"
+    """Every line, decorated by rules; after each tenth line a page break row without text.
+
+    Payloads of every third document begin alike for more than a thousand characters.
+    """
+    each = text_elements(spark, sf_dir).selectExpr(
+        "doc_id", "source", "lang", "element_type", "element_index AS at",
+        "inline(IF(element_index % 10 = 9, array(struct(text AS line, 0 AS more), struct('' AS line, 1 AS more)), array(struct(text AS line, 0 AS more))))",
     )
+    lines = each.selectExpr(
+        "doc_id AS d", "int(at + at div 10 + more) AS i", "source", "lang", "element_type", "line", "more = 1 AS broken"
+    ).selectExpr("*", "concat(d, '-', i) AS element_uid", "int(i div 5) + 1 AS page_number")
     typed = lines.selectExpr("*", f"{RICH_TYPE} AS kind")
     return conform(typed.selectExpr(*[f"{rule} AS {name}" for name, rule in RICH_COLUMNS.items()]))
 
@@ -120,7 +127,7 @@ def slides(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     d = F.col("doc_id")
     own = F.slice("lines", (F.col("slide") - 1) * 5 + 1, F.lit(5))
-    payload = lambda t, n: encode_base64(F.substring(t, 1, n).cast("binary"))
+    payload = lambda t: encode_base64(t.cast("binary"))
     none = F.lit(None)
 
     def child(k: int, name: Column, image: Column) -> Column:
@@ -134,7 +141,7 @@ def slides(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
 
     def shape(t: Column, k: Column) -> Column:
-        image = F.when(k == 2, payload(t, 300))
+        image = F.when(k == 2, payload(t))
         return F.struct(
             k.alias("shape_index"),
             F.when(k == 3, 6).when(k == 2, 13).otherwise(17).alias("shape_type"),
@@ -150,7 +157,7 @@ def slides(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit(100).cast("long").alias("width"),
             none.cast("long").alias("height"),
             F.when(
-                k == 3, F.array(child(0, F.when(d % 2 == 0, F.lit("child")), payload(t, 60)), child(1, none, none))
+                k == 3, F.array(child(0, F.when(d % 2 == 0, F.lit("child")), payload(t)), child(1, none, none))
             ).alias("children"),
         )
 
@@ -174,7 +181,7 @@ def layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def image_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A description for each picture whose prefix hash ends in a digit.
+    """A description for each picture whose hash ends in a digit.
 
     Digit 0 gives the caption back, which does not count as a description.
     """
@@ -224,9 +231,9 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A picture for every fifth line, some without bytes, name or type."""
+    """A picture for every line, some without bytes, name or type."""
     d, i = F.col("doc_id"), F.col("element_index")
-    lines = text_elements(spark, sf_dir).filter(i % 5 == 4)
+    lines = text_elements(spark, sf_dir)
     return lines.select(
         "doc_id",
         "element_index",

@@ -10,7 +10,6 @@ from __future__ import annotations
 from quire.functions import markup as m
 from quire.functions.images import HASH_PREFIX_CHARS
 from quire.functions.ordered import IMAGE_SEGMENT_ROWS, SEGMENT_ROWS
-from quire.functions.slide_style import SLIDE_STYLE
 from quire.functions.text import EMAIL, IPV4, STOP_WORDS, URL, US_PHONE, WHITESPACE, WORD
 from quire.operators import rag, render, slides as sl
 from quire.operators.chunking import MAX_CHARACTERS as MAX, NEW_AFTER_N_CHARS as SOFT, OVERLAP
@@ -98,17 +97,20 @@ s AS (SELECT * REPLACE (CASE WHEN element_index % 9 = 0 THEN 'Title' ELSE elemen
 
 _SITE = "'https://example.org/' || doc_id || '/' || i"
 RICH = f"""{TEXT},
+z AS (
+  SELECT doc_id, source, lang, CAST(element_index + element_index // 10 AS INTEGER) AS i, element_type, text AS line, false AS broken FROM e
+  UNION ALL
+  SELECT doc_id, source, lang, CAST(element_index + element_index // 10 + 1 AS INTEGER), element_type, '', true FROM e WHERE element_index % 10 = 9),
 k AS (
-  SELECT doc_id, source, lang, element_index AS i, element_uid, page_number AS p, text AS line,
-    CASE WHEN element_index = 0 THEN 'Title' WHEN element_index % 10 = 5 THEN 'PageBreak'
-         WHEN element_index % 10 = 7 THEN 'Table' WHEN element_index % 10 = 9 THEN 'Image'
-         WHEN element_index % 20 = 8 THEN 'FigureCaption' WHEN element_index % 20 = 18 THEN 'Picture'
-         WHEN element_index % 10 = 1 AND doc_id % 5 = 0 THEN 'Header'
-         WHEN element_index % 10 = 2 AND doc_id % 5 = 1 THEN 'Footer' ELSE element_type END AS kind
-  FROM e),
+  SELECT doc_id, source, lang, i, doc_id || '-' || i AS element_uid, CAST(i // 5 + 1 AS INTEGER) AS p, line,
+    CASE WHEN broken THEN 'PageBreak' WHEN i = 0 THEN 'Title' WHEN i % 10 = 7 THEN 'Table' WHEN i % 10 = 9 THEN 'Image'
+         WHEN i % 20 = 8 THEN 'FigureCaption' WHEN i % 20 = 18 THEN 'Picture'
+         WHEN i % 10 = 1 AND doc_id % 5 = 0 THEN 'Header' WHEN i % 10 = 2 AND doc_id % 5 = 1 THEN 'Footer'
+         ELSE element_type END AS kind
+  FROM z),
 r AS (
   SELECT doc_id, source, i AS element_index, element_uid, kind AS element_type,
-    CASE WHEN kind = 'PageBreak' THEN '' ELSE line END AS text,
+    line AS text,
     CASE WHEN doc_id % 11 <> 0 THEN p END AS page_number,
     CASE WHEN kind = 'Table' AND doc_id % 7 = 0 THEN 'Sheet' || (i // 10 + 1) END AS page_name,
     CASE WHEN kind IN ('Title','ListItem') AND NOT (kind = 'Title' AND doc_id % 13 = 0)
@@ -121,14 +123,14 @@ r AS (
     CASE WHEN i % 9 = 4 THEN [{_SITE} || '?a=1&b=2', {_SITE} || '#top'] END AS link_urls,
     CASE WHEN i % 9 = 4 THEN ['first <link>'] END AS link_texts,
     CASE WHEN kind IN ('Image','Picture','FigureCaption') AND doc_id % 6 <> 5
-         THEN {b64('line', 1500)} END AS image_base64,
+         THEN {b64("(repeat('~', CASE WHEN doc_id % 3 = 0 THEN 900 ELSE 0 END) || line)")} END AS image_base64,
     CASE WHEN kind IN {IMAGE} THEN CASE doc_id % 5 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/jpeg'
          WHEN 2 THEN 'image/gif' WHEN 3 THEN 'image/webp' END END AS image_mime_type,
     CASE WHEN i % 30 = 9 THEN {_SITE} || '.png' END AS image_url,
     CASE WHEN i % 30 = 19 THEN 'img/' || doc_id || '-' || i END AS image_path,
     CASE WHEN doc_id % 8 = 1 THEN {_SITE} END AS url,
     CASE WHEN kind = 'Table' AND doc_id % 4 <> 3
-         THEN '<table><tr><td>' || {esc('substring(line, 1, 40)')} || '</td></tr></table>' END AS text_as_html,
+         THEN '<table><tr><td>' || {esc('line')} || '</td></tr></table>' END AS text_as_html,
     CASE WHEN source = 'src3' AND i = 0 THEN 'a' || doc_id || '@example.org' END AS sent_from,
     CASE WHEN source = 'src3' AND i = 0 THEN 'b@example.org' END AS sent_to,
     CASE WHEN source = 'src3' AND i = 0 THEN substring(line, 1, 20) END AS subject,
@@ -141,8 +143,8 @@ r AS (
   FROM k)"""
 
 S = strip("text")
-HASH = f"md5(substring(image_base64, 1, {HASH_PREFIX_CHARS}))"
-FULL_HASH = "substring(md5(image_base64), 1, 16)"
+PREFIX_HASH = f"md5(substring(image_base64, 1, {HASH_PREFIX_CHARS}))"
+HASH = "substring(md5(image_base64), 1, 16)"
 MIME_PNG = "coalesce(image_mime_type, 'image/png')"
 MIME_JPEG = "coalesce(image_mime_type, 'image/jpeg')"
 EXT = (
@@ -150,8 +152,8 @@ EXT = (
     f"WHEN {MIME_PNG} LIKE '%webp%' THEN 'webp' ELSE 'png' END"
 )
 PAGE_OR_INDEX = "coalesce(page_number, element_index)"
-FILE_NAME = f"'page_' || printf('%03d', {PAGE_OR_INDEX}) || '_hash_' || substring({HASH}, 1, 8) || '.' || {EXT}"
-PACKED_NAME = f"'images/page_' || printf('%03d', {PAGE_OR_INDEX}) || '_' || substring({HASH}, 1, 8) || '.' || {EXT}"
+FILE_NAME = f"'page_' || printf('%03d', {PAGE_OR_INDEX}) || '_hash_' || {HASH} || '.' || {EXT}"
+PACKED_NAME = f"'images/page_' || printf('%03d', {PAGE_OR_INDEX}) || '_' || {HASH} || '.' || {EXT}"
 PAYLOAD = f"element_type IN {IMAGE} AND image_base64 IS NOT NULL"
 
 MANIFEST = f"""{RICH},
@@ -314,14 +316,31 @@ def agg(part: str, sep: str) -> str:
     return f"string_agg({part}, {sep} ORDER BY element_index)"
 
 
+#: Positions of a segment in queries whose form does not fix them: documents have several.
+ROWS = 32
+
+
 def seg(rows: int, index: str = "element_index") -> str:
     return f"CAST({index} // {rows} AS INTEGER)"
 
 
 HTML_IMAGES = f"""h AS (
   SELECT doc_id, {seg(IMAGE_SEGMENT_ROWS)} AS segment, element_index, {html(True, True)} AS part FROM r)"""
-# All fixture documents are below one segment, so the wrapper is in segment 0.
-RENDER_HTML = f"SELECT doc_id, segment, {lit(m.HTML_OPEN)} || {NL} || {agg('part', NL)} || {NL} || '</div>' AS html FROM h GROUP BY 1, 2"
+# The first segment of a document opens the page or array, the last one closes it.
+FIRST_LAST = "segment = 0 AS opens, segment = max(segment) OVER (PARTITION BY doc_id) AS closes"
+
+
+def paged(html: str) -> str:
+    """A piece of a page with the tags that it opens and closes."""
+    return f"concat_ws({NL}, CASE WHEN opens THEN {lit(m.HTML_OPEN)} END, {html}, CASE WHEN closes THEN '</div>' END)"
+
+
+def bracketed(json: str) -> str:
+    return f"(CASE WHEN opens THEN '[' ELSE '' END || {json} || CASE WHEN closes THEN ']' ELSE '' END)"
+
+
+RENDER_HTML = f"""SELECT doc_id, segment, {paged('html')} AS html FROM (
+  SELECT doc_id, segment, {agg('part', NL)} AS html, {FIRST_LAST} FROM h GROUP BY 1, 2)"""
 RENDER_MD = f"SELECT doc_id, {seg(IMAGE_SEGMENT_ROWS)} AS segment, {agg(markdown(True, True), BL)} AS markdown FROM r GROUP BY 1, 2"
 
 SLIDES = f"""{LINES},
@@ -348,7 +367,7 @@ LAYOUT_JOIN = """lj AS (
 
 
 def slide_html() -> str:
-    """The slide page of each document."""
+    """The pieces of each slide: its elements, its opening and its end."""
     text = esc("text")
     url = f"'data:' || {attr(MIME_PNG)} || ';base64,' || image_base64"
     part = f"""CASE WHEN element_type = 'Title' THEN {fill(sl.SLIDE_TITLE, text=text)}
@@ -358,15 +377,18 @@ def slide_html() -> str:
       WHEN element_type IN {IMAGE} THEN CASE WHEN image_base64 IS NOT NULL
         THEN {fill(sl.SLIDE_IMAGE, url=url, alt=attr('text'), text=text)} ELSE {fill(sl.SLIDE_NO_IMAGE, text=text)} END END"""
     footer = f"concat_ws(' | ', {fill(sl.FOOTER_TEXT, text=esc('footer_text'))}, {fill(sl.FOOTER_DATE, text=esc('date_text'))})"
-    page = f"""concat_ws({NL}, {fill(sl.SLIDE_OPEN, slide='slide')}, {lit(sl.SLIDE_HEADER_OPEN)}, {fill(sl.SLIDE_NUMBER_TEXT, slide='slide')},
-      {fill(sl.SLIDE_LAYOUT, layout="coalesce(layout_name, 'Standard')")}, '</div>', {lit(sl.SLIDE_CONTENT_OPEN)}, body, '</div>',
+    head = f"""concat_ws({NL}, {fill(sl.SLIDE_OPEN, slide='slide')}, {lit(sl.SLIDE_HEADER_OPEN)}, {fill(sl.SLIDE_NUMBER_TEXT, slide='slide')},
+      {fill(sl.SLIDE_LAYOUT, layout="coalesce(layout_name, 'Standard')")}, '</div>', {lit(sl.SLIDE_CONTENT_OPEN)})"""
+    tail = f"""concat_ws({NL}, '</div>',
       CASE WHEN notes IS NOT NULL THEN concat_ws({NL}, {lit(sl.NOTES_OPEN)}, {lit(sl.NOTES_LABEL)}, {fill(sl.NOTES_TEXT, text=esc('notes'))}, '</div>') END,
       CASE WHEN footer_text IS NOT NULL OR date_text IS NOT NULL THEN concat_ws({NL}, {lit(sl.FOOTER_OPEN)}, '<div>' || {footer} || '</div>', '</div>') END, '</div>')"""
     return f"""WITH {RICH}, {_after_lines(SLIDES)}, {LAYOUTS}, {LAYOUT_JOIN},
-b AS (SELECT doc_id, coalesce(page_number, 1) AS slide, {agg(part, NL)} AS body FROM r GROUP BY 1, 2)
-SELECT doc_id, {lit(SLIDE_STYLE)} || {NL} || string_agg({page}, {NL} ORDER BY slide) AS html
-FROM b LEFT JOIN lj USING (doc_id, slide) LEFT JOIN (SELECT doc_id, slide, notes, footer_text, date_text FROM sd) USING (doc_id, slide)
-GROUP BY 1"""
+b AS (SELECT doc_id, coalesce(page_number, 1) AS slide, element_index, {part} AS part FROM r),
+x AS (SELECT doc_id, slide, max(element_index) AS last FROM b GROUP BY 1, 2)
+SELECT doc_id, slide, {seg(IMAGE_SEGMENT_ROWS)} AS segment, {agg('part', NL)} AS html FROM b GROUP BY 1, 2, 3 HAVING html IS NOT NULL
+UNION ALL
+SELECT doc_id, slide, unnest([-1, {seg(IMAGE_SEGMENT_ROWS, 'last')} + 1]), unnest([{head}, {tail}])
+FROM x LEFT JOIN lj USING (doc_id, slide) LEFT JOIN (SELECT doc_id, slide, notes, footer_text, date_text FROM sd) USING (doc_id, slide)"""
 
 
 def _after_lines(ctes: str) -> str:
@@ -467,18 +489,24 @@ INLINE = f"""{RICH},
 ir AS (
   SELECT doc_id, element_index, element_index + 1 AS element_id, element_type, source AS source_file, page_number AS page,
     CASE WHEN element_type IN {IMAGE} THEN image_base64 IS NOT NULL END AS image_available,
-    CASE WHEN {PICTURED} THEN {FULL_HASH} END AS image_hash, d."describe", {S} AS t, {PICTURED} AND d."describe" AS done
+    CASE WHEN {PICTURED} THEN {HASH} END AS image_hash, d."describe", {S} AS t
   FROM r CROSS JOIN (VALUES (false), (true)) d("describe")),
+is_ AS (
+  SELECT image_hash, true AS "describe", CASE WHEN right(image_hash, 1) = '0' THEN caption ELSE 'Bild ' || substring(image_hash, 1, 6) END AS description,
+    CASE WHEN right(image_hash, 1) <= '4' THEN 'm1' ELSE 'm2' END AS model,
+    CAST(CASE WHEN right(image_hash, 1) <= '4' THEN 0.003 ELSE 0.01 END AS DOUBLE) AS cost
+  FROM (SELECT {HASH} AS image_hash, min(text) AS caption FROM r WHERE image_base64 IS NOT NULL GROUP BY 1)
+  WHERE right(image_hash, 1) BETWEEN '0' AND '9'),
 iq AS (
   SELECT doc_id, element_index, element_id, element_type, source_file, page, image_available, image_hash,
-    CASE WHEN element_type IN {IMAGE} THEN done END AS image_described,
-    CASE WHEN done THEN {lit(rag.INLINE_MODEL)} END AS vision_model,
-    CASE WHEN done THEN CAST(0.003 AS DOUBLE) END AS vision_cost_estimate,
+    CASE WHEN element_type IN {IMAGE} THEN description IS NOT NULL END AS image_described,
+    model AS vision_model,
+    cost AS vision_cost_estimate,
     CASE WHEN element_type NOT IN {IMAGE} THEN t
-         WHEN done THEN t || {BL} || {lit(rag.INLINE_DESCRIPTION[0])} || element_type || {lit(rag.INLINE_DESCRIPTION[1])} || t
+         WHEN description IS NOT NULL THEN t || {BL} || {lit(rag.INLINE_DESCRIPTION[0])} || element_type || {lit(rag.INLINE_DESCRIPTION[1])} || description
          WHEN image_available THEN t || {BL} || {lit(rag.INLINE_AVAILABLE[0])} || image_hash || {lit(rag.INLINE_AVAILABLE[1])}
          ELSE t || {BL} || {lit(rag.INLINE_MISSING)} END AS content, "describe"
-  FROM ir)"""
+  FROM ir LEFT JOIN is_ USING (image_hash, "describe"))"""
 INLINE_KEYS = ("element_id", "element_type", "source_file", "page", "image_available", "image_hash", "image_described", "vision_model", "vision_cost_estimate")
 INLINE_JSON = obj(metadataAttributes=obj(**{k: js(k) for k in INLINE_KEYS}), content=js("content"))
 
@@ -540,13 +568,13 @@ SELECT doc_id, element_index, coalesce(code, 'und') AS language FROM e LEFT JOIN
   CASE WHEN element_index % 10 <> 9 THEN 'pic' || element_index ELSE 'PowerPoint-Bild' END AS text,
   CASE WHEN element_index % 15 <> 4 THEN page_number ELSE 1 END AS page_number, {b64('text')} AS image_base64,
   CASE doc_id % 5 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/webp' WHEN 2 THEN 'image/png' WHEN 3 THEN 'image/gif' ELSE 'image/jpeg' END AS image_mime_type
-FROM e WHERE element_index % 5 = 4 AND doc_id % 6 <> 5 AND text <> ''"""
+FROM e WHERE doc_id % 6 <> 5 AND text <> ''"""
     q["slide_pictures"] = f"""WITH {SLIDES}
-SELECT doc_id, slide, 'Picture' AS type, CAST(k AS INTEGER) AS shape_index, CAST(NULL AS INTEGER) AS child_index, {b64('line', 300)} AS base64,
+SELECT doc_id, slide, 'Picture' AS type, CAST(k AS INTEGER) AS shape_index, CAST(NULL AS INTEGER) AS child_index, {b64('line')} AS base64,
   'image/jpeg' AS mime_type, coalesce(name, 'Bild auf Slide ' || slide) AS alt_text, CAST(100 AS BIGINT) AS width, CAST(NULL AS BIGINT) AS height
 FROM sh WHERE k = 2
 UNION ALL
-SELECT doc_id, slide, 'Picture (Grouped)', CAST(k AS INTEGER), 0, {b64('line', 60)}, 'image/png',
+SELECT doc_id, slide, 'Picture (Grouped)', CAST(k AS INTEGER), 0, {b64('line')}, 'image/png',
   CASE WHEN doc_id % 2 = 0 THEN 'child' ELSE 'Gruppiertes Bild auf Slide ' || slide END, 10, 20 FROM sh WHERE k = 3"""
     q["partition_status"] = """SELECT doc_id, CASE WHEN doc_id % 7 = 3 AND doc_id % 21 = 3 THEN 'error' ELSE 'success' END AS status,
   CASE WHEN doc_id % 7 = 3 THEN 'open_source_local' ELSE 'open_source_pdf_optimized_no_forms' END AS method,
@@ -559,18 +587,20 @@ SELECT doc_id, slide, 'Picture (Grouped)', CAST(k AS INTEGER), 0, {b64('line', 6
 
     # Sinks and serialisation.
     q["rag_jsonl"] = f"WITH {RAG} SELECT doc_id, element_index, {RAG_LINE} AS line FROM g"
-    q["rag_json_array"] = f"WITH {RAG} SELECT doc_id, {seg(SEGMENT_ROWS)} AS segment, count(*) AS documents, '[' || {agg(RAG_LINE, lit(','))} || ']' AS json FROM g GROUP BY 1, 2"
+    q["rag_json_array"] = f"""WITH {RAG} SELECT doc_id, segment, documents, {bracketed('json')} AS json FROM (
+  SELECT doc_id, {seg(ROWS)} AS segment, count(*) AS documents, {agg(RAG_LINE, lit(','))} AS json,
+    {seg(ROWS)} = min({seg(ROWS)}) OVER (PARTITION BY doc_id) AS opens, {seg(ROWS)} = max({seg(ROWS)}) OVER (PARTITION BY doc_id) AS closes
+  FROM g GROUP BY doc_id, {seg(ROWS)})"""
     q["rag_preview"] = f"""WITH {RAG} SELECT doc_id, element_index, {RAG_LINE} AS line, count(*) OVER (PARTITION BY doc_id) > 5 AS is_preview
 FROM g QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY element_index) <= 5"""
     q["elements_json"] = rich(f"doc_id, element_index, {ELEMENT_JSON} AS json")
     q["elements_full_json"] = rich(f"doc_id, element_index, {FULL_JSON} AS json")
-    q["all_formats"] = rich(
-        f"""doc_id, {seg(SEGMENT_ROWS)} AS segment, {agg(f"nullif({S}, '')", BL)} AS text,
-  {lit(m.HTML_OPEN)} || {NL} || {agg(html(False, False), NL)} || {NL} || '</div>' AS html,
-  {agg(markdown(False, False), BL)} AS markdown, '[' || {agg(ELEMENT_JSON, lit(','))} || ']' AS json""",
-        "",
-        "GROUP BY 1, 2",
-    )
+    for title, decorated in (("all_formats", False), ("all_formats_images", True)):
+        q[title] = f"""WITH {RICH}, a AS (
+  SELECT doc_id, segment, {agg("t", BL)} AS text, {agg("h", NL)} AS html, {agg("m", BL)} AS markdown, {agg("j", lit(","))} AS json, {FIRST_LAST}
+  FROM (SELECT doc_id, element_index, {seg(ROWS)} AS segment, nullif({S}, '') AS t, {html(decorated, decorated)} AS h, {markdown(decorated, decorated)} AS m, {ELEMENT_JSON} AS j FROM r)
+  GROUP BY 1, 2)
+SELECT doc_id, segment, coalesce(text, '') AS text, {paged('html')} AS html, coalesce(markdown, '') AS markdown, {bracketed('json')} AS json FROM a"""
     q["image_files"] = rich(
         f"doc_id, element_index, {FILE_NAME} AS filename, CAST(octet_length(from_base64(image_base64)) AS INTEGER) AS size_bytes, md5(from_base64(image_base64)) AS content_md5",
         PAYLOAD,
@@ -591,7 +621,9 @@ SELECT ms.doc_id, source_document, export_date, coalesce(total_elements, 0) AS t
 SELECT doc_id, 'text' AS format, {seg(SEGMENT_ROWS)} AS segment, {name('text')}, {agg(f"nullif({S}, '')", BL)} AS body FROM r GROUP BY 1, 3 HAVING body IS NOT NULL
 UNION ALL SELECT doc_id, 'html', segment, {name('html')}, html FROM ({RENDER_HTML})
 UNION ALL SELECT doc_id, 'markdown', {seg(SEGMENT_ROWS)}, {name('markdown')}, {agg(markdown(False, False), BL)} FROM r GROUP BY 1, 3
-UNION ALL SELECT doc_id, 'json', {seg(SEGMENT_ROWS)}, {name('json')}, '[' || {agg(ELEMENT_JSON, lit(','))} || ']' FROM r GROUP BY 1, 3"""
+UNION ALL SELECT doc_id, 'json', segment, {name('json')}, {bracketed('json')} FROM (
+  SELECT doc_id, {seg(SEGMENT_ROWS)} AS segment, {agg(ELEMENT_JSON, lit(','))} AS json, {seg(SEGMENT_ROWS)} = 0 AS opens,
+    {seg(SEGMENT_ROWS)} = max({seg(SEGMENT_ROWS)}) OVER (PARTITION BY doc_id) AS closes FROM r GROUP BY doc_id, {seg(SEGMENT_ROWS)})"""
     q["elements_csv"] = rich(
         f"doc_id, element_index, {quoted('element_type')} || ',' || {quoted('element_uid')} || ',' || {quoted('text')} || ',' || "
         f"coalesce({quoted('page_number')}, '\"\"') AS csv"
@@ -640,7 +672,7 @@ UNION ALL SELECT doc_id, 'json', {seg(SEGMENT_ROWS)}, {name('json')}, '[' || {ag
     q["rag_image_join"] = f"""WITH {RAG}, {MANIFEST[len(RICH) + 1:].lstrip()},
 f AS (SELECT doc_id, hash, arg_min(packaged, element_index) AS filename FROM mf GROUP BY 1, 2)
 SELECT g.doc_id, element_index, image_hash, filename FROM g LEFT JOIN f ON g.doc_id = f.doc_id AND g.image_hash = f.hash WHERE image_hash IS NOT NULL"""
-    q["rag_image_orphans"] = f"""WITH {INLINE}, {MANIFEST[len(RICH) + 1:].lstrip()}
+    q["rag_image_orphans"] = f"""WITH {INLINE}, {MANIFEST[len(RICH) + 1:].lstrip().replace(f"{HASH} AS hash", f"{PREFIX_HASH} AS hash")}
 SELECT doc_id, element_index, image_hash FROM iq WHERE NOT "describe" AND image_hash IS NOT NULL
   AND NOT EXISTS (SELECT 1 FROM mf WHERE mf.doc_id = iq.doc_id AND mf.hash = iq.image_hash)"""
     q["vision_enrich"] = f"""WITH {DESCRIBED} SELECT doc_id, element_index, element_type, image_hash, image_described, vision_model,
@@ -728,14 +760,14 @@ FROM r JOIN (SELECT doc_id, greatest(count(*) - 5, 0) AS remaining FROM r GROUP
     q["table_csv"] = f"WITH {MESSY} SELECT doc_id, element_index, {S} AS text, text_as_html AS html, {CSV} AS csv FROM ms WHERE element_type = 'Table'"
 
     # Image functions.
-    q["image_hash_prefix"] = rich(f"doc_id, element_index, {HASH} AS image_hash", "image_base64 IS NOT NULL")
-    q["image_hash_full"] = rich(f"doc_id, element_index, {FULL_HASH} AS image_hash", "image_base64 IS NOT NULL")
+    q["image_hash_prefix"] = rich(f"doc_id, element_index, {PREFIX_HASH} AS image_hash", "image_base64 IS NOT NULL")
+    q["image_hash_full"] = rich(f"doc_id, element_index, {HASH} AS image_hash", "image_base64 IS NOT NULL")
     q["image_ext"] = rich(f"doc_id, element_index, {EXT} AS extension, split_part({MIME_PNG}, '/', 2) AS subtype")
     q["image_file_names"] = rich(f"doc_id, element_index, {FILE_NAME} AS filename, {PACKED_NAME} AS packaged", PAYLOAD)
     q["base64_roundtrip"] = f"""WITH {TEXT} SELECT doc_id, element_index, CASE WHEN doc_id % 9 = 0 THEN '@@@' ELSE {b64('text')} END AS payload,
   CASE WHEN doc_id % 9 <> 0 THEN CAST(strlen(text) AS INTEGER) END AS size_bytes, CASE WHEN doc_id % 9 <> 0 THEN true END AS same FROM e"""
     q["inline_image_files"] = rich(
-        f"doc_id, element_index, {FULL_HASH} AS hash, {MIME_PNG} AS mime_type, {FULL_HASH} || '.' || split_part({MIME_PNG}, '/', 2) AS filename, {S} AS element_text",
+        f"doc_id, element_index, {HASH} AS hash, {MIME_PNG} AS mime_type, {HASH} || '.' || split_part({MIME_PNG}, '/', 2) AS filename, {S} AS element_text",
         PAYLOAD,
     )
 
@@ -762,7 +794,7 @@ FROM n CROSS JOIN (VALUES ('element', 'semantic', 300), ('page', 'fixed_size', 5
     q["inline_rag"] = f"WITH {INLINE} SELECT *, {INLINE_JSON} AS json FROM iq"
 
     # Rendering.
-    q["render_text"] = rich(f"doc_id, {seg(SEGMENT_ROWS)} AS segment, {agg(S, BL)} AS text", f"{S} <> ''", "GROUP BY 1, 2")
+    q["render_text"] = rich(f"doc_id, {seg(ROWS)} AS segment, {agg(S, BL)} AS text", f"{S} <> ''", "GROUP BY 1, 2")
     q["render_html"] = f"WITH {RICH}, {HTML_IMAGES} {RENDER_HTML}"
     q["render_markdown"] = f"WITH {RICH} {RENDER_MD}"
     q["render_slides"] = slide_html()

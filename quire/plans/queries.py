@@ -25,6 +25,9 @@ from quire.sources import documents as docs, files as fl, slides as sp
 from quire.streaming.ingest import ingest_available
 
 Query = Callable[[SparkSession, str], DataFrame]
+
+# Segments of this many positions, so that documents of these tables have several.
+ROWS = 32
 _QUERIES: dict[str, Query] = {}
 
 
@@ -159,7 +162,7 @@ def rag_jsonl(spark, sf):
 
 @query
 def rag_json_array(spark, sf):
-    return rag.rag_json_array(_rag(spark, sf))
+    return rag.rag_json_array(_rag(spark, sf), ROWS)
 
 
 @query
@@ -179,7 +182,12 @@ def elements_full_json(spark, sf):
 
 @query
 def all_formats(spark, sf):
-    return render.all_formats(d.rich_elements(spark, sf))
+    return render.all_formats(d.rich_elements(spark, sf), rows=ROWS)
+
+
+@query
+def all_formats_images(spark, sf):
+    return render.all_formats(d.rich_elements(spark, sf), with_images=True, rows=ROWS)
 
 
 @query
@@ -338,7 +346,7 @@ def rag_image_join(spark, sf):
 @query
 def rag_image_orphans(spark, sf):
     inline = rag.inline_rag(d.rich_elements(spark, sf))
-    return rag.orphan_references(inline, images.image_manifest(d.rich_elements(spark, sf)))
+    return rag.orphan_references(inline, images.image_manifest(d.rich_elements(spark, sf), "prefix"))
 
 
 @query
@@ -412,7 +420,7 @@ def vision_models(spark, sf):
 
 @query
 def inline_rag_stats(spark, sf):
-    return rag.inline_rag_stats(rag.inline_rag(d.rich_elements(spark, sf), describe_images=True))
+    return rag.inline_rag_stats(rag.inline_rag(d.rich_elements(spark, sf), d.image_descriptions(spark, sf)))
 
 
 @query
@@ -557,7 +565,7 @@ def _payloads(spark, sf):
 
 @query
 def image_hash_prefix(spark, sf):
-    return _payloads(spark, sf).select(*_doc(image_hash(F.col("image_base64")).alias("image_hash")))
+    return _payloads(spark, sf).select(*_doc(image_hash(F.col("image_base64"), "prefix").alias("image_hash")))
 
 
 @query
@@ -676,7 +684,7 @@ def chunk_hint(spark, sf):
 def inline_rag(spark, sf):
     e = d.rich_elements(spark, sf)
     plain = rag.inline_rag(e).withColumn("describe", F.lit(False))
-    described = rag.inline_rag(e, describe_images=True).withColumn("describe", F.lit(True))
+    described = rag.inline_rag(e, d.image_descriptions(spark, sf)).withColumn("describe", F.lit(True))
     return plain.unionByName(described).withColumn("json", rag.inline_json())
 
 
@@ -685,7 +693,7 @@ def inline_rag(spark, sf):
 
 @query
 def render_text(spark, sf):
-    return render.render_text(d.rich_elements(spark, sf))
+    return render.render_text(d.rich_elements(spark, sf), ROWS)
 
 
 @query
@@ -702,4 +710,4 @@ def render_markdown(spark, sf):
 def render_slides(spark, sf):
     e = d.rich_elements(spark, sf)
     footers = sl.slide_footers(d.slides(spark, sf))
-    return sl.render_slides(e, d.layouts(spark, sf), footers).select("doc_id", "html")
+    return sl.render_slides(e, d.layouts(spark, sf), footers)

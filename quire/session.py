@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -29,24 +30,12 @@ def build_session(master: str | None = None, app: str = "quire", **extra: str) -
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, which every executor can reach.
 
-    Only where the session names none, as in local tests, a temporary folder is used.
+    Only where the session names none and runs in one process, as in local tests, a
+    temporary folder is used; on a cluster the setting is required.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="quire-")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-
-
-# A scan of so few splits moves at most 2 GiB at the default split size.
-SPREAD_SPLITS = 16
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give a scan of a few splits one partition per core.
-
-    A small table often is one file with one row group, which a single task would read
-    and explode alone.  Larger scans, and scans that fill the cores, are left unchanged.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df.rdd.getNumPartitions()
-    return df.repartition(cores) if splits < cores and splits <= SPREAD_SPLITS else df

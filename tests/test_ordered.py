@@ -1,16 +1,17 @@
-"""Running values, segments and merging, with one document as most of the rows."""
+"""Running values and segments, with one document as most of the rows."""
 
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from quire.functions import ordered
-from quire.functions.ordered import assemble, last_before, merge_segments, running_sum
+from quire.functions.ordered import assemble, last_before, running_sum
 from quire.operators import rag
 from quire.operators.elements import reindex
 from quire.operators.render import render_html, render_markdown, render_text
-from quire.operators.slides import slide_fragments, render_slides
+from quire.operators.render import all_formats
+from quire.operators.slides import render_slides
 from quire.schema import conform
 
 
@@ -56,53 +57,70 @@ def test_reindex(spark, rows):
     assert got == [(d, i) for d, n in [(1, 300), (2, 7), (3, 1)] for i in range(n)]
 
 
-def test_segments_join_to_the_whole(spark, monkeypatch):
+def elements(spark, n=100):
     kinds = ["Title", "ListItem", "NarrativeText", "PageBreak", "Table", "Image"]
-    data = [(1, i, kinds[i % 6], f"text {i}", i // 7 + 1) for i in range(100)] + [(2, 0, "Title", "one", None)]
-    e = conform(spark.createDataFrame(data, "doc_id long, element_index int, element_type string, text string, page_number int"))
-    for render, column, sep in (
-        (render_text, "text", "\n\n"),
-        (render_html, "html", "\n"),
-        (render_markdown, "markdown", "\n\n"),
-    ):
-        one = {r.doc_id: r[column] for r in render(e, rows=1000).collect()}
-        merged = {r.doc_id: r[column] for r in render(e, rows=9).collect()}
-        assert merged == one
-        monkeypatch.setattr(ordered.whole, "__defaults__", (("doc_id",), None, 300))
-        parts = render(e, rows=9).orderBy("doc_id", "segment").collect()
-        monkeypatch.undo()
-        assert len(parts) > 2
+    data = [(1, i, kinds[i % 6], f"text {i}", i // 7 + 1) for i in range(n)] + [(2, 0, "Title", "one", None)]
+    return conform(spark.createDataFrame(data, "doc_id long, element_index int, element_type string, text string, page_number int"))
+
+
+@pytest.mark.parametrize("render, column, sep", [(render_text, "text", "\n\n"), (render_html, "html", "\n"), (render_markdown, "markdown", "\n\n")])
+def test_segments_join_to_the_whole(spark, render, column, sep):
+    e = elements(spark)
+    one = {r.doc_id: r[column] for r in render(e, rows=1000).collect()}
+    parts = render(e, rows=9).orderBy("doc_id", "segment").collect()
+    assert len(parts) == 13
+    for doc in (1, 2):
+        assert sep.join(p[column] for p in parts if p.doc_id == doc) == one[doc]
+
+
+def test_pieces_of_arrays_join_to_json(spark):
+    e = elements(spark)
+    for make in (lambda n: rag.rag_json_array(rag.rag_documents(e.filter("element_index > 20 OR doc_id = 2")), n), lambda n: all_formats(e, rows=n)):
+        one = {r.doc_id: r.json for r in make(1000).collect()}
+        parts = make(9).orderBy("doc_id", "segment").collect()
         for doc in (1, 2):
-            assert sep.join(p[column] for p in parts if p.doc_id == doc) == one[doc]
-    assert one[2].startswith("## one")
+            whole = ",".join(p.json for p in parts if p.doc_id == doc)
+            assert whole == one[doc] and isinstance(json.loads(whole), list)
 
 
-def test_pages_and_arrays_reach_over_segments(spark):
+def test_pages_reach_over_segments(spark):
     data = [(1, i, "Text", f"t{i}", None if i % 4 else i // 10 + 1, f"f{i}") for i in range(50)] + [(2, 0, "Title", "one", 1, None)]
     e = conform(spark.createDataFrame(data, "doc_id long, element_index int, element_type string, text string, page_number int, filename string"))
-    for rows in (3, 7):
-        for make in (rag.rag_pages, lambda x, n: rag.rag_json_array(rag.rag_documents(x), n)):
-            assert sorted(map(str, make(e, rows).collect())) == sorted(map(str, make(e, 1000).collect()))
-
-
-def test_merge_segments_keeps_large_keys_apart(spark):
-    data = [(1, i, "x" * 10) for i in range(20)] + [(2, 0, "a"), (2, 1, "b")]
-    df = spark.createDataFrame(data, "doc_id long, segment int, body string")
-    got = merge_segments(df, ["doc_id"], ["segment"], {"body": "-"}, max_chars=50).collect()
-    assert [(r.segment, r.body) for r in got if r.doc_id == 2] == [(0, "a-b")]
-    large = sorted((r.segment, r.body) for r in got if r.doc_id == 1)
-    assert large == [(i, "x" * 10) for i in range(20)]
+    one = {(r.doc_id, r.page): (r.content, r.element_count) for r in rag.rag_pages(e, 1000).collect()}
+    parts = {}
+    for r in rag.rag_pages(e, 7).orderBy("segment").collect():
+        parts.setdefault((r.doc_id, r.page), []).append(r)
+    assert {k: ("\n\n".join(r.content for r in v), sum(r.element_count for r in v)) for k, v in parts.items()} == one
 
 
 def test_slides_join_to_the_whole(spark):
     data = [(1, i, "Title", f"t{i}", None if i % 3 == 0 else i // 10 + 1) for i in range(60)]
     e = conform(spark.createDataFrame(data, "doc_id long, element_index int, element_type string, text string, page_number int"))
-    small = slide_fragments(e, rows=4).orderBy("doc_id", F.col("slide").asc_nulls_first(), "segment").collect()
-    one = render_slides(e).collect()
-    assert len(one) == 1
-    assert "\n".join(r.html for r in small) == one[0].html
+    joined = []
+    for rows in (4, 1000):
+        parts = render_slides(e, rows=rows, style="<style></style>").orderBy(F.col("slide").asc_nulls_first(), "segment").collect()
+        joined.append("\n".join(r.html for r in parts))
+    assert joined[0] == joined[1] and joined[0].startswith("<style></style>\n<div")
+    assert "style" not in "".join(r.html for r in render_slides(e).collect())
+
+
+def test_first_footer_of_a_slide_wins(spark):
+    e = conform(spark.createDataFrame([(1, 0, "Title", "t", 1)], "doc_id long, element_index int, element_type string, text string, page_number int"))
+    footers = spark.createDataFrame([(1, 1, "late", None, None, None, 2), (1, 1, "early", None, None, None, 1)], "doc_id long, slide int, footer_text string, slide_number string, date_text string, notes string, ord int")
+    html = [r.html for r in render_slides(e, footers=footers).collect()]
+    assert len(html) == 3 and "early" in "".join(html) and "late" not in "".join(html)
 
 
 def test_assemble_orders_and_skips_nulls(spark):
     df = spark.createDataFrame([(1, 2, "c"), (1, 0, "a"), (1, 1, None)], "doc_id long, element_index int, p string")
     assert assemble(df, ["doc_id"], "element_index", {"p": "+"}).first().p == "a+c"
+
+
+def test_rows_without_key_or_position_are_kept(spark):
+    df = spark.createDataFrame([(None, 0, 1), (None, 1, 1), (1, None, 1), (1, 3, 1), (1, 4, 1)], "doc_id long, element_index int, v int")
+    out = running_sum(df, ["doc_id"], "element_index", F.col("v"), "s", block=2)
+    assert sorted(map(str, (tuple(r) for r in out.select("doc_id", "element_index", "s").collect()))) == sorted(
+        map(str, [(None, 0, 1), (None, 1, 2), (1, None, 1), (1, 3, 2), (1, 4, 3)])
+    )
+    last = last_before(df, ["doc_id"], "element_index", F.col("element_index"), "p", block=2)
+    assert last.count() == 5 and last.filter("doc_id IS NULL AND p = 0").count() == 1

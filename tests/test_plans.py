@@ -5,7 +5,7 @@ import pytest
 from quire.operators import elements as el, rag, text as tx
 from quire.plans import derived as d
 from quire.plans.queries import queries
-from quire.session import build_session, shared_dir, spread
+from quire.session import build_session, shared_dir
 from tests.conftest import SMALL
 
 PYTHON_OK = {"chunk_basic", "chunk_by_title", "chunk_counts"}
@@ -60,10 +60,17 @@ def test_results_do_not_depend_on_partitions(stored):
         assert sorted(op(one).collect(), key=key) == sorted(op(many).collect(), key=key)
 
 
-def test_spread_leaves_enough_splits_alone(spark):
-    wide = spark.range(1000, numPartitions=64)
-    assert spread(wide) is wide
-    assert spread(spark.range(10, numPartitions=1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+def scans(df):
+    return plan(df).split("Initial Plan")[0].count("FileScan")
+
+
+def test_bodies_scan_twice_at_most(stored):
+    from quire.operators import render, slides as sl
+
+    for df in (render.render_text(stored), render.render_html(stored), render.render_markdown(stored), render.all_formats(stored),
+               rag.rag_json_array(rag.rag_documents(stored)), rag.rag_pages(stored), sl.render_slides(stored)):
+        assert scans(df) <= 2
+        assert "RoundRobin" not in plan(df)
 
 
 def test_shared_dir_follows_the_session(spark):
