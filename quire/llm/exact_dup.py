@@ -54,11 +54,9 @@ def exact_duplicates(docs: DataFrame, content_hash: Callable[[Column], Column] =
     # Two steps of plain numbers, as the largest of structs is found by sorting all rows.
     most = F.max(F.when(F.col("doc_id").isNotNull(), F.col("points")))
     longest = one_per_key(several, key, most.alias("most"), F.count(F.lit(1)).alias("group_size"))
-    sized = several.join(longest, key)
-    keepers = one_per_key(sized.filter("points = most"), key, F.min("doc_id").alias("keep_id"))
-    grouped = several.join(longest.join(keepers, key, "left"), key).select(
-        "doc_id", "keep_id", "group_size", F.sha2("norm", 256).alias("text_sha256")
-    )
+    candidates = several.join(longest, key).filter("points = most OR most IS NULL")
+    keepers = one_per_key(candidates, key, F.min("doc_id").alias("keep_id"), F.max("group_size").alias("group_size"))
+    grouped = several.join(keepers, key).select("doc_id", "keep_id", "group_size", F.sha2("norm", 256).alias("text_sha256"))
     kept = F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull())
     return alone.unionByName(grouped).select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
