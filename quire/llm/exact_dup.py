@@ -42,7 +42,8 @@ def exact_duplicates(docs: DataFrame, content_hash: Callable[[Column], Column] =
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.length(text).alias("points"), normalised(text).alias("norm"))
     rows = rows.withColumn("hash", content_hash(F.col("norm")))
-    sizes = one_per_key(rows, ["hash"], F.count(F.lit(1)).alias("group_size"))
+    # Read twice below; counted once.
+    sizes = stage(one_per_key(rows, ["hash"], F.count(F.lit(1)).alias("group_size")), "sizes")
     alone = (
         rows.select("doc_id", "hash", F.sha2("norm", 256).alias("text_sha256"))
         .join(sizes.filter("group_size = 1"), "hash")
