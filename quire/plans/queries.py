@@ -88,6 +88,7 @@ def partition_html(spark, sf):
             _joined("link_texts"),
             _joined("emphasized_text_contents"),
             "image_url",
+            "text_as_html",
         )
     )
 
@@ -122,6 +123,12 @@ def partition_status(spark, sf):
     return docs.partition_status(d.parses(spark, sf))
 
 
+@query
+def quarantine(spark, sf):
+    bad = [docs.quarantine(raw, body).select("doc_id", "source", "reason") for body, raw in d.flawed(spark, sf).items()]
+    return bad[0].unionByName(bad[1]).unionByName(bad[2])
+
+
 @query
 def json_roundtrip(spark, sf):
     rows = d.rich_elements(spark, sf)

@@ -12,10 +12,24 @@ LIST_ITEM_CHARS = 60
 PAGE_LINES = 5
 
 # Block tags that open an element, and the type each one gives.
-BLOCK_TAGS = "h[1-6]|p|li|div|header|footer"
-TAG_TYPES = {"p": "NarrativeText", "li": "ListItem", "header": "Header", "footer": "Footer", "div": "Text"}
+BLOCK_TAGS = "h[1-6]|p|li|div|header|footer|pre|blockquote|section|article|td|th"
+TAG_TYPES = {"p": "NarrativeText", "li": "ListItem", "header": "Header", "footer": "Footer", "table": "Table", "img": "Image"}
+DEFAULT_TYPE = "Text"
 HIDDEN_HTML = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>"
-ENTITIES = (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&amp;", "&"))
+ENTITIES = (
+    ("&copy;", "©"),
+    ("&middot;", "·"),
+    ("&quot;", '"'),
+    ("&apos;", "'"),
+    ("&lt;", "<"),
+    ("&gt;", ">"),
+    ("&nbsp;", "\u00a0"),
+    ("&ndash;", "–"),
+    ("&mdash;", "—"),
+    ("&hellip;", "…"),
+    ("&euro;", "€"),
+    ("&amp;", "&"),  # last, as it may bring another one about
+)
 
 
 def line_type(text: Column, position: Column) -> Column:
@@ -42,7 +56,20 @@ def partition_text(raw: DataFrame, page_lines: int = PAGE_LINES, first_page: int
     )
 
 
+def _character(piece: Column) -> Column:
+    """A piece that begins with the number of a character: the character and the rest."""
+    digits = F.regexp_extract(piece, r"^&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});", 1)
+    code = F.when(F.lower(F.left(digits, F.lit(1))) == "x", F.conv(F.substring(digits, 2, 6), 16, 10)).otherwise(digits)
+    code = F.try_to_number(code, F.lit("9999999")).cast("int")
+    valid = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    return F.when((digits != "") & valid, F.concat(char, F.regexp_replace(piece, "^&#[^;]*;", ""))).otherwise(piece)
+
+
 def _unescape(col: Column) -> Column:
+    """Character references as characters, numbers first and ``&amp;`` last."""
+    numbered = F.array_join(F.transform(F.split(col, "(?=&#)"), _character), "")
+    col = F.when(F.contains(col, F.lit("&#")), numbered).otherwise(col)
     for entity, char in ENTITIES:
         col = F.replace(col, F.lit(entity), F.lit(char))
     return col
@@ -55,29 +82,47 @@ def _plain(col: Column) -> Column:
 
 
 def partition_html(raw: DataFrame) -> DataFrame:
-    """One element per block tag of ``html``, with link, emphasis and picture metadata.
+    """One element per block tag, table and picture of ``html``, with their metadata.
 
-    Empty blocks are dropped inside the array before it is exploded, so positions are
-    dense without a window.
+    Text before the first block tag, and a page without any, is an element of its own.
+    A table is one element with its HTML; a picture follows the block that holds it, with
+    its alternative text.  Empty blocks are dropped inside the array before it is
+    exploded, so positions are dense without a window.  A page in which nothing is
+    visible has no elements: see :func:`quarantine`.
     """
     kept = [c for c in raw.columns if c != "html"]
     visible = F.regexp_replace("html", HIDDEN_HTML, "")
-    marked = F.regexp_replace(visible, rf"(?i)<({BLOCK_TAGS})\b[^>]*>", "\u0001$1\u0002")
-    # What precedes the first mark belongs to no block and has no second mark.
-    pieces = F.filter(F.split(marked, "\u0001"), lambda p: F.contains(p, F.lit("\u0002")))
-    blocks = F.transform(
-        pieces,
-        lambda p: F.struct(
-            F.lower(F.substring_index(p, "\u0002", 1)).alias("tag"),
-            _plain(F.substring_index(p, "\u0002", -1)).alias("text"),
-            F.substring_index(p, "\u0002", -1).alias("html"),
-        ),
+    parts = F.split(visible, r"(?i)(?=<table\b)|(?<=</table>)")
+    marked = lambda x: F.regexp_replace(x, rf"(?i)<({BLOCK_TAGS})\b[^>]*>", "\u0001$1\u0002")
+    pieces = F.flatten(
+        F.transform(
+            parts,
+            lambda x: F.when(x.rlike(r"(?i)^<table\b"), F.array(F.concat(F.lit("table\u0002"), x))).otherwise(
+                F.split(marked(x), "\u0001")
+            ),
+        )
     )
-    exploded = raw.select(
-        *kept, F.posexplode(F.filter(blocks, lambda b: b["text"] != "")).alias("element_index", "b")
+
+    def block(piece: Column) -> Column:
+        # What precedes the first mark has no second one and no tag.
+        html = F.substring_index(piece, "\u0002", -1)
+        tag = F.when(F.contains(piece, F.lit("\u0002")), F.lower(F.substring_index(piece, "\u0002", 1))).otherwise("")
+        return F.struct(tag.alias("tag"), _plain(html).alias("text"), html.alias("html"))
+
+    def picture(html: Column) -> Column:
+        alt = _plain(F.regexp_extract(html, '(?i)\\balt="([^"]*)"', 1))
+        return F.struct(F.lit("img").alias("tag"), alt.alias("text"), html.alias("html"))
+
+    found = F.flatten(
+        F.transform(
+            F.transform(pieces, block),
+            lambda b: F.concat(F.array(b), F.transform(F.regexp_extract_all(b["html"], F.lit("(?i)(<img\\b[^>]*>)")), picture)),
+        )
     )
+    shown = F.filter(found, lambda b: (b["text"] != "") | (b["tag"] == "img"))
+    exploded = raw.select(*kept, F.posexplode(shown).alias("element_index", "b"))
     tag, html = F.col("b.tag"), F.col("b.html")
-    kind = F.lit("Title")
+    kind = F.when(tag.rlike("^h[1-6]$"), "Title").otherwise(DEFAULT_TYPE)
     for name, value in TAG_TYPES.items():
         kind = F.when(tag == name, value).otherwise(kind)
     strong = F.filter(
@@ -98,10 +143,29 @@ def partition_html(raw: DataFrame) -> DataFrame:
         ).alias("link_texts"),
         strong.alias("emphasized_text_contents"),
         F.transform(strong, lambda _: F.lit("b")).alias("emphasized_text_tags"),
-        truthy_text(F.regexp_extract(html, '(?i)<img\\b[^>]*src="([^"]*)"', 1)).alias("image_url"),
+        F.when(tag == "img", truthy_text(_unescape(F.regexp_extract(html, '(?i)<img\\b[^>]*src="([^"]*)"', 1)))).alias("image_url"),
+        F.when(tag == "table", html).alias("text_as_html"),
     )
 
 
+def quarantine(raw: DataFrame, body: str) -> DataFrame:
+    """The rows of ``raw`` that give no elements, with the reason: all their columns, ``reason``.
+
+    ``body`` is ``text``, ``html`` or ``json``.  Every row gives elements or is listed here.
+    """
+    missing = F.when(F.col(body).isNull(), f"no {body}")
+    if body == "html":
+        visible = _plain(F.regexp_replace(body, HIDDEN_HTML, ""))
+        shown = (visible != "") | F.regexp_replace(body, HIDDEN_HTML, "").rlike("(?i)<img\\b")
+        reason = missing.when(~shown, "nothing visible")
+    elif body == "json":
+        e = F.from_json(body, element_schema())
+        reason = missing.when(e["doc_id"].isNull(), "not an element with a document number")
+    else:
+        reason = missing
+    return raw.withColumn("reason", reason).filter(F.col("reason").isNotNull())
+
+
 def number_pages(elements: DataFrame, first_page: int = 1) -> DataFrame:
     """``page_number`` from page breaks: a break opens the next page.  One shuffle."""
     breaks = F.when(F.col("element_type") == PAGE_BREAK, 1).otherwise(0)
@@ -161,5 +225,9 @@ def partition_status(raw: DataFrame) -> DataFrame:
 
 
 def elements_from_json(rows: DataFrame, column: str = "json") -> DataFrame:
-    """Elements from JSON objects with the canonical field names."""
-    return rows.select(F.from_json(column, element_schema()).alias("e")).select("e.*")
+    """Elements from JSON objects with the canonical field names.
+
+    Rows that are no such object, or have no ``doc_id``, are left to :func:`quarantine`.
+    """
+    parsed = rows.select(F.from_json(column, element_schema()).alias("e"))
+    return parsed.filter(F.col("e.doc_id").isNotNull()).select("e.*")

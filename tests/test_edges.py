@@ -341,3 +341,37 @@ def test_quarantine(spark):
     rows = docs.partition_status(raw).orderBy("doc_id").collect()
     assert [(r.status, r.method, r.element_count) for r in rows] == [("success", "m", 2), ("success", "open_source_local", 1), ("error", "open_source_local", None)]
     assert docs.choose_parse(raw).filter("status = 'error'").count() == 1
+
+
+@pytest.mark.parametrize("html, expected", [
+    ("plain &lt;text&gt;", [("Text", "plain <text>", None, None)]),
+    ("lead <p>one</p>", [("Text", "lead", None, None), ("NarrativeText", "one", None, None)]),
+    ("<h2>&#72;&#x69; &#128512; &#0; &#xD800; &#99999999;</h2>", [("Title", "Hi 😀 &#0; &#xD800; &#99999999;", None, None)]),
+    ("<p>a</p><TABLE><tr><td><p>x</p></td></tr></TABLE><p>b</p>", [
+        ("NarrativeText", "a", None, None), ("Table", "x", None, "<TABLE><tr><td><p>x</p></td></tr></TABLE>"), ("NarrativeText", "b", None, None)]),
+    ('<p>a<img alt="p &amp; q" src="u?a&amp;b"></p><img src="v">', [
+        ("NarrativeText", "a", None, None), ("Image", "p & q", "u?a&b", None), ("Image", "", "v", None)]),
+    ("<pre>c</pre><blockquote>q</blockquote><section>s<article>t</article></section>", [("Text", x, None, None) for x in "cqst"]),
+    ("&amp;lt; &amp;#65;", [("Text", "&lt; &#65;", None, None)]),
+    ("<script>x</script>", []),
+    ("", []),
+])
+def test_html_pages(spark, html, expected):
+    raw = spark.createDataFrame([(1, html)], "doc_id long, html string")
+    rows = docs.partition_html(raw).orderBy("element_index").collect()
+    assert [(r.element_type, r.text, r.image_url, r.text_as_html) for r in rows] == expected
+    assert docs.quarantine(raw, "html").count() == (0 if expected else 1)
+
+
+def test_every_row_gives_elements_or_a_reason(spark):
+    texts = spark.createDataFrame([(1, "a\nb"), (2, None), (3, "")], "doc_id long, text string")
+    assert {r.doc_id for r in docs.partition_text(texts).select("doc_id").distinct().collect()} == {1, 3}
+    assert [(r.doc_id, r.reason) for r in docs.quarantine(texts, "text").collect()] == [(2, "no text")]
+    rows = spark.createDataFrame([(1, '{"doc_id":1}'), (2, '{"doc_id":'), (3, None), (4, "[]"), (5, '{"text":"x"}')], "n long, json string")
+    assert docs.elements_from_json(rows).count() == 1
+    assert [r.n for r in docs.quarantine(rows, "json").orderBy("n").collect()] == [2, 3, 4, 5]
+
+
+def test_phone_notations(make):
+    e = make({"text": "call 555-123-4567 or +1 212 555 0100, (743) 555-3824; not 10.555.123.4567 or 2125550100", "element_type": "Text"})
+    assert sorted(r.value for r in tx.contacts(e, ("phone",)).collect()) == ["(743) 555-3824", "+1 212 555 0100", "555-123-4567", "555.123.4567"]
