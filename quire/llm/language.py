@@ -6,8 +6,8 @@ A filter has one weight for each of its positions and each byte, so its response
 sum of table entries.  Texts are cut into windows from their first to their last byte,
 the last one filled up with zero bytes, and the log probabilities of all windows add up.
 
-Training takes a bounded sample: windows of the ``max_rows`` labelled texts whose ids
-have the smallest hashes, at most ``WINDOWS_EACH`` evenly spaced ones of each.
+Training takes a bounded sample: windows of at most ``max_rows`` labelled texts, chosen by
+hashes of their ids, ``WINDOWS_EACH`` evenly spaced ones and a short one of each.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quire.llm.sample import hashed_sample
+
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
@@ -149,10 +151,11 @@ def train(docs: DataFrame, max_rows: int = MAX_ROWS, passes: int = PASSES) -> By
     rows = docs.select(
         F.xxhash64("doc_id").alias("turn"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")
     ).filter("lang IS NOT NULL AND text <> ''")
-    found = rows.mapInArrow(_training_windows, "turn long, lang string, windows array<binary>")
-    sample = found.orderBy("turn", "lang", F.hash("windows")).limit(max_rows).collect()
+    chosen = hashed_sample(rows, max_rows, "turn", F.crc32("text"))
+    sample = chosen.mapInArrow(_training_windows, "turn long, lang string, windows array<binary>").collect()
     if not sample:
         return None
+    sample.sort(key=lambda r: (r["turn"], r["lang"], r["windows"]))  # whatever came first
     languages = sorted({r["lang"] for r in sample})
     x = np.frombuffer(b"".join(w for r in sample for w in r["windows"]), np.uint8).reshape(-1, WINDOW)
     y = np.array([languages.index(r["lang"]) for r in sample for _ in r["windows"]])
