@@ -5,8 +5,8 @@ a pair of equal neighbours is one feature of its own, whatever the word.  Hashes
 into 2**18 coordinates, values are log counts scaled to length one, and a score is the
 logistic of a sparse dot product with the weights.
 
-Training takes a bounded sample: the ``max_rows`` labelled rows whose ids have the
-smallest hashes.  Their features are computed where the texts lie; the updates, which
+Training takes a bounded sample: at most ``max_rows`` labelled rows, chosen by hashes of
+their ids.  Their features are computed where the texts lie; the updates, which
 are sequential by nature, run in one task over that sample.
 """
 
@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quire.llm.sample import hashed_sample
 from quire.llm.words import Alphabet, hashed_words, mix
 
 BITS = 18
@@ -97,13 +98,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, passes:
     Rows without id, label or text are left out; without any row all weights are zero.
     """
     turn = F.xxhash64("doc_id")
-    sample = (
-        labels.select(F.col("doc_id"), F.col("label").cast("int").alias("label"))
-        .filter("doc_id IS NOT NULL AND label IN (0, 1)")
-        .dropDuplicates(["doc_id"])
-        .orderBy(turn, "doc_id")
-        .limit(max_rows)
-    )
+    usable = labels.select(F.col("doc_id"), F.col("label").cast("int").alias("label")).filter("doc_id IS NOT NULL AND label IN (0, 1)")
+    # Two labels of one document become the higher one.
+    sample = hashed_sample(usable.groupBy("doc_id").agg(F.max("label").alias("label")), max_rows, "doc_id")
     # At most max_rows rows of two numbers.
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
     chosen = texts.join(F.broadcast(sample), "doc_id").select(turn.alias("turn"), "label", "text")
