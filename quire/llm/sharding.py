@@ -11,7 +11,7 @@ only into itself, also at the end of a rack that has others.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -35,29 +35,44 @@ def _draw(key: Column, shard: int, weight: float) -> Column:
     return -F.log(uniform) / float(weight)
 
 
-def _smallest_of_runs(values: str, n: int, run: int) -> Column:
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` where the value is computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _smallest_of_runs(values: Column, n: int, run: int) -> Column:
     """The smallest value of each run of ``run`` entries of an array of ``n``."""
-    return F.array(*[F.array_min(F.slice(F.col(values), k + 1, run)) for k in range(0, n, run)])
+    return F.array(*[F.array_min(F.slice(values, k + 1, run)) for k in range(0, n, run)])
 
 
 def _first_smallest(values: Column) -> Column:
     """Index of the smallest value of an array, from 0."""
-    return (F.array_position(values, F.array_min(values)) - 1).cast("int")
+    return _let(values, lambda v: (F.array_position(v, F.array_min(v)) - 1).cast("int"))
 
 
-def descend(rows: DataFrame, key: str, weights: Sequence[float], rack: int = RACK, region: int = REGION) -> DataFrame:
-    """Add ``shard`` and ``draw``, its draw, to rows with a ``key``.
+def descend(key: Column, weights: Sequence[float], rack: int = RACK, region: int = REGION) -> Column:
+    """A struct of the ``shard`` that a row reaches and of its ``draw``.
 
     Shards are numbered through racks of ``rack``, and racks through regions of ``region``.
     """
     n = len(weights)
     racks = -(-n // rack)
-    drawn = rows.withColumn("__s", F.array(*[_draw(F.col(key), k, w) for k, w in enumerate(weights)]))
-    drawn = drawn.withColumn("__r", _smallest_of_runs("__s", n, rack))
-    drawn = drawn.withColumn("__g", _first_smallest(_smallest_of_runs("__r", racks, region)))
-    drawn = drawn.withColumn("__k", F.col("__g") * region + _first_smallest(F.slice("__r", F.col("__g") * region + 1, region)))
-    drawn = drawn.withColumn("shard", F.col("__k") * rack + _first_smallest(F.slice("__s", F.col("__k") * rack + 1, rack)))
-    return drawn.withColumn("draw", F.array_min("__s")).drop("__s", "__r", "__g", "__k")
+
+    def below(draws: Column, in_racks: Column, r: Column) -> Column:
+        in_region = F.slice(in_racks, r * region + 1, F.lit(region))
+        return _let(r * region + _first_smallest(in_region), lambda k: within(draws, k))
+
+    def within(draws: Column, k: Column) -> Column:
+        shard = k * rack + _first_smallest(F.slice(draws, k * rack + 1, F.lit(rack)))
+        return F.struct(shard.cast("int").alias("shard"), F.array_min(draws).alias("draw"))
+
+    def top(draws: Column) -> Column:
+        return _let(
+            _smallest_of_runs(draws, n, rack),
+            lambda in_racks: _let(_first_smallest(_smallest_of_runs(in_racks, racks, region)), lambda r: below(draws, in_racks, r)),
+        )
+
+    return _let(F.array(*[_draw(key, k, w) for k, w in enumerate(weights)]), top)
 
 
 def shard_rows(docs: DataFrame, weights: Sequence[float] | int = SHARDS, group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -75,8 +90,9 @@ def shard_rows(docs: DataFrame, weights: Sequence[float] | int = SHARDS, group_r
     rows = docs.select("doc_id", (F.octet_length(text) + _OVERHEAD).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     rows = rows.withColumn("key", row_key(F.col("doc_id"), F.col("text_crc32"), F.col("size")))
     groups = max(1, -(-docs.count() // (len(each) * group_rows)))
-    grown = F.when(_draw(F.col("key"), len(each), 1.0) < F.col("draw"), F.lit(len(each))).otherwise(F.col("shard"))
-    placed = descend(rows, "key", each).withColumn("grown_shard", grown).drop("draw")
+    reached = rows.withColumn("reached", descend(F.col("key"), each))
+    grown = F.when(_draw(F.col("key"), len(each), 1.0) < F.col("reached.draw"), F.lit(len(each))).otherwise(F.col("reached.shard"))
+    placed = reached.select("doc_id", "size", "text_crc32", "key", F.col("reached.shard").alias("shard"), grown.alias("grown_shard"))
     placed = placed.withColumn("part", F.pmod(F.xxhash64("key", "text_crc32", "size", F.lit(2)), F.lit(groups)))
     counts = placed.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("rows"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
