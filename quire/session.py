@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
@@ -27,6 +28,19 @@ def build_session(master: str | None = None, app: str = "quire", **extra: str) -
     return builder.getOrCreate()
 
 
+def share_code(spark: SparkSession) -> None:
+    """Let Python workers import this package, in whatever folder the driver was started.
+
+    The package's place goes to their search path.  Machines that do not have it there
+    need it installed, or shipped with ``--py-files``.
+    """
+    place = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if place not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join(p for p in (place, *paths) if p)
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, which every executor can reach.
 
