@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from quire.llm.stage import stage
 from quire.llm.words import Alphabet, hashed_words, signed
+from quire.session import share_code
 
 WORD_SHARE = 1e-5
 PAIR_SHARE = 1e-6
@@ -93,6 +94,7 @@ def train(docs: DataFrame, word_share: float = WORD_SHARE, pair_share: float = P
     Null texts have no words; a null ``target`` is false.
     """
     spark = docs.sparkSession
+    share_code(spark)
     rows = docs.select(F.col("text").cast("string").alias("text"), F.coalesce(F.col("target"), F.lit(False)).alias("target"))
     words = stage(rows.select("text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     tokens = words.agg(F.sum("n")).first()[0] or 0
@@ -144,6 +146,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     Losses are nats per token over the whole text; a negative difference means that the
     text is more like the target.  Texts without words have null losses.
     """
+    share_code(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quire.llm.words import Alphabet, hashed_words, signed, text_windows, windows
+from quire.session import share_code
 
 WINDOW = 10
 WINDOWS_PER_BLOCK = 500_000
@@ -52,6 +53,7 @@ def _item_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
     """Distinct windows (size, hash, item, words) of a benchmark table (item_id, text)."""
+    share_code(benchmark.sparkSession)
     rows = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string"))
     return rows.mapInArrow(_item_batches, "size int, hash long, item string, words string").distinct()
 

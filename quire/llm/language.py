@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quire.llm.sample import hashed_sample
+from quire.session import share_code
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -148,6 +149,7 @@ def train(docs: DataFrame, max_rows: int = MAX_ROWS, passes: int = PASSES) -> By
 
     At most ``max_rows`` times ``WINDOWS_EACH + 1`` windows of 256 bytes come to the driver.
     """
+    share_code(docs.sparkSession)
     rows = docs.select(
         F.xxhash64("doc_id").alias("turn"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")
     ).filter("lang IS NOT NULL AND text <> ''")
@@ -175,6 +177,7 @@ def identify(docs: DataFrame, model: ByteCnn | None, keep: list[Column]) -> Data
     rows = docs.select(F.struct(*keep).alias("row"), F.when(letters, F.col("text").cast("string")).alias("text"))
     if model is None:
         return rows.select("row", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    share_code(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

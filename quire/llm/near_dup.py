@@ -32,6 +32,7 @@ from quire.functions.joins import one_per_key
 from quire.llm.components import connected
 from quire.llm.stage import stage
 from quire.llm.words import Alphabet, hashed_words, mix, signed, text_windows, windows
+from quire.session import share_code
 
 SHINGLE = 5
 BUCKET_BITS = 7
@@ -163,6 +164,7 @@ def estimated_similarity(a: Column, b: Column, n_a: Column, n_b: Column) -> tupl
 
 def sketches(docs: DataFrame) -> DataFrame:
     """Per row of (doc_id, text): set size, 128-bit digest of the set and sketch."""
+    share_code(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_sketch_batches, SKETCHES)
 
 

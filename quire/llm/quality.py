@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quire.llm.sample import hashed_sample
 from quire.llm.words import Alphabet, hashed_words, mix
+from quire.session import share_code
 
 BITS = 18
 #: Bound of the training sample, in rows.
@@ -97,6 +98,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, passes:
 
     Rows without id, label or text are left out; without any row all weights are zero.
     """
+    share_code(docs.sparkSession)
     turn = F.xxhash64("doc_id")
     usable = labels.select(F.col("doc_id"), F.col("label").cast("int").alias("label")).filter("doc_id IS NOT NULL AND label IN (0, 1)")
     # Two labels of one document become the higher one.
@@ -118,6 +120,7 @@ def score(docs: DataFrame, weights: np.ndarray, threshold: float = 0.3) -> DataF
 
     Null, empty and wordless texts get the score of the intercept.
     """
+    share_code(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # 2**BITS + 1 numbers
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from quire.llm.stage import stage
 from quire.llm.words import mix
+from quire.session import share_code
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how the vocabulary's texts are cut before pairs are merged.
@@ -99,6 +100,7 @@ def sequences(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATT
     n_tokens counts ids before the filling.  Null and empty texts give no ids at all.
     Rows that repeat are encoded as often.  Other columns are not read.
     """
+    share_code(docs.sparkSession)
     with open(vocabulary, "rb") as f:  # by the driver; tasks get its content
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
     stride = 2 * length
@@ -176,6 +178,8 @@ def write_shards(ordered: DataFrame, uri: str, length: int = LENGTH) -> DataFram
     whole, so a repeated task replaces the file by an equal one.
     """
 
+    share_code(ordered.sparkSession)
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pyarrow.fs.FileSystem.from_uri(uri)
         fs.create_dir(base, recursive=True)
