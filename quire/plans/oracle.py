@@ -630,13 +630,17 @@ SELECT doc_id, segment, coalesce(text, '') AS text, {paged('html')} AS html, coa
 SELECT ms.doc_id, source_document, export_date, coalesce(total_elements, 0) AS total_elements, total_images, {lit(RAG_FORMAT)} AS rag_format,
   images_included, {info} FROM ms LEFT JOIN (SELECT doc_id, count(*) AS total_elements FROM g GROUP BY 1) USING (doc_id)"""
     name = lambda f: f"doc_id || {lit(OUTPUT_SUFFIXES[f])} AS out_name"
-    q["output_files"] = f"""WITH {RICH}, {HTML_IMAGES}
+    q["output_files"] = f"""WITH {INLINE}, {HTML_IMAGES}
 SELECT doc_id, 'text' AS format, {seg(SEGMENT_ROWS)} AS segment, {name('text')}, {agg(f"nullif({S}, '')", BL)} AS body FROM r GROUP BY 1, 3 HAVING body IS NOT NULL
 UNION ALL SELECT doc_id, 'html', segment, {name('html')}, html FROM ({RENDER_HTML})
 UNION ALL SELECT doc_id, 'markdown', {seg(SEGMENT_ROWS)}, {name('markdown')}, {agg(markdown(False, False), BL)} FROM r GROUP BY 1, 3
 UNION ALL SELECT doc_id, 'json', segment, {name('json')}, {bracketed('json')} FROM (
   SELECT doc_id, {seg(SEGMENT_ROWS)} AS segment, {agg(ELEMENT_JSON, lit(','))} AS json, {seg(SEGMENT_ROWS)} = 0 AS opens,
-    {seg(SEGMENT_ROWS)} = max({seg(SEGMENT_ROWS)}) OVER (PARTITION BY doc_id) AS closes FROM r GROUP BY doc_id, {seg(SEGMENT_ROWS)})"""
+    {seg(SEGMENT_ROWS)} = max({seg(SEGMENT_ROWS)}) OVER (PARTITION BY doc_id) AS closes FROM r GROUP BY doc_id, {seg(SEGMENT_ROWS)})
+UNION ALL SELECT doc_id, 'markdown_images', segment, {name('markdown_images')}, markdown FROM ({RENDER_MD})
+UNION ALL SELECT doc_id, 'rag_json', segment, {name('rag_json')}, {bracketed('json')} FROM (
+  SELECT doc_id, {seg(SEGMENT_ROWS)} AS segment, {agg(INLINE_JSON, lit(','))} AS json, {seg(SEGMENT_ROWS)} = 0 AS opens,
+    {seg(SEGMENT_ROWS)} = max({seg(SEGMENT_ROWS)}) OVER (PARTITION BY doc_id) AS closes FROM iq WHERE NOT "describe" GROUP BY doc_id, {seg(SEGMENT_ROWS)})"""
     q["elements_csv"] = rich(
         f"doc_id, element_index, {quoted('element_type')} || ',' || {quoted('element_uid')} || ',' || {quoted('text')} || ',' || "
         f"coalesce({quoted('page_number')}, '\"\"') AS csv"
@@ -670,7 +674,13 @@ UNION ALL SELECT doc_id, 'json', segment, {name('json')}, {bracketed('json')} FR
     q["html_links"] = f"""WITH {HTML} SELECT doc_id, element_index, CAST(unnest(range(len(link_urls))) AS INTEGER) AS link_index, unnest(link_urls) AS url,
   unnest(link_texts) AS link_text, substring(text, 1, 100) AS text FROM h WHERE len(link_urls) > 0"""
     q["image_url_rows"] = rich("doc_id, element_index, image_url AS url", "image_url IS NOT NULL")
-    q["email_rows"] = rich("doc_id, element_index, sent_from, sent_to, subject", "sent_from IS NOT NULL")
+    q["email_rows"] = rich(
+        """doc_id, element_index, CASE WHEN doc_id % 6 <> 0 THEN sent_from END AS sent_from, CASE WHEN doc_id % 6 <> 0 THEN sent_to END AS sent_to,
+  CASE WHEN doc_id % 2 = 0 THEN 'c@example.org' END AS cc_recipient, CASE WHEN doc_id % 3 = 0 THEN 'd@example.org' END AS bcc_recipient, subject,
+  '<' || doc_id || '@example.org>' AS email_message_id, CASE WHEN doc_id % 4 = 0 THEN 'Best' END AS signature,
+  CASE WHEN doc_id % 7 = 0 THEN 'm' || doc_id || '.eml' END AS attached_to_filename""",
+        "sent_from IS NOT NULL",
+    )
     q["header_footer_rows"] = rich(f"doc_id, element_index, header_footer_type AS type, substring({S}, 1, 100) AS text", "header_footer_type IS NOT NULL")
     q["section_rows"] = rich(f"doc_id, element_index, section, substring({S}, 1, 100) AS text", "section IS NOT NULL")
     q["embedded_images"] = rich(

@@ -230,7 +230,7 @@ def package_summary(spark, sf):
 
 @query
 def output_files(spark, sf):
-    return export.output_files(d.rich_elements(spark, sf))
+    return export.output_files(d.rich_elements(spark, sf), tuple(export.OUTPUT_SUFFIXES))
 
 
 @query
@@ -310,7 +310,18 @@ def image_url_rows(spark, sf):
 
 @query
 def email_rows(spark, sf):
-    return el.email_rows(d.rich_elements(spark, sf)).select(*_doc("sent_from", "sent_to", "subject"))
+    mail, i = F.col("sent_from").isNotNull(), F.col("doc_id")
+    more = {
+        "cc_recipient": F.when(mail & (i % 2 == 0), "c@example.org"),
+        "bcc_recipient": F.when(mail & (i % 3 == 0), "d@example.org"),
+        "email_message_id": F.when(mail, F.concat(F.lit("<"), i.cast("string"), F.lit("@example.org>"))),
+        "signature": F.when(mail & (i % 4 == 0), "Best"),
+        "attached_to_filename": F.when(mail & (i % 7 == 0), F.concat(F.lit("m"), i.cast("string"), F.lit(".eml"))),
+        # Some have only a subject.
+        "sent_from": F.when(i % 6 != 0, F.col("sent_from")),
+        "sent_to": F.when(i % 6 != 0, F.col("sent_to")),
+    }
+    return el.email_rows(d.rich_elements(spark, sf).withColumns(more))
 
 
 @query
