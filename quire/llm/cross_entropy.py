@@ -2,142 +2,205 @@
 
 Both are bigram models with absolute discounting over one vocabulary, and are made alike;
 only the corpus they count differs (Moore and Lewis, 2010).  Everything is counted over
-all documents.  The vocabulary holds the words that make up at least ``WORD_SHARE`` of
-all tokens, other words are one unknown word; pairs that make up at least ``PAIR_SHARE``
-have a probability of their own, the others back off to single words.  Shares add up to
-one, so a model has at most 1 / WORD_SHARE words and 1 / PAIR_SHARE pairs at any data
-size; that is what makes it safe to broadcast.  The counts behind it grow with the data
-and stay distributed.
+all documents, and no threshold depends on the size of the corpus: every word has a
+probability of its own, and so has every pair that stands at least ``MIN_PAIR`` times;
+other pairs back off to single words, and words never counted are one unknown word.
+
+A text's loss is a sum over terms: for each word its single part and the rest of its
+context, for each pair what its own probability changes.  The terms are a distributed
+table of (key, target, background).  The ``NEAR_TERMS`` most frequent ones are also
+broadcast, which only saves work: scoring sums those in place and joins the others, one
+row for each term of a text, with the whole table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from quire.llm.stage import stage
-from quire.llm.words import Alphabet, hashed_words, signed
+from quire.llm.words import Alphabet, hashed_words, mix, signed
 from quire.session import share_code
 
-WORD_SHARE = 1e-5
-PAIR_SHARE = 1e-6
+MIN_PAIR = 2
+NEAR_TERMS = 1_000_000
 DISCOUNT = 0.5
-#: Numbers of the text's start and of the unknown word; words follow.
-_START, _UNKNOWN, _FIRST = 0, 1, 2
+SIDES = ("target", "background")
+#: In place of a word's hash: the text's start and the unknown word.
+_START, _UNKNOWN = 0, 1
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _now_keys(words: np.ndarray) -> np.ndarray:
+    return mix(words + np.uint64(3))
+
+
+def _before_keys(words: np.ndarray) -> np.ndarray:
+    return mix(words * _ODD + np.uint64(5))
+
+
+def _pair_keys(before: np.ndarray, now: np.ndarray) -> np.ndarray:
+    return mix(mix(before + np.uint64(7)) + now)
+
+
+def _known(words: np.ndarray, vocabulary: np.ndarray | None) -> np.ndarray:
+    """Words outside of a sorted vocabulary become the unknown word; without one all stay."""
+    if vocabulary is None:
+        return words
+    if not len(vocabulary):
+        return np.full(len(words), _UNKNOWN, np.uint64)
+    at = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
+    return np.where(vocabulary[at] == words, words, np.uint64(_UNKNOWN))
+
+
+def _before(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Each word's predecessor in its text."""
+    before = np.empty_like(words)
+    before[1:] = words[:-1]
+    before[(np.cumsum(counts) - counts)[counts > 0]] = _START
+    return before
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each word stands, and how often as a predecessor, in the target and in all."""
     for batch in batches:
-        parts = [h for *_, h in hashed_words(batch.column("text"), Alphabet.alphanumeric())]
-        words, n = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.uint64), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(signed(words)), pa.array(n, pa.int64())], names=["word", "n"])
+        target = batch.column("target").to_numpy(zero_copy_only=False)
+        words, sides = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for first, counts, found in hashed_words(batch.column("text"), Alphabet.alphanumeric()):
+            side = np.repeat(target[first : first + len(counts)], counts).astype(np.int64)
+            words += [found, _before(found, counts)]
+            sides += [side, side + 2]
+        distinct, at = np.unique(np.concatenate(words), return_inverse=True)
+        n = np.bincount(at * 4 + np.concatenate(sides), minlength=4 * len(distinct)).reshape(-1, 4).astype(np.int64)
+        columns = [signed(distinct), n[:, 1], n[:, 0] + n[:, 1], n[:, 3], n[:, 2] + n[:, 3]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["word", *_WORD_SUMS])
 
 
-def _numbered(words: np.ndarray, counts: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each word's predecessor and itself as numbers."""
-    if len(vocabulary):
-        at = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
-        now = np.where(vocabulary[at] == words, at + _FIRST, _UNKNOWN)
-    else:
-        now = np.full(len(words), _UNKNOWN)
-    before = np.empty_like(now)
-    before[1:] = now[:-1]
-    starts = (np.cumsum(counts) - counts)[counts > 0]
-    before[starts] = _START
-    return before, now
+_WORD_SUMS = [f"{place}_{side}" for place in ("now", "before") for side in SIDES]
+
+
+def _word_terms(unknown: dict[str, float]):
+    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = {c: batch.column(c).to_numpy() for c in batch.schema.names}
+            words = column["word"].view(np.uint64)
+            for name, place, keys in (("single", "now", _now_keys(words)), ("left", "before", _before_keys(words))):
+                yield _terms(keys, column[f"{place}_background"], [np.log(unknown[f"{name}_{s}"]) - np.log(column[f"{name}_{s}"]) for s in SIDES])
 
+    return terms
 
+
+def _pair_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        column = {c: batch.column(c).to_numpy() for c in batch.schema.names}
+        values = []
+        for s in SIDES:
+            held = np.maximum(column[s] - DISCOUNT, 0) / np.maximum(column[f"before_{s}"], 1)
+            rest = column[f"left_{s}"] * column[f"single_{s}"]
+            values.append(np.log(rest) - np.log(held + rest))
+        keys = _pair_keys(column["before"].view(np.uint64), column["now"].view(np.uint64))
+        yield _terms(keys, column["background"], values)
+
+
+def _terms(keys: np.ndarray, n: np.ndarray, values: list[np.ndarray]) -> pa.RecordBatch:
+    grade = np.floor(np.log2(np.maximum(n, 1)) * 8).astype(np.int32)
+    columns = [signed(keys), grade, *(v.astype(np.float32) for v in values)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "grade", *SIDES])
+
+
+_TERMS = "key long, grade int, target float, background float"
+
+
+@dataclass
 class Model:
-    """The pair table and the single-word parts of both models, as arrays."""
-
-    def __init__(self, vocabulary: np.ndarray) -> None:
-        self.vocabulary = vocabulary
-        self.size = len(vocabulary) + _FIRST
-
-    def complete(self, pairs: np.ndarray, kept: dict[str, np.ndarray], contexts: dict[str, np.ndarray], words: dict[str, np.ndarray]) -> Model:
-        """From counts of pairs, contexts and words of each corpus to log probabilities."""
-        order = np.argsort(pairs)
-        self.pairs = pairs[order]
-        before, now = self.pairs // self.size, self.pairs % self.size
-        self.backoff, self.single, self.both = {}, {}, {}
-        for side in ("target", "background"):
-            total = np.maximum(contexts[side], 1)
-            held = np.maximum(kept[side][order] - DISCOUNT, 0) / total[before]
-            left = 1 - np.bincount(before, held, self.size)
-            # Words of the vocabulary and the unknown word; none is impossible.
-            single = (words[side] + 1) / (words[side].sum() + self.size - 1)
-            left = np.maximum(left, 1e-9)
-            self.both[side] = np.log(held + left[before] * single[now]).astype(np.float32)
-            self.backoff[side], self.single[side] = np.log(left).astype(np.float32), np.log(single).astype(np.float32)
-        return self
-
-    def losses(self, before: np.ndarray, now: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Negative log probabilities of each word: target, background."""
-        key = before * self.size + now
-        at = np.minimum(np.searchsorted(self.pairs, key), max(len(self.pairs) - 1, 0))
-        known = self.pairs[at] == key if len(self.pairs) else np.zeros(len(key), bool)
-        out = []
-        for side in ("target", "background"):
-            rest = self.backoff[side][before] + self.single[side][now]
-            if known.any():
-                rest = np.where(known, self.both[side][at], rest)
-            out.append(-rest)
-        return out[0], out[1]
-
-
-def train(docs: DataFrame, word_share: float = WORD_SHARE, pair_share: float = PAIR_SHARE) -> Model:
+    """The terms that stay distributed, the broadcast ones as arrays, and the unknown word."""
+
+    far: DataFrame
+    keys: np.ndarray
+    values: np.ndarray
+    unknown: dict[str, float]
+    vocabulary: np.ndarray | None
+
+
+def train(docs: DataFrame, word_share: float = 0.0, pair_share: float = 0.0, near_terms: int = NEAR_TERMS) -> Model:
     """Both models from ``docs`` (text, target boolean); the background is all documents.
 
-    Null texts have no words; a null ``target`` is false.
+    Null texts have no words; a null ``target`` is false.  A ``word_share`` or
+    ``pair_share`` above 0 leaves out what makes up less than that share of all tokens.
     """
     spark = docs.sparkSession
     share_code(spark)
     rows = docs.select(F.col("text").cast("string").alias("text"), F.coalesce(F.col("target"), F.lit(False)).alias("target"))
-    words = stage(rows.select("text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    tokens = words.agg(F.sum("n")).first()[0] or 0
-    # At most 1 / word_share rows.
-    chosen = words.filter(F.col("n") >= max(2.0, word_share * tokens)).select("word").toArrow()["word"].to_numpy()
-    model = Model(np.sort(chosen.view(np.uint64)))
-    shared = spark.sparkContext.broadcast(model.vocabulary)
-    size = model.size
+    kind = ", ".join(f"{c} long" for c in ("word", *_WORD_SUMS))
+    counted = rows.mapInArrow(_word_counts, kind).groupBy("word").agg(*[F.sum(c).alias(c) for c in _WORD_SUMS])
+    words = stage(counted, "word-counts")
+    tokens = words.agg(F.sum("now_background")).first()[0] or 0
+    vocabulary = None
+    if word_share:
+        rare = (F.col("word") != _START) & (F.col("now_background") < word_share * tokens)
+        # At most 1 / word_share rows.
+        chosen = words.filter(~rare & (F.col("word") != _START)).select("word").toArrow()["word"].to_numpy()
+        vocabulary = np.sort(chosen.view(np.uint64))
+        named = F.when(rare, F.lit(_UNKNOWN).cast("long")).otherwise(F.col("word")).alias("word")
+        words = words.groupBy(named).agg(*[F.sum(c).alias(c) for c in _WORD_SUMS])
+    shared = spark.sparkContext.broadcast(vocabulary)
 
     def pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = shared.value
         for batch in batches:
             target = batch.column("target").to_numpy(zero_copy_only=False)
-            parts = []
+            befores, nows, sides = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
             for first, counts, found in hashed_words(batch.column("text"), Alphabet.alphanumeric()):
-                before, now = _numbered(found, counts, vocabulary)
-                parts.append((before * size + now) * 2 + np.repeat(target[first : first + len(counts)], counts))
-            keys, n = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.int64), return_counts=True)
-            n_target = np.where(keys % 2 == 1, n, 0)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array((keys // 2).astype(np.int64)), pa.array(n_target, pa.int64()), pa.array(n, pa.int64())],
-                names=["pair", "target", "background"],
-            )
-
-    sums = [F.sum("target").alias("target"), F.sum("background").alias("background")]
-    pairs = stage(rows.mapInArrow(pair_counts, "pair long, target long, background long").groupBy("pair").agg(*sums), "pairs")
-    # At most 1 / pair_share rows, and twice one row for each word of the vocabulary.
-    kept = pairs.filter(F.col("background") >= max(2.0, pair_share * tokens)).toArrow()
-    sides = ("target", "background")
-
-    def by(number) -> dict[str, np.ndarray]:
-        table = pairs.groupBy(number.cast("long").alias("k")).agg(*sums).toArrow()
-        out = {side: np.zeros(size) for side in sides}
-        for side in sides:
-            out[side][table["k"].to_numpy()] = table[side].to_numpy()
-        return out
-
-    return model.complete(
-        kept["pair"].to_numpy(),
-        {side: kept[side].to_numpy().astype(float) for side in sides},
-        by(F.expr(f"pair div {size}")),
-        by(F.expr(f"pair % {size}")),
-    )
+                now = _known(found, shared.value)
+                befores.append(_before(now, counts))
+                nows.append(now)
+                sides.append(np.repeat(target[first : first + len(counts)], counts))
+            before, now, side = map(np.concatenate, (befores, nows, sides))
+            _, first, at, n = np.unique(_pair_keys(before, now), return_index=True, return_inverse=True, return_counts=True)
+            n_target = np.bincount(at, side, len(n)).astype(np.int64)
+            # Neighbours that share their first word make the shuffled rows compress well.
+            order = np.argsort(before[first])
+            columns = [signed(before[first][order]), signed(now[first][order]), n_target[order], n[order].astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["before", "now", *SIDES])
+
+    pairs = rows.mapInArrow(pair_counts, "before long, now long, target long, background long").repartition("before", "now")
+    pairs = pairs.groupBy("before", "now").agg(*[F.sum(s).alias(s) for s in SIDES])
+    pairs = stage(pairs.filter(F.col("background") >= max(float(MIN_PAIR), pair_share * tokens)), "pairs")
+    held = pairs.groupBy(F.col("before").alias("word")).agg(*[F.sum(F.greatest(F.col(s) - DISCOUNT, F.lit(0.0))).alias(f"held_{s}") for s in SIDES])
+    sums = words.agg(
+        *[F.sum(f"now_{s}").alias(s) for s in SIDES], F.count(F.when(~F.col("word").isin(_START, _UNKNOWN), 1)).alias("size")
+    ).first()
+    single, left = {}, {}
+    for s in SIDES:
+        # Words of the vocabulary and the unknown word; none is impossible.
+        single[s] = ((F.col(f"now_{s}") + 1) / ((sums[s] or 0) + sums["size"] + 1)).alias(f"single_{s}")
+        share = F.coalesce(f"held_{s}", F.lit(0.0)) / F.greatest(f"before_{s}", F.lit(1))
+        left[s] = F.greatest(1 - share, F.lit(1e-9)).alias(f"left_{s}")
+    # Staged, so that the joins with pairs take it straight from an exchange and split hot words.
+    parts = stage(words.join(held, "word", "left").select("word", *_WORD_SUMS, *single.values(), *left.values()), "words")
+    own = parts.filter(F.col("word") == _UNKNOWN).first()
+    unknown = {f"single_{s}": own[f"single_{s}"] if own else 1 / ((sums[s] or 0) + sums["size"] + 1) for s in SIDES}
+    unknown |= {f"left_{s}": own[f"left_{s}"] if own else 1.0 for s in SIDES}
+    firsts = parts.select(F.col("word").alias("before"), *[f"{c}_{s}" for c in ("before", "left") for s in SIDES])
+    seconds = parts.select(F.col("word").alias("now"), *[f"single_{s}" for s in SIDES])
+    of_pairs = pairs.join(firsts, "before").join(seconds, "now").mapInArrow(_pair_terms, _TERMS)
+    terms = stage(parts.mapInArrow(_word_terms(unknown), _TERMS).unionByName(of_pairs), "terms")
+    # Grades rise with the logarithm of a term's count: a few hundred rows.
+    near, least = 0, None
+    for r in sorted(terms.groupBy("grade").count().collect(), reverse=True):
+        near += r["count"]
+        if near > near_terms:
+            break
+        least = r["grade"]
+    is_near = F.lit(False) if least is None else F.col("grade") >= least
+    table = terms.filter(is_near).toArrow()  # at most near_terms rows
+    order = np.argsort(table["key"].to_numpy().view(np.uint64))
+    values = np.stack([table[s].to_numpy()[order] for s in SIDES]).astype(np.float64)
+    return Model(terms.filter(~is_near).select("key", *SIDES), table["key"].to_numpy().view(np.uint64)[order], values, unknown, vocabulary)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -147,27 +210,53 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     text is more like the target.  Texts without words have null losses.
     """
     share_code(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.keys, model.values, model.vocabulary))
+    single, left = (np.array([[-np.log(model.unknown[f"{part}_{s}"])] for s in SIDES]) for part in ("single", "left"))
 
-    def batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = shared.value
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near, values, vocabulary = shared.value
+        number = TaskContext.get().partitionId() << 40
         for batch in batches:
-            tokens, sums = [], ([], [])
+            tokens, sums, keys, repeats, lengths = [np.zeros(0, np.int64)], [np.zeros((2, 0))], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for _, counts, found in hashed_words(batch.column("text"), Alphabet.alphanumeric()):
-                ends = np.cumsum(counts)
-                for total, loss in zip(sums, net.losses(*_numbered(found, counts, net.vocabulary))):
-                    running = np.concatenate(([0.0], np.cumsum(loss, dtype=np.float64)))
-                    total.append(running[ends] - running[ends - counts])
+                now = _known(found, vocabulary)
+                before = _before(now, counts)
+                distinct, at = np.unique(np.concatenate((_now_keys(now), _before_keys(before), _pair_keys(before, now))), return_inverse=True)
+                text = np.tile(np.repeat(np.arange(len(counts)), counts), 3)
+                place = np.minimum(np.searchsorted(near, distinct), max(len(near) - 1, 0))
+                known = near[place] == distinct if len(near) else np.zeros(len(distinct), bool)
+                found_values = np.where(known, values[:, place], 0.0) if len(near) else np.zeros((2, len(distinct)))
+                # All words as unknown ones, and what known terms change.
+                total = (single + left) * counts
+                total += np.stack([np.bincount(text, v[at], len(counts)) for v in found_values])
+                far = ~known[at]
+                terms, n = np.unique(text[far] * len(distinct) + at[far], return_counts=True)
                 tokens.append(counts)
-            n = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
-            target, background = (np.concatenate(s) / np.maximum(n, 1) if s else np.zeros(0) for s in sums)
-            none = n == 0
-            columns = [pa.array(x, pa.float64(), mask=none) for x in (target, background, target - background)]
+                sums.append(total)
+                keys.append(distinct[terms % max(len(distinct), 1)])
+                repeats.append(n)
+                lengths.append(np.bincount(terms // max(len(distinct), 1), minlength=len(counts)))
+            n, total = np.concatenate(tokens), np.concatenate(sums, axis=1)
+            offsets = pa.array(np.concatenate(([0], np.cumsum(np.concatenate(lengths)))).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), *columns],
-                names=["doc_id", "n_tokens", "target_loss", "background_loss", "difference"],
-            )
+                [
+                    pa.array(number + np.arange(len(n))), batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(total[0]), pa.array(total[1]),
+                    pa.ListArray.from_arrays(offsets, pa.array(signed(np.concatenate(keys)))),
+                    pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(repeats).astype(np.int32))),
+                ],
+                names=["row", "doc_id", "n_tokens", *SIDES, "keys", "repeats"],
+            )
+            number += len(n)
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(batches, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, difference double")
+    # Staged, so that a row's number is the same on both sides of the last join.
+    texts = stage(rows.mapInArrow(summed, f"row long, doc_id {kind}, n_tokens long, target double, background double, keys array<long>, repeats array<int>"), "text-terms")
+    each = texts.select("row", F.explode(F.arrays_zip("keys", "repeats")).alias("term")).select("row", F.col("term.keys").alias("key"), F.col("term.repeats").alias("n"))
+    far = each.join(model.far, "key").groupBy("row").agg(*[F.sum(F.col("n") * F.col(s).cast("double")).alias(f"far_{s}") for s in SIDES])
+    losses = {s: F.when(F.col("n_tokens") > 0, (F.col(s) + F.coalesce(f"far_{s}", F.lit(0.0))) / F.col("n_tokens")) for s in SIDES}
+    joined = texts.drop("keys", "repeats").join(far, "row", "left")
+    return joined.select(
+        "doc_id", "n_tokens", losses["target"].alias("target_loss"), losses["background"].alias("background_loss"),
+        (losses["target"] - losses["background"]).alias("difference"),
+    )

@@ -188,6 +188,26 @@ def test_cross_entropy_equals_plain_model(spark):
             assert r["background_loss"] == pytest.approx(loss(False, text), abs=1e-5)
 
 
+def test_cross_entropy_does_not_depend_on_the_size(spark):
+    """Three of 360,007 words: below the shares that models were once cut to, but kept whole."""
+    rare = [(1, "quark gluon quark gluon", True), (2, "quark gluon lepton", False)]
+    filler = [(10 + k, " ".join(["a b c d"] * 300), False) for k in range(300)]
+    docs = spark.createDataFrame(rare + filler, "doc_id long, text string, target boolean")
+    ask = spark.createDataFrame([(1, "quark gluon"), (2, "lepton gluon"), (3, "nothing known")], "doc_id long, text string")
+    found = {}
+    for near in (10**6, 3, 0):  # whether terms are broadcast or joined makes no difference
+        scored = cross_entropy.score(ask, cross_entropy.train(docs, near_terms=near))
+        found[near] = {r["doc_id"]: (r["target_loss"], r["background_loss"]) for r in scored.collect()}
+    assert all(found[near][k] == pytest.approx(found[0][k], abs=1e-6) for near in found for k in found[near])
+    total, size = 300 * 1200 + 7, 7
+    single = 4 / (total + size + 1)  # gluon stands 3 times
+    # quark: after the start twice, of 302 starts; two pairs kept there. gluon: 3 of 3 times after quark.
+    starts = (2 - 0.5) / 302 + (1 - (1.5 + 299.5) / 302) * (4 / (total + size + 1))
+    pair = 2.5 / 3 + (1 - 2.5 / 3) * single
+    assert found[0][1][1] == pytest.approx(-(math.log(starts) + math.log(pair)) / 2, abs=1e-5)
+    assert found[0][1][0] < found[0][1][1] < found[0][2][1] < found[0][3][1]
+
+
 def test_cross_entropy_prefers_the_target(spark):
     rows = queries()["op7_cross_entropy"](spark, SF).join(table(spark, "labels"), "doc_id").collect()
     mean = {q: np.mean([r["difference"] for r in rows if r["quality"] == q and r["difference"] is not None]) for q in (0, 1)}
