@@ -1,14 +1,18 @@
-"""Mixing sources to target weights by Sainte-Lague apportionment of equal-token blocks.
+"""Mixing sources to target weights by Sainte-Lague apportionment of words.
 
 Targets: the sources share all words by weight; a target stops at three times its
 source's size, and the excess is shared again by weight until none is above.
 
-Blocks: every source is split by a hash of the row into cells of bounded expected size.
-A cell's documents stand in a seeded order on one line of words, which is cut into equal
-blocks.  Sainte-Lague (highest quotients of weight / (2 seats + 1)) gives whole numbers
-of blocks first to the sources and then, within each source, to its cells.  A quota of
-q blocks in a cell of m blocks is q div m full passes and q mod m blocks more: those from
-a seeded block onwards, around the end of the line, which is a random choice of
+Cells: every row falls into one of many bins by a hash.  A source has as many cells as
+its own rows fill, each of which is a run of neighbouring bins, so a small source stays
+in few cells however large the table is.  A cell's documents stand in a seeded order on
+one line of words, bin after bin.
+
+Quotas: Sainte-Lague (highest quotients of weight / (2 seats + 1)) gives whole numbers of
+words first to the sources and then, within each source, to its cells, so that what the
+cells give sums to the target, whatever their sizes.  A quota of q words in a cell of m
+words is q div m full passes and q mod m words more: those from the start of a seeded
+block of the line onwards, around the end of the line, which is a random choice of
 documents, as their order is one.  So a document's share follows from its place alone.
 """
 
@@ -95,42 +99,52 @@ def plan_mix(
     nothing; a null source is a source of its own.  Rows that repeat an id are placed
     one by one.  An empty table gives an empty result.
     """
-    cells = max(1, -(-docs.count() // cell_rows))
+    bins = max(1, -(-docs.count() // cell_rows))
     # A name without null, so that the line and the join share one exchange.
     party = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("party")
     crc = F.crc32(F.col("text").cast("string"))
     rows = docs.select(
         F.struct(*keep).alias("row"), party, word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", crc, F.lit(seed)).alias("draw")
-    ).withColumn("cell", F.pmod("draw", F.lit(cells)))
-    sums = stage(rows.groupBy("party", "cell").agg(F.sum("size").alias("cell_size")), "cells")
+    ).withColumn("bin", F.pmod("draw", F.lit(bins)))
+    sums = stage(rows.groupBy("party", "bin").agg(F.sum("size").alias("bin_size"), F.count(F.lit(1)).alias("bin_rows")), "bins")
     named = F.when(F.col("party") != "", F.substr("party", F.lit(2))).alias("source")
-    sizes = sums.groupBy("party").agg(F.sum("cell_size").alias("source_size")).select("party", named, "source_size")
+    # As many cells as the source's own rows fill.
+    own = F.ceil(F.sum("bin_rows") / cell_rows)
+    sizes = sums.groupBy("party").agg(F.sum("bin_size").alias("source_size"), own.alias("cells")).select("party", named, "source_size", "cells")
     sources = source_targets(sizes, weights).withColumn("all", F.lit(0))
-    seats = F.floor(F.sum("source_size").over(Window.partitionBy("all")) / block_words)
+    seats = F.sum("source_size").over(Window.partitionBy("all"))
     quotas = sainte_lague(sources.withColumn("seats", seats), ["all"], "source", "target", "seats", "source_quota")
-    per_cell = sums.join(quotas.select("party", "source_size", "target", "source_quota"), "party")
+    quotas = quotas.withColumn("source_quota", F.least("source_quota", F.col("source_size") * LIMIT))
+    per_bin = sums.join(quotas.select("party", "source_size", "target", "source_quota", "cells"), "party")
+    per_bin = per_bin.withColumn("cell", F.floor(F.col("bin") * F.col("cells") / F.lit(bins)))
+    per_cell = per_bin.groupBy("party", "cell", "source_size", "target", "source_quota").agg(F.sum("bin_size").alias("cell_size"))
     shared = sainte_lague(per_cell, ["party"], "cell", "cell_size", "source_quota", "quota")
+    # Words beyond full passes: from a block's start to at most once around the line.
     blocks = F.greatest(F.lit(1), F.ceil(F.col("cell_size") / block_words))
-    plan = shared.withColumn("blocks", blocks).withColumn("quota", F.least("quota", LIMIT * F.col("blocks")))
-    chosen = F.pmod("quota", F.col("blocks"))
-    begin = F.pmod(F.xxhash64("party", "cell", F.lit(seed + 1)), F.col("blocks"))
-    edge = lambda k: F.floor(k * F.col("cell_size") / F.col("blocks"))
-    # The chosen blocks as words of the line: from .. to, and past the end 0 .. wrap.
+    begin = F.pmod(F.xxhash64("party", "cell", F.lit(seed + 1)), blocks) * block_words
+    size = F.greatest(F.lit(1), F.col("cell_size"))
+    plan = shared.withColumn("begin", begin).withColumn("more", F.pmod("quota", size))
     plan = plan.select(
         "party",
         "cell",
         "source_size",
         "target",
-        F.floor(F.col("quota") / F.col("blocks")).alias("passes"),
-        edge(begin).alias("from"),
-        edge(F.least(begin + chosen, F.col("blocks"))).alias("to"),
-        edge(F.greatest(begin + chosen - F.col("blocks"), F.lit(0))).alias("wrap"),
+        F.floor(F.col("quota") / size).alias("passes"),
+        # The chosen words of the line: from .. to, and past the end 0 .. wrap.
+        F.col("begin").alias("from"),
+        F.least(F.col("begin") + F.col("more"), F.col("cell_size")).alias("to"),
+        F.greatest(F.col("begin") + F.col("more") - F.col("cell_size"), F.lit(0)).alias("wrap"),
     )
-    line = Window.partitionBy("party", "cell").orderBy("draw", "size")
-    placed = rows.withColumn("start", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-    inside = lambda x: F.least(F.greatest(F.col(x) - F.col("start"), F.lit(0)), F.col("size"))
+    # A bin's place on its cell's line; a cell has few bins, as each of them has rows.
+    earlier = Window.partitionBy("party", "cell").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    offsets = per_bin.select("party", "cell", "bin", (F.sum("bin_size").over(earlier) - F.col("bin_size")).alias("offset"))
+    plan = offsets.join(plan, ["party", "cell"])
+    line = Window.partitionBy("party", "bin").orderBy("draw", "size")
+    placed = rows.withColumn("before", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+    start = F.col("offset") + F.col("before")
+    inside = lambda x: F.least(F.greatest(F.col(x) - start, F.lit(0)), F.col("size"))
     return (
-        placed.join(plan, ["party", "cell"])
+        placed.join(plan, ["party", "bin"])
         .select(
             "row",
             "size",

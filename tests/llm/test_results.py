@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from quire.llm import cross_entropy, tokens
 from quire.llm.components import connected
-from quire.llm.mixing import sainte_lague
+from quire.llm.mixing import plan_mix, sainte_lague
 from quire.llm.near_dup import near_duplicates, registers, shingle_sets
 from quire.llm.queries import queries
 from quire.llm.sharding import shard_rows
@@ -254,6 +254,21 @@ def test_mix_meets_targets(spark):
     assert {(r["doc_id"], r["taken"]) for r in again.collect()} == {(r["doc_id"], r["taken"]) for r in rows}
 
 
+def test_mix_of_small_sources_among_many_cells(spark):
+    """Short documents of small sources meet their targets however many rows others have."""
+    sizes = {"a": [3] * 11, "b": [5] * 40, "c": [100] * 60, "d": [7] * 3000}
+    rows = [(f"{s}{k}", " ".join(["w"] * n), s) for s, all_sizes in sizes.items() for k, n in enumerate(all_sizes)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, source string")
+    for cell_rows in (1, 20, 2_000):
+        taken, targets, cut = Counter(), {}, Counter()
+        for r in plan_mix(docs, [F.col("source")], cell_rows=cell_rows).collect():
+            taken[r["row"]["source"]] += r["taken"]
+            targets[r["row"]["source"]] = r["target"]
+            cut[r["row"]["source"]] += r["taken"] % r["size"] > 0
+        assert all(abs(taken[s] - targets[s]) <= 1 for s in sizes)
+        assert cell_rows == 1 or cut["c"] <= 2 * -(-60 // cell_rows)
+
+
 def test_shards_move_only_where_weights_change(spark):
     docs = table(spark, "documents")
     rows = queries()["op10_sharding"](spark, SF).collect()
