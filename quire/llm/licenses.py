@@ -1,12 +1,15 @@
 """License scans: phrases, and an exact set-similarity join with license templates.
 
-A block is a line of a text, as its set of words.  It matches a template if it contains
-at least ``THRESHOLD`` of the template's words.  Words are ordered by how many blocks of
-all documents hold them, rare ones first.  With ``need`` words to share, a block must
-hold one of the first ``size - need + 1`` words of a template (prefix filter); it must
-hold ``need`` words of any template at all (length filter); and from the first shared
-word on, what is left of the template and of the block's template words must still
-suffice (positional filter).  What remains is compared in full, so nothing is missed.
+A block is a window of consecutive words of a text, also across line ends, as a set; for
+a template of n words all windows of ``WINDOW`` * n words are blocks, so a notice is found
+however its lines are broken, and words scattered over a long line are none.  A block
+matches a template if it contains at least ``THRESHOLD`` of the template's words.  Words
+are ordered by how many texts hold them, rare ones first.  With ``need`` words to share, a
+block must hold one of the first ``size - need + 1`` words of a template (prefix filter),
+so only windows around those words' places are looked at; such a surrounding must hold
+``need`` words of the template at all (length filter), and those from the place's own word
+on, in the global order, must still suffice (positional filter).  What remains is compared
+in full, window by window, so nothing is missed.
 Templates are a fixed short list, so the order of their words is small at every scale.
 """
 
@@ -21,6 +24,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from quire.functions.joins import one_per_key
 
 THRESHOLD = 0.85
+WINDOW = 2
 
 # Phrases and their labels.
 PHRASES = {
@@ -78,18 +82,11 @@ def _phrase_places(words: str, phrase: str) -> str:
     return f"filter(IF(size({words}) >= {len(parts)}, sequence(0, size({words}) - {len(parts)}), array()), i -> {same})"
 
 
-def _blocks(docs: DataFrame, text: Column) -> DataFrame:
-    """(content, words): every line with its distinct words, under a hash of its text."""
-    content = F.unhex(F.md5(text)).alias("content")
-    lines = docs.select(content, F.explode(F.split(text, "\n")).alias("line"))
-    return lines.select("content", F.array_distinct(words_of(F.col("line"))).alias("words"))
-
-
 def word_order(docs: DataFrame, words: Sequence[str]) -> list[str]:
-    """``words`` by the number of blocks of ``docs`` that hold them, ties by themselves."""
+    """``words`` by the number of texts of ``docs`` that hold them, ties by themselves."""
     known = F.array(*[F.lit(w) for w in words])
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    held = _blocks(docs, text).select(F.explode(F.array_intersect("words", known)).alias("word"))
+    held = docs.select(F.explode(F.array_intersect(known, words_of(text))).alias("word"))
     # One row for each template word at most comes to the driver.
     counts = {r["word"]: r["n"] for r in held.groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
     return sorted(words, key=lambda w: (counts.get(w, 0), w))
@@ -97,35 +94,44 @@ def word_order(docs: DataFrame, words: Sequence[str]) -> list[str]:
 
 def template_hits(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """(content, label, containment): the best block of each text for each label matched."""
-    sets = [(label, template_words(text)) for label, text in templates]
-    ordered = word_order(docs, sorted({w for _, s in sets for w in s}))
+    sets = [(label, template, template_words(template)) for label, template in templates]
+    ordered = word_order(docs, sorted({w for *_, s in sets for w in s}))
     rank = {w: k for k, w in enumerate(ordered)}
     index = []
-    for label, words in sets:
+    for label, template, words in sets:
         words = sorted(words, key=rank.get)
         need = math.ceil(threshold * len(words) - 1e-9)
-        index += [(w, label, at, words, need) for at, w in enumerate(words[: len(words) - need + 1])]
+        width = WINDOW * len(re.findall("[0-9a-z]+", template.lower()))
+        index += [(w, label, at, words, need, width) for at, w in enumerate(words[: len(words) - need + 1])]
     spark = docs.sparkSession
-    prefixes = spark.createDataFrame(index, "word string, label string, at int, template array<string>, need int")
+    prefixes = spark.createDataFrame(index, "word string, label string, at int, template array<string>, need int, width int")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     starts = sorted({w for w, *_ in index})
     # Texts without any prefix word are left out before they are split.
     some = _lower(text).rlike("(?:" + "|".join(map(re.escape, starts)) + ")")
-    # Blocks keep their template words only, in the global order.
-    inside = F.array_intersect(F.array(*[F.lit(w) for w in ordered]), F.col("words"))
-    blocks = _blocks(docs.filter(some), text).select("content", inside.alias("words"))
-    least = min(need for *_, need in index)
-    first = F.array_intersect("words", F.array(*[F.lit(w) for w in starts]))
-    probes = blocks.filter(F.size("words") >= least).withColumn("word", F.explode(first))
+    texts = docs.filter(some).select(F.unhex(F.md5(text)).alias("content"), words_of(text).alias("words"))
+    most = max(width for *_, width in index)
+    prefix_words = F.array(*[F.lit(w) for w in starts])
+    # All words in the widest reach of each place of a prefix word.
+    places = texts.withColumn("places", F.filter(F.transform("words", lambda w, i: F.when(F.array_contains(prefix_words, w), i)), lambda i: i.isNotNull()))
+
+    def surrounding(place: Column) -> Column:
+        low = F.greatest(place - most + 1, F.lit(0))
+        return F.struct(F.element_at("words", place + 1).alias("word"), (place - low).alias("own"), F.slice("words", low + 1, F.lit(2 * most - 1)).alias("near"))
+
+    # Surroundings are cut out before the explode, so that no row carries a whole text.
+    probes = places.select("content", F.explode(F.transform("places", surrounding)).alias("probe")).select("content", "probe.*")
     # The index has a row for each prefix word of each template of the fixed list.
     found = probes.join(F.broadcast(prefixes), "word")
-    in_block = F.array_position("words", F.col("word")) - 1
-    left = 1 + F.least(F.size("template") - F.col("at") - 1, F.size("words") - in_block - 1)
-    # Positional filter for the first shared word; it stands first among those of the prefix.
-    is_first = F.element_at(F.array_intersect("template", "words"), 1) == F.col("word")
-    likely = found.filter((F.size("words") >= F.col("need")) & is_first & (left >= F.col("need")))
-    shared = F.size(F.array_intersect("words", "template"))
-    hits = likely.filter(shared >= F.col("need")).select("content", "label", (shared / F.size("template")).alias("containment"))
+    # The windows that hold the place begin at the first word of ``around`` to the place itself.
+    begin = F.greatest(F.col("own") - F.col("width") + 1, F.lit(0))
+    found = found.select("content", "label", "at", "template", "need", "width", (F.col("own") - begin).alias("last"), F.slice("near", begin + 1, F.col("own") - begin + F.col("width")).alias("around"))
+    held = F.array_intersect("template", "around")
+    later = F.array_intersect(F.slice("template", F.col("at") + 1, F.size("template")), F.col("around"))
+    likely = found.filter((F.size(held) >= F.col("need")) & (F.size(later) >= F.col("need")))
+    shared = F.array_max(F.transform(F.sequence(F.lit(0), F.col("last")), lambda k: F.size(F.array_intersect(F.col("template"), F.slice("around", k + 1, F.col("width"))))))
+    hits = likely.withColumn("shared", shared).filter(F.col("shared") >= F.col("need"))
+    hits = hits.select("content", "label", (F.col("shared") / F.size("template")).alias("containment"))
     return hits.groupBy("content", "label").agg(F.max("containment").alias("containment"))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from quire.llm import cross_entropy, tokens
 from quire.llm.components import connected
+from quire.llm.licenses import scan_licenses
 from quire.llm.mixing import plan_mix, sainte_lague
 from quire.llm.near_dup import near_duplicates, registers, shingle_sets
 from quire.llm.queries import queries
@@ -214,6 +215,23 @@ def test_cross_entropy_prefers_the_target(spark):
     assert mean[1] < 0 < mean[0]
 
 
+def test_licenses_across_line_ends(frame):
+    """Wrapped notices are found; words scattered over one long line are not."""
+    mit = (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy\n"
+        "of this software and associated documentation files (the \"Software\"), to deal\n"
+        "in the Software without restriction, including without limitation the rights"
+    )
+    bsd = "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following\n# conditions are met:\n"
+    mpl = "/* This Source Code Form is subject to the terms of the Mozilla\n * Public License, v. 2.0. */"
+    filler = " ".join(["filler"] * 60)
+    scattered = f" {filler} ".join(re.findall(r"\w+", bsd))
+    texts = [mit, bsd, mpl, f"{filler}\n{bsd}{filler}", f"{filler} {bsd} {filler}".replace("\n", " "), scattered, "Redistribution and use in source", None]
+    rows = {r["doc_id"]: (r["labels"], r["score"]) for r in scan_licenses(frame(*texts)).collect()}
+    assert [rows[k][0] for k in range(1, 9)] == ["mit", "bsd", "mpl", "bsd", "bsd", "", "", ""]
+    assert all(rows[k][1] >= 0.85 for k in range(1, 6)) and rows[6][1] == rows[7][1] == 0
+
+
 def test_sainte_lague_equals_highest_quotients(spark):
     draw = random.Random(2)
     rows, expected = [], {}
