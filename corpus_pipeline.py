@@ -4,7 +4,7 @@ Every stage takes (spark, docs, sf_dir).  All but the last return the columns of
 ``documents``: the language stage puts the language it found into ``lang`` and drops
 documents without one, near-duplicates keep the first document of a group, contaminated
 documents go, and the mix repeats or cuts documents to meet the sources' weights.  The
-last stage returns token sequences in training order.
+last stage writes the shards and returns their token sequences in training order.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from quire.llm.decontaminate import decontaminate
 from quire.llm.mixing import mix
 from quire.llm.near_dup import drop_near_duplicates
 from quire.llm.stage import stage
-from quire.llm.tokens import training_order
+from quire.llm.tokens import written_order
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return training_order(docs)
+    return written_order(docs)
 
 
 STAGES = [

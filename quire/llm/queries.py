@@ -13,7 +13,7 @@ from quire.llm.licenses import scan_licenses
 from quire.llm.mixing import plan_mix
 from quire.llm.near_dup import near_duplicates
 from quire.llm.sharding import shard_rows
-from quire.llm.tokens import training_order
+from quire.llm.tokens import written_order
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -43,7 +43,7 @@ def op1_quality(spark, sf):
 
 @query
 def op2_training_order(spark, sf):
-    return training_order(_table(spark, sf, "documents"))
+    return written_order(_table(spark, sf, "documents"))
 
 
 @query

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from quire.llm.stage import stage
 from quire.llm.words import mix
-from quire.session import share_code
+from quire.session import share_code, shared_dir
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how the vocabulary's texts are cut before pairs are merged.
@@ -170,9 +170,20 @@ def training_order(
     return placed.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot")
 
 
-def write_shards(ordered: DataFrame, uri: str, length: int = LENGTH) -> DataFrame:
+def written_order(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
+    """The rows of ``training_order``; whoever reads them all has also written the shards.
+
+    Those are in a folder ``shards-...`` of its own below ``spark.checkpoint.dir``.
+    """
+    ordered = training_order(docs, length=length, **options)
+    return write_shards(ordered, shared_dir(docs.sparkSession, "shards"), length, rows=True)
+
+
+def write_shards(ordered: DataFrame, uri: str, length: int = LENGTH, rows: bool = False) -> DataFrame:
     """Write ``shard-00000.bin`` and so on below ``uri``; returns shard, records, bytes.
 
+    With ``rows`` it returns the rows of ``ordered`` themselves.
+
     ``uri`` is a folder that all executors share, of a file system that pyarrow opens.
     A task writes each of its shards under a name of its own and renames it when it is
     whole, so a repeated task replaces the file by an equal one.
@@ -200,9 +211,15 @@ def write_shards(ordered: DataFrame, uri: str, length: int = LENGTH) -> DataFram
                     sink = fs.open_output_stream(f"{base}/.shard-{shard:05d}.{attempt}")
                 sink.write(tokens.as_buffer())
                 count += 1
+            if rows:
+                yield batch
         close()
+        if rows:
+            return
         columns = zip(*done) if done else ((), (), ())
         kinds = (pa.int32(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["shard", "records", "bytes"])
 
+    if rows:
+        return ordered.mapInArrow(write, ordered.schema)
     return ordered.select("shard", "tokens").mapInArrow(write, "shard int, records long, bytes long")

@@ -79,6 +79,20 @@ def test_tokens_round_trip(spark, tmp_path):
     assert Counter(tuple(p.tolist()) for p in pieces) == Counter(tuple(plain.encode_ordinary(t)) for t in texts)
 
 
+def test_queries_write_the_shards(spark, tmp_path, monkeypatch):
+    docs = table(spark, "documents")
+    runs = {"op2": lambda: queries()["op2_training_order"](spark, SF), "pipeline": lambda: corpus_pipeline.token_output(spark, docs, SF)}
+    for name, run in runs.items():
+        monkeypatch.setattr(tokens, "shared_dir", lambda session, purpose: f"file://{tmp_path}/{name}-{purpose}")
+        shards = defaultdict(dict)
+        for r in run().collect():
+            shards[r["shard"]][r["record"]] = bytes(r["tokens"])
+        assert len(shards) and len(list((tmp_path / f"{name}-shards").iterdir())) == len(shards)
+        for shard, records in shards.items():
+            whole = b"".join(records[k] for k in range(len(records)))
+            assert (tmp_path / f"{name}-shards" / f"shard-{shard:05d}.bin").read_bytes() == whole
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 1000, 4097])
 def test_feistel_is_a_permutation(n):
     assert sorted(tokens.feistel(np.arange(n), n)) == list(range(n))
