@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quire.llm import cross_entropy, language, quality
 from quire.llm.decontaminate import contamination
+from quire.llm.divergence import source_divergence
 from quire.llm.exact_dup import exact_duplicates
 from quire.llm.licenses import scan_licenses
 from quire.llm.mixing import plan_mix
@@ -101,3 +102,8 @@ def op9_mixing(spark, sf):
 @query
 def op10_sharding(spark, sf):
     return shard_rows(_table(spark, sf, "documents"))
+
+
+@query
+def op13_source_divergence(spark, sf):
+    return source_divergence(_table(spark, sf, "documents"))
