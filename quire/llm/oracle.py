@@ -72,6 +72,95 @@ FROM d LEFT JOIN p USING (doc_id) LEFT JOIN m USING (doc_id)
 """
 
 
+#: The crc32 table is worked out by its polynomial; the least edits by places of the
+#: pattern (0 the start, 1 after s, 2 after u, 3 after a), one turn after the other.
+REPAIR = r"""
+WITH RECURSIVE t AS (
+  SELECT list_transform(range(256), lambda x: list_reduce([x::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)) AS crc
+),
+h AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_concat([4294967295::BIGINT],
+      list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ord(x)::BIGINT)),
+      lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) % 20 AS fault
+  FROM conversations, t
+),
+d AS (
+  SELECT conv_id, turn, fault, k, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+    CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM h, (VALUES (1), (2)) AS copies(k) WHERE fault <> 0 AND (k = 1 OR fault = 3)
+),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS i FROM d),
+m AS (
+  SELECT *, left(role, 1) AS x, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS shown,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS px
+  FROM o
+),
+f AS (
+  SELECT *, CASE WHEN shown = '' THEN 'blank' WHEN seen THEN 'duplicate' WHEN right(shown, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault1
+  FROM m
+),
+counts AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault1 = 'blank') AS blank, count(*) FILTER (fault1 = 'duplicate') AS duplicate,
+    count(*) FILTER (fault1 = 'truncated') AS truncated,
+    count(*) FILTER (px IS NOT NULL AND px || x NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM f GROUP BY conv_id
+),
+ins(p, q, c, a) AS (
+  VALUES (0, 0, 0, ''), (1, 1, 0, ''), (2, 2, 0, ''), (3, 3, 0, ''), (0, 2, 2, 'I'), (0, 3, 4, 'II'), (1, 2, 2, 'I'), (1, 3, 4, 'II'),
+    (2, 3, 2, 'I'), (3, 2, 2, 'I')
+),
+step(p, q, x) AS (VALUES (0, 1, 's'), (0, 2, 'u'), (1, 2, 'u'), (3, 2, 'u'), (2, 3, 'a')),
+edits AS (
+  SELECT conv_id, i, p, p AS q, 3 AS c, 'D' AS a FROM f, (VALUES (0), (1), (2), (3)) AS places(p)
+  UNION ALL
+  SELECT conv_id, i, p, q, (fault1 IS NOT NULL)::INT, 'K' FROM f JOIN step USING (x) WHERE coalesce(fault1, 'truncated') = 'truncated'
+  UNION ALL
+  SELECT conv_id, i, p, q, 2 + (fault1 IS NOT NULL)::INT, 'R' FROM f, step WHERE step.x <> 's' AND coalesce(fault1, 'truncated') = 'truncated'
+),
+moves AS (
+  SELECT conv_id, i, ins.p, edits.q, min({'c': ins.c + edits.c, 'a': ins.a || edits.a}) AS e
+  FROM edits JOIN ins ON ins.q = edits.p GROUP BY ALL
+),
+least AS (
+  SELECT conv_id, 0::BIGINT AS i, 0 AS q, {'c': 0, 'a': ''} AS e FROM counts
+  UNION ALL
+  SELECT s.conv_id, m.i, m.q, min({'c': s.e.c + m.e.c, 'a': s.e.a || m.e.a})
+  FROM least s JOIN moves m ON m.conv_id IS NOT DISTINCT FROM s.conv_id AND m.i = s.i + 1 AND m.p = s.q
+  GROUP BY s.conv_id, m.i, m.q
+),
+best AS (
+  SELECT s.conv_id, min({'c': s.e.c + ins.c, 'a': s.e.a || ins.a}) AS e
+  FROM least s JOIN counts ON counts.conv_id IS NOT DISTINCT FROM s.conv_id AND s.i = n JOIN ins ON ins.p = s.q AND ins.q IN (0, 3)
+  GROUP BY s.conv_id
+),
+marks AS (
+  SELECT conv_id, e.a AS a, len(replace(e.a, 'D', '')) % 2 AS s, unnest(string_split(e.a, '')) AS y, generate_subscripts(string_split(e.a, ''), 1) AS j
+  FROM best WHERE e.a <> ''
+),
+places AS (
+  SELECT *, sum((y <> 'I')::INT) OVER w AS i, sum((y <> 'D')::INT) OVER w AS place
+  FROM marks WINDOW w AS (PARTITION BY conv_id ORDER BY j)
+),
+turns AS (
+  SELECT p.conv_id, p.place,
+    CASE WHEN y = 'K' THEN f.role WHEN (p.place - s) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN y = 'I' THEN '' ELSE f.text END AS line
+  FROM places p LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.i = p.i AND y <> 'I'
+  WHERE y <> 'D'
+),
+repaired AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY place) AS text FROM turns GROUP BY conv_id),
+ids AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT ids.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(e.c, 0)::BIGINT AS cost,
+  coalesce(e.a, '') AS audit, sha256(coalesce(repaired.text, '')) AS repaired_sha256
+FROM ids LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM ids.conv_id
+LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN repaired ON repaired.conv_id IS NOT DISTINCT FROM ids.conv_id
+"""
+
+
 DIVERGENCE = r"""
 WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
 o AS (
@@ -149,5 +238,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_exact_duplicates": EXACT,
         "op5_decontamination": DECONTAMINATION,
         "op8_licenses": _licenses(),
+        "op12_conversation_repair": REPAIR,
         "op13_source_divergence": DIVERGENCE,
     }

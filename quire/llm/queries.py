@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.llm import cross_entropy, language, quality
+from quire.llm import cross_entropy, language, quality, rules
+from quire.llm.conversations import damage, repair_audit
 from quire.llm.decontaminate import contamination
 from quire.llm.divergence import source_divergence
 from quire.llm.exact_dup import exact_duplicates
@@ -104,6 +105,19 @@ def op10_sharding(spark, sf):
     return shard_rows(_table(spark, sf, "documents"))
 
 
+@query
+def op11_quality_rules(spark, sf):
+    docs, labels = _table(spark, sf, "documents"), _table(spark, sf, "labels")
+    judged = rules.judge(docs, rules.train(docs, labels.select("doc_id", F.col("quality").alias("label"))))
+    return judged.select("doc_id", *rules.COUNTS, "base_failed", "kept", "probability", "review")
+
+
+@query
+def op12_conversation_repair(spark, sf):
+    audits = repair_audit(damage(_table(spark, sf, "conversations")))
+    return audits.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
 @query
 def op13_source_divergence(spark, sf):
     return source_divergence(_table(spark, sf, "documents"))

@@ -36,21 +36,22 @@ class Alphabet:
     """Which bytes belong to words.
 
     ``kinds`` gives each byte a kind: 0 for separators; a word is a longest run of bytes
-    of one other kind.  A-Z count as a-z.
+    of one other kind.  A-Z count as a-z, unless ``fold`` is off.
     """
 
-    def __init__(self, kinds: np.ndarray) -> None:
+    def __init__(self, kinds: np.ndarray, fold: bool = True) -> None:
         self.kinds = kinds.astype(np.uint8)
         folded = np.arange(256)
-        folded[65:91] += 32
+        if fold:
+            folded[65:91] += 32
         self.codes = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_ODD))[folded]
 
     @staticmethod
-    def unspaced() -> Alphabet:
+    def unspaced(fold: bool = True) -> Alphabet:
         """Words ``[^\\x20\\x09-\\x0D]+``."""
         kinds = np.ones(256)
         kinds[[0x20, *range(0x09, 0x0E)]] = 0
-        return Alphabet(kinds)
+        return Alphabet(kinds, fold)
 
     @staticmethod
     def alphanumeric() -> Alphabet:
