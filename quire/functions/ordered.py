@@ -63,29 +63,41 @@ def running_sum(
 
 
 def last_before(
-    df: DataFrame, keys: Sequence[str], order: str, value: Column, name: str, block: int = BLOCK
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    value: Column | dict[str, Column],
+    name: str | None = None,
+    block: int = BLOCK,
 ) -> DataFrame:
-    """Add ``name``: the latest non-NULL ``value`` in an earlier row of the same key."""
+    """Add ``name``: the latest non-NULL ``value`` in an earlier row of the same key.
+
+    ``value`` may be several values by name, which then share their passes.
+    """
     keys = list(keys)
-    blocked = df.withColumn(_KEY, _block_key(keys, order, block)).withColumn("__value", value)
+    values = value if isinstance(value, dict) else {name: value}
+    held = {n: f"__value_{k}" for k, n in enumerate(values)}
+    blocked = df.withColumn(_KEY, _block_key(keys, order, block)).select("*", *[v.alias(held[n]) for n, v in values.items()])
     # One row per block, also for blocks without a value, so that each has its carry.
     tails = blocked.groupBy(_KEY).agg(
-        F.max_by("__value", F.when(F.col("__value").isNotNull(), F.col(order))).alias("__tail")
+        *[F.max_by(h, F.when(F.col(h).isNotNull(), F.col(order))).alias(h) for h in held.values()]
     )
     before = _earlier_blocks(keys)
-    carry = tails.select(_KEY, F.last("__tail", ignorenulls=True).over(before).alias("__carry"))
+    carry = tails.select(_KEY, *[F.last(h, ignorenulls=True).over(before).alias(f"__carry{h}") for h in held.values()])
     local = Window.partitionBy(_KEY).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        blocked.join(carry, _KEY)
-        .withColumn(name, F.coalesce(F.last("__value", ignorenulls=True).over(local), F.col("__carry")))
-        .drop(_KEY, "__value", "__carry")
-    )
+    latest = [F.coalesce(F.last(h, ignorenulls=True).over(local), F.col(f"__carry{h}")).alias(n) for n, h in held.items()]
+    return blocked.join(carry, _KEY).select(*[F.col(f"`{c}`") for c in df.columns if c not in values], *latest)
 
 
 def ordered_join(order: Column, part: Column, sep: str) -> Column:
-    """Aggregate: the parts of a group in order, NULL parts left out."""
+    """Aggregate: the parts of a group in order, NULL parts left out; NULL without any.
+
+    A group without parts is no empty part: joined with its neighbours it must not leave a
+    separator behind.
+    """
     pairs = F.collect_list(F.when(part.isNotNull(), F.struct(order.alias("o"), part.alias("p"))))
-    return F.array_join(F.transform(F.sort_array(pairs), lambda x: x["p"]), sep)
+    parts = F.transform(F.sort_array(pairs), lambda x: x["p"])
+    return F.when(F.count(part) > 0, F.array_join(parts, sep))
 
 
 def assemble(
@@ -98,11 +110,15 @@ def assemble(
     """Join string columns in order into bodies, one row per key and segment.
 
     ``columns`` maps each part column to its separator.  Joining the segments of a key
-    in order with the same separator gives the whole body.
+    in order with the same separator gives the whole body.  A segment in which nothing is
+    shown has no row.
     """
     segment = block_of(order, rows).alias("segment")
-    return parts.groupBy(*keys, segment).agg(
-        *[ordered_join(F.col(order), F.col(c), sep).alias(c) for c, sep in columns.items()]
+    shown = F.coalesce(*[F.col(c) for c in columns]).isNotNull()
+    return (
+        parts.filter(shown)
+        .groupBy(*keys, segment)
+        .agg(*[ordered_join(F.col(order), F.col(c), sep).alias(c) for c, sep in columns.items()])
     )
 
 

@@ -50,12 +50,12 @@ def reindex(elements: DataFrame) -> DataFrame:
 
 
 def first_elements(elements: DataFrame, n: int = 5, chars: int = 300) -> DataFrame:
-    """Preview of the first ``n`` positions; blank rows are dropped after the cut.
+    """Preview of the first ``n`` rows of each document; blank rows are dropped after the cut.
 
-    Positions are dense, so the cut is a filter that reaches the scan, not a window.
+    Rows are counted, as positions may have gaps or begin late.
     """
     text = strip(F.col("text"))
-    return nonempty(elements.filter(F.col("element_index") < n)).select(
+    return nonempty(first_rows(elements, n)).select(
         *KEY,
         "element_type",
         F.when(F.length(text) > chars, F.concat(F.substring(text, 1, chars), F.lit("..."))).otherwise(text).alias("preview"),

@@ -77,12 +77,17 @@ def _note(text: Column, note: Column | str) -> Column:
 
 def rag_rows(elements: DataFrame, *more: Column) -> DataFrame:
     """One row per exportable element: the metadata keys and ``content``, undescribed.  Narrow."""
+    return exportable(elements).select("doc_id", *[c.alias(k) for k, c in rag_columns(elements).items()], *more)
+
+
+def rag_columns(elements: DataFrame) -> dict[str, Column]:
+    """The metadata keys and ``content`` of an element, undescribed."""
     text = strip(F.col("text"))
     digest = F.when(is_image(), payload_hash(elements))
     pictured = digest.isNotNull()
     links = F.size(truthy_array(F.col("links")))
     link_count = F.when(links > 0, links)
-    columns = {
+    return {
         "source": F.coalesce(truthy_text(F.col("filename")), F.col("source")),
         "element_index": F.col("element_index"),
         "element_type": F.col("element_type"),
@@ -103,10 +108,16 @@ def rag_rows(elements: DataFrame, *more: Column) -> DataFrame:
         "image_described": F.when(is_image(), False),
         "vision_model": F.lit(None).cast("string"),
         "vision_cost_estimate": F.lit(None).cast("double"),
+        "content": text,
     }
-    return exportable(elements).select(
-        "doc_id", *[c.alias(k) for k, c in columns.items()], text.alias("content"), *more
-    )
+
+
+def rag_line(elements: DataFrame) -> Column:
+    """The JSON line of an exportable element itself, with the note on pictures."""
+    columns = rag_columns(elements)
+    content = F.when(is_image(), _note(columns["content"], NOTE_NOT_DESCRIBED)).otherwise(columns["content"])
+    meta = F.struct(*[columns[k].alias(k) for k in METADATA_KEYS])
+    return F.to_json(F.struct(meta.alias("metadataAttributes"), content.alias("content")))
 
 
 def with_hints(rows: DataFrame) -> DataFrame:
@@ -299,6 +310,9 @@ def orphan_references(documents: DataFrame, manifest: DataFrame) -> DataFrame:
     return wanted.join(known, ["doc_id", "image_hash"], "left_anti").select("doc_id", "element_index", "image_hash")
 
 
+_NOT_GIVEN = "CAST(NULL AS struct<description:string,model:string,cost_estimate:double>)"
+
+
 def inline_rag(elements: DataFrame, descriptions: DataFrame | None = None) -> DataFrame:
     """The inline export: every element, blank ones and page breaks too.
 
@@ -307,19 +321,18 @@ def inline_rag(elements: DataFrame, descriptions: DataFrame | None = None) -> Da
     """
     rows = elements.withColumn("__hash", F.when(is_image(), payload_hash(elements)))
     if descriptions is None:
-        given = "CAST(NULL AS struct<description:string,model:string,cost_estimate:double>)"
-        return _inline_rows(rows.withColumn("__d", F.expr(given)))
+        return _inline_rows(rows.withColumn("__d", F.expr(_NOT_GIVEN)))
     described_by = F.min(F.struct("description", "model", "cost_estimate")).alias("__d")
     unique = one_per_key(descriptions.withColumnRenamed("image_hash", "__hash"), ["__hash"], described_by)
     pictured = _inline_rows(rows.filter("__hash IS NOT NULL").join(unique, "__hash", "left"))
     return pictured.unionByName(inline_rag(elements.filter(F.when(is_image(), payload_hash(elements)).isNull())))
 
 
-def _inline_rows(rows: DataFrame) -> DataFrame:
+def _inline_columns(digest: Column, given: Column) -> dict[str, Column]:
+    """Columns of the inline export from a payload's hash and what describes it, if anything."""
     text = strip(F.coalesce("text", F.lit("")))
-    digest = F.col("__hash")
     available = digest.isNotNull()
-    description = truthy_text(F.col("__d.description"))
+    description = truthy_text(given["description"])
     described = description.isNotNull()
     content = (
         F.when(~is_image(), text)
@@ -330,35 +343,47 @@ def _inline_rows(rows: DataFrame) -> DataFrame:
         .when(available, _note(text, F.concat(F.lit(INLINE_AVAILABLE[0]), digest, F.lit(INLINE_AVAILABLE[1]))))
         .otherwise(_note(text, INLINE_MISSING))
     )
-    return rows.select(
-        "doc_id",
-        "element_index",
-        (F.col("element_index") + 1).alias("element_id"),
-        "element_type",
-        F.col("source").alias("source_file"),
-        truthy_number(F.col("page_number")).alias("page"),
-        F.when(is_image(), available).alias("image_available"),
-        digest.alias("image_hash"),
-        F.when(is_image(), described).alias("image_described"),
-        F.when(described, F.col("__d.model")).alias("vision_model"),
-        F.when(described, F.col("__d.cost_estimate")).alias("vision_cost_estimate"),
-        content.alias("content"),
-    )
+    return {
+        "element_id": F.col("element_index") + 1,
+        "element_type": F.col("element_type"),
+        "source_file": F.col("source"),
+        "page": truthy_number(F.col("page_number")),
+        "image_available": F.when(is_image(), available),
+        "image_hash": digest,
+        "image_described": F.when(is_image(), described),
+        "vision_model": F.when(described, given["model"]),
+        "vision_cost_estimate": F.when(described, given["cost_estimate"]),
+        "content": content,
+    }
+
+
+def _inline_rows(rows: DataFrame) -> DataFrame:
+    columns = _inline_columns(F.col("__hash"), F.col("__d"))
+    return rows.select("doc_id", "element_index", *[c.alias(k) for k, c in columns.items()])
+
+
+INLINE_KEYS = (
+    "element_id",
+    "element_type",
+    "source_file",
+    "page",
+    "image_available",
+    "image_hash",
+    "image_described",
+    "vision_model",
+    "vision_cost_estimate",
+)
 
 
 def inline_json() -> Column:
-    meta = F.struct(
-        "element_id",
-        "element_type",
-        "source_file",
-        "page",
-        "image_available",
-        "image_hash",
-        "image_described",
-        "vision_model",
-        "vision_cost_estimate",
-    )
-    return F.to_json(F.struct(meta.alias("metadataAttributes"), "content"))
+    return F.to_json(F.struct(F.struct(*INLINE_KEYS).alias("metadataAttributes"), "content"))
+
+
+def inline_line(elements: DataFrame) -> Column:
+    """The inline JSON object of an element itself, without descriptions."""
+    columns = _inline_columns(F.when(is_image(), payload_hash(elements)), F.expr(_NOT_GIVEN))
+    meta = F.struct(*[columns[k].alias(k) for k in INLINE_KEYS])
+    return F.to_json(F.struct(meta.alias("metadataAttributes"), columns["content"].alias("content")))
 
 
 def inline_rag_stats(rows: DataFrame) -> DataFrame:

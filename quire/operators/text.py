@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quire.functions.text import (
@@ -18,12 +20,13 @@ from quire.functions.text import (
 )
 
 CONTEXT_CHARS = 100
-# Kind, pattern, and a substring without which the pattern cannot match.
+# Kind, pattern, and a condition that every text with a match meets: a phone number of
+# any notation begins with the three digits of an area code.
 CONTACTS = (
-    ("email", EMAIL, "@"),
-    ("phone", US_PHONE, "("),
-    ("ip", IPV4, "."),
-    ("url", URL, "http"),
+    ("email", EMAIL, lambda text: F.contains(text, F.lit("@"))),
+    ("phone", US_PHONE, lambda text: text.rlike("[2-9][0-9]{2}")),
+    ("ip", IPV4, lambda text: F.contains(text, F.lit("."))),
+    ("url", URL, lambda text: F.contains(text, F.lit("http"))),
 )
 
 
@@ -53,10 +56,10 @@ def contacts(elements: DataFrame, kinds: tuple[str, ...] = ("email", "phone", "i
     """All matches of the asked kinds, one row each, from a single pass over the text."""
     text = F.col("__text")
 
-    def found(kind: str, pattern: str, needed: str) -> Column:
+    def found(kind: str, pattern: str, needed: Callable[[Column], Column]) -> Column:
         hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
         rows = F.transform(hits, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
-        return F.when(F.contains(text, F.lit(needed)), rows).otherwise(F.array().cast("array<struct<kind:string,value:string>>"))
+        return F.when(needed(text), rows).otherwise(F.array().cast("array<struct<kind:string,value:string>>"))
 
     lists = [found(*c) for c in CONTACTS if c[0] in kinds]
     return (
@@ -70,7 +73,7 @@ def contact_totals(elements: DataFrame) -> DataFrame:
     """Matches per kind and document; documents without any keep a row of zeros."""
     text = strip(F.col("text"))
     counts = {
-        kind: F.when(F.contains(text, F.lit(needed)), F.regexp_count(text, F.lit(pattern))).otherwise(0)
+        kind: F.when(needed(text), F.regexp_count(text, F.lit(pattern))).otherwise(0)
         for kind, pattern, needed in CONTACTS
     }
     names = {"email": "total_emails", "phone": "total_phones", "ip": "total_ips", "url": "total_urls"}

@@ -33,17 +33,27 @@ def text_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def html_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages; every third one gets a table, some text and a picture at its end."""
+    """The pages; of three, one gets a table, some text and a picture at its end, and one
+    nested lists and tables, other quotes and names, and text around a block.
+    """
     pages = table(spark, sf_dir, "pages")
-    more = F.concat(F.lit("<table><tr><td>"), "url", F.lit('</td><td>2</td></tr></table>&#8364; &lt;tail&gt; <img src="i.png?a=1&amp;b=2" alt="A &amp; B">'))
-    html = F.when(F.col("page_id") % 3 == 0, F.concat("html", more)).otherwise(F.col("html"))
+    simple = F.concat(F.lit("<table><tr><td>"), "url", F.lit('</td><td>2</td></tr></table>&#8364; &lt;tail&gt; <img src="i.png?a=1&amp;b=2" alt="A &amp; B">'))
+    nested = F.concat(
+        F.lit("<ul><li>out <a href='u1' title=\"a>b\">one</a><ol><li>in <strong>&Uuml;n&iuml;</strong></ol>again</li></ul>"),
+        F.lit('<table><tr><td>a<table><tr><td><a href="u 2">'), "url", F.lit("</a></td></tr></table></td><td>b</td></tr></table>"),
+        F.lit("<div>lead<p><em>para</em></p>trail <IMG alt='it&apos;s' src=p.png></div>"),
+    )
+    added = F.when(F.col("page_id") % 3 == 0, simple).when(F.col("page_id") % 3 == 1, nested).otherwise("")
+    html = F.concat("html", added)
     return partition_html(pages.select(F.col("page_id").alias("doc_id"), F.col("url").alias("source"), html.alias("html")))
 
 
 def sectioned_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines with a Title at every ninth position."""
-    kind = F.when(F.col("element_index") % 9 == 0, "Title").otherwise(F.col("element_type"))
-    return text_elements(spark, sf_dir).withColumn("element_type", kind)
+    """Lines with a Title at every ninth position, of four depths, some without one."""
+    i = F.col("element_index")
+    kind = F.when(i % 9 == 0, "Title").otherwise(F.col("element_type"))
+    depth = F.when((i % 9 == 0) & (i % 5 != 3), F.pmod(F.col("doc_id") * 3 + i / 9, F.lit(4)).cast("int"))
+    return text_elements(spark, sf_dir).withColumn("element_type", kind).withColumn("category_depth", depth)
 
 
 def page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,7 +162,8 @@ def slides(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when((k == 1) & (d % 10 == 0), F.lit("  ")).otherwise(t).alias("text"),
             (k != 2).alias("has_text_frame"),
             (k * 400000).cast("long").alias("top"),
-            F.when(k == 1, 4).when(k == 2, 12).when(k == 3, 13).when(k == 4, 4).alias("placeholder_type"),
+            # Every fourth slide has no placeholders.
+            F.when(F.col("slide") % 4 == 1, None).when(k == 1, 4).when(k == 2, 12).when(k == 3, 13).when(k == 4, 4).cast("int").alias("placeholder_type"),
             ((k == 1) & (d % 2 == 0)).alias("has_table"),
             image.alias("image_base64"),
             F.when(k == 2, "image/jpeg").alias("content_type"),
@@ -274,3 +285,16 @@ def parses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(d % 7 != 3, F.col("text")).alias("specific_text"),
         F.when(d % 21 != 3, F.col("text")).alias("generic_text"),
     )
+
+
+def uploads(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Three uploads (doc_id, upload, source, text): all documents; every third with a line
+    before its text and every fifth deleted; and some of the first ones again, late.
+    """
+    d = F.col("doc_id")
+    raw = raw_documents(spark, sf_dir)
+    first = raw.select("doc_id", F.lit(1).cast("long").alias("upload"), "source", "text")
+    text = F.when(d % 5 != 0, F.concat(F.lit("Neue Fassung\n"), "text"))
+    second = raw.select("doc_id", F.lit(2).cast("long").alias("upload"), "source", text.alias("text"), ((d % 3 == 0) | (d % 5 == 0)).alias("changed"))
+    again = first.withColumn("changed", d % 7 == 0)
+    return [first, *[x.filter("changed").drop("changed") for x in (second, again)]]

@@ -7,6 +7,8 @@ windows for running values.  Templates and word lists are data and are shared.
 
 from __future__ import annotations
 
+import re
+
 from quire.functions import markup as m
 from quire.functions.images import HASH_PREFIX_CHARS
 from quire.functions.ordered import IMAGE_SEGMENT_ROWS, SEGMENT_ROWS
@@ -16,7 +18,7 @@ from quire.operators.chunking import MAX_CHARACTERS as MAX, NEW_AFTER_N_CHARS as
 from quire.operators.export import BASE64_PREVIEW_CHARS, BASE_FIELDS, OUTPUT_SUFFIXES
 from quire.operators.images import IMPORT_INFO, RAG_FORMAT
 from quire.plans.derived import FILE_EXTENSIONS
-from quire.sources.documents import BLOCK_TAGS, ENTITIES, HIDDEN_HTML
+from quire.schema import ELEMENT_COLUMNS
 from quire.sources.files import ACCEPTED_TYPES
 
 
@@ -93,7 +95,8 @@ e AS (
   FROM lines)"""
 
 SECTIONED = TEXT + """,
-s AS (SELECT * REPLACE (CASE WHEN element_index % 9 = 0 THEN 'Title' ELSE element_type END AS element_type) FROM e)"""
+s AS (SELECT * REPLACE (CASE WHEN element_index % 9 = 0 THEN 'Title' ELSE element_type END AS element_type),
+  CASE WHEN element_index % 9 = 0 AND element_index % 5 <> 3 THEN CAST((doc_id * 3 + element_index // 9) % 4 AS INTEGER) END AS category_depth FROM e)"""
 
 _SITE = "'https://example.org/' || doc_id || '/' || i"
 RICH = f"""{TEXT},
@@ -142,6 +145,7 @@ r AS (
     CASE WHEN doc_id % 2 = 0 THEN 'text/plain' END AS filetype
   FROM k)"""
 
+RICH_FIELDS = set(re.findall(r"AS (\w+)[,\n]", RICH[RICH.index("r AS (") :])) | {"doc_id", "source", "element_uid"}
 S = strip("text")
 PREFIX_HASH = f"md5(substring(image_base64, 1, {HASH_PREFIX_CHARS}))"
 HASH = "substring(md5(image_base64), 1, 16)"
@@ -340,15 +344,15 @@ def bracketed(json: str) -> str:
 
 
 RENDER_HTML = f"""SELECT doc_id, segment, {paged('html')} AS html FROM (
-  SELECT doc_id, segment, {agg('part', NL)} AS html, {FIRST_LAST} FROM h GROUP BY 1, 2)"""
-RENDER_MD = f"SELECT doc_id, {seg(IMAGE_SEGMENT_ROWS)} AS segment, {agg(markdown(True, True), BL)} AS markdown FROM r GROUP BY 1, 2"
+  SELECT doc_id, segment, {agg('part', NL)} AS html, {FIRST_LAST} FROM h GROUP BY 1, 2) WHERE html IS NOT NULL OR opens OR closes"""
+RENDER_MD = f"SELECT doc_id, {seg(IMAGE_SEGMENT_ROWS)} AS segment, {agg(markdown(True, True), BL)} AS markdown FROM r GROUP BY 1, 2 HAVING markdown IS NOT NULL"
 
 SLIDES = f"""{LINES},
 sh AS (
   SELECT doc_id, CAST(i // 5 + 1 AS INTEGER) AS slide, i % 5 AS k, line,
     CASE WHEN i % 5 = 1 AND doc_id % 10 = 0 THEN '  ' ELSE line END AS t,
     CASE WHEN doc_id % 3 <> 0 THEN 'Shape ' || (i % 5) END AS name,
-    CASE i % 5 WHEN 1 THEN 4 WHEN 2 THEN 12 WHEN 3 THEN 13 WHEN 4 THEN 4 END AS ph
+    CASE WHEN (i // 5 + 1) % 4 <> 1 THEN CASE i % 5 WHEN 1 THEN 4 WHEN 2 THEN 12 WHEN 3 THEN 13 WHEN 4 THEN 4 END END AS ph
   FROM lines),
 sd AS (
   SELECT doc_id, slide, 'Layout ' || (slide % 4) AS layout_name,
@@ -395,6 +399,13 @@ def _after_lines(ctes: str) -> str:
     return ctes[len(LINES) + 1 :].lstrip(", \n")
 
 
+# The twin of the HTML partition cuts at a few block tags, which is enough for the given
+# pages; what the derived table adds to them is listed row by row.
+BLOCK_TAGS = "h[1-6]|p|li|div|header|footer"
+HIDDEN_HTML = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>"
+ENTITIES = (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
+
+
 def unescape(x: str) -> str:
     for entity, char in ENTITIES:
         x = f"replace({x}, {lit(entity)}, {lit(char)})"
@@ -406,6 +417,32 @@ def plain(x: str) -> str:
     return rf"trim(regexp_replace({spaced}, '\s+', ' ', 'g'))"
 
 
+def _added(rows: tuple) -> str:
+    """Rows that the derived table puts after a page's own, as a VALUES list."""
+    cells = lambda r: ", ".join(x if isinstance(x, str) else "NULL" for x in r)
+    return ",\n    ".join(f"({k}, {cells(r)})" for k, r in enumerate(rows))
+
+
+_NONE = "CAST([] AS VARCHAR[])"
+# Text, type, depth, links, link texts, emphasis, picture, table; by page number modulo 3.
+ADDED_HTML = {
+    0: (
+        ("url || ' 2'", "'Table'", None, _NONE, _NONE, _NONE, None, "'<table><tr><td>' || url || '</td><td>2</td></tr></table>'"),
+        ("'€ <tail>'", "'Text'", None, _NONE, _NONE, _NONE, None, None),
+        ("'A & B'", "'Image'", None, _NONE, _NONE, _NONE, "'i.png?a=1&b=2'", None),
+    ),
+    1: (
+        ("'out one'", "'ListItem'", "0", "['u1']", "['one']", _NONE, None, None),
+        ("'in Ünï'", "'ListItem'", "1", _NONE, _NONE, "['Ünï']", None, None),
+        ("'again'", "'ListItem'", "0", _NONE, _NONE, _NONE, None, None),
+        ("'a ' || url || ' b'", "'Table'", None, "['u 2']", "[url]", _NONE, None,
+         "'<table><tr><td>a<table><tr><td><a href=\"u 2\">' || url || '</a></td></tr></table></td><td>b</td></tr></table>'"),
+        ("'lead'", "'Text'", None, _NONE, _NONE, _NONE, None, None),
+        ("'para'", "'NarrativeText'", None, _NONE, _NONE, "['para']", None, None),
+        ("'trail'", "'Text'", None, _NONE, _NONE, _NONE, None, None),
+        ("'it''s'", "'Image'", None, _NONE, _NONE, _NONE, "'p.png'", None),
+    ),
+}
 _HREF = '(?i)<a\\b[^>]*href="([^"]*)"'
 _ANCHOR = '(?is)<a\\b[^>]*href="[^"]*"[^>]*>(.*?)</a>'
 HTML = rf"""p0 AS (
@@ -420,19 +457,20 @@ h0 AS (
   SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INTEGER) AS element_index, text,
     CASE tag WHEN 'p' THEN 'NarrativeText' WHEN 'li' THEN 'ListItem' WHEN 'header' THEN 'Header' WHEN 'footer' THEN 'Footer'
          ELSE CASE WHEN tag LIKE 'h_' THEN 'Title' ELSE 'Text' END END AS element_type,
-    CASE WHEN tag LIKE 'h_' THEN CAST(substring(tag, 2, 1) AS INTEGER) - 1 END AS category_depth,
+    CASE WHEN tag LIKE 'h_' THEN CAST(substring(tag, 2, 1) AS INTEGER) - 1 WHEN tag = 'li' THEN 0 END AS category_depth,
     list_transform(regexp_extract_all(html, {lit(_HREF)}, 1), lambda u: {unescape('u')}) AS link_urls,
     list_transform(regexp_extract_all(html, {lit(_ANCHOR)}, 1), lambda u: {plain('u')}) AS link_texts,
     list_filter(list_transform(regexp_extract_all(html, '(?i)<b>([^<]+)', 1), lambda u: {plain('u')}), lambda u: u <> '') AS strong,
     CAST(NULL AS VARCHAR) AS image_url, CAST(NULL AS VARCHAR) AS text_as_html
   FROM p3 WHERE text <> ''),
+pc AS (SELECT page_id, url, coalesce(n, 0) AS n FROM pages LEFT JOIN (SELECT doc_id, count(*) AS n FROM h0 GROUP BY 1) c ON c.doc_id = page_id),
 h AS (
   SELECT * FROM h0
-  UNION ALL BY NAME
-  SELECT page_id AS doc_id, CAST(coalesce(n, 0) + k AS INTEGER) AS element_index, CASE k WHEN 0 THEN url || ' 2' WHEN 1 THEN '€ <tail>' ELSE 'A & B' END AS text,
-    CASE k WHEN 0 THEN 'Table' WHEN 1 THEN 'Text' ELSE 'Image' END AS element_type, [] AS link_urls, [] AS link_texts, [] AS strong,
-    CASE k WHEN 2 THEN 'i.png?a=1&b=2' END AS image_url, CASE k WHEN 0 THEN '<table><tr><td>' || url || '</td><td>2</td></tr></table>' END AS text_as_html
-  FROM pages LEFT JOIN (SELECT doc_id, count(*) AS n FROM h0 GROUP BY 1) c ON c.doc_id = page_id, unnest(range(3)) AS u(k) WHERE page_id % 3 = 0)"""
+  {"".join(f"""UNION ALL BY NAME
+  SELECT page_id AS doc_id, CAST(n + k AS INTEGER) AS element_index, text, element_type, category_depth, link_urls, link_texts, strong, image_url, text_as_html
+  FROM pc, LATERAL (VALUES {_added(rows)})
+    v(k, text, element_type, category_depth, link_urls, link_texts, strong, image_url, text_as_html) WHERE page_id % 3 = {rest}
+  """ for rest, rows in ADDED_HTML.items())})"""
 
 MESSY = rf"""{RICH},
 ms AS (SELECT * REPLACE (
@@ -575,8 +613,9 @@ t AS (SELECT doc_id, element_index, unnest(regexp_extract_all(lower(text), '[a-z
 c AS (SELECT doc_id, element_index, code, count(*) AS n FROM t JOIN sw USING (w) GROUP BY 1, 2, 3),
 b AS (SELECT doc_id, element_index, code FROM c QUALIFY row_number() OVER (PARTITION BY doc_id, element_index ORDER BY n DESC, code) = 1)
 SELECT doc_id, element_index, coalesce(code, 'und') AS language FROM e LEFT JOIN b USING (doc_id, element_index)"""
-    q["parent_links"] = f"""WITH {SECTIONED} SELECT doc_id, element_index, last_value(CASE WHEN element_type = 'Title' THEN element_uid END IGNORE NULLS)
-  OVER (PARTITION BY doc_id ORDER BY element_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS parent_id FROM s"""
+    q["parent_links"] = f"""WITH {SECTIONED} SELECT e.doc_id, e.element_index, arg_max(t.element_uid, t.element_index) AS parent_id
+FROM s e LEFT JOIN s t ON t.doc_id = e.doc_id AND t.element_type = 'Title' AND t.element_index < e.element_index
+  AND (e.element_type <> 'Title' OR coalesce(t.category_depth, 0) < coalesce(e.category_depth, 0)) GROUP BY 1, 2"""
     q["picture_elements"] = f"""WITH {TEXT} SELECT doc_id, element_index, 'Image' AS element_type,
   CASE WHEN element_index % 10 <> 9 THEN 'pic' || element_index ELSE 'PowerPoint-Bild' END AS text,
   CASE WHEN element_index % 15 <> 4 THEN page_number ELSE 1 END AS page_number, {b64('text')} AS image_base64,
@@ -593,10 +632,19 @@ SELECT doc_id, slide, 'Picture (Grouped)', CAST(k AS INTEGER), 0, {b64('line')},
   CASE WHEN doc_id % 7 = 3 THEN 'open_source_local' ELSE 'open_source_pdf_optimized_no_forms' END AS method,
   CASE WHEN doc_id % 7 = 3 AND doc_id % 21 = 3 THEN 'no parser could read the document' END AS error,
   CASE WHEN NOT (doc_id % 7 = 3 AND doc_id % 21 = 3) THEN CAST(len(string_split(text, chr(10))) AS INTEGER) END AS element_count FROM documents"""
-    q["json_roundtrip"] = rich(
-        f"doc_id, element_index, element_type, text, page_number, {joined('languages')} AS languages, links[1].url AS first_link, "
-        "detection_class_prob, CAST(length(image_base64) AS INTEGER) AS payload_chars"
-    )
+    sql_types = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN"}
+
+    def flat(name: str, kind: str) -> str:
+        if name not in RICH_FIELDS:
+            return f"CAST(NULL AS {sql_types.get(kind, 'VARCHAR')}) AS {name}"
+        if name == "image_base64":
+            return "md5(image_base64) AS image_base64"
+        return f"{js(name)} AS {name}" if kind.startswith("array") else name
+
+    q["json_roundtrip"] = rich(", ".join(flat(*x) for x in ELEMENT_COLUMNS.items()))
+    again = "CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN 'Neue Fassung' || chr(10) || text ELSE text END"
+    q["stream_replace"] = f"""WITH up AS (SELECT doc_id, source, lang, {again} AS text FROM documents),
+{TEXT.replace('FROM documents', 'FROM up WHERE text IS NOT NULL')} SELECT doc_id, element_index, element_type, text, page_number FROM e"""
 
     # Sinks and serialisation.
     q["rag_jsonl"] = f"WITH {RAG} SELECT doc_id, element_index, {RAG_LINE} AS line FROM g"
@@ -613,7 +661,7 @@ FROM g QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY element_index) <=
   SELECT doc_id, segment, {agg("t", BL)} AS text, {agg("h", NL)} AS html, {agg("m", BL)} AS markdown, {agg("j", lit(","))} AS json, {FIRST_LAST}
   FROM (SELECT doc_id, element_index, {seg(ROWS)} AS segment, nullif({S}, '') AS t, {html(decorated, decorated)} AS h, {markdown(decorated, decorated)} AS m, {ELEMENT_JSON} AS j FROM r)
   GROUP BY 1, 2)
-SELECT doc_id, segment, coalesce(text, '') AS text, {paged('html')} AS html, coalesce(markdown, '') AS markdown, {bracketed('json')} AS json FROM a"""
+SELECT doc_id, segment, text, CASE WHEN html IS NOT NULL OR opens OR closes THEN {paged('html')} END AS html, markdown, {bracketed('json')} AS json FROM a"""
     q["image_files"] = rich(
         f"doc_id, element_index, {FILE_NAME} AS filename, CAST(octet_length(from_base64(image_base64)) AS INTEGER) AS size_bytes, md5(from_base64(image_base64)) AS content_md5",
         PAYLOAD,
@@ -630,17 +678,33 @@ SELECT doc_id, segment, coalesce(text, '') AS text, {paged('html')} AS html, coa
 SELECT ms.doc_id, source_document, export_date, coalesce(total_elements, 0) AS total_elements, total_images, {lit(RAG_FORMAT)} AS rag_format,
   images_included, {info} FROM ms LEFT JOIN (SELECT doc_id, count(*) AS total_elements FROM g GROUP BY 1) USING (doc_id)"""
     name = lambda f: f"doc_id || {lit(OUTPUT_SUFFIXES[f])} AS out_name"
+    cut = seg(IMAGE_SEGMENT_ROWS)
+    closes = f"{cut} = max({cut}) OVER (PARTITION BY doc_id) AS closes"
     q["output_files"] = f"""WITH {INLINE}, {HTML_IMAGES}
-SELECT doc_id, 'text' AS format, {seg(SEGMENT_ROWS)} AS segment, {name('text')}, {agg(f"nullif({S}, '')", BL)} AS body FROM r GROUP BY 1, 3 HAVING body IS NOT NULL
+SELECT doc_id, 'text' AS format, {cut} AS segment, {name('text')}, {agg(f"nullif({S}, '')", BL)} AS body FROM r GROUP BY 1, 3 HAVING body IS NOT NULL
 UNION ALL SELECT doc_id, 'html', segment, {name('html')}, html FROM ({RENDER_HTML})
-UNION ALL SELECT doc_id, 'markdown', {seg(SEGMENT_ROWS)}, {name('markdown')}, {agg(markdown(False, False), BL)} FROM r GROUP BY 1, 3
+UNION ALL SELECT doc_id, 'markdown', {cut}, {name('markdown')}, {agg(markdown(False, False), BL)} AS body FROM r GROUP BY 1, 3 HAVING body IS NOT NULL
 UNION ALL SELECT doc_id, 'json', segment, {name('json')}, {bracketed('json')} FROM (
-  SELECT doc_id, {seg(SEGMENT_ROWS)} AS segment, {agg(ELEMENT_JSON, lit(','))} AS json, {seg(SEGMENT_ROWS)} = 0 AS opens,
-    {seg(SEGMENT_ROWS)} = max({seg(SEGMENT_ROWS)}) OVER (PARTITION BY doc_id) AS closes FROM r GROUP BY doc_id, {seg(SEGMENT_ROWS)})
+  SELECT doc_id, {cut} AS segment, {agg(ELEMENT_JSON, lit(','))} AS json, {cut} = 0 AS opens, {closes} FROM r GROUP BY doc_id, {cut})
 UNION ALL SELECT doc_id, 'markdown_images', segment, {name('markdown_images')}, markdown FROM ({RENDER_MD})
 UNION ALL SELECT doc_id, 'rag_json', segment, {name('rag_json')}, {bracketed('json')} FROM (
-  SELECT doc_id, {seg(SEGMENT_ROWS)} AS segment, {agg(INLINE_JSON, lit(','))} AS json, {seg(SEGMENT_ROWS)} = 0 AS opens,
-    {seg(SEGMENT_ROWS)} = max({seg(SEGMENT_ROWS)}) OVER (PARTITION BY doc_id) AS closes FROM iq WHERE NOT "describe" GROUP BY doc_id, {seg(SEGMENT_ROWS)})"""
+  SELECT doc_id, {cut} AS segment, {agg(INLINE_JSON, lit(','))} AS json, {cut} = 0 AS opens, {closes} FROM iq WHERE NOT "describe" GROUP BY doc_id, {cut})"""
+    page = f"{lit(m.HTML_OPEN)} || {NL} || coalesce({agg('part', NL)} || {NL}, '') || '</div>'"
+    whole = {
+        "text": f"SELECT doc_id, {agg(f"nullif({S}, '')", BL)} AS body FROM r GROUP BY 1",
+        "html": f"SELECT doc_id, {page} AS body FROM h GROUP BY 1",
+        "markdown": f"SELECT doc_id, {agg(markdown(False, False), BL)} AS body FROM r GROUP BY 1",
+        "json": f"SELECT doc_id, '[' || {agg(ELEMENT_JSON, lit(','))} || ']' AS body FROM r GROUP BY 1",
+        "markdown_images": f"SELECT doc_id, {agg(markdown(True, True), BL)} AS body FROM r GROUP BY 1",
+        "rag_json": f"""SELECT doc_id, '[' || {agg(INLINE_JSON, lit(','))} || ']' AS body FROM iq WHERE NOT "describe" GROUP BY 1""",
+    }
+    files_of = " UNION ALL ".join(
+        f"SELECT {name(f)}, CAST(octet_length(encode(body)) AS BIGINT) AS length, sha256(body) AS sha256 FROM ({body}) WHERE body IS NOT NULL" for f, body in whole.items()
+    )
+    q["written_files"] = f"""WITH {INLINE}, {HTML_IMAGES} {files_of}
+UNION ALL SELECT DISTINCT doc_id || '_images/' || {FILE_NAME}, CAST(octet_length(from_base64(image_base64)) AS BIGINT), sha256(from_base64(image_base64)) FROM r WHERE {PAYLOAD}"""
+    q["package_readback"] = f"""WITH {RAG} SELECT doc_id, element_index, 'line' AS part, md5({RAG_LINE}) AS digest, CAST(NULL AS VARCHAR) AS filename FROM g
+UNION ALL SELECT doc_id, element_index, 'image', md5(from_base64(image_base64)), {PACKED_NAME} FROM r WHERE {PAYLOAD}"""
     q["elements_csv"] = rich(
         f"doc_id, element_index, {quoted('element_type')} || ',' || {quoted('element_uid')} || ',' || {quoted('text')} || ',' || "
         f"coalesce({quoted('page_number')}, '\"\"') AS csv"
@@ -690,8 +754,7 @@ UNION ALL SELECT doc_id, 'rag_json', segment, {name('rag_json')}, {bracketed('js
 
     # Joins and lookups.
     q["slide_layout_join"] = f"WITH {SLIDES}, {LAYOUTS}, {LAYOUT_JOIN} SELECT doc_id, slide, layout_name FROM lj"
-    q["slide_footer_join"] = f"""WITH {SLIDES} SELECT doc_id, slide, CASE WHEN slide % 4 <> 1 THEN footer_text END AS footer_text,
-  slide_number, CASE WHEN slide % 4 <> 1 THEN date_text END AS date_text, CASE WHEN slide % 4 <> 1 THEN notes END AS notes FROM sd"""
+    q["slide_footer_join"] = f"WITH {SLIDES} SELECT doc_id, slide, footer_text, slide_number, date_text, notes FROM sd"
     q["rag_image_join"] = f"""WITH {RAG}, {MANIFEST[len(RICH) + 1:].lstrip()},
 f AS (SELECT doc_id, hash, arg_min(packaged, element_index) AS filename FROM mf GROUP BY 1, 2)
 SELECT g.doc_id, element_index, image_hash, filename FROM g LEFT JOIN f ON g.doc_id = f.doc_id AND g.image_hash = f.hash WHERE image_hash IS NOT NULL"""

@@ -22,7 +22,10 @@ from quire.functions.text import strip
 from quire.operators import chunking, elements as el, export, images, rag, render, slides as sl, text as tx
 from quire.plans import derived as d
 from quire.sources import documents as docs, files as fl, slides as sp
-from quire.streaming.ingest import ingest_available
+from quire.schema import ELEMENT_COLUMNS
+from quire.session import shared_dir
+from quire.streaming.ingest import document_stream, ingest_available
+from quire.streaming.replace import current_elements, replace_elements
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -133,17 +136,13 @@ def quarantine(spark, sf):
 def json_roundtrip(spark, sf):
     rows = d.rich_elements(spark, sf)
     back = docs.elements_from_json(rows.select(F.to_json(F.struct("*")).alias("json")))
-    return back.select(
-        *_doc(
-            "element_type",
-            "text",
-            "page_number",
-            _joined("languages"),
-            F.get("links", F.lit(0))["url"].alias("first_link"),
-            "detection_class_prob",
-            F.length("image_base64").alias("payload_chars"),
-        )
-    )
+
+    def flat(name: str, kind: str) -> Column:
+        if name == "image_base64":
+            return F.md5(name).alias(name)
+        return F.to_json(name).alias(name) if kind.startswith(("array", "map")) else F.col(name)
+
+    return back.select(*[flat(c, kind) for c, kind in ELEMENT_COLUMNS.items()])
 
 
 @query
@@ -151,6 +150,17 @@ def stream_partition(spark, sf):
     return ingest_available(spark, sf, "documents.parquet").select(*_doc("element_type", "text", "page_number"))
 
 
+@query
+def stream_replace(spark, sf):
+    """Uploads that replace, delete and come late, each a file of its own for the stream."""
+    base = shared_dir(spark, "uploads")
+    for k, upload in enumerate(d.uploads(spark, sf)):
+        upload.write.parquet(f"{base}/in/upload-{k}.parquet")
+        stream = document_stream(spark, f"{base}/in/*", schema=upload.schema)
+        replace_elements(stream, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return current_elements(spark, f"{base}/out").select(*_doc("element_type", "text", "page_number"))
+
+
 # --- sinks and serialisation -----------------------------------------------------------
 
 
@@ -233,6 +243,28 @@ def output_files(spark, sf):
     return export.output_files(d.rich_elements(spark, sf), tuple(export.OUTPUT_SUFFIXES))
 
 
+@query
+def written_files(spark, sf):
+    """Every output file and picture file, written under its name, listed and read again."""
+    e = d.rich_elements(spark, sf)
+    path = shared_dir(spark, "files")
+    export.write_files(e, path, tuple(export.OUTPUT_SUFFIXES), rows=ROWS)
+    name = F.substring_index(F.col("path"), path.rpartition("/")[2] + "/", -1).alias("out_name")
+    content = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return content.select(name, "length", F.sha2("content", 256).alias("sha256"))
+
+
+@query
+def package_readback(spark, sf):
+    """The import package, written in one pass, verified and read back."""
+    path = shared_dir(spark, "package")
+    export.write_package(d.rich_elements(spark, sf), path, export_date="2025-01-01")
+    package = export.read_package(spark, path)
+    lines = package.documents.select("doc_id", "element_index", F.lit("line").alias("part"), F.md5("line").alias("digest"), F.lit(None).cast("string").alias("filename"))
+    files = package.images.select("doc_id", "element_index", F.lit("image").alias("part"), F.md5("content").alias("digest"), "filename")
+    return lines.unionByName(files)
+
+
 @query
 def elements_csv(spark, sf):
     return export.elements_csv(d.rich_elements(spark, sf))
@@ -353,7 +385,7 @@ def slide_layout_join(spark, sf):
 
 @query
 def slide_footer_join(spark, sf):
-    return sl.with_footer(_slide_rows(spark, sf), sl.slide_footers(d.slides(spark, sf)).filter(F.col("slide") % 4 != 1))
+    return sl.with_footer(_slide_rows(spark, sf), sl.slide_footers(d.slides(spark, sf)))
 
 
 @query

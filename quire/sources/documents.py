@@ -4,32 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quire.functions.ordered import block_of, last_before, running_sum
+from quire.functions.html import HEADINGS, blocks
+from quire.functions.ordered import BLOCK, block_of, last_before, running_sum
 from quire.functions.text import STOP_WORDS, language_of, truthy_text
 from quire.schema import IMAGE_TYPES, PAGE_BREAK, element_schema
 
 LIST_ITEM_CHARS = 60
 PAGE_LINES = 5
+HEADING_LEVELS = 6
 
-# Block tags that open an element, and the type each one gives.
-BLOCK_TAGS = "h[1-6]|p|li|div|header|footer|pre|blockquote|section|article|td|th"
+# The type of a block by its innermost element.
 TAG_TYPES = {"p": "NarrativeText", "li": "ListItem", "header": "Header", "footer": "Footer", "table": "Table", "img": "Image"}
 DEFAULT_TYPE = "Text"
-HIDDEN_HTML = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>"
-ENTITIES = (
-    ("&copy;", "©"),
-    ("&middot;", "·"),
-    ("&quot;", '"'),
-    ("&apos;", "'"),
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&nbsp;", "\u00a0"),
-    ("&ndash;", "–"),
-    ("&mdash;", "—"),
-    ("&hellip;", "…"),
-    ("&euro;", "€"),
-    ("&amp;", "&"),  # last, as it may bring another one about
-)
 
 
 def line_type(text: Column, position: Column) -> Column:
@@ -56,95 +42,38 @@ def partition_text(raw: DataFrame, page_lines: int = PAGE_LINES, first_page: int
     )
 
 
-def _character(piece: Column) -> Column:
-    """A piece that begins with the number of a character: the character and the rest."""
-    digits = F.regexp_extract(piece, r"^&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});", 1)
-    code = F.when(F.lower(F.left(digits, F.lit(1))) == "x", F.conv(F.substring(digits, 2, 6), 16, 10)).otherwise(digits)
-    code = F.try_to_number(code, F.lit("9999999")).cast("int")
-    valid = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-    char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-    return F.when((digits != "") & valid, F.concat(char, F.regexp_replace(piece, "^&#[^;]*;", ""))).otherwise(piece)
-
-
-def _unescape(col: Column) -> Column:
-    """Character references as characters, numbers first and ``&amp;`` last."""
-    numbered = F.array_join(F.transform(F.split(col, "(?=&#)"), _character), "")
-    col = F.when(F.contains(col, F.lit("&#")), numbered).otherwise(col)
-    for entity, char in ENTITIES:
-        col = F.replace(col, F.lit(entity), F.lit(char))
-    return col
-
-
-def _plain(col: Column) -> Column:
-    """Text of a fragment: tags to spaces, entities to characters, white space collapsed."""
-    spaced = _unescape(F.regexp_replace(col, "<[^>]*>", " "))
-    return F.trim(F.regexp_replace(spaced, r"\s+", " "))
-
-
 def partition_html(raw: DataFrame) -> DataFrame:
-    """One element per block tag, table and picture of ``html``, with their metadata.
-
-    Text before the first block tag, and a page without any, is an element of its own.
-    A table is one element with its HTML; a picture follows the block that holds it, with
-    its alternative text.  Empty blocks are dropped inside the array before it is
-    exploded, so positions are dense without a window.  A page in which nothing is
-    visible has no elements: see :func:`quarantine`.
+    """One element per block, table and picture of ``html``, with their metadata.
+
+    Blocks come from a stack of open elements (``functions/html.py``): text after a nested
+    block belongs to the element around it again, and text outside of all, as on a page
+    without markup, is an element of its own.  An outermost table is one element with its
+    HTML; a picture follows the block that holds it, with its alternative text.  The depth
+    of a heading is its level, that of a list item the nesting of its list, both from 0.
+    Empty blocks are dropped inside the array before it is exploded, so positions are dense
+    without a window.  A page in which nothing is visible has no elements: see
+    :func:`quarantine`.
     """
     kept = [c for c in raw.columns if c != "html"]
-    visible = F.regexp_replace("html", HIDDEN_HTML, "")
-    parts = F.split(visible, r"(?i)(?=<table\b)|(?<=</table>)")
-    marked = lambda x: F.regexp_replace(x, rf"(?i)<({BLOCK_TAGS})\b[^>]*>", "\u0001$1\u0002")
-    pieces = F.flatten(
-        F.transform(
-            parts,
-            lambda x: F.when(x.rlike(r"(?i)^<table\b"), F.array(F.concat(F.lit("table\u0002"), x))).otherwise(
-                F.split(marked(x), "\u0001")
-            ),
-        )
-    )
-
-    def block(piece: Column) -> Column:
-        # What precedes the first mark has no second one and no tag.
-        html = F.substring_index(piece, "\u0002", -1)
-        tag = F.when(F.contains(piece, F.lit("\u0002")), F.lower(F.substring_index(piece, "\u0002", 1))).otherwise("")
-        return F.struct(tag.alias("tag"), _plain(html).alias("text"), html.alias("html"))
-
-    def picture(html: Column) -> Column:
-        alt = _plain(F.regexp_extract(html, '(?i)\\balt="([^"]*)"', 1))
-        return F.struct(F.lit("img").alias("tag"), alt.alias("text"), html.alias("html"))
-
-    found = F.flatten(
-        F.transform(
-            F.transform(pieces, block),
-            lambda b: F.concat(F.array(b), F.transform(F.regexp_extract_all(b["html"], F.lit("(?i)(<img\\b[^>]*>)")), picture)),
-        )
-    )
-    shown = F.filter(found, lambda b: (b["text"] != "") | (b["tag"] == "img"))
-    exploded = raw.select(*kept, F.posexplode(shown).alias("element_index", "b"))
-    tag, html = F.col("b.tag"), F.col("b.html")
-    kind = F.when(tag.rlike("^h[1-6]$"), "Title").otherwise(DEFAULT_TYPE)
+    exploded = raw.select(*kept, F.posexplode(blocks(F.col("html"))).alias("element_index", "b"))
+    tag = F.col("b.tag")
+    heading = tag.isin(*HEADINGS)
+    kind = F.when(heading, "Title").otherwise(DEFAULT_TYPE)
     for name, value in TAG_TYPES.items():
         kind = F.when(tag == name, value).otherwise(kind)
-    strong = F.filter(
-        F.transform(F.regexp_extract_all(html, F.lit("(?i)<b>([^<]+)"), F.lit(1)), _plain), lambda x: x != ""
-    )
     return exploded.select(
         *kept,
         "element_index",
         F.concat_ws("-", "doc_id", "element_index").alias("element_uid"),
         kind.alias("element_type"),
         F.col("b.text").alias("text"),
-        F.when(tag.rlike("^h[1-6]$"), F.substring(tag, 2, 1).cast("int") - 1).alias("category_depth"),
-        F.transform(
-            F.regexp_extract_all(html, F.lit('(?i)<a\\b[^>]*href="([^"]*)"'), F.lit(1)), _unescape
-        ).alias("link_urls"),
-        F.transform(
-            F.regexp_extract_all(html, F.lit('(?is)<a\\b[^>]*href="[^"]*"[^>]*>(.*?)</a>'), F.lit(1)), _plain
-        ).alias("link_texts"),
-        strong.alias("emphasized_text_contents"),
-        F.transform(strong, lambda _: F.lit("b")).alias("emphasized_text_tags"),
-        F.when(tag == "img", truthy_text(_unescape(F.regexp_extract(html, '(?i)<img\\b[^>]*src="([^"]*)"', 1)))).alias("image_url"),
-        F.when(tag == "table", html).alias("text_as_html"),
+        F.when(heading, F.substring(tag, 2, 1).cast("int") - 1).otherwise(F.col("b.depth")).alias("category_depth"),
+        F.col("b.links.url").alias("link_urls"),
+        F.col("b.links.text").alias("link_texts"),
+        F.col("b.strong.text").alias("emphasized_text_contents"),
+        F.col("b.strong.tag").alias("emphasized_text_tags"),
+        truthy_text(F.col("b.src")).alias("image_url"),
+        F.when(tag == "table", F.col("b.html")).alias("text_as_html"),
     )
 
 
@@ -155,9 +84,7 @@ def quarantine(raw: DataFrame, body: str) -> DataFrame:
     """
     missing = F.when(F.col(body).isNull(), f"no {body}")
     if body == "html":
-        visible = _plain(F.regexp_replace(body, HIDDEN_HTML, ""))
-        shown = (visible != "") | F.regexp_replace(body, HIDDEN_HTML, "").rlike("(?i)<img\\b")
-        reason = missing.when(~shown, "nothing visible")
+        reason = missing.when(F.size(blocks(F.col(body))) == 0, "nothing visible")
     elif body == "json":
         e = F.from_json(body, element_schema())
         reason = missing.when(e["doc_id"].isNull(), "not an element with a document number")
@@ -173,10 +100,26 @@ def number_pages(elements: DataFrame, first_page: int = 1) -> DataFrame:
     return counted.withColumn("page_number", (F.col("__breaks") + first_page).cast("int")).drop("__breaks")
 
 
-def fill_parents(elements: DataFrame) -> DataFrame:
-    """``parent_id``: the uid of the latest earlier Title.  One shuffle."""
-    uid = F.when(F.col("element_type") == "Title", F.col("element_uid"))
-    return last_before(elements.drop("parent_id"), ["doc_id"], "element_index", uid, "parent_id")
+def fill_parents(elements: DataFrame, levels: int = HEADING_LEVELS, block: int = BLOCK) -> DataFrame:
+    """``parent_id``: the heading that an element stands under.  One shuffle.
+
+    A Title hangs on the nearest earlier Title of smaller ``category_depth`` (NULL is 0), so
+    a later chapter does not hang on an earlier section; other elements hang on the nearest
+    earlier Title.  The latest Title of each level is all that a block of positions passes
+    on; depths from ``levels`` on count as the deepest level.
+    """
+    depth = F.least(F.greatest(F.coalesce(_depth(elements), F.lit(0)), F.lit(0)), F.lit(levels - 1))
+    heading = F.col("element_type") == "Title"
+    own = F.struct(F.col("element_index").alias("at"), F.col("element_uid").alias("uid"))
+    names = [f"__level_{k}" for k in range(levels)]
+    latest = {n: F.when(heading & (depth == k), own) for k, n in enumerate(names)}
+    known = last_before(elements.drop("parent_id"), ["doc_id"], "element_index", latest, block=block)
+    above = F.when(heading, F.slice(F.array(*names), 1, depth)).otherwise(F.array(*names))
+    return known.withColumn("parent_id", F.array_max(above)["uid"]).drop(*names)
+
+
+def _depth(elements: DataFrame) -> Column:
+    return F.col("category_depth") if "category_depth" in elements.columns else F.lit(None).cast("int")
 
 
 def detect_languages(

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from quire.functions.joins import one_per_key
+
 # Accepted file types.
 ACCEPTED_TYPES = ("pdf", "docx", "pptx", "xlsx", "jpg", "jpeg", "png", "txt", "html")
 # Partitioning strategies.
@@ -35,9 +37,13 @@ def extension_of(path: Column) -> Column:
 
 
 def existing_files(catalog: DataFrame, files: DataFrame) -> DataFrame:
-    """Catalog entries ``(label, filename)`` whose file exists, the size in the label."""
+    """Catalog entries ``(label, filename)`` whose file exists, the size in the label.
+
+    A path that is listed several times is one file, of its greatest length.
+    """
     size = F.format_number(F.col("length"), 0)
-    return catalog.join(files.select(F.col("path").alias("filename"), "length"), "filename").select(
+    known = one_per_key(files.select(F.col("path").alias("filename"), "length"), ["filename"], F.max("length").alias("length"))
+    return catalog.join(known, "filename").select(
         F.concat("label", F.lit(" ("), size, F.lit(" bytes)")).alias("label"),
         F.col("filename").alias("path"),
         "length",

@@ -328,14 +328,6 @@ def test_full_json_marks_cut_payload(make):
     assert rows[1] == {"image_base64": "A" * 100, "base64_truncated": False}
 
 
-def test_package_is_written(spark, make, tmp_path):
-    e = make({"text": "a", "element_type": "Image", "image_base64": B64}, {"text": "b", "element_type": "Text"})
-    parts = export.write_package(e, str(tmp_path / "p"), export_date="2025-01-01")
-    assert spark.read.text(parts["rag_data.jsonl"]).count() == 2
-    assert spark.read.parquet(parts["images"]).first().content == b"picture"
-    assert spark.read.json(parts["manifest"]).first().images_included == 1
-
-
 def test_quarantine(spark):
     raw = spark.createDataFrame([(1, "m", "a\nb", "x"), (2, "m", None, "y"), (3, "m", None, None)], "doc_id long, method string, specific_text string, generic_text string")
     rows = docs.partition_status(raw).orderBy("doc_id").collect()
@@ -372,6 +364,28 @@ def test_every_row_gives_elements_or_a_reason(spark):
     assert [r.n for r in docs.quarantine(rows, "json").orderBy("n").collect()] == [2, 3, 4, 5]
 
 
-def test_phone_notations(make):
-    e = make({"text": "call 555-123-4567 or +1 212 555 0100, (743) 555-3824; not 10.555.123.4567 or 2125550100", "element_type": "Text"})
-    assert sorted(r.value for r in tx.contacts(e, ("phone",)).collect()) == ["(743) 555-3824", "+1 212 555 0100", "555-123-4567", "555.123.4567"]
+@pytest.mark.parametrize("text, numbers", [
+    ("call 555-123-4567 now", ["555-123-4567"]),
+    ("call 212 555 0100", ["212 555 0100"]),
+    ("call 212.555.0100.", ["212.555.0100"]),
+    ("+1 212 555 0100", ["+1 212 555 0100"]),
+    ("(743) 555-3824", ["(743) 555-3824"]),
+    ("1-(743)555-3824", ["1-(743)555-3824"]),
+    ("not 2125550100, 112-555-0100 or 212-555-01000", []),
+    ("", []),
+])
+def test_phone_notations(make, text, numbers):
+    e = make({"text": text, "element_type": "Text"})
+    assert [r.value for r in tx.contacts(e, ("phone",)).collect()] == numbers
+    assert tx.contact_totals(e).first().total_phones == len(numbers)
+
+
+def test_first_elements_count_rows(make):
+    e = make(*[{"text": f"t{i}", "element_type": "Text", "element_index": 10 + 3 * i} for i in range(7)])
+    assert sorted(r.preview for r in el.first_elements(e).collect()) == ["t0", "t1", "t2", "t3", "t4"]
+
+
+def test_listed_paths_are_files(spark):
+    catalog = spark.createDataFrame([("A", "a.pdf"), ("B", "b.pdf"), ("C", "c.pdf")], "label string, filename string")
+    files = spark.createDataFrame([("a.pdf", 5), ("a.pdf", 1500), ("b.pdf", 2), ("d.pdf", 1)], "path string, length long")
+    assert sorted(r.label for r in fl.existing_files(catalog, files).collect()) == ["A (1,500 bytes)", "B (2 bytes)"]

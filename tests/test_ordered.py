@@ -13,6 +13,7 @@ from quire.operators.render import render_html, render_markdown, render_text
 from quire.operators.render import all_formats
 from quire.operators.slides import render_slides
 from quire.schema import conform
+from quire.sources.documents import fill_parents
 
 
 @pytest.fixture(scope="module")
@@ -124,3 +125,17 @@ def test_rows_without_key_or_position_are_kept(spark):
     )
     last = last_before(df, ["doc_id"], "element_index", F.col("element_index"), "p", block=2)
     assert last.count() == 5 and last.filter("doc_id IS NULL AND p = 0").count() == 1
+
+
+def test_parents_by_depth_across_blocks(spark):
+    # (kind, depth, parent's position)
+    rows = [
+        ("Text", None, None), ("Title", 0, None), ("Text", None, 1), ("Title", 1, 1), ("Title", 2, 3), ("Text", None, 4), ("Title", 2, 3),
+        ("Title", 1, 1), ("Text", None, 7), ("Title", 5, 7), ("Title", 0, None), ("Title", 2, 10), ("Title", None, None), ("Title", 9, 12),
+        ("ListItem", 0, 13), ("Title", 7, 12),
+    ]
+    data = [(d, i, f"{d}-{i}", k, depth) for d in (1, 2) for i, (k, depth, _) in enumerate(rows)]
+    e = spark.createDataFrame(data, "doc_id long, element_index int, element_uid string, element_type string, category_depth int")
+    for block in (1, 2, 3, 5, 4096):
+        found = {(r.doc_id, r.element_index): r.parent_id for r in fill_parents(e, block=block).collect()}
+        assert found == {(d, i): p if p is None else f"{d}-{p}" for d in (1, 2) for i, (_, _, p) in enumerate(rows)}

@@ -38,7 +38,7 @@ def test_text_queries_do_not_read_payloads(stored):
 
 def test_filters_reach_the_scan(stored):
     text = plan(el.first_elements(stored))
-    assert "LessThan(element_index,5)" in text
+    assert "WindowGroupLimit" in text
     assert "In(element_type" in plan(el.image_gallery(stored)) or "element_type IN" in plan(el.image_gallery(stored))
 
 
