@@ -8,7 +8,7 @@ sum along a term's path is its place in the sorted list, without the list itself
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,6 +23,8 @@ class Builder:
         self._keys: list[int] = []
         self._targets: list[int] = []
         self._adds: list[int] = []
+        self._path: list[tuple[bool, list[tuple[int, int]]]] = [(False, [])]
+        self._last = b""
 
     def _freeze(self, final: bool, arcs: list[tuple[int, int]]) -> int:
         shape = (final, *arcs)
@@ -39,27 +41,28 @@ class Builder:
         self._terms.append(before)
         return state
 
-    def add(self, terms: Iterable[bytes]) -> int:
-        """The root for ``terms``, which must be distinct, not empty and in byte order."""
-        path: list[tuple[bool, list[tuple[int, int]]]] = [(False, [])]
-        last = b""
-
-        def close(depth: int) -> None:
-            while len(path) > depth + 1:
-                final, arcs = path.pop()
-                path[-1][1].append((last[len(path) - 1], self._freeze(final, arcs)))
-
-        for term in terms:
-            shared = 0
-            while shared < min(len(last), len(term)) and last[shared] == term[shared]:
-                shared += 1
-            if term <= last:
-                raise ValueError("terms must be distinct, not empty and sorted")
-            close(shared)
-            path.extend((depth == len(term), []) for depth in range(shared + 1, len(term) + 1))
-            last = term
-        close(0)
-        return self._freeze(*path[0])
+    def _settle(self, depth: int) -> None:
+        while len(self._path) > depth + 1:
+            final, arcs = self._path.pop()
+            self._path[-1][1].append((self._last[len(self._path) - 1], self._freeze(final, arcs)))
+
+    def add(self, term: bytes) -> None:
+        """The next term of a vocabulary: later in byte order than the one before, not empty."""
+        last, shared = self._last, 0
+        if term <= last:
+            raise ValueError("terms must be distinct, not empty and sorted")
+        while shared < min(len(last), len(term)) and last[shared] == term[shared]:
+            shared += 1
+        self._settle(shared)
+        self._path.extend((depth == len(term), []) for depth in range(shared + 1, len(term) + 1))
+        self._last = term
+
+    def close(self) -> int:
+        """Ends a vocabulary, which may be empty; returns its root."""
+        self._settle(0)
+        root = self._freeze(*self._path[0])
+        self._path, self._last = [(False, [])], b""
+        return root
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Arcs by (state, byte): their keys, targets and additions; which states accept."""
@@ -82,18 +85,14 @@ class Transducer:
     def states(self) -> int:
         return len(self.final)
 
-    def ordinals(self, root: int, terms: Sequence[bytes]) -> np.ndarray:
-        """Each term's place among the sorted ones below ``root``, -1 for terms not there.
+    def ordinals(self, root: int | np.ndarray, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Each term's place among the sorted ones below its root, -1 for terms not there.
 
-        All terms go through the automaton together, one byte at a time.
+        A term is a run of ``data``.  All go through the automaton together, a byte at a time.
         """
-        found = np.full(len(terms), -1, np.int64)
-        if not len(terms):
-            return found
-        data = np.frombuffer(b"".join(terms) or b"\0", np.uint8)
-        lengths = np.fromiter(map(len, terms), np.int64, len(terms))
-        at = np.cumsum(lengths) - lengths
-        live, state, total = np.arange(len(terms)), np.full(len(terms), root, np.int64), np.zeros(len(terms), np.int64)
+        found = np.full(len(starts), -1, np.int64)
+        live = np.arange(len(starts))
+        state, total = np.full(len(starts), root, np.int64), np.zeros(len(starts), np.int64)
         depth = 0
         while len(live):
             ended = lengths[live] == depth
@@ -102,7 +101,7 @@ class Transducer:
             live, state, total = live[~ended], state[~ended], total[~ended]
             if not len(live) or not len(self.keys):
                 break
-            key = state << 8 | data[at[live] + depth]
+            key = state << 8 | data[starts[live] + depth]
             arc = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
             known = self.keys[arc] == key
             live, arc = live[known], arc[known]

@@ -61,6 +61,14 @@ class Alphabet:
             kinds[low:high] = 1
         return Alphabet(kinds)
 
+    @staticmethod
+    def letters() -> Alphabet:
+        """Words ``[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z."""
+        kinds = np.zeros(256)
+        for low, high in ((0x41, 0x5B), (0x61, 0x7B), (0x80, 0x100)):
+            kinds[low:high] = 1
+        return Alphabet(kinds)
+
     @staticmethod
     def words_and_marks() -> Alphabet:
         """Runs of letters and digits, and runs of other visible bytes."""
@@ -81,10 +89,10 @@ def _powers(n: int) -> list[np.ndarray]:
     return _POWERS
 
 
-def _spans(data: np.ndarray, alphabet: Alphabet) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words in ``data`` and where they start."""
+def _spans(data: np.ndarray, alphabet: Alphabet) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words in ``data``, where they start and where they end."""
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     kinds = alphabet.kinds[data]
     edges = np.flatnonzero(kinds[1:] != kinds[:-1]) + 1
     starts = np.concatenate(([0], edges))
@@ -94,12 +102,12 @@ def _spans(data: np.ndarray, alphabet: Alphabet) -> tuple[np.ndarray, np.ndarray
     up, down = _powers(max(len(data), BLOCK))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(alphabet.codes[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts]), starts
+    return mix((sums[ends] - sums[starts]) * down[starts]), starts, ends
 
 
-def _long(data: np.ndarray, alphabet: Alphabet) -> np.ndarray:
-    """Hashes of the words of one long text, cut at separators."""
-    found, at = [], 0
+def _cuts(data: np.ndarray, alphabet: Alphabet) -> Iterator[np.ndarray]:
+    """One long text in pieces that end at separators."""
+    at = 0
     while at < len(data):
         end = min(at + BLOCK, len(data))
         if end < len(data):
@@ -110,15 +118,16 @@ def _long(data: np.ndarray, alphabet: Alphabet) -> np.ndarray:
                 end = more
             if len(gaps) and end < len(data):
                 end = at + int(gaps[-1]) + 1
-        found.append(_spans(data[at:end], alphabet)[0])
+        yield data[at:end]
         at = end
-    return np.concatenate(found)
 
 
-def hashed_words(
+def placed_words(
     texts: pa.Array | pa.ChunkedArray, alphabet: Alphabet
-) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Groups of consecutive texts: the first one's index, words per text, word hashes."""
+) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Groups of consecutive texts: the first one's index, words per text, their hashes, the
+    bytes they stand in, their starts and their ends.  A long text is several groups.
+    """
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     raw = texts.cast(pa.large_binary()).fill_null(b"")
@@ -130,24 +139,49 @@ def hashed_words(
     while first < len(raw):
         last = int(np.searchsorted(offsets, offsets[first] + BLOCK, "right")) - 1
         if last <= first:
-            hashes = _long(data[offsets[first] : offsets[first + 1]], alphabet)
-            yield first, np.array([len(hashes)]), hashes
+            for piece in _cuts(data[offsets[first] : offsets[first + 1]], alphabet):
+                hashes, starts, ends = _spans(piece, alphabet)
+                yield first, np.array([len(hashes)]), hashes, piece, starts, ends
             first += 1
             continue
         last = min(last, len(raw))
         # A separator after every text keeps words of neighbours apart.
         lengths = np.diff(offsets[first : last + 1])
-        ends = np.cumsum(lengths + 1)
-        joined = np.full(int(ends[-1]), 0x0A, np.uint8)
+        bounds = np.cumsum(lengths + 1)
+        joined = np.full(int(bounds[-1]), 0x0A, np.uint8)
         inside = np.ones(len(joined), bool)
-        inside[ends - 1] = False
+        inside[bounds - 1] = False
         joined[inside] = data[offsets[first] : offsets[last]]
-        hashes, starts = _spans(joined, alphabet)
-        at = np.searchsorted(starts, np.concatenate(([0], ends)))
-        yield first, np.diff(at), hashes
+        hashes, starts, ends = _spans(joined, alphabet)
+        at = np.searchsorted(starts, np.concatenate(([0], bounds)))
+        yield first, np.diff(at), hashes, joined, starts, ends
         first = last
 
 
+def hashed_words(
+    texts: pa.Array | pa.ChunkedArray, alphabet: Alphabet
+) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Groups of consecutive texts: the first one's index, words per text, word hashes.
+
+    Unlike in ``placed_words``, a long text is one group.
+    """
+    held: list[np.ndarray] = []
+    at = -1
+    for first, counts, hashes, *_ in placed_words(texts, alphabet):
+        if held and first != at:
+            words = np.concatenate(held)
+            yield at, np.array([len(words)]), words
+            held = []
+        if len(counts) == 1:
+            at = first
+            held.append(hashes)
+        else:
+            yield first, counts, hashes
+    if held:
+        words = np.concatenate(held)
+        yield at, np.array([len(words)]), words
+
+
 def windows(words: np.ndarray, size: int) -> np.ndarray:
     """Hashes of all runs of ``size`` consecutive words, also across texts."""
     n = len(words) - size + 1

@@ -4,26 +4,40 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quire.llm import divergence
-from quire.llm.divergence import source_divergence, text_terms
+from quire.llm import divergence, words
+from quire.llm.divergence import Terms, source_divergence
 from quire.llm.transducer import Builder, Transducer
 
 
+def root_of(builder, terms):
+    for term in terms:
+        builder.add(term)
+    return builder.close()
+
+
+def ordinals(table, root, terms):
+    lengths = np.array([len(t) for t in terms], np.int64)
+    data = np.frombuffer(b"".join(terms) + b"\0", np.uint8)
+    return table.ordinals(root, data, np.cumsum(lengths) - lengths, lengths).tolist()
+
+
 def test_ordinals_are_places_in_the_sorted_list():
     rng = random.Random(5)
     letters = ["a", "b", "é", "ß", "字", "z"]
     words = lambda n: sorted({"".join(rng.choices(letters, k=rng.randint(1, 6))).encode() for _ in range(n)})
     lists = [words(500), words(40), [], [b"x"]]
     builder = Builder()
-    roots = [builder.add(terms) for terms in lists]
+    roots = [root_of(builder, terms) for terms in lists]
     found = Transducer(*builder.tables())
     for root, terms in zip(roots, lists):
-        assert found.ordinals(root, terms).tolist() == list(range(len(terms)))
+        assert ordinals(found, root, terms) == list(range(len(terms)))
         others = [w for w in words(300) if w not in set(terms)] + [b"", b"aaaaaaaaaaaaaaaa"]
-        assert set(found.ordinals(root, others).tolist()) == {-1}
+        assert set(ordinals(found, root, others)) == {-1}
 
 
 def _right_languages(table, root):
@@ -44,7 +58,7 @@ def _right_languages(table, root):
 
 def test_the_automaton_is_minimal():
     builder = Builder()
-    root = builder.add([b"bake", b"bakes", b"lake", b"lakes", b"make", b"maker", b"makes"])
+    root = root_of(builder, [b"bake", b"bakes", b"lake", b"lakes", b"make", b"maker", b"makes"])
     memo = _right_languages(Transducer(*builder.tables()), root)
     assert len(set(memo.values())) == len(memo)
 
@@ -52,15 +66,30 @@ def test_the_automaton_is_minimal():
 @pytest.mark.parametrize("terms", [[b"b", b"a"], [b"a", b"a"], [b""]])
 def test_terms_out_of_order(terms):
     with pytest.raises(ValueError):
-        Builder().add(terms)
+        root_of(Builder(), terms)
 
 
 def test_terms_of_long_texts(monkeypatch):
     text = "Straße the END x1y Ünï " * 300
-    monkeypatch.setattr(divergence, "_PIECE", 7)
-    pieces = [t for part in text_terms(text.encode()) for t in part]
-    lower = text.translate({k: k + 32 for k in range(65, 91)})
-    assert pieces == [t.encode() for t in re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", lower)]
+    monkeypatch.setattr(words, "BLOCK", 64)
+    found = []
+    for _, _, terms in divergence._batch_terms(pa.array([text, None, "", "One TWO", text])):
+        found += terms.arrow().to_pylist()
+    lower = lambda t: re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", t.translate({k: k + 32 for k in range(65, 91)}))
+    assert found == lower(text) + ["one", "two"] + lower(text)
+
+
+def test_strings_as_runs():
+    made = ["", "b", "ab", "abcdefgh", "abcdefghi", "ab\u00e9", "zz"]
+    lengths = np.array([len(m.encode()) for m in made])
+    terms = Terms(np.frombuffer("".join(made).encode(), np.uint8), np.cumsum(lengths) - lengths, lengths)
+    assert terms.arrow().to_pylist() == made and terms.take(np.array([6, 1, 1])).arrow().to_pylist() == ["zz", "b", "b"]
+    both = Terms.joined([terms, terms.take(np.array([2]))])
+    assert both.arrow().to_pylist() == [*made, "ab"]
+    hashes = both.hashes()
+    assert hashes[2] == hashes[-1] and len(set(hashes.tolist())) == len(made)
+    prefixes = terms.prefixes()
+    assert all((prefixes[i] < prefixes[j]) <= (made[i].encode() < made[j].encode()) for i in range(7) for j in range(7))
 
 
 def plain(rows, min_docs, top):
@@ -90,15 +119,17 @@ def plain(rows, min_docs, top):
 @pytest.fixture(scope="module")
 def rows():
     rng = random.Random(3)
-    words = ["alpha", "Beta", "gämma", "été", "zeta", "字", "eta", "theta2iota"] + [f"w{chr(97 + k)}" for k in range(26)]
-    texts = [" ".join(rng.choices(words, k=rng.randint(0, 30))) for _ in range(120)]
+    vocabulary = ["alpha", "Beta", "gämma", "été", "zeta", "字", "eta", "theta2iota"] + [f"w{chr(97 + k)}" for k in range(26)]
+    texts = [" ".join(rng.choices(vocabulary, k=rng.randint(0, 30))) for _ in range(120)]
     out = [(t, rng.choice(["en", "de", None, ""]), rng.choice(["a", "b", "B", "ö", None])) for t in texts]
     return out + [(None, "en", "a"), ("", "xx", "a"), ("9 -", "xx", "b"), ("lone", "yy", "q")] + out[:5]
 
 
 @pytest.mark.parametrize("bounds", [{}, {"range_terms": 4, "pass_bytes": 1, "block_terms": 3, "tile_sources": 2}])
 def test_divergence_equals_plain_counting(spark, rows, bounds, monkeypatch):
-    monkeypatch.setattr(divergence, "HELD_TERMS", 10)
+    if bounds:
+        monkeypatch.setattr(divergence, "HELD_ROWS", 50)
+        monkeypatch.setattr(divergence, "HELD_COUNTS", 20)
     docs = spark.createDataFrame(rows, "text string, lang string, source string").repartition(3)
     clash = docs.select("*", *[F.lit("own").alias(c) for c in ("term", "n", "shard", "place", "total", "v", "value", "p")])
     found = source_divergence(clash, min_docs=6, top_terms=4, **bounds)
