@@ -2,14 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 
 from quire.session import shared_dir
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_end_with_the_job(spark: SparkSession) -> Iterator[None]:
+    """What a written table was shuffled through is of no use afterwards."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
 
 def stage(df: DataFrame, purpose: str) -> DataFrame:
-    """Write ``df`` below ``spark.checkpoint.dir`` and read it again."""
+    """Write ``df`` below ``spark.checkpoint.dir`` and read it again.
+
+    The shuffle files of the write are removed when it has ended, not when the driver
+    happens to collect its garbage.
+    """
     spark = df.sparkSession
     path = shared_dir(spark, purpose)
-    df.write.parquet(path)
+    with _shuffles_end_with_the_job(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
