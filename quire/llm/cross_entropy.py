@@ -164,11 +164,14 @@ def train(docs: DataFrame, word_share: float = 0.0, pair_share: float = 0.0, nea
             n_target = np.bincount(at, side, len(n)).astype(np.int64)
             # Neighbours that share their first word make the shuffled rows compress well.
             order = np.argsort(before[first])
-            columns = [signed(before[first][order]), signed(now[first][order]), n_target[order], n[order].astype(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["before", "now", *SIDES])
-
-    pairs = rows.mapInArrow(pair_counts, "before long, now long, target long, background long").repartition("before", "now")
-    pairs = pairs.groupBy("before", "now").agg(*[F.sum(s).alias(s) for s in SIDES])
+            # A batch has fewer than 2**31 words; both counts are one number on the way.
+            both = n[order].astype(np.int64) << 31 | n_target[order]
+            columns = [signed(before[first][order]), signed(now[first][order]), both]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["before", "now", "n"])
+
+    pairs = rows.mapInArrow(pair_counts, "before long, now long, n long").repartition("before", "now")
+    counts = {"target": F.col("n").bitwiseAND(F.lit((1 << 31) - 1)), "background": F.shiftright("n", 31)}
+    pairs = pairs.groupBy("before", "now").agg(*[F.sum(c).alias(s) for s, c in counts.items()])
     pairs = stage(pairs.filter(F.col("background") >= max(float(MIN_PAIR), pair_share * tokens)), "pairs")
     held = pairs.groupBy(F.col("before").alias("word")).agg(*[F.sum(F.greatest(F.col(s) - DISCOUNT, F.lit(0.0))).alias(f"held_{s}") for s in SIDES])
     sums = words.agg(
@@ -199,7 +202,7 @@ def train(docs: DataFrame, word_share: float = 0.0, pair_share: float = 0.0, nea
     is_near = F.lit(False) if least is None else F.col("grade") >= least
     table = terms.filter(is_near).toArrow()  # at most near_terms rows
     order = np.argsort(table["key"].to_numpy().view(np.uint64))
-    values = np.stack([table[s].to_numpy()[order] for s in SIDES]).astype(np.float64)
+    values = np.stack([table[s].to_numpy()[order] for s in SIDES])
     return Model(terms.filter(~is_near).select("key", *SIDES), table["key"].to_numpy().view(np.uint64)[order], values, unknown, vocabulary)
 
 
