@@ -1,12 +1,14 @@
 """Sharding by a hierarchical weighted hash tree: regions, racks, shards.
 
-Every shard draws a number for a row, minus the logarithm of a uniform hash of the row's
-key and the shard, divided by the shard's weight.  A node's draw is the smallest among
-its shards, which has the distribution of a single draw with their total weight; the row
-descends to the region, the rack and the shard with the smallest draw.  Since a draw
-depends on nothing but the row's key and its own shard, a changed weight moves rows only
-into or out of that shard: other subtrees see no movement, and a new shard takes rows
-only into itself, also at the end of a rack that has others.
+A row descends level by level.  Every child of the node that it has reached draws a number
+for it, minus the logarithm of a uniform hash of the row's key and the child, divided by
+the weight of all shards below the child; the row goes to the smallest draw.  That is one
+draw for each child on the way and not for each shard.
+
+A draw depends on the row's key, the node and the node's weight alone.  So a changed
+weight moves rows only into or out of the subtrees that hold the changed shard: between
+other regions, other racks of its region and other shards of its rack nothing moves.  A
+shard that opens a region takes rows only into itself.
 """
 
 from __future__ import annotations
@@ -28,51 +30,38 @@ def row_key(doc_id: Column, text_crc32: Column, size: Column) -> Column:
     return F.when(doc_id.isNotNull(), F.xxhash64(doc_id)).otherwise(F.xxhash64(text_crc32, size, F.lit(1)))
 
 
-def _draw(key: Column, shard: int, weight: float) -> Column:
-    if weight <= 0:
-        return F.lit(float("inf"))
-    uniform = (F.shiftrightunsigned(F.xxhash64(key, F.lit(shard)), 11) + 0.5) / float(1 << 53)
-    return -F.log(uniform) / float(weight)
-
-
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` where the value is computed once however often it is used."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _smallest_of_runs(values: Column, n: int, run: int) -> Column:
-    """The smallest value of each run of ``run`` entries of an array of ``n``."""
-    return F.array(*[F.array_min(F.slice(values, k + 1, run)) for k in range(0, n, run)])
+def _child(key: Column, level: int, first: Column, n: int, weights: Sequence[float]) -> Column:
+    """Of the ``n`` nodes of a level from ``first`` on, the one with the smallest draw."""
+    table = F.array(*[F.lit(float(w)) for w in weights])
 
+    def draw(node: Column) -> Column:
+        uniform = (F.shiftrightunsigned(F.xxhash64(key, F.lit(level), node), 11) + 0.5) / float(1 << 53)
+        weight = F.coalesce(F.get(table, node), F.lit(0.0))
+        return F.struct(F.when(weight > 0, -F.log(uniform) / weight).otherwise(float("inf")).alias("draw"), node.alias("node"))
 
-def _first_smallest(values: Column) -> Column:
-    """Index of the smallest value of an array, from 0."""
-    return _let(values, lambda v: (F.array_position(v, F.array_min(v)) - 1).cast("int"))
+    return F.array_min(F.transform(F.sequence(first, first + (n - 1)), draw))["node"]
 
 
 def descend(key: Column, weights: Sequence[float], rack: int = RACK, region: int = REGION) -> Column:
-    """A struct of the ``shard`` that a row reaches and of its ``draw``.
+    """The shard that a row reaches.
 
-    Shards are numbered through racks of ``rack``, and racks through regions of ``region``.
+    Shards are numbered through racks of ``rack``, and racks through regions of ``region``;
+    the last ones may have fewer.  Shards without weight get no rows.
     """
-    n = len(weights)
-    racks = -(-n // rack)
-
-    def below(draws: Column, in_racks: Column, r: Column) -> Column:
-        in_region = F.slice(in_racks, r * region + 1, F.lit(region))
-        return _let(r * region + _first_smallest(in_region), lambda k: within(draws, k))
-
-    def within(draws: Column, k: Column) -> Column:
-        shard = k * rack + _first_smallest(F.slice(draws, k * rack + 1, F.lit(rack)))
-        return F.struct(shard.cast("int").alias("shard"), F.array_min(draws).alias("draw"))
+    if not any(w > 0 for w in weights):
+        raise ValueError("no shard has a weight")
+    racks = [sum(weights[k : k + rack]) for k in range(0, len(weights), rack)]
+    regions = [sum(racks[k : k + region]) for k in range(0, len(racks), region)]
 
-    def top(draws: Column) -> Column:
-        return _let(
-            _smallest_of_runs(draws, n, rack),
-            lambda in_racks: _let(_first_smallest(_smallest_of_runs(in_racks, racks, region)), lambda r: below(draws, in_racks, r)),
-        )
+    def below(x: Column, r: Column) -> Column:
+        return _let(_child(x, 1, r * region, region, racks), lambda k: _child(x, 2, k * rack, rack, weights))
 
-    return _let(F.array(*[_draw(key, k, w) for k, w in enumerate(weights)]), top)
+    return _let(key, lambda x: _let(_child(x, 0, F.lit(0), len(regions), regions), lambda r: below(x, r)))
 
 
 def shard_rows(docs: DataFrame, weights: Sequence[float] | int = SHARDS, group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -82,17 +71,16 @@ def shard_rows(docs: DataFrame, weights: Sequence[float] | int = SHARDS, group_r
     bytes of the text plus 16, null texts having none and the checksum of no bytes.
     slot numbers the rows of a shard from 0 without gaps; rows are numbered in groups of
     bounded expected size, behind the sum of the groups before, so no task sees a whole
-    shard.  Rows that repeat an id share its shard.  grown_shard is the shard with one
-    more of weight 1.  An empty table gives an empty result; other columns are not read.
+    shard.  Rows that repeat an id share its shard.  grown_shard is the shard in a tree with
+    one more of weight 1.  An empty table gives an empty result; other columns are not read.
     """
     each = [1.0] * weights if isinstance(weights, int) else list(weights)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + _OVERHEAD).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     rows = rows.withColumn("key", row_key(F.col("doc_id"), F.col("text_crc32"), F.col("size")))
     groups = max(1, -(-docs.count() // (len(each) * group_rows)))
-    reached = rows.withColumn("reached", descend(F.col("key"), each))
-    grown = F.when(_draw(F.col("key"), len(each), 1.0) < F.col("reached.draw"), F.lit(len(each))).otherwise(F.col("reached.shard"))
-    placed = reached.select("doc_id", "size", "text_crc32", "key", F.col("reached.shard").alias("shard"), grown.alias("grown_shard"))
+    key = F.col("key")
+    placed = rows.select("doc_id", "size", "text_crc32", "key", descend(key, each).alias("shard"), descend(key, [*each, 1.0]).alias("grown_shard"))
     placed = placed.withColumn("part", F.pmod(F.xxhash64("key", "text_crc32", "size", F.lit(2)), F.lit(groups)))
     counts = placed.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("rows"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)

@@ -15,10 +15,10 @@ import corpus_pipeline
 from quire.llm import cross_entropy, tokens
 from quire.llm.components import connected
 from quire.llm.licenses import scan_licenses
-from quire.llm.mixing import plan_mix, sainte_lague
+from quire.llm.mixing import numbered, plan_mix, sainte_lague, shard_quota
 from quire.llm.near_dup import near_duplicates, registers, shingle_sets
 from quire.llm.queries import queries
-from quire.llm.sharding import shard_rows
+from quire.llm.sharding import descend, shard_rows
 
 SF = "/root/testdata/sf0.01"
 
@@ -246,20 +246,72 @@ def test_licenses_across_line_ends(frame):
     assert all(rows[k][1] >= 0.85 for k in range(1, 6)) and rows[6][1] == rows[7][1] == 0
 
 
+def highest_quotients(weights, seats):
+    given = Counter()
+    for _ in range(seats if any(weights) else 0):
+        given[max(range(len(weights)), key=lambda k: (weights[k] / (2 * given[k] + 1), -k))] += 1
+    return [given[k] for k in range(len(weights))]
+
+
 def test_sainte_lague_equals_highest_quotients(spark):
     draw = random.Random(2)
-    rows, expected = [], {}
-    for group in range(12):
-        weights = [draw.choice([0, 1, 1, 2.5, 10, 100]) for _ in range(draw.randrange(1, 9))]
-        seats = draw.choice([0, 1, 3, 50, 777])
-        rows += [(group, k, float(w), seats) for k, w in enumerate(weights)]
-        given = Counter()
-        for _ in range(seats if any(weights) else 0):
-            given[max(range(len(weights)), key=lambda k: (weights[k] / (2 * given[k] + 1), -k))] += 1
-        expected |= {(group, k): given[k] for k in range(len(weights))}
-    parties = spark.createDataFrame(rows, "g int, k int, w double, seats int")
-    found = sainte_lague(parties, ["g"], "k", "w", "seats", "won").collect()
-    assert {(r["g"], r["k"]): r["won"] for r in found} == expected
+    cases = [([5, 5, 5, 5], 6), ([1] * 40, 17), ([3, 1], 0), ([0, 0], 5), ([1e-9, 1e9], 50), ([7], 9), ([2.5] * 5 + [0, 10], 33)]
+    for _ in range(8):
+        cases.append(([draw.choice([0, 1, 1, 2.5, 10, 100]) for _ in range(draw.randrange(1, 9))], draw.choice([1, 3, 50, 777])))
+    for weights, seats in cases:
+        parties = spark.createDataFrame([(k, float(w)) for k, w in enumerate(weights)], "k int, w double")
+        found = sorted(sainte_lague(parties, "k", "w", seats, "won").collect(), key=lambda r: r["k"])
+        assert [r["won"] for r in found] == highest_quotients(weights, seats)
+
+
+def test_quotas_of_shards_equal_highest_quotients(spark):
+    cases = [(blocks, seats, per) for per in (1, 4, 7) for blocks in (1, 3, 4, 6, 8, 11, 27, 28) for seats in range(0, 2 * blocks + 3)]
+    rows = spark.createDataFrame([(b, n, p, k) for b, n, p in cases for k in range(-(-b // p))], "b long, n long, p int, k long")
+    found = {}
+    for per in (1, 4, 7):
+        quota = shard_quota(F.col("k"), F.col("b"), F.col("n"), per)
+        for r in rows.filter(F.col("p") == per).select("b", "n", "k", quota.alias("q")).collect():
+            found[r["b"], r["n"], per, r["k"]] = r["q"]
+    for b, n, p in cases:
+        sizes = [p] * (b // p) + ([b % p] if b % p else [])
+        assert [found[b, n, p, k] for k in range(len(sizes))] == highest_quotients(sizes, n)
+
+
+def test_numbering(spark):
+    values = [5, None, 3, 9, 3, 1] * 7
+    rows = spark.createDataFrame([(v, k) for k, v in enumerate(values)], "v int, k int").repartition(5)
+    found = {r["k"]: r["place"] for r in numbered(rows, "place", F.col("v").isNull(), F.col("v"), F.col("k")).collect()}
+    order = sorted(range(len(values)), key=lambda k: (values[k] is None, values[k] or 0, k))
+    assert [found[k] for k in order] == list(range(1, len(values) + 1))
+
+
+def test_blocks_are_chosen_by_seed(spark):
+    """Every chosen block of a line is taken once more than the others, by the shards' quotas."""
+    block, per = 8, 4
+    texts = {s: [draw.randrange(0, 30) for _ in range(n)] for s, n, draw in (("a", 60, random.Random(1)), ("b", 25, random.Random(2)), (None, 9, random.Random(3)))}
+    rows = [(k, " ".join(["w"] * n), s) for s, sizes in texts.items() for k, n in enumerate(sizes)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, source string")
+    plan = {}
+    for seed in (20, 21):
+        plan[seed] = plan_mix(docs, [F.col("source"), F.col("doc_id")], block_words=block, bin_rows=10, seed=seed, shard_blocks=per).collect()
+        taken, targets, sizes = Counter(), {}, Counter()
+        for r in plan[seed]:
+            ranges = [(x["first"], x["last"]) for x in r["ranges"]]
+            assert all(0 <= a < b <= r["size"] for a, b in ranges) and all(x[1] <= y[0] for x, y in zip(ranges, ranges[1:]))
+            assert r["taken"] == r["passes"] * r["size"] + sum(b - a for a, b in ranges) <= 3 * r["size"]
+            taken[r["row"]["source"]] += r["taken"]
+            sizes[r["row"]["source"]] += r["size"]
+            targets[r["row"]["source"]] = r["target"]
+        assert sizes == Counter({s: sum(x) for s, x in texts.items()})
+        assert all(abs(taken[s] - targets[s]) <= 2 * block for s in texts)
+        # Of the uncapped sources, cut passes hold whole blocks and at most one cut one and the last.
+        lengths = Counter()
+        for s in texts:
+            words = sum(b - a for r in plan[seed] for a, b in [(x["first"], x["last"]) for x in r["ranges"]] if r["row"]["source"] == s)
+            lengths[s] = words
+        assert lengths["a"] > 0
+    chosen = [{(r["row"]["source"], r["row"]["doc_id"]): r["taken"] for r in plan[s]} for s in (20, 21)]
+    assert chosen[0] != chosen[1]
 
 
 def test_mix_meets_targets(spark):
@@ -286,19 +338,49 @@ def test_mix_meets_targets(spark):
     assert {(r["doc_id"], r["taken"]) for r in again.collect()} == {(r["doc_id"], r["taken"]) for r in rows}
 
 
-def test_mix_of_small_sources_among_many_cells(spark):
+def test_mix_of_small_sources_among_many_bins(spark):
     """Short documents of small sources meet their targets however many rows others have."""
     sizes = {"a": [3] * 11, "b": [5] * 40, "c": [100] * 60, "d": [7] * 3000}
     rows = [(f"{s}{k}", " ".join(["w"] * n), s) for s, all_sizes in sizes.items() for k, n in enumerate(all_sizes)]
     docs = spark.createDataFrame(rows, "doc_id string, text string, source string")
-    for cell_rows in (1, 20, 2_000):
-        taken, targets, cut = Counter(), {}, Counter()
-        for r in plan_mix(docs, [F.col("source")], cell_rows=cell_rows).collect():
+    for bin_rows, block, near in ((1, 1, 1), (20, 32, 64), (2_000, 1, 1)):
+        taken, targets = Counter(), {}
+        for r in plan_mix(docs, [F.col("source")], bin_rows=bin_rows, block_words=block).collect():
             taken[r["row"]["source"]] += r["taken"]
             targets[r["row"]["source"]] = r["target"]
-            cut[r["row"]["source"]] += r["taken"] % r["size"] > 0
-        assert all(abs(taken[s] - targets[s]) <= 1 for s in sizes)
-        assert cell_rows == 1 or cut["c"] <= 2 * -(-60 // cell_rows)
+        assert all(abs(taken[s] - targets[s]) <= near for s in sizes)
+
+
+def plain_tree(key, weights, rack, region):
+    """The shard that a key reaches, one draw for each child on the way."""
+    import xxhash
+
+    def draw(level, node, weight):
+        h = xxhash.xxh64_intdigest(key.to_bytes(8, "little", signed=True), 42)
+        for x in (level, node):
+            h = xxhash.xxh64_intdigest(x.to_bytes(4, "little"), h)
+        return -math.log(((h >> 11) + 0.5) / 2**53) / weight if weight > 0 else math.inf
+
+    racks = [sum(weights[k : k + rack]) for k in range(0, len(weights), rack)]
+    regions = [sum(racks[k : k + region]) for k in range(0, len(racks), region)]
+    r = min(range(len(regions)), key=lambda k: draw(0, k, regions[k]))
+    k = min(range(r * region, min((r + 1) * region, len(racks))), key=lambda k: draw(1, k, racks[k]))
+    return min(range(k * rack, min((k + 1) * rack, len(weights))), key=lambda j: draw(2, j, weights[j]))
+
+
+@pytest.mark.parametrize("weights, rack, region", [([1.0] * 40, 4, 2), ([1, 0, 5, 2.5, 0, 0, 3, 1, 9, 0.1, 4], 3, 2), ([2.0], 4, 2), ([1, 2, 3], 1, 1)])
+def test_descent_equals_a_plain_tree(spark, weights, rack, region):
+    rows = spark.range(400).select(F.xxhash64("id").alias("key")).withColumn("shard", descend(F.col("key"), weights, rack, region)).collect()
+    assert all(r["shard"] == plain_tree(r["key"], weights, rack, region) for r in rows)
+
+
+def test_the_tree_is_not_a_flat_draw(spark):
+    """With uneven weights a row's region is decided before its shards' draws are."""
+    weights = [1.0, 9.0, 2.0, 1.0, 6.0, 1.0, 1.0, 3.0]
+    keys = [r["key"] for r in spark.range(4000).select(F.xxhash64("id").alias("key")).collect()]
+    shares = Counter(plain_tree(k, weights, 2, 2) for k in keys)
+    for k, w in enumerate(weights):
+        assert shares[k] / len(keys) == pytest.approx(w / 24, rel=0.35)
 
 
 def test_shards_move_only_where_weights_change(spark):
@@ -316,7 +398,15 @@ def test_shards_move_only_where_weights_change(spark):
     weights = [1.0] * 40
     weights[6], weights[9] = 3.0, 0.0
     changed = {r["doc_id"]: r["shard"] for r in shard_rows(docs, weights).collect()}
-    assert all(changed[k] == 6 or before[k] == 9 for k in before if changed[k] != before[k])
+    # Shards 6 and 9 are in racks 1 and 2, regions 0 and 1: elsewhere nothing moves.
+    rack, region = (lambda s: s // 4), (lambda s: s // 8)
+    for k in before:
+        if changed[k] != before[k]:
+            a, b = before[k], changed[k]
+            assert {region(a), region(b)} & {0, 1}
+            if region(a) == region(b):
+                assert {rack(a), rack(b)} & {1, 2}
+                assert rack(a) != rack(b) or rack(a) in (1, 2)
     assert 9 not in changed.values()
     heavy = sum(s == 6 for s in changed.values()) / len(changed)
     assert 3 / 41 / 1.6 < heavy < 3 / 41 * 1.6
