@@ -78,9 +78,12 @@ def _numbered(digits: Column) -> Column:
     return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
 
 
-def unescape(col: Column) -> Column:
-    """Character references as characters, each once; unknown ones stay as they are."""
-    table = _reference_table()
+def unescape(col: Column, table: Column | None = None) -> Column:
+    """Character references as characters, each once; unknown ones stay as they are.
+
+    ``table`` is the map of names, where an expression that needs it often has bound it.
+    """
+    table = _reference_table() if table is None else table
 
     def resolved(piece: Column) -> Column:
         name = F.regexp_extract(piece, "^&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);", 1)
@@ -92,41 +95,47 @@ def unescape(col: Column) -> Column:
     return F.when(F.contains(col, F.lit("&")), decoded).otherwise(col)
 
 
-def plain(markup: Column) -> Column:
+def plain(markup: Column, table: Column | None = None) -> Column:
     """Text of a fragment: tags to spaces, references to characters, white space collapsed."""
-    return F.trim(F.regexp_replace(unescape(F.regexp_replace(markup, _TAG, " ")), r"\s+", " "))
+    return F.trim(F.regexp_replace(bind(F.regexp_replace(markup, _TAG, " "), lambda x: unescape(x, table)), r"\s+", " "))
 
 
-def attribute(tag: Column, name: str) -> Column:
+def attribute(tag: Column, name: str, table: Column | None = None) -> Column:
     """An attribute's value, whichever way it is quoted; NULL without one."""
     pairs = F.regexp_extract_all(F.regexp_extract(tag, _TAG, 0), F.lit(_ATTRIBUTE), F.lit(0))
     own = F.get(F.filter(pairs, lambda p: p.rlike(rf"(?i)^{name}\s*+=")), F.lit(0))
-    return unescape(F.regexp_replace(own, r"""(?s)^[^=]*+=\s*+(?:"(.*)"|'(.*)'|(.*))$""", "$1$2$3"))
+    value = F.regexp_replace(own, r"""(?s)^[^=]*+=\s*+(?:"(.*)"|'(.*)'|(.*))$""", "$1$2$3")
+    return bind(value, lambda v: unescape(v, table))
 
 
-def _cut(stack: Column, name: Column | str) -> Column:
+def _cut(stack: Column, name: Column) -> Column:
     """The stack without the last ``name`` and what is open in it."""
-    opened = F.concat(F.lit(">"), name, F.lit(">")) if isinstance(name, Column) else F.lit(f">{name}>")
+    opened = F.concat(F.lit(">"), name, F.lit(">"))
     inside = F.call_function("substring_index", stack, opened, F.lit(-1))
     rest = F.substr(stack, F.lit(1), F.length(stack) - F.length(inside) - F.length(opened) + 1)
     return F.when(F.contains(stack, opened), rest).otherwise(stack)
 
 
+def _cut_any(stack: Column, names: str) -> Column:
+    """The stack without the last of several elements and what is open in it."""
+    return F.regexp_replace(stack, rf"^(.*>)(?:{names})>.*$", "$1")
+
+
 def _cut_inside(stack: Column, names: str, lists: str) -> Column:
-    """As ``_cut``, but not beyond the innermost list."""
+    """As ``_cut_any``, but not beyond the innermost list."""
     return F.regexp_replace(stack, rf"^(.*>)(?:{names})>(?!(?:.*>)?(?:{lists})>).*$", "$1")
 
 
 def _opened(stack: Column, name: Column) -> Column:
     """The stack after an opening tag: elements that it ends are closed first."""
     # Any of them ends a paragraph, and the head of the page.
-    base = _cut(_cut(stack, "p"), "head")
+    base = _cut_any(stack, "p|head")
     closed = (
         F.when(name == "li", _cut_inside(base, "li", "ul|ol"))
         .when(name.isin("dd", "dt"), _cut_inside(base, "dd|dt", "dl"))
-        .when(name.isin("td", "th"), _cut(_cut(base, "td"), "th"))
-        .when(name == "tr", _cut(base, "tr"))
-        .when(name.isin(*HEADINGS), F.regexp_replace(base, ">h[1-6]>.*$", ">"))
+        .when(name.isin("td", "th"), _cut_any(base, "td|th"))
+        .when(name == "tr", _cut_any(base, "tr"))
+        .when(name.isin(*HEADINGS), _cut_any(base, "h[1-6]"))
         .otherwise(base)
     )
     return F.concat(closed, name, F.lit(">"))
@@ -136,7 +145,7 @@ def _closed(stack: Column, name: Column) -> Column:
     """The stack after a closing tag; tags that close nothing change nothing."""
     return (
         F.when(name == "li", _cut_inside(stack, "li", "ul|ol"))
-        .when(name.isin(*HEADINGS), F.regexp_replace(stack, ">h[1-6]>.*$", ">"))
+        .when(name.isin(*HEADINGS), _cut_any(stack, "h[1-6]"))
         .otherwise(_cut(stack, name))
     )
 
@@ -161,16 +170,21 @@ def _fold(tokens: Column) -> Column:
         ).cast(_BLOCK)
         table = F.struct(F.lit("table").alias("tag"), F.lit(None).cast("int").alias("depth"), state["start"].alias("first"), token["at"].alias("last"))
         hidden = F.contains(stack, F.lit(">head>")) | F.contains(stack, F.lit(">template>"))
-        found = F.when((name == "") & free & ~hidden, F.array(run)).when((name == "/table") & (tables == 1), F.array(table.cast(_BLOCK)))
+        out = state["out"]
+        found = (
+            F.when((name == "") & free & ~hidden, F.concat(out, F.array(run)))
+            .when((name == "/table") & (tables == 1), F.concat(out, F.array(table.cast(_BLOCK))))
+            .otherwise(out)
+        )
         return F.struct(
             F.when((name == "") | ~free, stack)
-            .when(name == "table", _cut(_cut(stack, "p"), "head"))
+            .when(name == "table", _cut_any(stack, "p|head"))
             .when(closing, _closed(stack, bare))
             .otherwise(_opened(stack, name))
             .alias("stack"),
             F.when(name == "table", tables + 1).when(name == "/table", F.greatest(tables - 1, F.lit(0))).otherwise(tables).alias("tables"),
             F.when((name == "table") & free, token["at"]).otherwise(state["start"]).alias("start"),
-            F.when(found.isNotNull(), F.concat(state["out"], found)).otherwise(state["out"]).alias("out"),
+            found.alias("out"),
         )
 
     none = F.array().cast(f"array<{_BLOCK}>")
@@ -196,19 +210,19 @@ def _fold(tokens: Column) -> Column:
     )
 
 
-def _described(tag: Column, depth: Column, markup: Column) -> Column:
+def _described(tag: Column, depth: Column, markup: Column, table: Column) -> Column:
     """A block with its text, its links, its emphasized words and its pictures."""
     empty = F.array().cast("array<string>")
     anchors = F.when(markup.rlike(r"(?i)<a\s"), F.regexp_extract_all(markup, F.lit(_ANCHOR), F.lit(0))).otherwise(empty)
     links = F.filter(
-        F.transform(anchors, lambda a: F.struct(attribute(a, "href").alias("url"), plain(a).alias("text"))), lambda x: x["url"].isNotNull()
+        F.transform(anchors, lambda a: F.struct(attribute(a, "href", table).alias("url"), plain(a, table).alias("text"))), lambda x: x["url"].isNotNull()
     )
     marked = F.when(markup.rlike(rf"(?i)<(?:{'|'.join(EMPHASIS)})[\s>]"), F.regexp_extract_all(markup, F.lit(_EMPHASIS), F.lit(0))).otherwise(empty)
     strong = F.filter(
         F.transform(marked, lambda m: F.struct(F.lower(F.regexp_extract(m, r"^<(\w+)", 1)).alias("tag"), plain(m).alias("text"))),
         lambda x: x["text"] != "",
     )
-    return F.struct(tag.alias("tag"), depth.alias("depth"), plain(markup).alias("text"), markup.alias("html"), links.alias("links"), strong.alias("strong"), F.lit(None).cast("string").alias("src"))
+    return F.struct(tag.alias("tag"), depth.alias("depth"), plain(markup, table).alias("text"), markup.alias("html"), links.alias("links"), strong.alias("strong"), F.lit(None).cast("string").alias("src"))
 
 
 _DESCRIBED = (
@@ -217,16 +231,16 @@ _DESCRIBED = (
 )
 
 
-def _picture(tag: Column) -> Column:
+def _picture(tag: Column, table: Column) -> Column:
     none = F.lit(None)
     return F.struct(
         F.lit("img").alias("tag"),
         none.cast("int").alias("depth"),
-        F.coalesce(F.trim(F.regexp_replace(attribute(tag, "alt"), r"\s+", " ")), F.lit("")).alias("text"),
+        F.coalesce(F.trim(F.regexp_replace(attribute(tag, "alt", table), r"\s+", " ")), F.lit("")).alias("text"),
         tag.alias("html"),
         F.array().cast("array<struct<url:string,text:string>>").alias("links"),
         F.array().cast("array<struct<tag:string,text:string>>").alias("strong"),
-        attribute(tag, "src").alias("src"),
+        attribute(tag, "src", table).alias("src"),
     ).cast(_DESCRIBED)
 
 
@@ -243,18 +257,18 @@ def blocks(html: Column) -> Column:
         lambda t, k: F.struct(F.lower(F.regexp_extract(t, _NAME, 1)).alias("name"), t.alias("raw"), k.alias("at")),
     )
 
-    def described(all_tokens: Column, b: Column) -> Column:
+    def described(all_tokens: Column, b: Column, table: Column) -> Column:
         inside = F.slice(all_tokens["raw"], b["first"] + 1, b["last"] - b["first"] + 1)
-        block = bind(F.array_join(inside, ""), lambda m: _described(b["tag"], b["depth"], m)).cast(_DESCRIBED)
+        block = bind(F.array_join(inside, ""), lambda m: _described(b["tag"], b["depth"], m, table)).cast(_DESCRIBED)
         return bind(
             block,
             lambda d: F.concat(
                 F.array(d),
-                F.when(d["html"].rlike(r"(?i)<img[\s/>]"), F.transform(F.regexp_extract_all(d["html"], F.lit(_IMAGE), F.lit(0)), _picture)).otherwise(
+                F.when(d["html"].rlike(r"(?i)<img[\s/>]"), F.transform(F.regexp_extract_all(d["html"], F.lit(_IMAGE), F.lit(0)), lambda i: _picture(i, table))).otherwise(
                     F.array().cast(f"array<{_DESCRIBED}>")
                 ),
             ),
         )
 
-    found = bind(tokens, lambda t: F.flatten(F.transform(_fold(t), lambda b: described(t, b))))
+    found = bind(tokens, lambda t: bind(_reference_table(), lambda table: F.flatten(F.transform(_fold(t), lambda b: described(t, b, table)))))
     return F.filter(found, lambda b: (b["text"] != "") | (b["tag"] == "img"))
