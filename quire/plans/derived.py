@@ -259,6 +259,36 @@ def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+class PictureHook:
+    """A user's parser: a picture row with bytes is an element, one without is none."""
+
+    def iter_elements(self, row: dict):
+        import base64
+
+        if row["blob"]:
+            kind = row["content_type"] or {"png": "image/png", "gif": "image/gif"}.get((row["ext"] or "").lower(), "image/jpeg")
+            yield {
+                "element_index": row["element_index"],
+                "element_type": "Image",
+                "text": row["name"] or "PowerPoint-Bild",
+                "page_number": row["page_number"] or 1,
+                "image_base64": base64.b64encode(row["blob"]).decode(),
+                "image_mime_type": kind,
+            }
+
+
+def with_unknown_members() -> Column:
+    """A rich element as JSON, with members of several types that are no canonical field."""
+    i = F.col("element_index")
+    more = [
+        F.when(i % 2 == 0, F.struct(i.alias("b"), F.col("element_type").alias("a"))).alias("x_nested"),
+        F.when(i % 3 == 0, F.array(F.lit("p"), F.left("text", F.lit(7)))).alias("it's"),
+        F.when(i % 3 == 0, i % 2 == 1).alias("x_flag"),
+        F.when(i % 3 == 0, "7").alias("x_text"),
+    ]
+    return F.to_json(F.struct("doc_id", "element_index", "element_type", "text", *more))
+
+
 def flawed(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Documents without text, JSON that is broken, and pages that show nothing, by body."""
     d, p = F.col("doc_id"), F.col("page_id")

@@ -11,6 +11,7 @@ import re
 
 from quire.functions import markup as m
 from quire.functions.images import HASH_PREFIX_CHARS
+from quire.functions.language import BUCKETS, CODES, SHARE, TOP
 from quire.functions.ordered import IMAGE_SEGMENT_ROWS, SEGMENT_ROWS
 from quire.functions.text import EMAIL, IPV4, STOP_WORDS, URL, US_PHONE, WHITESPACE, WORD
 from quire.operators import rag, render, slides as sl
@@ -621,6 +622,7 @@ FROM s e LEFT JOIN s t ON t.doc_id = e.doc_id AND t.element_type = 'Title' AND t
   CASE WHEN element_index % 15 <> 4 THEN page_number ELSE 1 END AS page_number, {b64('text')} AS image_base64,
   CASE doc_id % 5 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/webp' WHEN 2 THEN 'image/png' WHEN 3 THEN 'image/gif' ELSE 'image/jpeg' END AS image_mime_type
 FROM e WHERE doc_id % 6 <> 5 AND text <> ''"""
+    q["hook_pictures"] = q["picture_elements"].replace("AS image_mime_type\n", "AS image_mime_type, CAST(NULL AS VARCHAR) AS hook_error\n")
     q["slide_pictures"] = f"""WITH {SLIDES}
 SELECT doc_id, slide, 'Picture' AS type, CAST(k AS INTEGER) AS shape_index, CAST(NULL AS INTEGER) AS child_index, {b64('line')} AS base64,
   'image/jpeg' AS mime_type, coalesce(name, 'Bild auf Slide ' || slide) AS alt_text, CAST(100 AS BIGINT) AS width, CAST(NULL AS BIGINT) AS height
@@ -646,6 +648,39 @@ SELECT doc_id, slide, 'Picture (Grouped)', CAST(k AS INTEGER), 0, {b64('line')},
     q["stream_replace"] = f"""WITH up AS (SELECT doc_id, source, lang, {again} AS text FROM documents),
 {TEXT.replace('FROM documents', 'FROM up WHERE text IS NOT NULL')} SELECT doc_id, element_index, element_type, text, page_number FROM e"""
 
+    unknown = obj(**{"it''s": f"CASE WHEN element_index % 3 = 0 THEN {js("['p', left(text, 7)]")} END", "x_flag": "CASE WHEN element_index % 3 = 0 THEN CASE WHEN element_index % 2 = 1 THEN 'true' ELSE 'false' END END",
+        "x_nested": f"CASE WHEN element_index % 2 = 0 THEN {obj(a=js('element_type'), b='CAST(element_index AS VARCHAR)')} END", "x_text": "CASE WHEN element_index % 3 = 0 THEN '\"7\"' END"})
+    q["json_unknown_members"] = rich(f"doc_id, element_index, element_type, text, nullif({unknown}, '{{}}') AS extra")
+    codes = ", ".join(f"({lit(k)}, {lit(v)})" for k, v in CODES.items())
+    runs = rf"""list_transform(range(len(p) - 2), lambda i: CAST((p[i + 1] * 1369 + p[i + 2] * 37 + p[i + 3]) % {BUCKETS} AS INTEGER))"""
+    points = r"list_transform(string_split(' ' || trim(regexp_replace(lower(text), '[^\p{L}]+', ' ', 'g')) || ' ', ''), lambda c: unicode(c))"
+    q["element_languages"] = f"""WITH {TEXT}, iso(two, three) AS (VALUES {codes}),
+dp AS (SELECT three AS code, {points} AS p FROM documents JOIN iso ON lang = two),
+dc AS (SELECT code, bucket, count(*) AS n FROM (SELECT code, unnest({runs}) AS bucket FROM dp WHERE len(p) > 2) GROUP BY 1, 2),
+dr AS (SELECT code, bucket, row_number() OVER (PARTITION BY code ORDER BY n DESC, bucket) AS rank FROM dc),
+pf AS (SELECT code, bucket, CAST({TOP} - floor(log2(rank) + 1e-9) AS INTEGER) AS score FROM dr WHERE floor(log2(rank) + 1e-9) < {TOP}),
+ep AS (SELECT doc_id, element_index, {points} AS p FROM e),
+er AS (SELECT doc_id, element_index, unnest({runs}) AS bucket FROM ep WHERE len(p) > 2),
+es AS (SELECT doc_id, element_index, code, sum(score) AS s FROM er JOIN pf USING (bucket) GROUP BY 1, 2, 3),
+ea AS (SELECT doc_id, element_index, code, coalesce(s, 0) AS s FROM e CROSS JOIN (SELECT DISTINCT code FROM pf) LEFT JOIN es USING (doc_id, element_index, code)),
+eb AS (SELECT *, max(s) OVER w AS best, pow(2.0, s - max(s) OVER w) AS weight FROM ea WINDOW w AS (PARTITION BY doc_id, element_index)),
+ew AS (SELECT *, weight / sum(weight) OVER (PARTITION BY doc_id, element_index) AS probability FROM eb),
+ek AS (SELECT *, row_number() OVER (PARTITION BY doc_id, element_index ORDER BY probability DESC, code) AS k FROM ew)
+SELECT doc_id, element_index, coalesce(first(code ORDER BY k) FILTER (WHERE best > 0), 'und') AS language,
+  coalesce(string_agg(code, '|' ORDER BY k) FILTER (WHERE best > 0 AND (k = 1 OR probability >= {SHARE})), '') AS languages,
+  round(coalesce(max(probability) FILTER (WHERE best > 0), 0.0), 6) AS probability
+FROM ek GROUP BY 1, 2"""
+    q["intake_parts"] = f"""WITH {TEXT}, {HTML},
+x AS (
+  SELECT 'text' AS body, doc_id, element_index, text AS content, true AS good FROM e WHERE doc_id % 13 <> 5
+  UNION ALL SELECT 'json', doc_id, NULL, text, true FROM documents WHERE doc_id % 13 <> 5 AND doc_id % 7 <> 2
+  UNION ALL SELECT 'html', doc_id, element_index, text, true FROM h0 WHERE doc_id % 13 NOT IN (5, 6)
+  UNION ALL SELECT 'text', doc_id, NULL, 'no text', false FROM documents WHERE doc_id % 13 = 5
+  UNION ALL SELECT 'json', doc_id, NULL, CASE WHEN doc_id % 13 = 5 THEN 'no json' ELSE 'not an element with a document number' END, false
+    FROM documents WHERE doc_id % 13 = 5 OR doc_id % 7 = 2
+  UNION ALL SELECT 'html', page_id, NULL, CASE page_id % 13 WHEN 5 THEN 'no html' ELSE 'nothing visible' END, false FROM pages WHERE page_id % 13 IN (5, 6))
+SELECT body, doc_id, element_index, content, count(*) OVER (PARTITION BY body, good) AS counted FROM x"""
+
     # Sinks and serialisation.
     q["rag_jsonl"] = f"WITH {RAG} SELECT doc_id, element_index, {RAG_LINE} AS line FROM g"
     q["rag_json_array"] = f"""WITH {RAG} SELECT doc_id, segment, documents, {bracketed('json')} AS json FROM (

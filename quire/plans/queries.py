@@ -21,7 +21,10 @@ from quire.functions.images import (
 from quire.functions.text import strip
 from quire.operators import chunking, elements as el, export, images, rag, render, slides as sl, text as tx
 from quire.plans import derived as d
+from quire.functions.language import train_profiles
 from quire.sources import documents as docs, files as fl, slides as sp
+from quire.sources.hooks import apply_hook, register_hook
+from quire.sources.intake import read_intake, write_intake
 from quire.schema import ELEMENT_COLUMNS
 from quire.session import shared_dir
 from quire.streaming.ingest import document_stream, ingest_available
@@ -106,6 +109,15 @@ def element_language(spark, sf):
     return docs.detect_languages(d.text_elements(spark, sf)).select(*_doc("language"))
 
 
+@query
+def element_languages(spark, sf):
+    """All languages of each line, by profiles of the documents' own."""
+    profiles = train_profiles(d.raw_documents(spark, sf))
+    found = docs.detect_languages(d.text_elements(spark, sf), profiles=profiles)
+    best = F.round(F.coalesce(F.get("language_probabilities", F.lit(0)), F.lit(0.0)), 6).alias("probability")
+    return found.select(*_doc("language", _joined("languages"), best))
+
+
 @query
 def parent_links(spark, sf):
     return docs.fill_parents(d.sectioned_elements(spark, sf)).select(*_doc("parent_id"))
@@ -116,6 +128,15 @@ def picture_elements(spark, sf):
     return sp.picture_elements(d.pictures(spark, sf))
 
 
+@query
+def hook_pictures(spark, sf):
+    """Pictures by a user's class that yields one element or none for a row."""
+    columns = ("element_index", "page_number", "name", "blob", "content_type", "ext")
+    register_hook(spark, "picture_hook", d.PictureHook, columns)
+    found = apply_hook(d.pictures(spark, sf), "picture_hook", columns)
+    return found.select(*_doc("element_type", "text", "page_number", "image_base64", "image_mime_type", "hook_error"))
+
+
 @query
 def slide_pictures(spark, sf):
     return sp.slide_pictures(d.slides(spark, sf))
@@ -132,6 +153,33 @@ def quarantine(spark, sf):
     return bad[0].unionByName(bad[1]).unionByName(bad[2])
 
 
+@query
+def intake_parts(spark, sf):
+    """Elements and quarantine of each kind of body, written and counted in one pass each."""
+    out = None
+    for body, raw in d.flawed(spark, sf).items():
+        path = shared_dir(spark, f"intake-{body}")
+        counts = write_intake(raw, body, path)
+        read = read_intake(spark, path)
+        total = lambda name: F.lit(counts[name]).cast("long").alias("counted")  # noqa: B023, E731
+        kinds = [
+            read.elements.select(F.lit(body).alias("body"), "doc_id", "element_index", F.col("text").alias("content"), total("elements")),
+            read.quarantine.select(F.lit(body).alias("body"), "doc_id", F.lit(None).cast("int").alias("element_index"), F.col("reason").alias("content"), total("quarantined")),
+        ]
+        for rows in kinds:
+            out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query
+def json_unknown_members(spark, sf):
+    """Elements with members that no field knows, read and written as JSON twice."""
+    rows = d.rich_elements(spark, sf).select(d.with_unknown_members().alias("json"))
+    once = docs.elements_from_json(rows, extra="extra").withColumn("json", docs.elements_to_json("extra"))
+    back = docs.elements_from_json(once, extra="extra")
+    return back.select(*_doc("element_type", "text", F.to_json("extra").alias("extra")))
+
+
 @query
 def json_roundtrip(spark, sf):
     rows = d.rich_elements(spark, sf)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quire.functions.html import HEADINGS, blocks
+from quire.functions.html import HEADINGS, bind, blocks
+from quire.functions.language import Profiles, codes_of, first_code, languages_of
 from quire.functions.ordered import BLOCK, block_of, last_before, running_sum
 from quire.functions.text import STOP_WORDS, language_of, truthy_text
-from quire.schema import IMAGE_TYPES, PAGE_BREAK, element_schema
+from quire.schema import ELEMENT_COLUMNS, IMAGE_TYPES, PAGE_BREAK, element_schema
 
 LIST_ITEM_CHARS = 60
 PAGE_LINES = 5
@@ -27,10 +28,14 @@ def line_type(text: Column, position: Column) -> Column:
     )
 
 
-def partition_text(raw: DataFrame, page_lines: int = PAGE_LINES, first_page: int = 1) -> DataFrame:
-    """One element per line of ``text``; other columns of ``raw`` are kept."""
+def partition_text(raw: DataFrame, page_lines: int = PAGE_LINES, first_page: int = 1, outer: bool = False) -> DataFrame:
+    """One element per line of ``text``; other columns of ``raw`` are kept.
+
+    A row without text gives no element, or with ``outer`` a row without position.
+    """
     kept = [c for c in raw.columns if c != "text"]
-    lines = raw.select(*kept, F.posexplode(F.split("text", "\n")).alias("element_index", "text"))
+    explode = F.posexplode_outer if outer else F.posexplode
+    lines = raw.select(*kept, explode(F.split("text", "\n")).alias("element_index", "text"))
     index = F.col("element_index")
     return lines.select(
         *kept,
@@ -42,7 +47,7 @@ def partition_text(raw: DataFrame, page_lines: int = PAGE_LINES, first_page: int
     )
 
 
-def partition_html(raw: DataFrame) -> DataFrame:
+def partition_html(raw: DataFrame, outer: bool = False) -> DataFrame:
     """One element per block, table and picture of ``html``, with their metadata.
 
     Blocks come from a stack of open elements (``functions/html.py``): text after a nested
@@ -51,11 +56,12 @@ def partition_html(raw: DataFrame) -> DataFrame:
     HTML; a picture follows the block that holds it, with its alternative text.  The depth
     of a heading is its level, that of a list item the nesting of its list, both from 0.
     Empty blocks are dropped inside the array before it is exploded, so positions are dense
-    without a window.  A page in which nothing is visible has no elements: see
-    :func:`quarantine`.
+    without a window.  A page in which nothing is visible has no elements, or with
+    ``outer`` a row without position: see :func:`quarantine`.
     """
     kept = [c for c in raw.columns if c != "html"]
-    exploded = raw.select(*kept, F.posexplode(blocks(F.col("html"))).alias("element_index", "b"))
+    explode = F.posexplode_outer if outer else F.posexplode
+    exploded = raw.select(*kept, explode(blocks(F.col("html"))).alias("element_index", "b"))
     tag = F.col("b.tag")
     heading = tag.isin(*HEADINGS)
     kind = F.when(heading, "Title").otherwise(DEFAULT_TYPE)
@@ -123,9 +129,24 @@ def _depth(elements: DataFrame) -> Column:
 
 
 def detect_languages(
-    elements: DataFrame, stop_words: dict[str, tuple[str, ...]] | None = None
+    elements: DataFrame, stop_words: dict[str, tuple[str, ...]] | None = None, profiles: Profiles | None = None
 ) -> DataFrame:
-    return elements.withColumn("language", language_of(F.col("text"), stop_words or STOP_WORDS))
+    """``language`` of each element: by stop words, or by profiles where they are given.
+
+    With profiles (``functions/language.py``) all languages of an element are found:
+    ``languages`` lists them, the most probable first, and ``language_probabilities`` how
+    probable they are.
+    """
+    if profiles is None:
+        return elements.withColumn("language", language_of(F.col("text"), stop_words or STOP_WORDS))
+    kept = [c for c in elements.columns if c not in ("languages", "language", "language_probabilities")]
+    found = elements.withColumn("__found", languages_of(F.col("text"), profiles))
+    return found.select(
+        *kept,
+        first_code(F.col("__found")).alias("language"),
+        codes_of(F.col("__found")).alias("languages"),
+        F.col("__found.probability").alias("language_probabilities"),
+    )
 
 
 def apply_flags(elements: DataFrame, include_tables: bool = True, include_images: bool = True) -> DataFrame:
@@ -167,10 +188,43 @@ def partition_status(raw: DataFrame) -> DataFrame:
     )
 
 
-def elements_from_json(rows: DataFrame, column: str = "json") -> DataFrame:
+def elements_from_json(rows: DataFrame, column: str = "json", extra: str | None = None) -> DataFrame:
     """Elements from JSON objects with the canonical field names.
 
     Rows that are no such object, or have no ``doc_id``, are left to :func:`quarantine`.
+    ``extra`` names a column for the members that are no canonical field: a map from their
+    names to VARIANT values, NULL without any, which ``elements_to_json`` puts back.
     """
-    parsed = rows.select(F.from_json(column, element_schema()).alias("e"))
-    return parsed.filter(F.col("e.doc_id").isNotNull()).select("e.*")
+    parsed = F.from_json(column, element_schema()).alias("e")
+    if extra is None:
+        return rows.select(parsed).filter(F.col("e.doc_id").isNotNull()).select("e.*")
+    return rows.select(parsed, unknown_members(F.col(column)).alias(extra)).filter(F.col("e.doc_id").isNotNull()).select("e.*", extra)
+
+
+def unknown_members(json: Column) -> Column:
+    """Members of a JSON object that are no canonical field, as a map of VARIANT values.
+
+    Values keep their types and nesting; the text they are written as later has no blanks,
+    object members by name and numbers in their shortest form.
+    """
+    names = F.array_except(F.json_object_keys(json), F.array(*[F.lit(c) for c in ELEMENT_COLUMNS]))
+
+    def path(name: Column) -> Column:
+        quote = F.when(F.contains(name, F.lit("'")), '"').otherwise("'")
+        return F.concat(F.lit("$["), quote, name, quote, F.lit("]"))
+
+    def members(all_names: Column) -> Column:
+        value = F.try_parse_json(json)
+        return bind(value, lambda v: F.map_from_arrays(all_names, F.transform(all_names, lambda n: F.try_variant_get(v, path(n), "variant"))))
+
+    return bind(F.array_sort(names), lambda n: F.when(F.size(n) > 0, members(n)))
+
+
+def elements_to_json(extra: str | None = None) -> Column:
+    """The JSON object of a row's canonical fields, followed by the members in ``extra``."""
+    known = F.to_json(F.struct(*ELEMENT_COLUMNS))
+    if extra is None:
+        return known
+    more = F.to_json(F.col(extra))
+    joined = F.concat(F.left(known, F.length(known) - 1), F.when(known != "{}", ",").otherwise(""), F.substr(more, F.lit(2)))
+    return F.when(F.size(extra) > 0, joined).otherwise(known)
