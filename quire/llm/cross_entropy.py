@@ -10,7 +10,8 @@ A text's loss is a sum over terms: for each word its single part and the rest of
 context, for each pair what its own probability changes.  The terms are a distributed
 table of (key, target, background).  The ``NEAR_TERMS`` most frequent ones are also
 broadcast, which only saves work: scoring sums those in place and joins the others, one
-row for each term of a text, with the whole table.
+row for each term of a text, with the whole table.  Tables are removed when the last one
+that is made from them has been written.
 """
 
 from __future__ import annotations
@@ -20,15 +21,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from quire.llm.stage import stage
+from quire.llm.stage import discard, stage
 from quire.llm.words import Alphabet, hashed_words, mix, signed
 from quire.session import share_code
 
 MIN_PAIR = 2
-NEAR_TERMS = 1_000_000
+NEAR_TERMS = 2_000_000
 DISCOUNT = 0.5
 SIDES = ("target", "background")
 #: In place of a word's hash: the text's start and the unknown word.
@@ -138,7 +138,7 @@ def train(docs: DataFrame, word_share: float = 0.0, pair_share: float = 0.0, nea
     rows = docs.select(F.col("text").cast("string").alias("text"), F.coalesce(F.col("target"), F.lit(False)).alias("target"))
     kind = ", ".join(f"{c} long" for c in ("word", *_WORD_SUMS))
     counted = rows.mapInArrow(_word_counts, kind).groupBy("word").agg(*[F.sum(c).alias(c) for c in _WORD_SUMS])
-    words = stage(counted, "word-counts")
+    words = counts_table = stage(counted, "word-counts")
     tokens = words.agg(F.sum("now_background")).first()[0] or 0
     vocabulary = None
     if word_share:
@@ -192,6 +192,8 @@ def train(docs: DataFrame, word_share: float = 0.0, pair_share: float = 0.0, nea
     seconds = parts.select(F.col("word").alias("now"), *[f"single_{s}" for s in SIDES])
     of_pairs = pairs.join(firsts, "before").join(seconds, "now").mapInArrow(_pair_terms, _TERMS)
     terms = stage(parts.mapInArrow(_word_terms(unknown), _TERMS).unionByName(of_pairs), "terms")
+    for table in (counts_table, pairs, parts):
+        discard(table)
     # Grades rise with the logarithm of a term's count: a few hundred rows.
     near, least = 0, None
     for r in sorted(terms.groupBy("grade").count().collect(), reverse=True):
@@ -210,18 +212,21 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, target_loss, background_loss, difference.
 
     Losses are nats per token over the whole text; a negative difference means that the
-    text is more like the target.  Texts without words have null losses.
+    text is more like the target.  Texts without words, null or empty, have null losses.
+    Rows are known by hashes of doc_id and text; repeated rows have equal sums and counts,
+    which leaves their losses as they are.  Other columns are not read.
     """
-    share_code(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast((model.keys, model.values, model.vocabulary))
+    spark = docs.sparkSession
+    share_code(spark)
+    shared = spark.sparkContext.broadcast((model.keys, model.values, model.vocabulary))
     single, left = (np.array([[-np.log(model.unknown[f"{part}_{s}"])] for s in SIDES]) for part in ("single", "left"))
 
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each text a row with its near sums, its head, and one for each of its other terms."""
         near, values, vocabulary = shared.value
-        number = TaskContext.get().partitionId() << 40
         for batch in batches:
-            tokens, sums, keys, repeats, lengths = [np.zeros(0, np.int64)], [np.zeros((2, 0))], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for _, counts, found in hashed_words(batch.column("text"), Alphabet.alphanumeric()):
+            rows = [batch.column(c).to_numpy() for c in ("high", "low")]
+            for first, counts, found in hashed_words(batch.column("text"), Alphabet.alphanumeric()):
                 now = _known(found, vocabulary)
                 before = _before(now, counts)
                 distinct, at = np.unique(np.concatenate((_now_keys(now), _before_keys(before), _pair_keys(before, now))), return_inverse=True)
@@ -233,33 +238,35 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 total = (single + left) * counts
                 total += np.stack([np.bincount(text, v[at], len(counts)) for v in found_values])
                 far = ~known[at]
-                terms, n = np.unique(text[far] * len(distinct) + at[far], return_counts=True)
-                tokens.append(counts)
-                sums.append(total)
-                keys.append(distinct[terms % max(len(distinct), 1)])
-                repeats.append(n)
-                lengths.append(np.bincount(terms // max(len(distinct), 1), minlength=len(counts)))
-            n, total = np.concatenate(tokens), np.concatenate(sums, axis=1)
-            offsets = pa.array(np.concatenate(([0], np.cumsum(np.concatenate(lengths)))).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(number + np.arange(len(n))), batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(total[0]), pa.array(total[1]),
-                    pa.ListArray.from_arrays(offsets, pa.array(signed(np.concatenate(keys)))),
-                    pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(repeats).astype(np.int32))),
-                ],
-                names=["row", "doc_id", "n_tokens", *SIDES, "keys", "repeats"],
-            )
-            number += len(n)
-
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    # Staged, so that a row's number is the same on both sides of the last join.
-    texts = stage(rows.mapInArrow(summed, f"row long, doc_id {kind}, n_tokens long, target double, background double, keys array<long>, repeats array<int>"), "text-terms")
-    each = texts.select("row", F.explode(F.arrays_zip("keys", "repeats")).alias("term")).select("row", F.col("term.keys").alias("key"), F.col("term.repeats").alias("n"))
-    far = each.join(model.far, "key").groupBy("row").agg(*[F.sum(F.col("n") * F.col(s).cast("double")).alias(f"far_{s}") for s in SIDES])
-    losses = {s: F.when(F.col("n_tokens") > 0, (F.col(s) + F.coalesce(f"far_{s}", F.lit(0.0))) / F.col("n_tokens")) for s in SIDES}
-    joined = texts.drop("keys", "repeats").join(far, "row", "left")
-    return joined.select(
-        "doc_id", "n_tokens", losses["target"].alias("target_loss"), losses["background"].alias("background_loss"),
+                cells, n = np.unique(text[far] * max(len(distinct), 1) + at[far], return_counts=True)
+                of = cells // max(len(distinct), 1)
+                whole = [x[first : first + len(counts)] for x in rows]
+                yield pa.RecordBatch.from_arrays(
+                    [*map(pa.array, whole), pa.array(whole[0]), pa.array(counts.astype(np.int64)), *map(pa.array, total)], names=_ROW
+                )
+                none = pa.nulls(len(cells), pa.float64())
+                keys = pa.array(signed(distinct[cells % max(len(distinct), 1)]))
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[of]) for x in whole), keys, pa.array(n.astype(np.int64)), none, none], names=_ROW)
+
+    text = F.col("text").cast("string").alias("text")
+    hashes = [F.xxhash64("doc_id", text, F.lit(k)).alias(c) for k, c in enumerate(("high", "low"))]
+    found = docs.select(*hashes, text).mapInArrow(terms, "high long, low long, key long, n long, target double, background double")
+    # Heads have sums and are dealt by their own hash.  The table of terms is hashed, so the
+    # rows need no sort; terms that are not in it change nothing.
+    held = model.far.select("key", *[F.col(s).cast("double").alias(f"far_{s}") for s in SIDES]).hint("shuffle_hash")
+    head = F.col(SIDES[0]).isNotNull()
+    met = found.join(held, "key", "left").filter(head | F.col(f"far_{SIDES[0]}").isNotNull())
+    sums = met.groupBy("high", "low").agg(
+        F.sum(F.when(head, F.col("n"))).alias("tokens"), F.count_if(head).alias("copies"), *[F.sum(F.coalesce(s, F.col("n") * F.col(f"far_{s}"))).alias(s) for s in SIDES]
+    )
+    losses = {s: F.when(F.col("tokens") > 0, F.col(s) / F.col("tokens")) for s in SIDES}
+    return docs.select("doc_id", *hashes).join(sums, ["high", "low"]).select(
+        "doc_id",
+        (F.col("tokens") / F.col("copies")).cast("long").alias("n_tokens"),
+        losses["target"].alias("target_loss"),
+        losses["background"].alias("background_loss"),
         (losses["target"] - losses["background"]).alias("difference"),
-    )
+    )
+
+
+_ROW = ["high", "low", "key", "n", *SIDES]

@@ -37,3 +37,11 @@ def stage(df: DataFrame, purpose: str) -> DataFrame:
     with _shuffles_end_with_the_job(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(staged: DataFrame) -> None:
+    """Remove the folder of a staged table that nothing reads any more."""
+    spark = staged.sparkSession
+    for file in staged.inputFiles()[:1]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
