@@ -32,7 +32,7 @@ from quire.llm.stage import stage
 
 WEIGHTS = (1.0, 2.0, 3.0)
 BLOCK_WORDS = 64
-SHARD_BLOCKS = 64
+SHARD_BLOCKS = 16
 BIN_ROWS = 2_000
 LIMIT = 3
 SEED = 20
