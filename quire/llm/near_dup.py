@@ -16,8 +16,12 @@ buckets that still hold several components are compared across components, by an
 prefix filter on their sets: shingles are ordered by how many of these members hold
 them, rare ones first, and two sets that meet the threshold share one of the first
 ``n - ceil(t n) + 1``.  Edits make rare shingles, so a copy that is linked with nobody has
-a prefix that is its own and meets nobody.  No link between different components that a
-band has found is left out.
+a prefix that is its own and meets nobody.  Where much boilerplate is shared, whole
+prefixes may meet many others; so the members of a crowded shingle meet only by (shingle,
+own size band, other size band), and a member is put there only if its shingle comes early
+enough for a partner of that size: what both sets still hold from it on must suffice.  Documents that share too
+little then meet nobody, however many they are.  No link between different components that
+a band has found is left out.
 """
 
 from __future__ import annotations
@@ -41,9 +45,12 @@ MANTISSA = 10
 BAND = 4
 _TRIES = 64
 _EMPTY = 0
+#: Shingles in more prefixes than this are met by bands, whose sizes differ by this factor.
+CROWD = 64
+SIZE_BAND = 1.01
 
 SKETCHES = "doc_id long, n_shingles long, set_a long, set_b long, registers array<smallint>"
-SETS = "doc_id long, shingles array<bigint>"
+SETS = "set_a long, set_b long, shingles array<bigint>"
 
 
 def _borrow_order() -> np.ndarray:
@@ -98,20 +105,22 @@ def band_keys(sketch: np.ndarray, order: np.ndarray) -> np.ndarray:
     return mix(lanes ^ mix(np.arange(1, len(lanes) + 1, dtype=np.uint64)))
 
 
+def _digests(sets: list[np.ndarray]) -> list[pa.Array]:
+    """Two hashes of 64 bits for each set, whatever the order of its members."""
+    a = [np.sum(mix(s ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64) for s in sets]
+    b = [np.sum(mix(s + np.uint64(0x14057B7EF767814F)), dtype=np.uint64) for s in sets]
+    return [pa.array(signed(np.array(x, np.uint64))) for x in (a, b)]
+
+
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n, a, b, kept = [], [], [], []
-        for s in shingle_sets(batch.column("text")):
-            n.append(len(s))
-            a.append(np.sum(mix(s ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64))
-            b.append(np.sum(mix(s + np.uint64(0x14057B7EF767814F)), dtype=np.uint64))
-            kept.append(registers(s).view(np.int16))
+        sets = list(shingle_sets(batch.column("text")))
+        kept = [registers(s).view(np.int16) for s in sets]
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
-                pa.array(n, pa.int64()),
-                pa.array(signed(np.array(a, np.uint64))),
-                pa.array(signed(np.array(b, np.uint64))),
+                pa.array([len(s) for s in sets], pa.int64()),
+                *_digests(sets),
                 pa.ListArray.from_arrays(
                     pa.array(np.arange(len(kept) + 1, dtype=np.int32) * BUCKETS),
                     pa.array(np.concatenate(kept) if kept else np.zeros(0, np.int16)),
@@ -130,7 +139,7 @@ def _band_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(signed(np.concatenate(keys)) if keys else [], pa.int64()),
-                pa.array(np.repeat(batch.column("doc_id").to_numpy(zero_copy_only=False), size), pa.int64()),
+                pa.array(np.repeat(batch.column("node").to_numpy(zero_copy_only=False), size), pa.int64()),
             ],
             names=["band", "node"],
         )
@@ -142,8 +151,8 @@ def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
         values = signed(np.concatenate(sets)) if sets else np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))],
-            names=["doc_id", "shingles"],
+            [*_digests(sets), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))],
+            names=["set_a", "set_b", "shingles"],
         )
 
 
@@ -170,8 +179,8 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """Pairs (a, b, n_a, n_b) whose full sets meet the threshold."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("s_a"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("s_b"))
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("s_a"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("s_b"))
     common = F.size(F.array_intersect("s_a", "s_b"))
     return (
         pairs.join(left, "a")
@@ -209,9 +218,9 @@ def _mixed_nodes(active: DataFrame, component: DataFrame) -> DataFrame:
     return known.join(several.filter("low < high").select("band"), "band").select("node", "root").distinct()
 
 
-def _prefix_pairs(mixed: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """Pairs of nodes from different components that share a shingle of both prefixes."""
-    shingles = sets.withColumnRenamed("doc_id", "node").join(mixed, "node")
+def _meetings(mixed: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """Two nodes of different components for each shingle of both prefixes in a pair of bands."""
+    shingles = sets.join(mixed, "node")
     length = F.size("shingles") - F.ceil(F.size("shingles") * similarity / 100) + 1
     each = shingles.select("node", "root", F.size("shingles").alias("size"), length.alias("prefix"), F.explode("shingles").alias("shingle"))
     held = one_per_key(each, ["shingle"], F.count(F.lit(1)).alias("held")).filter("held > 1")
@@ -221,21 +230,53 @@ def _prefix_pairs(mixed: DataFrame, sets: DataFrame, similarity: int) -> DataFra
     alone = F.col("size") - F.count(F.lit(1)).over(own)
     place = F.row_number().over(own.orderBy("held", "shingle"))
     first = common.withColumn("place", place + alone).filter("place <= prefix").select("shingle", "node", "root", "size", "place")
-    several = one_per_key(first, ["shingle"], F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
-    met = stage(first.join(several.select("shingle"), "shingle"), "prefixes")
-    other = met.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("node", "root", "size", "place")])
+    several = one_per_key(first, ["shingle"], F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("crowd")).filter("low < high")
+    met = stage(first.join(several.select("shingle", "crowd"), "shingle"), "prefixes")
+    columns = ("node", "root", "size", "place")
+    second = [F.col(c).alias(f"{c}_b") for c in columns]
+    few = met.filter(F.col("crowd") <= CROWD).select("shingle", *columns)
+    many = stage(_by_bands(met.filter(F.col("crowd") > CROWD).select("shingle", *columns), similarity), "bands")
+    others = many.select("shingle", F.col("partner").alias("band"), F.col("band").alias("partner"), *second)
+    meetings = [
+        few.join(few.select("shingle", *second), "shingle").drop("shingle"),
+        many.join(others, ["shingle", "band", "partner"]).drop("shingle", "band", "partner"),
+    ]
+    return meetings[0].unionByName(meetings[1]).filter("root < root_b")
+
+
+def _prefix_pairs(mixed: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """Pairs of nodes from different components that share a shingle of both prefixes."""
     # Sizes must fit, and what both hold from this shingle on must still suffice.
     left = 1 + F.least(F.col("size") - F.col("place"), F.col("size_b") - F.col("place_b"))
     fits = (
         F.expr(f"100 * least(size, size_b) >= {similarity} * greatest(size, size_b)")
         & ((100 + similarity) * left >= similarity * (F.col("size") + F.col("size_b")))
     )
-    return met.join(other, "shingle").filter(F.expr("root < root_b") & fits).select(*_pair("node", "node_b")).distinct()
+    return _meetings(mixed, sets, similarity).filter(fits).select(*_pair("node", "node_b")).distinct()
+
+
+def _by_bands(first: DataFrame, similarity: int) -> DataFrame:
+    """Rows of prefixes, once for each band of sizes in which they can have a partner.
+
+    A partner of a band has its smallest size at least, and the sizes' ratio is bounded;
+    a row whose shingle comes too late even for such a partner is not put there.
+    """
+    t = similarity / 100
+    band = lambda x: F.floor(F.log(x.cast("double")) / float(np.log(SIZE_BAND))).cast("int")
+    size = F.col("size")
+    bands = F.sequence(band(size * t) - 1, band(size / t) + 1)
+
+    def smallest(h: Column) -> Column:
+        # One less than the band's lowest size, for rounding.
+        return F.greatest(F.floor(F.pow(F.lit(SIZE_BAND), h.cast("double"))) - 1, F.ceil(size * t))
+
+    suffices = lambda h: (100 + similarity) * (1 + size - F.col("place")) >= similarity * (size + smallest(h))
+    return first.withColumn("band", band(size)).withColumn("partner", F.explode(F.filter(bands, suffices)))
 
 
 def _likely(pairs: DataFrame, sketch: DataFrame, similarity: int) -> DataFrame:
     """Pairs that their sizes and their sketches leave possible."""
-    side = lambda x: sketch.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}"))
+    side = lambda x: sketch.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}"))
     sized = pairs.join(side("a"), "a").join(side("b"), "b")
     sized = sized.filter(100 * F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b"))
     estimate, occupied = estimated_similarity(F.col("r_a"), F.col("r_b"), F.col("n_a"), F.col("n_b"))
@@ -250,20 +291,23 @@ def near_duplicates(docs: DataFrame, similarity: int = 75) -> DataFrame:
     sets.  component_id is the smallest doc_id reachable over links, kept tells whether
     it is the row's own.  Null and wordless texts have no shingles and are linked with
     nothing.  Rows without doc_id cannot be named by a link; they are kept and have no
-    component_id.  Rows that share a doc_id are compared with others by one of their
-    texts.  An empty table gives an empty result; other columns are not read.
+    component_id.  Rows that share a doc_id are compared each by its own text.  An empty
+    table gives an empty result; other columns are not read.
     """
     rows = stage(sketches(docs), "sketches")
     named = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = one_per_key(named, ["set_a", "set_b"], F.min("doc_id").alias("first"))
-    heads = named.join(classes, ["set_a", "set_b"]).filter("doc_id = first").dropDuplicates(["doc_id"])
-    bands = stage(heads.select("doc_id", "registers").mapInArrow(_band_batches, "band long, node long"), "bands")
+    # A class of equal sets is a node; its number is fixed when the table is written.
+    firsts = F.struct("doc_id", F.col("n_shingles"), "registers")
+    classes = one_per_key(named, ["set_a", "set_b"], F.min_by(firsts, "doc_id").alias("head"))
+    heads = stage(classes.select("set_a", "set_b", "head.*").withColumn("node", F.monotonically_increasing_id()), "classes")
+    bands = stage(heads.select("node", "registers").mapInArrow(_band_batches, "band long, node long"), "bands")
     shared = one_per_key(bands, ["band"], F.count(F.lit(1)).alias("n")).filter("n > 1")
     active = stage(bands.join(shared, "band"), "buckets")
-    nodes = active.select(F.col("node").alias("doc_id")).distinct()
-    sketch = stage(heads.join(nodes, "doc_id").select("doc_id", "n_shingles", "set_a", "registers"), "candidates")
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(nodes, "doc_id")
-    sets = stage(texts.mapInArrow(_set_batches, SETS).dropDuplicates(["doc_id"]), "sets")
+    nodes = active.select("node").distinct()
+    sketch = stage(heads.join(nodes, "node"), "candidates")
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(sketch.select("doc_id").distinct(), "doc_id")
+    found = texts.select("text").mapInArrow(_set_batches, SETS).join(sketch.select("set_a", "set_b", "node"), ["set_a", "set_b"])
+    sets = stage(found.select("node", "shingles").dropDuplicates(["node"]), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         likely = stage(_likely(pairs, sketch, similarity), "pairs")
@@ -275,14 +319,16 @@ def near_duplicates(docs: DataFrame, similarity: int = 75) -> DataFrame:
     between = _rooted(_rooted(more, component, "a", "x"), component, "b", "y").select(F.col("x").alias("a"), F.col("y").alias("b"))
     merged = connected(between)
 
-    firsts = named.select("doc_id", "set_a", "set_b").distinct().join(classes, ["set_a", "set_b"])
-    reached = _rooted(_rooted(firsts, component, "first", "root"), merged, "root", "component_id")
-    component_of = reached.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    return rows.select("doc_id", "n_shingles").join(component_of, "doc_id", "left").select(
-        "doc_id",
-        "n_shingles",
-        F.coalesce("component_id", "doc_id").alias("component_id"),
-        F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"),
+    known = heads.select("set_a", "set_b", "node", F.col("doc_id").alias("first"))
+    reached = stage(_rooted(_rooted(known, component, "node", "middle"), merged, "middle", "root"), "roots")
+    smallest = one_per_key(reached, ["root"], F.min("first").alias("component_id"))
+    component_of = reached.join(smallest, "root").select("set_a", "set_b", "component_id")
+    # Rows without a set or an id meet no class.
+    none = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
+    lone = rows.filter(none).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    in_class = rows.filter(~none).join(component_of, ["set_a", "set_b"]).select("doc_id", "n_shingles", "component_id")
+    return in_class.unionByName(lone).select(
+        "doc_id", "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept")
     )
 
 

@@ -1,6 +1,7 @@
 """Results against brute force, exact round trips and held-out accuracy."""
 
 import base64
+import json
 import math
 import random
 import re
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quire.llm import cross_entropy, tokens
+from quire.llm import cross_entropy, near_dup, tokens
 from quire.llm.components import connected
 from quire.llm.licenses import scan_licenses
 from quire.llm.mixing import numbered, plan_mix, sainte_lague, shard_quota
@@ -55,7 +56,7 @@ def test_tokens_round_trip(spark, tmp_path):
     docs = table(spark, "documents")
     length, records = 128, 500
     ordered, packed = _tokens(spark, docs, length, records)
-    written = tokens.write_shards(ordered, f"file://{tmp_path}/shards", length).collect()
+    written = tokens.write_shards(ordered, f"file://{tmp_path}/shards", length, records).collect()
     assert sum(r["records"] for r in written) == len(packed)
     # Any record can be read by its place alone; the slots are a permutation.
     slots = tokens.feistel(np.arange(len(packed)), len(packed))
@@ -84,15 +85,49 @@ def test_queries_write_the_shards(spark, tmp_path, monkeypatch):
     runs = {"op2": lambda: queries()["op2_training_order"](spark, SF), "pipeline": lambda: corpus_pipeline.token_output(spark, docs, SF)}
     for name, run in runs.items():
         monkeypatch.setattr(tokens, "shared_dir", lambda session, purpose: f"file://{tmp_path}/{name}-{purpose}")
+        found = run()
+        # All shards are there before anything is read, and reading writes nothing.
+        before = {p.name: p.stat().st_mtime_ns for p in (tmp_path / f"{name}-shards").glob("*.bin")}
+        assert len(found.limit(3).collect()) == 3
         shards = defaultdict(dict)
-        for r in run().collect():
+        for r in found.collect():
             shards[r["shard"]][r["record"]] = bytes(r["tokens"])
-        assert len(shards) and len(list((tmp_path / f"{name}-shards").iterdir())) == len(shards)
+        after = {p.name: p.stat().st_mtime_ns for p in (tmp_path / f"{name}-shards").glob("*.bin")}
+        assert len(shards) and before == after and len(after) == len(shards)
         for shard, records in shards.items():
             whole = b"".join(records[k] for k in range(len(records)))
             assert (tmp_path / f"{name}-shards" / f"shard-{shard:05d}.bin").read_bytes() == whole
 
 
+def test_shards_are_read_from_any_slot(spark, tmp_path):
+    docs = table(spark, "documents").limit(200)
+    length, records = 64, 100
+    ordered = tokens.training_order(docs, length=length, records=records)
+    want = sorted(map(tuple, ordered.collect()))
+    uri = f"file://{tmp_path}/s"
+    with pytest.raises(ValueError, match="complete"):
+        tokens.read_shards(spark, uri)
+    tokens.write_shards(ordered, uri, length, records)
+    assert len(want) > 3 * records and any(r[3] < length for r in want)
+    for slot in (0, 1, 99, 100, 101, 2 * records + 7, len(want) - 1, len(want)):
+        found = sorted(map(tuple, tokens.read_shards(spark, uri, slot).collect()))
+        assert found == want[slot:]
+    manifest = json.loads((tmp_path / "s/manifest.json").read_text())
+    assert manifest == {"stride": 128, "length": 64, "records_per_shard": 100, "key": tokens.KEY, "shards": -(-len(want) // 100), "records": len(want)}
+    # Shards before the slot are not opened; one that is cut off is noticed.
+    (tmp_path / "s/shard-00000.bin").write_bytes(b"")
+    assert tokens.read_shards(spark, uri, records).count() == len(want) - records
+    with pytest.raises(Exception, match="cut off"):
+        tokens.read_shards(spark, uri).collect()
+
+
+def test_no_shards(spark, tmp_path):
+    docs = table(spark, "documents").filter("1 = 0")
+    uri = f"file://{tmp_path}/s"
+    assert tokens.write_shards(tokens.training_order(docs), uri).count() == 0
+    assert tokens.read_shards(spark, uri).count() == 0 and tokens.written_order(docs).count() == 0
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 1000, 4097])
 def test_feistel_is_a_permutation(n):
     assert sorted(tokens.feistel(np.arange(n), n)) == list(range(n))
@@ -149,6 +184,50 @@ def test_near_duplicate_groups(frame):
     assert [found[i + 1] - 1 for i in range(len(texts))] == components(texts)
 
 
+def test_repeated_ids_are_compared_by_their_own_texts(spark):
+    draw = random.Random(8)
+    base = [" ".join(draw.choice("abcdefgh") * 3 + str(draw.randrange(50)) for _ in range(60)) for _ in range(3)]
+    edit = lambda t: t.replace(t.split()[30], "other", 1)
+    rows = [(1, base[0]), (1, base[1]), (1, None), (5, edit(base[0])), (6, edit(base[1])), (7, base[2]), (8, edit(base[2])), (8, base[0])]
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["n_shingles"] > 0) for r in found) == [
+        (1, 1, False), (1, 1, True), (1, 1, True), (5, 1, True), (6, 1, True), (7, 7, True), (8, 1, True), (8, 7, True)
+    ]
+
+
+def boilerplate(n, shared=200, own=38):
+    """Documents that share many words and are linked with nobody: a similarity of 0.71."""
+    head = " ".join(f"s{k}" for k in range(shared))
+    return [head + " " + " ".join(f"d{i}w{k}" for k in range(own + i % 3)) for i in range(n)]
+
+
+def test_boilerplate_does_not_meet(spark):
+    """Members that share too little meet a few others, not all; links stay whole."""
+    for n in (210, 420):
+        texts = boilerplate(n) + [boilerplate(1)[0] + " tail", boilerplate(n)[-1] + " more words here"]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        sets = docs.select("text").mapInArrow(near_dup._set_batches, near_dup.SETS).select(F.monotonically_increasing_id().alias("node"), "shingles")
+        mixed = sets.select("node", F.col("node").alias("root"))
+        # All pairs that meet, for each shingle: without bands 20 shingles of n * n / 2 pairs.
+        assert near_dup._meetings(mixed, sets, 75).count() <= 2 * n
+        assert near_dup._prefix_pairs(mixed, sets, 75).count() >= 2
+        found = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs).collect()}
+        assert [found[k] for k in range(n + 2)] == components(texts)
+
+
+def test_size_bands_lose_no_pair(spark):
+    """All pairs of sizes and places that the filters allow meet in a band."""
+    rows = [(s, p) for s in (1, 2, 3, 4, 5, 7, 12, 13, 19, 20, 21, 22, 40, 41, 52, 99, 100, 133, 134) for p in range(1, s - -(-s * 75 // 100) + 2)]
+    table = spark.createDataFrame([(0, k, k, s, p) for k, (s, p) in enumerate(rows)], "shingle int, node int, root int, size int, place int")
+    placed = {}
+    for r in near_dup._by_bands(table, 75).collect():
+        placed.setdefault(r["node"], set()).add((r["band"], r["partner"]))
+    for i, (s, p) in enumerate(rows):
+        for j, (z, q) in enumerate(rows):
+            if 100 * min(s, z) >= 75 * max(s, z) and 175 * (1 + min(s - p, z - q)) >= 75 * (s + z):
+                assert any((b, a) in placed[j] for a, b in placed[i])
+
+
 def test_register_layout():
     import pyarrow as pa
 
