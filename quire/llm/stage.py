@@ -32,8 +32,12 @@ def stage(df: DataFrame, purpose: str) -> DataFrame:
     The shuffle files of the write are removed when it has ended, not when the driver
     happens to collect its garbage.
     """
+    return write_table(df, shared_dir(df.sparkSession, purpose))
+
+
+def write_table(df: DataFrame, path: str) -> DataFrame:
+    """As ``stage``, to a folder of one's own."""
     spark = df.sparkSession
-    path = shared_dir(spark, purpose)
     with _shuffles_end_with_the_job(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

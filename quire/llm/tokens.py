@@ -7,12 +7,14 @@ order, and a keyed Feistel permutation gives each number its slot: four rounds o
 smallest even number of bits that holds them, repeated while the result lies outside
 (cycle-walking).  So every slot from 0 to the last is taken once, without a sort and
 without a table.  A shard holds a range of slots as records of equal size; record r is
-at byte ``r * 2 * length``, so a reader may start anywhere.
+at byte ``r * 2 * length``, so a reader may start anywhere.  The manifest that completes a
+set of shards says how they are cut, and with which key.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,9 +24,9 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from quire.llm.stage import stage
+from quire.llm.stage import stage, write_table
 from quire.llm.words import mix
 from quire.session import share_code, shared_dir
 
@@ -170,56 +172,109 @@ def training_order(
     return placed.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot")
 
 
-def written_order(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
-    """The rows of ``training_order``; whoever reads them all has also written the shards.
+def written_order(docs: DataFrame, length: int = LENGTH, records: int = RECORDS, **options) -> DataFrame:
+    """Write all shards and a manifest; returns the rows of ``training_order``, read from them.
 
-    Those are in a folder ``shards-...`` of its own below ``spark.checkpoint.dir``.
+    The shards are in a folder ``shards-...`` of its own below ``spark.checkpoint.dir``.
+    They are whole when this returns, whatever is read of the result and however often.
     """
-    ordered = training_order(docs, length=length, **options)
-    return write_shards(ordered, shared_dir(docs.sparkSession, "shards"), length, rows=True)
+    ordered = training_order(docs, length=length, records=records, **options)
+    uri = shared_dir(docs.sparkSession, "shards")
+    write_shards(ordered, uri, length, records, options.get("key", KEY))
+    return read_shards(docs.sparkSession, uri)
 
 
-def write_shards(ordered: DataFrame, uri: str, length: int = LENGTH, rows: bool = False) -> DataFrame:
-    """Write ``shard-00000.bin`` and so on below ``uri``; returns shard, records, bytes.
+_SHARDS = "shard int, records long, bytes long, short array<struct<record:int,n_tokens:int>>"
 
-    With ``rows`` it returns the rows of ``ordered`` themselves.
+
+def write_shards(ordered: DataFrame, uri: str, length: int = LENGTH, records: int = RECORDS, key: int = KEY) -> DataFrame:
+    """Write ``shard-00000.bin`` and so on below ``uri``; returns shard, records, bytes, short.
 
     ``uri`` is a folder that all executors share, of a file system that pyarrow opens.
     A task writes each of its shards under a name of its own and renames it when it is
-    whole, so a repeated task replaces the file by an equal one.
+    whole, so a repeated task replaces the file by an equal one.  A table of the shards
+    and ``manifest.json`` follow; without the latter the set is not complete.  ``short``
+    lists the sequences that are filled up, at most one for each partition of the input.
     """
-
-    share_code(ordered.sparkSession)
+    spark = ordered.sparkSession
+    share_code(spark)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pyarrow.fs.FileSystem.from_uri(uri)
         fs.create_dir(base, recursive=True)
         attempt = TaskContext.get().taskAttemptId()
-        done, current, sink, count = [], None, None, 0
+        done, current, sink, count, short = [], None, None, 0, []
 
         def close() -> None:
             if sink is not None:
                 sink.close()
                 fs.move(f"{base}/.shard-{current:05d}.{attempt}", f"{base}/shard-{current:05d}.bin")
-                done.append((current, count, count * 2 * length))
+                done.append({"shard": current, "records": count, "bytes": count * 2 * length, "short": short})
 
         for batch in batches:
-            for shard, tokens in zip(batch.column("shard").to_pylist(), batch.column("tokens")):
+            for shard, n, tokens in zip(batch.column("shard").to_pylist(), batch.column("n_tokens").to_pylist(), batch.column("tokens")):
                 if shard != current:
                     close()
-                    current, count = shard, 0
+                    current, count, short = shard, 0, []
                     sink = fs.open_output_stream(f"{base}/.shard-{shard:05d}.{attempt}")
+                if n < length:
+                    short.append({"record": count, "n_tokens": n})
                 sink.write(tokens.as_buffer())
                 count += 1
-            if rows:
-                yield batch
         close()
-        if rows:
-            return
-        columns = zip(*done) if done else ((), (), ())
-        kinds = (pa.int32(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["shard", "records", "bytes"])
-
-    if rows:
-        return ordered.mapInArrow(write, ordered.schema)
-    return ordered.select("shard", "tokens").mapInArrow(write, "shard int, records long, bytes long")
+        parts = pa.list_(pa.struct([("record", pa.int32()), ("n_tokens", pa.int32())]))
+        yield pa.RecordBatch.from_pylist(done, schema=pa.schema([("shard", pa.int32()), ("records", pa.int64()), ("bytes", pa.int64()), ("short", parts)]))
+
+    written = write_table(ordered.select("shard", "n_tokens", "tokens").mapInArrow(write, _SHARDS), f"{uri}/shards.parquet")
+    totals = written.agg(F.count("*").alias("shards"), F.coalesce(F.sum("records"), F.lit(0)).alias("records")).first()
+    manifest = {"stride": 2 * length, "length": length, "records_per_shard": records, "key": key, "shards": totals["shards"], "records": totals["records"]}
+    fs, base = pyarrow.fs.FileSystem.from_uri(uri)
+    with fs.open_output_stream(f"{base}/{_MANIFEST}") as out:
+        out.write(json.dumps(manifest).encode())
+    return written
+
+
+_MANIFEST = "manifest.json"
+_READ_ROWS = 1024
+
+
+def read_shards(spark: SparkSession, uri: str, slot: int = 0) -> DataFrame:
+    """The sequences of written shards from ``slot`` on: slot, shard, record, n_tokens, tokens.
+
+    A task reads whole shards from front to back; the one that ``slot`` lies in is entered
+    at its place, and earlier ones are not opened, so a training run goes on where it was
+    broken off.  ``ValueError`` if the set of shards is not complete.
+    """
+    share_code(spark)
+    fs, base = pyarrow.fs.FileSystem.from_uri(uri)
+    if fs.get_file_info(f"{base}/{_MANIFEST}").type != pyarrow.fs.FileType.File:
+        raise ValueError(f"no complete set of shards at {uri}")
+    with fs.open_input_stream(f"{base}/{_MANIFEST}") as f:
+        manifest = json.loads(f.readall())
+    stride, length, per_shard = manifest["stride"], manifest["length"], manifest["records_per_shard"]
+    first, skip = divmod(slot, per_shard)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        disk, folder = pyarrow.fs.FileSystem.from_uri(uri)
+        for batch in batches:
+            for row in batch.to_pylist():
+                short = {x["record"]: x["n_tokens"] for x in row["short"]}
+                at = skip if row["shard"] == first else 0
+                with disk.open_input_file(f"{folder}/shard-{row['shard']:05d}.bin") as f:
+                    f.seek(at * stride)
+                    while at < row["records"]:
+                        n = min(_READ_ROWS, row["records"] - at)
+                        data = f.read(n * stride)
+                        if len(data) != n * stride:
+                            raise OSError(f"shard {row['shard']} is cut off")
+                        numbers = np.arange(at, at + n)
+                        sizes = np.array([short.get(k, length) for k in numbers.tolist()], np.int32)
+                        offsets = pa.py_buffer((np.arange(n + 1) * stride).astype(np.int32))
+                        tokens = pa.Array.from_buffers(pa.binary(), n, [None, offsets, pa.py_buffer(data)])
+                        columns = [row["shard"] * per_shard + numbers, np.full(n, row["shard"], np.int32), numbers.astype(np.int32), sizes]
+                        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), tokens], names=["slot", "shard", "record", "n_tokens", "tokens"])
+                        at += n
+
+    shards = spark.read.schema(_SHARDS).parquet(f"{uri}/shards.parquet").filter(F.col("shard") >= first)
+    spread = shards.repartitionById(max(1, manifest["shards"] - first), F.col("shard") - F.lit(first))
+    return spread.mapInArrow(read, "slot long, shard int, record int, n_tokens int, tokens binary")
