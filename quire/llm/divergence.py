@@ -485,6 +485,7 @@ def source_divergence(
     by_ordinal = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "shard", "place")
     top = own.withColumn("rank", F.row_number().over(by_ordinal)).filter(F.col("rank") <= top_terms)
     terms = built.filter(F.col("term").isNotNull()).select("lang", "shard", "place", "term")
-    top = top.join(terms, ["lang", "shard", "place"])
+    # The few top rows are joined with the whole vocabulary, which is not to be broadcast.
+    top = top.join(terms.hint("merge"), ["lang", "shard", "place"])
     columns = lambda part, item: ("lang", "source", F.lit(part).alias("part"), F.col(item).alias("item"), "value", "rank")
     return ranked.select(*columns("pair", "item")).union(top.select(*columns("term", "term")))
