@@ -153,6 +153,54 @@ def _carry():
     return run
 
 
+def _sized(elements: DataFrame, by_title: bool, block: int, *more: str) -> tuple[DataFrame, DataFrame]:
+    """The keyed elements, and those that are not blank with block, length and title mark."""
+    keyed = elements.filter(F.col("doc_id").isNotNull() & F.col("element_index").isNotNull())
+    title = (F.col("element_type") == "Title") if by_title else F.lit(False)
+    rows = (
+        keyed.filter(present(F.col("text")))
+        .select(
+            "doc_id",
+            block_of("element_index", block).alias("block"),
+            "element_index",
+            F.length("text").alias("n"),
+            title.alias("title"),
+            *more,
+        )
+        .filter(F.col("block").isNotNull())
+    )
+    return keyed, rows
+
+
+def _block_carry(keyed: DataFrame, rows: DataFrame, max_characters: int, new_after: int, overlap: int, block: int) -> DataFrame:
+    """The state in which each block of a long document starts.
+
+    Only documents that reach a second block need it, and only their lengths are sent for
+    it.  Most inputs have no such document; this branch is then dropped.
+    """
+    sizes = mark_long(rows.select("doc_id", "block", "element_index", "n", "title"), "block", keyed, block)
+    return (
+        sizes.filter("__long")
+        .groupBy("doc_id", "block")
+        .agg(F.sort_array(F.collect_list(F.struct("element_index", "n", "title"))).alias("sizes"))
+        .select("doc_id", "block", F.col("sizes.n").alias("lengths"), F.col("sizes.title").alias("forced"))
+        .mapInPandas(_block_runs(max_characters, new_after, overlap), _RUNS)
+        .repartition("doc_id")
+        .sortWithinPartitions("doc_id", "block")
+        .mapInPandas(_carry(), _CARRY)
+    )
+
+
+def _opens(state: Column, item: Column, max_characters: int, new_after: int) -> Column:
+    """Whether an element opens a chunk."""
+    return (
+        item["title"]
+        | (state["open"] == 0)
+        | (state["open"] >= new_after)
+        | (state["open"] + 2 + item["n"] > max_characters)
+    )
+
+
 def chunk_elements(
     elements: DataFrame,
     strategy: str = "basic",
@@ -170,33 +218,14 @@ def chunk_elements(
     _check(max_characters, new_after_n_chars, overlap)
     by_title = strategy == "by_title"
     step = max_characters - overlap
-    keyed = elements.filter(F.col("doc_id").isNotNull() & F.col("element_index").isNotNull())
-    title = (F.col("element_type") == "Title") if by_title else F.lit(False)
-    rows = (
-        keyed.filter(present(F.col("text")))
-        .select(
-            "doc_id",
-            block_of("element_index", block).alias("block"),
-            "element_index",
-            F.length("text").alias("n"),
-            title.alias("title"),
-            "element_type",
-            "text",
-        )
-        .filter(F.col("block").isNotNull())
-    )
+    keyed, rows = _sized(elements, by_title, block, "element_type", "text")
     item = F.struct("element_index", "n", "title", "element_type", "text")
     blocks = rows.groupBy("doc_id", "block").agg(F.sort_array(F.collect_list(item)).alias("items"))
 
     def advance(state: Column, item: Column) -> Column:
         n = item["n"]
         pieces = piece_count(n, max_characters, overlap)
-        new = (
-            item["title"]
-            | (state["open"] == 0)
-            | (state["open"] >= new_after_n_chars)
-            | (state["open"] + 2 + n > max_characters)
-        )
+        new = _opens(state, item, max_characters, new_after_n_chars)
         section = state["section"] + item["title"].cast("int")
         first = F.when(new, state["chunk"] + 1).otherwise(state["chunk"])
         return F.struct(
@@ -215,20 +244,7 @@ def chunk_elements(
         F.array().cast("array<int>").alias("sections"),
     )
     packed = F.aggregate("items", start, advance).alias("state")
-
-    # Only documents that reach a second block need the carry, and only their lengths are
-    # sent for it.  Most inputs have no such document; this branch is then dropped.
-    sizes = mark_long(rows.select("doc_id", "block", "element_index", "n", "title"), "block", keyed, block)
-    carry = (
-        sizes.filter("__long")
-        .groupBy("doc_id", "block")
-        .agg(F.sort_array(F.collect_list(F.struct("element_index", "n", "title"))).alias("sizes"))
-        .select("doc_id", "block", F.col("sizes.n").alias("lengths"), F.col("sizes.title").alias("forced"))
-        .mapInPandas(_block_runs(max_characters, new_after_n_chars, overlap), _RUNS)
-        .repartition("doc_id")
-        .sortWithinPartitions("doc_id", "block")
-        .mapInPandas(_carry(), _CARRY)
-    )
+    carry = _block_carry(keyed, rows, max_characters, new_after_n_chars, overlap, block)
 
     def chunk_parts(df: DataFrame) -> DataFrame:
         """Rows ``(doc_id, block, chunk_index, ...)``: what a block gives to each chunk."""
@@ -299,5 +315,32 @@ def chunk_elements(
     return inner.select(*out).unionByName(crossing.select(*out))
 
 
-def chunk_counts(chunks: DataFrame, strategy: str = "basic") -> DataFrame:
-    return chunks.groupBy("doc_id").agg(F.count("*").alias("chunk_count")).withColumn("strategy", F.lit(strategy))
+def chunk_counts(
+    elements: DataFrame,
+    strategy: str = "basic",
+    max_characters: int = MAX_CHARACTERS,
+    new_after_n_chars: int = NEW_AFTER_N_CHARS,
+    overlap: int = OVERLAP,
+    block: int = BLOCK,
+) -> DataFrame:
+    """``(doc_id, chunk_count, strategy)``: how many chunks each document has.
+
+    Only lengths are shuffled: no chunk is built and no text leaves its task.
+    """
+    _check(max_characters, new_after_n_chars, overlap)
+    step = max_characters - overlap
+    keyed, rows = _sized(elements, strategy == "by_title", block)
+    blocks = rows.groupBy("doc_id", "block").agg(F.sort_array(F.collect_list(F.struct("element_index", "n", "title"))).alias("items"))
+
+    def advance(state: Column, item: Column) -> Column:
+        pieces = piece_count(item["n"], max_characters, overlap)
+        new = _opens(state, item, max_characters, new_after_n_chars)
+        return F.struct(
+            F.when(new, item["n"] - (pieces - 1) * step).otherwise(state["open"] + 2 + item["n"]).alias("open"),
+            F.when(new, state["count"] + pieces).otherwise(state["count"]).alias("count"),
+        )
+
+    start = F.struct(F.coalesce("start_open", F.lit(0)).alias("open"), F.coalesce("chunk_base", F.lit(0)).cast("long").alias("count"))
+    carry = _block_carry(keyed, rows, max_characters, new_after_n_chars, overlap, block)
+    counted = blocks.join(carry, ["doc_id", "block"], "left").select("doc_id", F.aggregate("items", start, advance)["count"].alias("n"))
+    return counted.groupBy("doc_id").agg(F.max("n").alias("chunk_count")).withColumn("strategy", F.lit(strategy))

@@ -559,7 +559,7 @@ def slide_footer_summary(spark, sf):
 
 @query
 def chunk_counts(spark, sf):
-    return chunking.chunk_counts(chunking.chunk_elements(d.text_elements(spark, sf)))
+    return chunking.chunk_counts(d.text_elements(spark, sf))
 
 
 # --- ordered operators -----------------------------------------------------------------

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators.chunking import chunk_elements, split_oversized
+from quire.operators.chunking import chunk_counts, chunk_elements, split_oversized
 
 
 def loop(items, maximum, soft, overlap, by_title):
@@ -57,6 +57,14 @@ def test_packing_equals_loop(spark, strategy, block):
         items = [(i, k, t) for d, i, k, t in rows if d == doc]
         want = loop(items, maximum, soft, overlap, strategy == "by_title")
         assert sorted(result.get(doc, [])) == want
+    counts = {r.doc_id: r.chunk_count for r in chunk_counts(df, strategy, maximum, soft, overlap, block).collect()}
+    assert counts == {doc: len(chunks) for doc, chunks in result.items()}
+
+
+def test_counts_move_no_texts(spark):
+    df = spark.createDataFrame([(1, 0, "Title", "a")], "doc_id long, element_index int, element_type string, text string")
+    plan = chunk_counts(df)._jdf.queryExecution().executedPlan().toString()
+    assert all("text" not in line for line in plan.splitlines() if "Exchange" in line or "collect_list" in line)
 
 
 def test_soft_and_hard_limits(spark):
