@@ -1,9 +1,9 @@
 """HTML as blocks of inline markup: a tokenizer and a stack of open elements, as expressions.
 
-Tags are scanned with their quoted attribute values, so a ``>`` in quotes ends no tag.
-Comments, declarations, scripts and styles go first.  What is left is cut into structural
-tags and the runs between them; a fold over these tokens keeps the stack of open elements,
-which says for every run which element it belongs to, how deep its list is nested, and
+Tags are scanned with their quoted attribute values, so a ``>`` in quotes ends no tag.  A
+page is cut into structural tags and the runs between them; comments, declarations, scripts
+and styles are parts of runs, and taken out where a run has some.  A fold over these tokens
+keeps the stack of open elements, which says for every run which element it belongs to, how deep its list is nested, and
 which runs and tags make up an outermost table.  All patterns are possessive, so long
 pages neither backtrack nor use up the thread's stack.
 """
@@ -45,7 +45,8 @@ _IGNORED = "|".join(
 _CLEAN = rf"(?i)(?:{_IGNORED})|(</?[a-z]{_REST})"
 _STRUCTURAL = rf"</?(?:{_NAMES}){_NAME_ENDS}{_REST}"
 _INLINE = rf"<(?!/?(?:{_NAMES}){_NAME_ENDS})(?:/?[a-z]{_REST})?+"
-TOKENS = rf"(?i){_STRUCTURAL}|(?:[^<]++|{_INLINE})++"
+TOKENS = rf"(?i){_STRUCTURAL}|(?:[^<]++|{_IGNORED}|{_INLINE})++"
+_HAS_IGNORED = rf"(?i)<(?:[!?]|/?(?:{_RAW}){_NAME_ENDS})"
 _NAME = rf"(?i)^<(/?(?:{_NAMES})){_NAME_ENDS}"
 _TAG = rf"(?i)</?[a-z]{_REST}"
 _ATTRIBUTE = r"""[^\s=/>"'<]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]++))?+"""
@@ -251,15 +252,16 @@ def blocks(html: Column) -> Column:
     the list depth of an ``li`` from 0, the text, the markup, links, emphasized words with
     their tags, and a picture's address.
     """
-    cleaned = F.regexp_replace(html, _CLEAN, "$1")
+    name = lambda t: F.when(F.startswith(t, F.lit("<")), F.lower(F.regexp_extract(t, _NAME, 1))).otherwise("")
     tokens = F.transform(
-        F.regexp_extract_all(cleaned, F.lit(TOKENS), F.lit(0)),
-        lambda t, k: F.struct(F.lower(F.regexp_extract(t, _NAME, 1)).alias("name"), t.alias("raw"), k.alias("at")),
+        F.regexp_extract_all(html, F.lit(TOKENS), F.lit(0)),
+        lambda t, k: F.struct(name(t).alias("name"), t.alias("raw"), k.alias("at")),
     )
+    cleaned = lambda m: F.when(m.rlike(_HAS_IGNORED), F.regexp_replace(m, _CLEAN, "$1")).otherwise(m)
 
     def described(all_tokens: Column, b: Column, table: Column) -> Column:
         inside = F.slice(all_tokens["raw"], b["first"] + 1, b["last"] - b["first"] + 1)
-        block = bind(F.array_join(inside, ""), lambda m: _described(b["tag"], b["depth"], m, table)).cast(_DESCRIBED)
+        block = bind(cleaned(F.array_join(inside, "")), lambda m: _described(b["tag"], b["depth"], m, table)).cast(_DESCRIBED)
         return bind(
             block,
             lambda d: F.concat(
