@@ -105,22 +105,30 @@ def band_keys(sketch: np.ndarray, order: np.ndarray) -> np.ndarray:
     return mix(lanes ^ mix(np.arange(1, len(lanes) + 1, dtype=np.uint64)))
 
 
-def _digests(sets: list[np.ndarray]) -> list[pa.Array]:
-    """Two hashes of 64 bits for each set, whatever the order of its members."""
-    a = [np.sum(mix(s ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64) for s in sets]
-    b = [np.sum(mix(s + np.uint64(0x14057B7EF767814F)), dtype=np.uint64) for s in sets]
-    return [pa.array(signed(np.array(x, np.uint64))) for x in (a, b)]
+def _digest(shingles: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    """Two hashes of 64 bits of a set, whatever the order of its members."""
+    a = np.sum(mix(shingles ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)
+    return a, np.sum(mix(shingles + np.uint64(0x14057B7EF767814F)), dtype=np.uint64)
+
+
+def _digest_columns(digests: list[tuple[np.uint64, np.uint64]]) -> list[pa.Array]:
+    both = np.array(digests, np.uint64).reshape(-1, 2)
+    return [pa.array(signed(np.ascontiguousarray(both[:, k]))) for k in (0, 1)]
 
 
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = list(shingle_sets(batch.column("text")))
-        kept = [registers(s).view(np.int16) for s in sets]
+        # One set after the other: what is kept of it is small.
+        n, digests, kept = [], [], []
+        for s in shingle_sets(batch.column("text")):
+            n.append(len(s))
+            digests.append(_digest(s))
+            kept.append(registers(s).view(np.int16))
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
-                pa.array([len(s) for s in sets], pa.int64()),
-                *_digests(sets),
+                pa.array(n, pa.int64()),
+                *_digest_columns(digests),
                 pa.ListArray.from_arrays(
                     pa.array(np.arange(len(kept) + 1, dtype=np.int32) * BUCKETS),
                     pa.array(np.concatenate(kept) if kept else np.zeros(0, np.int16)),
@@ -151,7 +159,7 @@ def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
         values = signed(np.concatenate(sets)) if sets else np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays(
-            [*_digests(sets), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))],
+            [*_digest_columns([_digest(s) for s in sets]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))],
             names=["set_a", "set_b", "shingles"],
         )
 

@@ -122,12 +122,12 @@ def test_licenses(edges, none):
 
 
 def test_mixing(edges, none):
-    plan = plan_mix(edges, [F.col("doc_id"), F.col("source")], block_words=2, cell_rows=3)
+    plan = plan_mix(edges, [F.col("doc_id"), F.col("source")], block_words=2, bin_rows=3)
     rows = plan.collect()
     assert len(rows) == len(EDGES) and all(0 <= r["taken"] <= 3 * r["size"] for r in rows)
     assert sum(r["target"] for r in {r["row"]["source"]: r for r in rows}.values()) > 0
     assert plan_mix(none, [F.col("doc_id")]).count() == 0
-    mixed = mix(edges, block_words=2, cell_rows=3)
+    mixed = mix(edges, block_words=2, bin_rows=3)
     assert mixed.columns == edges.columns
     words = mixed.select(F.sum(F.size(F.expr(r"regexp_extract_all(text, '([^ \\t\\n]+)')")))).first()[0]
     assert words == sum(r["taken"] for r in rows)
