@@ -130,7 +130,8 @@ class Model:
 def train(docs: DataFrame, word_share: float = 0.0, pair_share: float = 0.0, near_terms: int = NEAR_TERMS) -> Model:
     """Both models from ``docs`` (text, target boolean); the background is all documents.
 
-    Null texts have no words; a null ``target`` is false.  A ``word_share`` or
+    Null and empty texts have no words; a null ``target`` is false.  Repeated rows count
+    again; other columns are not read.  A ``word_share`` or
     ``pair_share`` above 0 leaves out what makes up less than that share of all tokens.
     """
     spark = docs.sparkSession

@@ -148,6 +148,8 @@ def train(docs: DataFrame, max_rows: int = MAX_ROWS, passes: int = PASSES) -> By
     """A network learned from the rows of ``docs`` with text and lang; None without any.
 
     At most ``max_rows`` times ``WINDOWS_EACH + 1`` windows of 256 bytes come to the driver.
+    Repeated rows are learned as often as they stand, if they are chosen; which rows are
+    follows from hashes of id and text.  Other columns are not read.
     """
     share_code(docs.sparkSession)
     rows = docs.select(
@@ -171,7 +173,8 @@ def identify(docs: DataFrame, model: ByteCnn | None, keep: list[Column]) -> Data
 
     The score is the share of the predicted language, from 0 to 1, where each window
     counts alike.  Null texts and texts without a letter are ``und`` with score 0; so is
-    every text if nothing could be learned.
+    every text if nothing could be learned.  Equal shares go to the first language in
+    order.  Repeated rows are judged each for itself; columns are only read through ``keep``.
     """
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     rows = docs.select(F.struct(*keep).alias("row"), F.when(letters, F.col("text").cast("string")).alias("text"))

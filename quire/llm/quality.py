@@ -97,6 +97,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, passes:
     """Weights learned from ``labels`` (doc_id, label 0 or 1) and the texts of ``docs``.
 
     Rows without id, label or text are left out; without any row all weights are zero.
+    Rows that share a doc_id are all learned, with the higher of its labels; rows of one
+    turn are learned in the order of their labels.  Other columns are not read.
     """
     share_code(docs.sparkSession)
     turn = F.xxhash64("doc_id")
@@ -118,7 +120,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, passes:
 def score(docs: DataFrame, weights: np.ndarray, threshold: float = 0.3) -> DataFrame:
     """One row for each row of ``docs``: doc_id, score, predicted.
 
-    Null, empty and wordless texts get the score of the intercept.
+    Null, empty and wordless texts get the score of the intercept.  Repeated rows are
+    scored each for itself; other columns are not read.
     """
     share_code(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # 2**BITS + 1 numbers
