@@ -195,7 +195,8 @@ def json_roundtrip(spark, sf):
 
 @query
 def stream_partition(spark, sf):
-    return ingest_available(spark, sf, "documents.parquet").select(*_doc("element_type", "text", "page_number"))
+    """The table may be one file or a folder of them, whatever their names."""
+    return ingest_available(spark, f"{sf}/documents.parquet", "*").select(*_doc("element_type", "text", "page_number"))
 
 
 @query

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -43,9 +45,21 @@ def write_elements(stream: DataFrame, out: str, checkpoint: str) -> StreamingQue
     )
 
 
+def _is_file(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isFile()
+
+
 def ingest_available(spark: SparkSession, path: str, pattern: str = "*.parquet") -> DataFrame:
-    """Process what is there now and return the written elements."""
+    """Process what is there now and return the written elements.
+
+    ``path`` is a folder, of which the files named by ``pattern`` are taken, or one file.
+    A folder without documents gives no elements.
+    """
+    if _is_file(spark, path):
+        path, _, name = path.rpartition("/")
+        pattern = re.sub(r"([\\*?\[\]{}])", r"\\\1", name)
     base = shared_dir(spark, "ingest")
-    query = write_elements(document_stream(spark, path, pattern), f"{base}/elements", f"{base}/checkpoint")
-    query.awaitTermination()
-    return spark.read.parquet(f"{base}/elements")
+    stream = document_stream(spark, path, pattern)
+    write_elements(stream, f"{base}/elements", f"{base}/checkpoint").awaitTermination()
+    return spark.read.schema(partition_text(stream).schema).parquet(f"{base}/elements")
