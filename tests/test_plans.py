@@ -74,6 +74,17 @@ def test_bodies_scan_twice_at_most(stored):
         assert "RoundRobin" not in plan(df)
 
 
+@pytest.mark.parametrize("made", ["all_formats", "output_files"])
+def test_elements_are_shuffled_not_their_forms(stored, made):
+    """Every form holds the text again, and some the payload, so none of them is sent."""
+    from quire.operators import export, render
+
+    df = render.all_formats(stored, with_images=True) if made == "all_formats" else export.output_files(stored, tuple(export.OUTPUT_SUFFIXES))
+    exchanges = [line for line in plan(df).split("Initial Plan")[0].splitlines() if "Exchange " in line]
+    assert any("__segment" in x for x in exchanges)
+    assert not any(", segment#" in x for x in exchanges)
+
+
 def test_shared_dir_follows_the_session(spark):
     base = spark.conf.get("spark.checkpoint.dir", None)
     one, two = shared_dir(spark, "x"), shared_dir(spark, "x")
