@@ -195,10 +195,14 @@ def elements_from_json(rows: DataFrame, column: str = "json", extra: str | None
     ``extra`` names a column for the members that are no canonical field: a map from their
     names to VARIANT values, NULL without any, which ``elements_to_json`` puts back.
     """
-    parsed = F.from_json(column, element_schema()).alias("e")
+    # A filter on a member would be pushed below and parse the object once more.
+    given = lambda e: e["doc_id"].isNotNull()
+    parsed = F.from_json(column, element_schema())
     if extra is None:
-        return rows.select(parsed).filter(F.col("e.doc_id").isNotNull()).select("e.*")
-    return rows.select(parsed, unknown_members(F.col(column)).alias(extra)).filter(F.col("e.doc_id").isNotNull()).select("e.*", extra)
+        return rows.select(F.inline(F.filter(F.array(parsed), given)))
+    members = unknown_members(F.col(column)).alias(extra)
+    whole = F.struct(parsed.alias("e"), members)
+    return rows.select(F.inline(F.filter(F.array(whole), lambda x: given(x["e"])))).select("e.*", extra)
 
 
 def unknown_members(json: Column) -> Column:
