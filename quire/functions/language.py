@@ -33,14 +33,22 @@ UNKNOWN = "und"
 CODES = {"de": "deu", "en": "eng", "es": "spa", "fr": "fra", "it": "ita", "nl": "nld", "pl": "pol", "pt": "por"}
 
 
+def _letters(text: Column) -> Column:
+    """Lower-case letters with single blanks between words and around all; NULL text is two blanks."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+", " ")), F.lit(" "))
+
+
+def _bucket(a: Column, b: Column, c: Column) -> Column:
+    """Code points are small enough for 32 bits, and never negative."""
+    return (a * 1369 + b * 37 + c).bitwiseAND(F.lit(BUCKETS - 1))
+
+
 def runs_of(text: Column) -> Column:
     """The bucket of each run of three characters of a text, an array; NULL text has none."""
-    letters = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+", " ")), F.lit(" "))
-    points = F.transform(F.split(letters, ""), lambda c: F.ascii(c))
+    points = F.transform(F.split(_letters(text), ""), lambda c: F.ascii(c))
 
     def buckets(p: Column) -> Column:
-        place = F.sequence(F.lit(0), F.size(p) - 3)
-        return F.transform(place, lambda i: F.pmod(F.get(p, i) * 1369 + F.get(p, i + 1) * 37 + F.get(p, i + 2), F.lit(BUCKETS)).cast("int"))
+        return F.transform(F.slice(p, F.lit(1), F.size(p) - 2), lambda a, i: _bucket(a, F.get(p, i + 1), F.get(p, i + 2)))
 
     # Two blanks alone are a text without letters.
     return bind(points, lambda p: F.when(F.size(p) > 2, buckets(p)).otherwise(F.array().cast("array<int>")))
@@ -57,12 +65,17 @@ class Profiles:
 def rank_profiles(labelled: DataFrame, code: str = "lang", text: str = "text") -> DataFrame:
     """``(code, bucket, score)`` of the ranked buckets of each language, at most 2**TOP of them.
 
-    Buckets are counted inside tasks before they are shuffled, and a language has at most
-    ``BUCKETS`` of them to rank; equal counts rank by bucket.  Rows without code are left out.
+    Runs are counted as strings inside tasks before they are shuffled, and only distinct
+    ones are put into buckets, of which a language has at most ``BUCKETS`` to rank; equal
+    counts rank by bucket.  Rows without code are left out.
     """
     known = F.coalesce(*[F.when(F.col(code) == k, v) for k, v in CODES.items()], F.col(code).cast("string"))
-    each = labelled.filter(F.col(code).isNotNull()).select(known.alias("code"), F.explode(runs_of(F.col(text))).alias("bucket"))
-    counts = each.groupBy("code", "bucket").agg(F.count("*").alias("n"))
+    # Each character is consumed, and looked at with the two behind it.
+    runs = F.regexp_extract_all(_letters(F.col(text)), F.lit("(?=(...))."), F.lit(1))
+    each = labelled.filter(F.col(code).isNotNull()).select(known.alias("code"), F.explode(runs).alias("run"))
+    found = each.groupBy("code", "run").agg(F.count("*").alias("n"))
+    bucket = _bucket(*[F.ascii(F.substring("run", k, 1)) for k in (1, 2, 3)])
+    counts = found.groupBy("code", bucket.alias("bucket")).agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("code").orderBy(F.desc("n"), "bucket"))
     score = F.greatest(TOP - F.floor(F.log2(rank.cast("double")) + 1e-9), F.lit(0)).cast("int")
     return counts.withColumn("score", score).filter("score > 0").select("code", "bucket", "score")
