@@ -75,6 +75,28 @@ def test_a_hook_yields_none_to_many(spark, raw):
     assert all(r.links[0].url == r.text for r in rows if r.hook_error is None)
 
 
+def test_a_hook_takes_whole_batches(spark):
+    """One Arrow table a batch, also where elements are many more than rows, with all kinds of columns."""
+
+    class Many:
+        def iter_elements(self, row):
+            for k in range(row["n"] or 0):
+                yield {"text": f"{row['n']} {k}", "page_number": k, "regex_metadata": {"a": "b"} if k else None, "languages": ["de"]}
+
+    raw = spark.range(700, numPartitions=2).selectExpr("id AS doc_id", "int(id % 3) AS n").unionByName(spark.createDataFrame([(None, 2), (8, None)], "doc_id long, n int"))
+    hooks.register_hook(spark, "many_hook", Many, ("n",))
+    out = hooks.apply_hook(raw, "MANY_hook", ("n",))
+    assert "ArrowEvalPythonUDTF" not in out._jdf.queryExecution().executedPlan().toString()
+    want = sorted((str(r.doc_id), k, f"{r.n} {k}") for r in raw.collect() for k in range(r.n or 0))
+    rows = out.collect()
+    assert sorted((str(r.doc_id), r.element_index, r.text) for r in rows) == want
+    assert all(r.languages == ["de"] and r.regex_metadata == ({"a": "b"} if r.page_number else None) for r in rows)
+    raw.createOrReplaceTempView("many_rows")
+    by_sql = spark.sql(f"SELECT r.doc_id, {', '.join(f'h.`{c}`' for c in hooks.FIELDS)}, h.hook_error FROM many_rows r, LATERAL many_hook(r.n) h WHERE r.doc_id < 30")
+    assert by_sql.schema.simpleString() == out.schema.simpleString()
+    assert sorted(map(str, by_sql.collect())) == sorted(str(r) for r in rows if r.doc_id is not None and r.doc_id < 30)
+
+
 def test_a_hook_in_sql_and_registered_again(spark, raw):
     hooks.register_hook(spark, "words_hook", Words, ("text",))
     hooks.register_hook(spark, "words_hook", Words, ("text",))

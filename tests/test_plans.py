@@ -85,6 +85,34 @@ def test_elements_are_shuffled_not_their_forms(stored, made):
     assert not any(", segment#" in x for x in exchanges)
 
 
+@pytest.mark.parametrize("extra", [None, "extra"])
+def test_json_is_parsed_once(spark, extra):
+    """No filter on the parsed object may be pushed below it, where it would be parsed again."""
+    from quire.sources.documents import elements_from_json
+
+    rows = spark.createDataFrame([('{"doc_id": 1, "x": 2}',), ("{",), (None,), ('{"text": "a"}',)], "json string").repartition(1)
+    out = elements_from_json(rows, extra=extra)
+    assert plan(out).split("Initial Plan")[0].count("from_json") == 1
+    assert [r.doc_id for r in out.collect()] == [1]
+
+
+def test_runs_are_counted_before_they_are_buckets(spark):
+    from pyspark.sql import functions as F
+
+    from quire.functions import language
+
+    texts = [("en", t) for t in ("a \U0001d400\U0001d401 b\U0001d402", "\U00010330", "x", "", "  ", None, "Ünï ß", "日本 語", "don't\nstop 1a2b")]
+    rows = spark.createDataFrame([*texts, (None, "q"), ("xx", "hello there")], "lang string, text string")
+    profiles = language.rank_profiles(rows)
+    assert "regexp_extract_all" in plan(profiles)
+    each = rows.filter("lang IS NOT NULL").select("lang", F.explode(language.runs_of(F.col("text"))).alias("bucket"))
+    counts = {}
+    for r in each.groupBy("lang", "bucket").count().collect():
+        counts.setdefault("eng" if r.lang == "en" else r.lang, []).append((-r["count"], r.bucket))
+    want = {(c, b, language.TOP - (k.bit_length() - 1)) for c, v in counts.items() for k, (_, b) in enumerate(sorted(v), 1)}
+    assert {tuple(r) for r in profiles.collect()} == want
+
+
 def test_shared_dir_follows_the_session(spark):
     base = spark.conf.get("spark.checkpoint.dir", None)
     one, two = shared_dir(spark, "x"), shared_dir(spark, "x")
