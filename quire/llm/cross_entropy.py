@@ -9,9 +9,10 @@ other pairs back off to single words, and words never counted are one unknown wo
 A text's loss is a sum over terms: for each word its single part and the rest of its
 context, for each pair what its own probability changes.  The terms are a distributed
 table of (key, target, background).  The ``NEAR_TERMS`` most frequent ones are also
-broadcast, which only saves work: scoring sums those in place and joins the others, one
-row for each term of a text, with the whole table.  Tables are removed when the last one
-that is made from them has been written.
+broadcast, which only saves work: scoring sums those in place and asks the whole table for
+the others.  A question is a row for each range of keys and some thousand texts, which
+holds the keys without repeating whose they are; the answer holds sums for each text.
+Tables are removed when the last one that is made from them has been written.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from quire.llm.stage import discard, stage
@@ -29,6 +32,9 @@ from quire.session import share_code
 
 MIN_PAIR = 2
 NEAR_TERMS = 2_000_000
+#: Words or far terms that a task works on at once, and text for which there is one range of keys.
+PORTION = 1 << 21
+RANGE_BYTES = 1 << 23
 DISCOUNT = 0.5
 SIDES = ("target", "background")
 #: In place of a word's hash: the text's start and the unknown word.
@@ -58,27 +64,46 @@ def _known(words: np.ndarray, vocabulary: np.ndarray | None) -> np.ndarray:
     return np.where(vocabulary[at] == words, words, np.uint64(_UNKNOWN))
 
 
-def _before(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def _before(words: np.ndarray, counts: np.ndarray, start: int = _START) -> np.ndarray:
     """Each word's predecessor in its text."""
     before = np.empty_like(words)
     before[1:] = words[:-1]
-    before[(np.cumsum(counts) - counts)[counts > 0]] = _START
+    before[(np.cumsum(counts) - counts)[counts > 0]] = start
     return before
 
 
+def _portions(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Words, words per text and targets of consecutive texts, about ``PORTION`` words at once.
+
+    What is worked out for each word takes tens of bytes; a batch may hold any number of words.
+    """
+    target = batch.column("target").to_numpy(zero_copy_only=False)
+    held, size = [], 0
+    for first, counts, found in hashed_words(batch.column("text"), Alphabet.alphanumeric()):
+        held.append((found, counts, target[first : first + len(counts)]))
+        size += len(found)
+        if size >= PORTION:
+            yield tuple(map(np.concatenate, zip(*held)))
+            held, size = [], 0
+    if size:
+        yield tuple(map(np.concatenate, zip(*held)))
+
+
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How often each word stands, and how often as a predecessor, in the target and in all."""
     for batch in batches:
-        target = batch.column("target").to_numpy(zero_copy_only=False)
-        words, sides = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for first, counts, found in hashed_words(batch.column("text"), Alphabet.alphanumeric()):
-            side = np.repeat(target[first : first + len(counts)], counts).astype(np.int64)
-            words += [found, _before(found, counts)]
-            sides += [side, side + 2]
-        distinct, at = np.unique(np.concatenate(words), return_inverse=True)
-        n = np.bincount(at * 4 + np.concatenate(sides), minlength=4 * len(distinct)).reshape(-1, 4).astype(np.int64)
-        columns = [signed(distinct), n[:, 1], n[:, 0] + n[:, 1], n[:, 3], n[:, 2] + n[:, 3]]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["word", *_WORD_SUMS])
+        for words, counts, target in _portions(batch):
+            target, counts = target[counts > 0], counts[counts > 0]
+            side = np.repeat(target, counts).astype(np.int64)
+            distinct, at = np.unique(words, return_inverse=True)
+            cells = at * 2 + side
+            now = np.bincount(cells, minlength=2 * len(distinct)).reshape(-1, 2)
+            # All but the last word of a text are predecessors, and so is each text's start.
+            before = now - np.bincount(cells[np.cumsum(counts) - 1], minlength=2 * len(distinct)).reshape(-1, 2)
+            now = np.concatenate((now, np.zeros((1, 2), np.int64)))
+            before = np.concatenate((before, np.bincount(target.astype(np.int64), minlength=2).reshape(1, 2)))
+            columns = [signed(np.append(distinct, np.uint64(_START))), now[:, 1], now.sum(1), before[:, 1], before.sum(1)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["word", *_WORD_SUMS])
 
 
 _WORD_SUMS = [f"{place}_{side}" for place in ("now", "before") for side in SIDES]
@@ -153,22 +178,17 @@ def train(docs: DataFrame, word_share: float = 0.0, pair_share: float = 0.0, nea
 
     def pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            target = batch.column("target").to_numpy(zero_copy_only=False)
-            befores, nows, sides = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
-            for first, counts, found in hashed_words(batch.column("text"), Alphabet.alphanumeric()):
-                now = _known(found, shared.value)
-                befores.append(_before(now, counts))
-                nows.append(now)
-                sides.append(np.repeat(target[first : first + len(counts)], counts))
-            before, now, side = map(np.concatenate, (befores, nows, sides))
-            _, first, at, n = np.unique(_pair_keys(before, now), return_index=True, return_inverse=True, return_counts=True)
-            n_target = np.bincount(at, side, len(n)).astype(np.int64)
-            # Neighbours that share their first word make the shuffled rows compress well.
-            order = np.argsort(before[first])
-            # A batch has fewer than 2**31 words; both counts are one number on the way.
-            both = n[order].astype(np.int64) << 31 | n_target[order]
-            columns = [signed(before[first][order]), signed(now[first][order]), both]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["before", "now", "n"])
+            for words, counts, target in _portions(batch):
+                now = _known(words, shared.value)
+                before, side = _before(now, counts), np.repeat(target, counts)
+                _, first, at, n = np.unique(_pair_keys(before, now), return_index=True, return_inverse=True, return_counts=True)
+                n_target = np.bincount(at, side, len(n)).astype(np.int64)
+                # Neighbours that share their first word make the shuffled rows compress well.
+                order = np.argsort(before[first])
+                # A portion has fewer than 2**31 words; both counts are one number on the way.
+                both = n[order].astype(np.int64) << 31 | n_target[order]
+                columns = [signed(before[first][order]), signed(now[first][order]), both]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["before", "now", "n"])
 
     pairs = rows.mapInArrow(pair_counts, "before long, now long, n long").repartition("before", "now")
     counts = {"target": F.col("n").bitwiseAND(F.lit((1 << 31) - 1)), "background": F.shiftright("n", 31)}
@@ -214,60 +234,137 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     Losses are nats per token over the whole text; a negative difference means that the
     text is more like the target.  Texts without words, null or empty, have null losses.
-    Rows are known by hashes of doc_id and text; repeated rows have equal sums and counts,
-    which leaves their losses as they are.  Other columns are not read.
+    Other columns are not read.
     """
     spark = docs.sparkSession
     share_code(spark)
     shared = spark.sparkContext.broadcast((model.keys, model.values, model.vocabulary))
     single, left = (np.array([[-np.log(model.unknown[f"{part}_{s}"])] for s in SIDES]) for part in ("single", "left"))
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    # Keys are uniform and far ones not frequent, so that all ranges are of about one size.
+    ranges = max(spark.sparkContext.defaultParallelism, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // RANGE_BYTES))
 
-    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each text a row with its near sums, its head, and one for each of its other terms."""
+    def questions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         near, values, vocabulary = shared.value
+        part, number = TaskContext.get().partitionId(), 0
+
+        def lookup(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            if not len(near):
+                return np.zeros(len(keys), bool), np.zeros((2, len(keys)))
+            place = np.minimum(np.searchsorted(near, keys), len(near) - 1)
+            known = near[place] == keys
+            return known, np.where(known, values[:, place], 0.0)
+
+        def ask(ids: pa.Array, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+            sizes, totals, texts, keys, n = (np.concatenate(x, axis=-1) for x in zip(*held))
+            mark = int(signed(np.bitwise_xor.reduce(mix(keys + texts.astype(np.uint64)), keepdims=True))[0])
+            of = ((keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
+            order = np.argsort(of, kind="stable")  # texts stay in order
+            of = of[order]
+            edges = np.flatnonzero(np.diff(of, prepend=-1))
+            asked = [_binary(x, edges) for x in (keys[order], texts[order].astype(np.int32), n[order].astype(np.int32))]
+            whole = [ids, *(pa.array(x) for x in (sizes, *totals))]
+            head = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in whole]
+            for at, cells, left, right in (
+                (of[edges], np.diff(edges, append=len(of)), asked, [pa.nulls(len(edges), x.type) for x in head]),
+                (np.array([(part + number) % ranges]), np.array([len(keys)]), [pa.nulls(1, pa.binary())] * 3, head),
+            ):
+                names = [np.full(len(at), x, kind) for x, kind in ((part, np.int32), (number, np.int64), (mark, np.int64))]
+                columns = [at.astype(np.int32), *names, cells.astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *left, *right], names=[*_OF, "keys", "texts", "n", *_HEAD])
+
         for batch in batches:
-            rows = [batch.column(c).to_numpy() for c in ("high", "low")]
+            held, size, start = [], 0, 0
             for first, counts, found in hashed_words(batch.column("text"), Alphabet.alphanumeric()):
                 now = _known(found, vocabulary)
                 before = _before(now, counts)
-                distinct, at = np.unique(np.concatenate((_now_keys(now), _before_keys(before), _pair_keys(before, now))), return_inverse=True)
-                text = np.tile(np.repeat(np.arange(len(counts)), counts), 3)
-                place = np.minimum(np.searchsorted(near, distinct), max(len(near) - 1, 0))
-                known = near[place] == distinct if len(near) else np.zeros(len(distinct), bool)
-                found_values = np.where(known, values[:, place], 0.0) if len(near) else np.zeros((2, len(distinct)))
+                text = np.repeat(np.arange(len(counts)), counts)
                 # All words as unknown ones, and what known terms change.
                 total = (single + left) * counts
-                total += np.stack([np.bincount(text, v[at], len(counts)) for v in found_values])
-                far = ~known[at]
-                cells, n = np.unique(text[far] * max(len(distinct), 1) + at[far], return_counts=True)
-                of = cells // max(len(distinct), 1)
-                whole = [x[first : first + len(counts)] for x in rows]
-                yield pa.RecordBatch.from_arrays(
-                    [*map(pa.array, whole), pa.array(whole[0]), pa.array(counts.astype(np.int64)), *map(pa.array, total)], names=_ROW
-                )
-                none = pa.nulls(len(cells), pa.float64())
-                keys = pa.array(signed(distinct[cells % max(len(distinct), 1)]))
-                yield pa.RecordBatch.from_arrays([*(pa.array(x[of]) for x in whole), keys, pa.array(n.astype(np.int64)), none, none], names=_ROW)
-
-    text = F.col("text").cast("string").alias("text")
-    hashes = [F.xxhash64("doc_id", text, F.lit(k)).alias(c) for k, c in enumerate(("high", "low"))]
-    found = docs.select(*hashes, text).mapInArrow(terms, "high long, low long, key long, n long, target double, background double")
-    # Heads have sums and are dealt by their own hash.  The table of terms is hashed, so the
-    # rows need no sort; terms that are not in it change nothing.
-    held = model.far.select("key", *[F.col(s).cast("double").alias(f"far_{s}") for s in SIDES]).hint("shuffle_hash")
-    head = F.col(SIDES[0]).isNotNull()
-    met = found.join(held, "key", "left").filter(head | F.col(f"far_{SIDES[0]}").isNotNull())
-    sums = met.groupBy("high", "low").agg(
-        F.sum(F.when(head, F.col("n"))).alias("tokens"), F.count_if(head).alias("copies"), *[F.sum(F.coalesce(s, F.col("n") * F.col(f"far_{s}"))).alias(s) for s in SIDES]
-    )
-    losses = {s: F.when(F.col("tokens") > 0, F.col(s) / F.col("tokens")) for s in SIDES}
-    return docs.select("doc_id", *hashes).join(sums, ["high", "low"]).select(
-        "doc_id",
-        (F.col("tokens") / F.col("copies")).cast("long").alias("n_tokens"),
-        losses["target"].alias("target_loss"),
-        losses["background"].alias("background_loss"),
-        (losses["target"] - losses["background"]).alias("difference"),
+                words, at = np.unique(np.append(now, np.uint64(_START)), return_inverse=True)
+                starts = at[-1]
+                at = at[:-1]
+                at_before = _before(at, counts, starts)
+                pairs, at_pair = np.unique(_pair_keys(before, now), return_inverse=True)
+                far = []
+                for keys, place in ((_now_keys(words), at), (_before_keys(words), at_before), (pairs, at_pair)):
+                    known, found_values = lookup(keys)
+                    total += np.stack([np.bincount(text, v[place], len(counts)) for v in found_values])
+                    other = ~known[place]
+                    cells, n = np.unique(text[other] * max(len(keys), 1) + place[other], return_counts=True)
+                    far.append((cells // max(len(keys), 1), keys[cells % max(len(keys), 1)], n))
+                of, keys, n = map(np.concatenate, zip(*far))
+                order = np.argsort(of, kind="stable")
+                held.append((counts.astype(np.int64), total, first - start + of[order], keys[order], n[order]))
+                size += len(keys)
+                stop = first + len(counts)
+                if size >= PORTION // 2:
+                    yield from ask(batch.column("doc_id").slice(start, stop - start), held)
+                    held, size, start, number = [], 0, stop, number + 1
+            if held:
+                yield from ask(batch.column("doc_id").slice(start), held)
+                number += 1
+
+    def answers(asked: pa.Table, terms: pa.Table) -> pa.Table:
+        """Heads as they are, and sums for each text of each question."""
+        if not asked.num_rows:
+            return _answer(asked, [None] * 3)
+        order = np.argsort(found := terms["key"].to_numpy().view(np.uint64))
+        found = np.append(found[order], np.uint64(0))  # never empty
+        values = [np.append(terms[s].to_numpy()[order], np.float32(0)).astype(np.float64) for s in SIDES]
+        keys, texts, n = (_numbers(asked[c], kind) for c, kind in (("keys", np.uint64), ("texts", np.int32), ("n", np.int32)))
+        lengths = np.where(asked["keys"].is_valid().to_numpy(), asked["cells"].to_numpy(), 0)
+        question = np.repeat(np.arange(len(lengths)), lengths)
+        place = np.minimum(np.searchsorted(found[:-1], keys), max(len(found) - 2, 0))
+        known = (found[place] == keys) & (len(found) > 1)
+        cells = (question << 32 | texts)[known]
+        firsts = np.flatnonzero(np.diff(cells, prepend=-1))
+        sums = [np.add.reduceat((v[place] * n)[known], firsts) if len(firsts) else np.zeros(0) for v in values]
+        edges = np.searchsorted(cells[firsts] >> 32, np.arange(len(lengths)))
+        return _answer(asked, [_binary(x, edges) for x in (cells[firsts].astype(np.int32), *sums)])
+
+    def losses(portion: pa.Table) -> pa.Table:
+        heads = portion.filter(pc.is_valid(portion["ids"]))
+        asked = portion.filter(pc.is_null(portion["ids"]))
+        if heads.num_rows != 1 or heads["cells"][0].as_py() != (pc.sum(asked["cells"]).as_py() or 0):
+            raise ValueError("rows of docs came in another order when a lost task was repeated; write docs to a table first")
+        ids, sizes, *totals = (heads[c].combine_chunks().flatten() for c in ("ids", "sizes", *SIDES))
+        sizes, texts = sizes.to_numpy(), _numbers(asked["texts"], np.int32)
+        sums = [t.to_numpy() + np.bincount(texts, _numbers(asked[f"sum_{s}"], np.float64), len(sizes)) for t, s in zip(totals, SIDES)]
+        target, background = (x / np.maximum(sizes, 1) for x in sums)
+        columns = [pa.array(x, mask=sizes == 0) for x in (target, background, target - background)]
+        return pa.Table.from_arrays([ids, pa.array(sizes), *columns], names=_LOSSES)
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    of = "range int, part int, number long, mark long, cells long"
+    head = f"ids array<{kind}>, sizes array<long>, target array<double>, background array<double>"
+    asked = rows.mapInArrow(questions, f"{of}, keys binary, texts binary, n binary, {head}")
+    of_key = F.shiftright(F.shiftrightunsigned("key", 32) * F.lit(ranges), 32).cast("int").alias("range")
+    terms = model.far.select(of_key, "key", *SIDES)
+    answered = asked.groupBy("range").cogroup(terms.groupBy("range")).applyInArrow(
+        answers, f"{of}, texts binary, sum_target binary, sum_background binary, {head}"
     )
+    values = ", ".join(f"{c} double" for c in _LOSSES[2:])
+    return answered.groupBy("part", "number", "mark").applyInArrow(losses, f"doc_id {kind}, n_tokens long, {values}")
+
+
+_LOSSES = ["doc_id", "n_tokens", "target_loss", "background_loss", "difference"]
+#: Range of keys, portion of the texts, and how many far terms; the mark tells portions of other rows apart.
+_OF = ["range", "part", "number", "mark", "cells"]
+_HEAD = ["ids", "sizes", *SIDES]
+
+
+def _binary(x: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """The bytes of ``x``, cut where ``edges`` say."""
+    offsets = np.append(edges, len(x)) * x.itemsize
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(x)]).cast(pa.binary())
+
+
+def _numbers(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    """What ``_binary`` cut, in one piece."""
+    return np.frombuffer(b"".join(x for x in column.to_pylist() if x), kind)
 
 
-_ROW = ["high", "low", "key", "n", *SIDES]
+def _answer(asked: pa.Table, columns: list) -> pa.Table:
+    sums = [pa.nulls(asked.num_rows, pa.binary()) if c is None else c for c in columns]
+    return pa.Table.from_arrays([*(asked[c] for c in _OF), *sums, *(asked[c] for c in _HEAD)], names=[*_OF, "texts", "sum_target", "sum_background", *_HEAD])

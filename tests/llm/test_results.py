@@ -5,10 +5,12 @@ import json
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -302,6 +304,43 @@ def test_cross_entropy_does_not_depend_on_the_size(spark):
     assert found[0][1][0] < found[0][1][1] < found[0][2][1] < found[0][3][1]
 
 
+def test_cross_entropy_counts_in_portions(spark, monkeypatch):
+    """A batch of 400,000 words is never worked on as a whole, and portions change no result."""
+    batch = pa.RecordBatch.from_pydict({"text": [" ".join(f"w{k % 997} x{j}" for j in range(100)) for k in range(2000)], "target": [k % 2 == 0 for k in range(2000)]})
+
+    def counted():
+        found = Counter()
+        for out in cross_entropy._word_counts(iter([batch])):
+            for word, *n in zip(*(c.to_pylist() for c in out.columns)):
+                found.update({(word, k): x for k, x in enumerate(n)})
+        return +found
+
+    whole = counted()
+    monkeypatch.setattr(cross_entropy, "PORTION", 1 << 14)
+    assert counted() == whole
+    assert sum(n for (_, k), n in whole.items() if k == 1) == 400_000 == sum(n for (_, k), n in whole.items() if k == 3)
+    tracemalloc.start()
+    for _ in cross_entropy._word_counts(iter([batch])):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6
+
+
+def test_cross_entropy_asks_in_portions(spark, monkeypatch):
+    """Texts of several portions and ranges have the losses they have in one, also repeated ones."""
+    rows = [(k, " ".join(f"w{(k * j) % 31} w{j % 7}" for j in range(k % 40)) or None) for k in range(60)] + [(3, None), (7, "w1 w2"), (7, "w1 w2"), (None, "w1 w9")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    model = cross_entropy.train(docs.withColumn("target", F.col("doc_id") < 20), near_terms=5)
+    whole = sorted(cross_entropy.score(docs, model).collect(), key=str)
+    monkeypatch.setattr(cross_entropy, "PORTION", 64)
+    monkeypatch.setattr(cross_entropy, "RANGE_BYTES", 100)
+    monkeypatch.setattr("quire.llm.words.BLOCK", 256)
+    cut = sorted(cross_entropy.score(docs, model).collect(), key=str)
+    assert len(cut) == len(rows) and [r[:2] for r in cut] == [r[:2] for r in whole]
+    assert all(a[2:] == pytest.approx(b[2:], abs=1e-9) if b[1] else a[2] is None for a, b in zip(cut, whole))
+
+
 def test_cross_entropy_prefers_the_target(spark):
     rows = queries()["op7_cross_entropy"](spark, SF).join(table(spark, "labels"), "doc_id").collect()
     mean = {q: np.mean([r["difference"] for r in rows if r["quality"] == q and r["difference"] is not None]) for q in (0, 1)}
