@@ -26,20 +26,20 @@ def _shuffles_end_with_the_job(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(_CLEANUP, before)
 
 
-def stage(df: DataFrame, purpose: str) -> DataFrame:
+def stage(df: DataFrame, purpose: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` below ``spark.checkpoint.dir`` and read it again.
 
     The shuffle files of the write are removed when it has ended, not when the driver
     happens to collect its garbage.
     """
-    return write_table(df, shared_dir(df.sparkSession, purpose))
+    return write_table(df, shared_dir(df.sparkSession, purpose), compression)
 
 
-def write_table(df: DataFrame, path: str) -> DataFrame:
-    """As ``stage``, to a folder of one's own."""
+def write_table(df: DataFrame, path: str, compression: str | None = None, mode: str = "error") -> DataFrame:
+    """As ``stage``, to a folder of one's own; with mode ``append`` also in several jobs."""
     spark = df.sparkSession
     with _shuffles_end_with_the_job(spark):
-        df.write.parquet(path)
+        df.write.mode(mode).parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import base64
 import json
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,7 +25,7 @@ import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from quire.llm.stage import stage, write_table
+from quire.llm.stage import discard, stage, write_table
 from quire.llm.words import mix
 from quire.session import share_code, shared_dir
 
@@ -36,22 +35,12 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 LENGTH = 1024
 RECORDS = 16_384
 KEY = 20_240_601
-_ROUNDS = 4
-_CACHE = 200_000
+ROUNDS = 4
+_FEISTEL_ROUNDS = 4
 
-_PIECES = re.compile(rb"[\x09-\x0D\x20]*[^\x09-\x0D\x20]+|[\x09-\x0D\x20]+")
-#: White space outside the plain six characters; texts with it are encoded in one piece.
-_OTHER_SPACE = re.compile(
-    rb"[\x1C-\x1F]|\xC2[\x85\xA0]|\xE1\x9A\x80|\xE2\x80[\x80-\x8A\xA8\xA9\xAF]|\xE2\x81\x9F|\xE3\x80\x80"
-)
 
-
-class Encoder(dict):
-    """Little-endian 16-bit ids of texts; remembers pieces it has seen, up to a number.
-
-    A piece is a run of white space with the word behind it.  The pattern never matches
-    across the start of such a run, so pieces are encoded one by one.
-    """
+class Encoder:
+    """Little-endian 16-bit ids of texts, each encoded as a whole."""
 
     def __init__(self, ranks: bytes, pattern: str = PATTERN) -> None:
         import tiktoken
@@ -62,17 +51,8 @@ class Encoder(dict):
         self.end = len(table)
         self._encode = tiktoken.Encoding("given", pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary
 
-    def __missing__(self, piece: bytes) -> bytes:
-        ids = np.array(self._encode(piece.decode("utf-8")), "<u2").tobytes()
-        if len(self) >= _CACHE:
-            self.clear()
-        self[piece] = ids
-        return ids
-
     def encode(self, data: bytes) -> bytes:
-        if _OTHER_SPACE.search(data):
-            return np.array(self._encode(data.decode("utf-8")), "<u2").tobytes()
-        return b"".join(map(self.__getitem__, _PIECES.findall(data)))
+        return np.array(self._encode(data.decode("utf-8")), "<u2").tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -84,7 +64,7 @@ def feistel(index: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
     """The slots of ``index`` (numbers below ``n``): a permutation of 0 .. n - 1."""
     half = max(1, -(-max(n - 1, 1).bit_length() // 2))
     mask = np.uint64((1 << half) - 1)
-    keys = mix(np.arange(1, _ROUNDS + 1, dtype=np.uint64) + np.uint64(key))
+    keys = mix(np.arange(1, _FEISTEL_ROUNDS + 1, dtype=np.uint64) + np.uint64(key))
     out = index.astype(np.uint64)
     walking = np.ones(len(out), bool)
     while walking.any():
@@ -148,7 +128,12 @@ def training_order(
     partition of the result holds whole shards, sorted by slot.  An empty table, or one
     without any text, gives an empty result.
     """
-    packed = stage(sequences(docs, vocabulary, pattern, length), "sequences")
+    placed, shards = _placed(stage(sequences(docs, vocabulary, pattern, length), "sequences", "zstd"), records, key)
+    return _in_order(placed, 0, max(1, shards))
+
+
+def _placed(packed: DataFrame, records: int, key: int) -> tuple[DataFrame, int]:
+    """The sequences with slot, shard and record, as they come, and the number of shards."""
     # One row for each partition of the input.
     parts = packed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
@@ -159,8 +144,10 @@ def training_order(
     def slot(index: pd.Series) -> pd.Series:
         return pd.Series(feistel(index.to_numpy(), n, key))
 
-    # Two numbers for each partition of the input, which Spark's driver lists as well.
-    numbered = packed.join(F.broadcast(starts.drop("n")), "part").withColumn("slot", slot(F.col("start") + F.col("number")))
+    # Two numbers for each partition of the input, which Spark's driver lists as well.  The
+    # mark keeps a choice of shards from working out all slots a second time.
+    index = slot.asNondeterministic()(F.col("start") + F.col("number"))
+    numbered = packed.join(F.broadcast(starts.drop("n")), "part").withColumn("slot", index)
     placed = numbered.select(
         "slot",
         F.expr(f"slot div {records}").cast("int").alias("shard"),
@@ -168,19 +155,38 @@ def training_order(
         "n_tokens",
         "tokens",
     )
-    shards = max(1, -(-n // records))
-    return placed.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot")
+    return placed, -(-n // records)
+
+
+def _in_order(placed: DataFrame, first: int, stop: int) -> DataFrame:
+    """The shards from ``first`` to before ``stop``, each in one partition."""
+    return placed.repartitionById(stop - first, F.col("shard") - F.lit(first)).sortWithinPartitions("slot")
 
 
-def written_order(docs: DataFrame, length: int = LENGTH, records: int = RECORDS, **options) -> DataFrame:
+def written_order(
+    docs: DataFrame,
+    length: int = LENGTH,
+    records: int = RECORDS,
+    vocabulary: str = VOCABULARY,
+    pattern: str = PATTERN,
+    key: int = KEY,
+) -> DataFrame:
     """Write all shards and a manifest; returns the rows of ``training_order``, read from them.
 
     The shards are in a folder ``shards-...`` of its own below ``spark.checkpoint.dir``.
     They are whole when this returns, whatever is read of the result and however often.
+    Sequences move into shards in at most ``ROUNDS`` jobs, a range of shards in each, whose
+    shuffle files go before the next one begins; then the packed sequences go.
     """
-    ordered = training_order(docs, length=length, records=records, **options)
+    packed = stage(sequences(docs, vocabulary, pattern, length), "sequences", "zstd")
+    placed, shards = _placed(packed, records, key)
     uri = shared_dir(docs.sparkSession, "shards")
-    write_shards(ordered, uri, length, records, options.get("key", KEY))
+    width = max(1, -(-shards // ROUNDS))
+    for first in range(0, max(1, shards), width):
+        chosen = placed.filter((F.col("shard") >= first) & (F.col("shard") < first + width))
+        _write_records(_in_order(chosen, first, min(first + width, max(1, shards))), uri, length)
+    _complete(docs.sparkSession, uri, length, records, key)
+    discard(packed)
     return read_shards(docs.sparkSession, uri)
 
 
@@ -196,8 +202,13 @@ def write_shards(ordered: DataFrame, uri: str, length: int = LENGTH, records: in
     and ``manifest.json`` follow; without the latter the set is not complete.  ``short``
     lists the sequences that are filled up, at most one for each partition of the input.
     """
-    spark = ordered.sparkSession
-    share_code(spark)
+    _write_records(ordered, uri, length)
+    return _complete(ordered.sparkSession, uri, length, records, key)
+
+
+def _write_records(ordered: DataFrame, uri: str, length: int) -> None:
+    """Write the shards of ``ordered`` and add them to the table of the shards."""
+    share_code(ordered.sparkSession)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pyarrow.fs.FileSystem.from_uri(uri)
@@ -225,7 +236,12 @@ def write_shards(ordered: DataFrame, uri: str, length: int = LENGTH, records: in
         parts = pa.list_(pa.struct([("record", pa.int32()), ("n_tokens", pa.int32())]))
         yield pa.RecordBatch.from_pylist(done, schema=pa.schema([("shard", pa.int32()), ("records", pa.int64()), ("bytes", pa.int64()), ("short", parts)]))
 
-    written = write_table(ordered.select("shard", "n_tokens", "tokens").mapInArrow(write, _SHARDS), f"{uri}/shards.parquet")
+    write_table(ordered.select("shard", "n_tokens", "tokens").mapInArrow(write, _SHARDS), f"{uri}/shards.parquet", mode="append")
+
+
+def _complete(spark: SparkSession, uri: str, length: int, records: int, key: int) -> DataFrame:
+    """The manifest over all shards that are written."""
+    written = spark.read.schema(_SHARDS).parquet(f"{uri}/shards.parquet")
     totals = written.agg(F.count("*").alias("shards"), F.coalesce(F.sum("records"), F.lit(0)).alias("records")).first()
     manifest = {"stride": 2 * length, "length": length, "records_per_shard": records, "key": key, "shards": totals["shards"], "records": totals["records"]}
     fs, base = pyarrow.fs.FileSystem.from_uri(uri)

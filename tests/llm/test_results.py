@@ -123,6 +123,22 @@ def test_shards_are_read_from_any_slot(spark, tmp_path):
         tokens.read_shards(spark, uri).collect()
 
 
+def test_shards_are_written_in_rounds(spark, tmp_path, monkeypatch):
+    """No job moves all sequences at once, and the packed ones are gone in the end."""
+    docs = spark.createDataFrame([(f"text {k} " * (k % 50),) for k in range(300)] + [(None,), ("",)], "text string").repartition(3).cache()
+    monkeypatch.setattr(tokens, "shared_dir", lambda session, purpose: f"file://{tmp_path}/{purpose}")
+    monkeypatch.setattr("quire.llm.stage.shared_dir", lambda session, purpose: f"file://{tmp_path}/{purpose}-{len(list(tmp_path.iterdir()))}")
+    moved, write = [], tokens._write_records
+    monkeypatch.setattr(tokens, "_write_records", lambda ordered, uri, length: (moved.append([r["shard"] for r in ordered.collect()]), write(ordered, uri, length)))
+    found = sorted(map(tuple, tokens.written_order(docs, length=32, records=50).collect()))
+    assert len(found) > 400 and found == sorted(map(tuple, tokens.training_order(docs, length=32, records=50).collect()))
+    assert len(moved) == tokens.ROUNDS and sum(map(len, moved)) == len(found)
+    assert all(a == sorted(a) and set(a).isdisjoint(b) for a, b in zip(moved, moved[1:]))
+    assert json.loads((tmp_path / "shards/manifest.json").read_text())["records"] == len(found)
+    left = [p.name for p in tmp_path.iterdir()]
+    assert sum(x.startswith("sequences") for x in left) == 1  # of training_order, which reads them
+
+
 def test_no_shards(spark, tmp_path):
     docs = table(spark, "documents").filter("1 = 0")
     uri = f"file://{tmp_path}/s"
