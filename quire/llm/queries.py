@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from quire.functions.joins import in_lookup
 from quire.llm import cross_entropy, language, quality, rules
 from quire.llm.conversations import damage, repair_audit
 from quire.llm.decontaminate import contamination
@@ -84,9 +85,8 @@ def op6_language(spark, sf):
 def op7_cross_entropy(spark, sf):
     """The target are the documents that ``labels`` marks as good and not toxic."""
     docs = _table(spark, sf, "documents").select("doc_id", "text")
-    good = _table(spark, sf, "labels").filter("quality = 1 AND toxic = 0").select("doc_id").distinct()
-    marked = docs.join(good.withColumn("target", F.lit(True)), "doc_id", "left")
-    return cross_entropy.score(docs, cross_entropy.train(marked))
+    good = _table(spark, sf, "labels").filter("quality = 1 AND toxic = 0")
+    return cross_entropy.score(docs, cross_entropy.train(in_lookup(docs, good, "doc_id", "target")))
 
 
 @query

@@ -15,6 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from quire.functions import joins
 from quire.llm import cross_entropy, near_dup, tokens
 from quire.llm.components import connected
 from quire.llm.licenses import scan_licenses
@@ -357,6 +358,28 @@ def test_cross_entropy_asks_in_portions(spark, monkeypatch):
     assert all(a[2:] == pytest.approx(b[2:], abs=1e-9) if b[1] else a[2] is None for a, b in zip(cut, whole))
 
 
+def test_only_rows_that_may_be_found_are_shuffled(spark, monkeypatch):
+    rows = [(k % 500 if k % 7 else None, f"text {k}") for k in range(2000)]
+    docs, ids = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k,) for k in range(0, 900, 9)] * 2 + [(None,)], "doc_id long")
+    want = Counter((k, t, k is not None and k % 9 == 0) for k, t in rows)
+    for marks in (joins.MARKS, 64):  # with few marks nearly all rows meet one
+        monkeypatch.setattr(joins, "MARKS", marks)
+        found = joins.in_lookup(docs, ids, "doc_id", "good")
+        assert found.columns == ["doc_id", "text", "good"] and Counter(map(tuple, found.collect())) == want
+    # Each text is read by a branch without a shuffle, too, where no table is broadcast by its size.
+    monkeypatch.setitem(before := {}, "limit", spark.conf.get("spark.sql.autoBroadcastJoinThreshold"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        marked = []
+        monkeypatch.setattr(cross_entropy, "train", lambda docs: marked.append(docs))
+        monkeypatch.setattr(cross_entropy, "score", lambda docs, model: docs)
+        queries()["op7_cross_entropy"](spark, SF)
+        plan = marked[0]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before["limit"])
+    assert "Union" in plan and "SortMergeJoin" in plan and "BroadcastHashJoin" in plan
+
+
 def test_cross_entropy_prefers_the_target(spark):
     rows = queries()["op7_cross_entropy"](spark, SF).join(table(spark, "labels"), "doc_id").collect()
     mean = {q: np.mean([r["difference"] for r in rows if r["quality"] == q and r["difference"] is not None]) for q in (0, 1)}
