@@ -248,12 +248,23 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         near, values, vocabulary = shared.value
         part, number = TaskContext.get().partitionId(), 0
 
+        # Keys are uniform: those with the first bits of a key are few, and stand together.
+        shift = np.uint64(64 - max(1, len(near).bit_length()))
+        bounds = np.append(0, np.cumsum(np.bincount((near >> shift).astype(np.int64), minlength=1 << (64 - int(shift)))))
+
         def lookup(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            if not len(near):
-                return np.zeros(len(keys), bool), np.zeros((2, len(keys)))
-            place = np.minimum(np.searchsorted(near, keys), len(near) - 1)
-            known = near[place] == keys
-            return known, np.where(known, values[:, place], 0.0)
+            first = (keys >> shift).astype(np.int64)
+            place, stop = bounds[first], bounds[first + 1]
+            known, found = np.zeros(len(keys), bool), np.zeros((2, len(keys)))
+            left = np.flatnonzero(place < stop)
+            while len(left):
+                hit = near[place[left]] == keys[left]
+                known[left[hit]] = True
+                left = left[~hit]
+                place[left] += 1
+                left = left[place[left] < stop[left]]
+            found[:, known] = values[:, place[known]]
+            return known, found
 
         def ask(ids: pa.Array, held: list[tuple]) -> Iterator[pa.RecordBatch]:
             sizes, totals, texts, keys, n = (np.concatenate(x, axis=-1) for x in zip(*held))
